@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontamination, mixing, sharding, simhash, warc
+from lattica.llm import ann, decontamination, mixing, sharding, simhash, urls, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -119,6 +119,16 @@ FROM document_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+@query
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
