@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import ann, decontamination, mixing, sharding, simhash, urls, warc
+import corpus_pipeline
+
+from lattica.llm import ann, chat, decontamination, mixing, sharding, simhash, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -25,6 +28,61 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles, with_payload=False).drop("payload", "url")
 
 
+def _spans_text(spans: str) -> Column:
+    """``start-end`` of each span, comma-joined."""
+    parts = F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(parts, ",")
+
+
+@query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = chat.preferences(turns, chat.adjacent_pairs(turns))
+    return rows.withColumns({name: _spans_text(name) for name in ("chosen_spans", "rejected_spans")})
+
+
+ORACLE_SQL["op2_chat"] = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+  FROM turns),
+pairs AS (
+  SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id
+  FROM turns GROUP BY conv_id // 2 HAVING min(conv_id) <> max(conv_id)),
+both_sides AS (
+  SELECT pair_id, n, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
+  FROM (SELECT pair_id, n, role, text FROM numbered JOIN pairs ON conv_id = chosen_id) c
+  FULL JOIN (SELECT pair_id, n, role, text FROM numbered JOIN pairs ON conv_id = rejected_id) r USING (pair_id, n)),
+prefix AS (
+  SELECT pair_id, coalesce(min(n) FILTER (WHERE c_role IS DISTINCT FROM r_role OR c_text IS DISTINCT FROM r_text) - 1,
+                           max(n)) AS k
+  FROM both_sides GROUP BY pair_id),
+completions AS (
+  SELECT pair_id, conv_id, role, text, rendered, n,
+         coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, conv_id ORDER BY n
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM numbered JOIN pairs ON conv_id IN (chosen_id, rejected_id) JOIN prefix USING (pair_id) WHERE n > k),
+spans AS (
+  SELECT *, (begins + length(role) + 5)::BIGINT || '-' || (begins + length(rendered))::BIGINT AS span FROM completions),
+texts AS (
+  SELECT pair_id, conv_id, string_agg(rendered, '' ORDER BY n) AS completion,
+         coalesce(string_agg(span, ',' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS spans
+  FROM spans GROUP BY pair_id, conv_id),
+prompts AS (
+  SELECT pair_id, string_agg(rendered, '' ORDER BY n) AS prompt
+  FROM numbered JOIN pairs ON conv_id = chosen_id JOIN prefix USING (pair_id) WHERE n <= k GROUP BY pair_id)
+SELECT pair_id, chosen_id, rejected_id, k::INTEGER AS prefix_turns, coalesce(prompt, '') AS prompt,
+       coalesce(c.completion, '') AS chosen, coalesce(r.completion, '') AS rejected,
+       coalesce(c.spans, '') AS chosen_spans, coalesce(r.spans, '') AS rejected_spans
+FROM pairs JOIN prefix USING (pair_id) LEFT JOIN prompts USING (pair_id)
+LEFT JOIN texts c ON c.pair_id = pairs.pair_id AND c.conv_id = chosen_id
+LEFT JOIN texts r ON r.pair_id = pairs.pair_id AND r.conv_id = rejected_id
+"""
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -132,3 +190,13 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
