@@ -1,7 +1,8 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-A lexical transducer reads words letter by letter and writes classes: insult, threat, target, negation, report or
-other. Its insults are a fixed list and stems learned from labels. Transducers for negation, reported speech, targets
+A lexical transducer reads words letter by letter and writes classes: insult, likely insult, threat, target, negation,
+report or other. Its insults are a fixed list and stems learned from labels; a likely insult, whose stem harmless
+words have too, counts from its second occurrence in a document. Transducers for negation, reported speech, targets
 and threats read classes and rewrite them in context; composed into one, they turn a clause into the matches that
 count: plain, targeted, negated and reported insults, and threats at a target. A document's score is the logistic
 function of the weighted matches of its clauses; the weights are fitted on labelled documents.
@@ -34,7 +35,9 @@ MAX_CANDIDATES = 3_000
 MAX_STEMS = 200
 STEM_LETTERS = range(3, 9)
 MIN_SUPPORT = 3
-MIN_PRECISION = 0.9
+MIN_PRECISION = 0.85
+#: Marks of learned patterns: a whole word, and a stem that must occur twice in a document.
+WHOLE, TWICE = "=", "2"
 #: Words after a negation, and after a threat, that it reaches.
 REACH = 3
 MATCHES = ("plain", "targeted", "negated", "reported", "threat")
@@ -107,6 +110,11 @@ def threatening() -> Transducer:
     return Transducer(0, arcs, lambda k: max(0, k - 1))
 
 
+def corroboration() -> Transducer:
+    """Of likely insults the first in a document is let pass and the others are insults."""
+    return Transducer(0, {(0, "V"): (1, "W"), (1, "V"): (1, "I")}, lambda k: k)
+
+
 def clause_grammar() -> Transducer:
     classes = ("I", "T", "Y", "N", "R", "W")
     grammar = compose(negation(), reported(), classes)
@@ -125,9 +133,10 @@ class Lexicon:
         for name, known in (("T", THREATS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("I", INSULTS)):
             for word in known:
                 self._add(word, "whole", name)
-        for stem in self.stems:
-            self._add(stem.removeprefix("="), "whole" if stem.startswith("=") else "begin", "I")
-        strong = {*INSULTS, *THREATS, *(s.removeprefix("=") for s in self.stems)}
+        for stem in sorted(self.stems, key=lambda s: not s.startswith(TWICE)):  # a sure stem overrides a likely one
+            kind = "whole" if stem.startswith(WHOLE) else "begin"
+            self._add(stem.lstrip(WHOLE + TWICE), kind, "V" if stem.startswith(TWICE) else "I")
+        strong = {*INSULTS, *THREATS, *(s.lstrip(WHOLE + TWICE) for s in self.stems)}
         ordered = "|".join(re.escape(w) for w in sorted(strong, key=lambda w: (-len(w), w)))
         self.trigger = re.compile(rf"(?<![^\W\d_])(?:{ordered})")
 
@@ -157,15 +166,21 @@ class Grammar:
     def __init__(self, stems: tuple[str, ...] = ()) -> None:
         self.lexicon = Lexicon(stems)
         self.clauses = clause_grammar()
+        self.likely = corroboration()
 
     def matches(self, text: str | None) -> tuple[int, ...]:
         """How often each of MATCHES occurs. Only clauses with a word that can match are read closely."""
         lowered = (text or "").lower()
         found: Counter = Counter()
         if self.lexicon.trigger.search(lowered):
+            state = self.likely.start
             for clause in _CLAUSE.split(lowered):
                 if self.lexicon.trigger.search(clause):
-                    found.update(self.clauses.run(map(self.lexicon.read, _WORD.findall(clause))))
+                    classes = []
+                    for word in _WORD.findall(clause):
+                        state, name = self.likely.step(state, self.lexicon.read(word))
+                        classes.append(name)
+                    found.update(self.clauses.run(classes))
         return tuple(found[name] for name in MATCHES)
 
 
@@ -189,11 +204,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def patterns(text: str) -> set[str]:
-    """The stems of the words of a text, and the words themselves marked by ``=``."""
-    found = set()
-    for word in set(words(text)):
-        found.add("=" + word)
-        found.update(word[:k] for k in STEM_LETTERS if k <= len(word))
+    """The whole words of a text, the stems of its words, and the stems that occur at least twice; marked."""
+    found, stems = set(), Counter()
+    for word, count in Counter(words(text)).items():
+        found.add(WHOLE + word)
+        for k in STEM_LETTERS:
+            if k <= len(word):
+                stems[word[:k]] += count
+    found.update(stems)
+    found.update(TWICE + stem for stem, count in stems.items() if count > 1)
     return found
 
 
@@ -267,16 +286,14 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
 
     def worth(candidate: int) -> tuple[int, int, str]:
         pattern, _, clean = candidates[candidate]
-        return len(holders[candidate] & left) - 4 * clean, len(pattern), pattern
+        return len(holders[candidate] & left) - clean, len(pattern), pattern
 
     while len(stems) < MAX_STEMS and holders:
         best = max(holders, key=worth)
-        gained = holders.pop(best) & left
-        if worth_now := len(gained) - 4 * candidates[best][2] >= MIN_SUPPORT:
-            stems.append(candidates[best][0])
-            left -= gained
-        if not worth_now:
+        if worth(best)[0] < MIN_SUPPORT:
             break
+        stems.append(candidates[best][0])
+        left -= holders.pop(best)
     return tuple(stems)
 
 
