@@ -143,15 +143,15 @@ def get_associations(spark: SparkSession, d: str) -> DataFrame:
     return perspectives.get_associations(_associations(spark, d), "s5", None, "R")
 
 
-@register_sql("consensus", """SELECT node_id, context_id, agent_count, round(avg_weight, 6) AS avg_weight, min_weight, max_weight,
-  round(stddev_weight, 6) AS stddev_weight, kind, content FROM (
+@register_sql("consensus", """SELECT node_id, context_id, agent_count, round(avg_weight, 10) AS avg_weight, min_weight, max_weight,
+  round(stddev_weight, 10) AS stddev_weight, kind, content FROM (
     SELECT node_id, context_id, count(DISTINCT agent_id) AS agent_count, avg(weight) AS avg_weight,
            min(weight) AS min_weight, max(weight) AS max_weight, stddev_samp(weight) AS stddev_weight
     FROM perspectives GROUP BY ALL HAVING count(DISTINCT agent_id) >= 2 AND avg(weight) >= -0.9) c
   JOIN nodes n ON c.node_id = n.id""")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     agreed = perspectives.consensus(_perspectives(spark, d), model.nodes(spark, d, lines=False), None, 2, -0.9)
-    return agreed.withColumns({c: F.round(c, 6) for c in ("avg_weight", "stddev_weight")})
+    return agreed.withColumns({c: F.round(c, 10) for c in ("avg_weight", "stddev_weight")})
 
 
 @register_sql("perspective_diff", """WITH a AS (SELECT * FROM perspectives WHERE agent_id = 'u1'),
