@@ -137,7 +137,7 @@ def items_digest(items) -> str:
 def without_hits(text: str, hit: np.ndarray) -> str:
     """``text`` without its hit words and what stands between two of them."""
     out, last, previous = [], 0, False
-    for word, bad in zip(_WORDS.finditer(text), hit, strict=True):
+    for word, bad in zip(_WORDS.finditer(text.translate(_LOWER)), hit, strict=True):
         if bad:
             if not previous:
                 out.append(text[last : word.start()])

@@ -42,7 +42,7 @@ WHOLE, TWICE = "=", "2"
 REACH = 3
 MATCHES = ("plain", "targeted", "negated", "reported", "threat")
 #: Weights that the fit starts from and is drawn to: the bias, then one for each of MATCHES.
-PRIOR = (-3.0, 3.0, 3.5, 1.0, 1.0, 3.0)
+PRIOR = (-2.5, 3.0, 3.5, 1.0, 1.0, 3.0)
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
