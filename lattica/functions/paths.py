@@ -36,28 +36,23 @@ def _level(part: str) -> str:
 
 
 def lquery_pattern(query: str) -> str:
-    """A regular expression for a label-wise pattern: ``*`` any levels, ``*{n}`` ``*{n,m}`` so many, ``a|b``, ``!a``."""
-    out = "^"
-    first = True
+    """A regular expression for a label-wise pattern: ``*`` any levels, ``*{n}`` ``*{n,m}`` so many, ``a|b``, ``!a``.
+
+    It is for a path with a dot before every label, the first too.
+    """
+    out = ""
     for part in re.split(r"\.(?![^{]*\})", query):
-        if part.startswith("*"):
-            count = part[1:] or "{0,}"
-            if re.fullmatch(r"\{\d+\}", count):
-                low = high = count[1:-1]
-            else:
-                low, _, high = count[1:-1].partition(",")
-            out += rf"(?:(?:^|\.)[^.]+){{{low or 0},{high}}}" if first else rf"(?:\.[^.]+){{{low or 0},{high}}}"
-            first = first and (low or "0") == "0"
-            if first:
-                out += r"(?:^|\.|$)?"
-        else:
-            out += ("" if first else r"\.") + _level(part)
-            first = False
-    return out + "$"
+        if not part.startswith("*"):
+            out += r"\." + _level(part)
+            continue
+        low, comma, high = part[1:].strip("{}").partition(",")
+        count = f"{{{low or 0},{high}}}" if comma or not low else f"{{{low}}}"
+        out += r"(?:\.[^.]+)" + count
+    return f"^{out}$"
 
 
 def matches_lquery(path: Column, query: str) -> Column:
-    return path.rlike(lquery_pattern(query))
+    return F.concat(F.lit("."), path).rlike(lquery_pattern(query))
 
 
 def matches(path: Column, pattern: str) -> Column:
