@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_table
+from lattica.llm.shared import shared_table, slices
 
 N = 10
 MAX_WINDOWS = 1_000_000
@@ -166,7 +166,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows_of = WindowSet(found.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 (count, int(hit.sum()), len(items), items_digest(items), bool(hit.any()))
                 for count, hit, items in windows_of.scan(batch.column("text").to_pylist())
@@ -239,7 +239,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: boo
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows_of = WindowSet(found.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             masks = [hit for _, hit, _ in windows_of.scan(texts)]
             if not spans:

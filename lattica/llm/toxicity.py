@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_table
+from lattica.llm.shared import shared_table, slices
 
 # The words that the grammar knows without labels.
 INSULTS = "clown disgusting dumb idiot imbecile loser moron pathetic scum stupid trash worthless".split()
@@ -230,7 +230,7 @@ def _candidates(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
                 counts[label.as_py()].update(patterns(text.as_py()))
         names = [name for name, n in counts[1].items()]
@@ -268,7 +268,7 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
     known = Grammar()
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text"):
                 if not any(known.matches(text.as_py())):
@@ -320,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     grammar = Grammar(stems)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [list(grammar.matches(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column("label")], ["m", "label"])
 
@@ -343,7 +343,7 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.stems)
-        for batch in batches:
+        for batch in slices(batches):
             values = model.score_texts(batch.column("text").to_pylist(), grammar)
             predicted = (values >= THRESHOLD).astype(np.int32)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(values), pa.array(predicted)]
@@ -359,7 +359,7 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.stems)
-        for batch in batches:
+        for batch in slices(batches):
             values = model.score_texts(batch.column("text").to_pylist(), grammar)
             yield batch.filter(pa.array(values < THRESHOLD, pa.bool_()))
 
