@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from lattica.llm import ann, chat, decontamination, mixing, sharding, simhash, toxicity, urls, warc
+from lattica.llm import ann, chat, decontamination, licenses, mixing, sharding, simhash, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -133,6 +133,11 @@ SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken
 """
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
