@@ -191,9 +191,9 @@ def joined_hits(keyed: DataFrame, windows: DataFrame, n: int = N) -> DataFrame:
     parts = []
     for length in lengths:
         starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-        exploded = keyed.filter(F.size("w") >= length).select("row", "w", F.explode(starts).alias("start"))
-        window = F.slice("w", F.col("start"), length)
-        parts.append(exploded.select("row", F.col("start") - 1, F.lit(length), F.xxhash64(window), window))
+        runs = F.transform(starts, lambda s: F.struct((s - 1).alias("start"), F.slice("w", s, length).alias("words")))
+        exploded = keyed.filter(F.size("w") >= length).select("row", F.explode(runs).alias("run")).select("row", "run.*")
+        parts.append(exploded.select("row", "start", F.lit(length), F.xxhash64("words"), "words"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
@@ -226,27 +226,57 @@ def joined_report(docs: DataFrame, windows: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool = False) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool = False, max_windows: int = MAX_WINDOWS
+) -> DataFrame:
     """``docs`` without its contaminated documents, or with ``spans`` all of them without their hit words.
 
     The columns stay as they are; texts without hits stay byte for byte. Nulls, repeated rows and empty tables are
-    treated as in :func:`report`. The windows are broadcast; for more than ``MAX_WINDOWS`` use :func:`report` and join.
+    treated as in :func:`report`. More than ``max_windows`` windows aren't broadcast but joined.
     """
     windows = shared_table(item_windows(benchmark, n), "benchmark-windows")
-    if windows.count() > MAX_WINDOWS:
-        raise ValueError("too many windows to broadcast: join report() instead")
+    if windows.count() > max_windows:
+        return joined_decontaminated(docs, windows, n, spans)
     found = docs.sparkSession.sparkContext.broadcast([(row[0], row[1]) for row in windows.collect()])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows_of = WindowSet(found.value)
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            masks = [hit for _, hit, _ in windows_of.scan(texts)]
-            if not spans:
+            masks = [hit for _, hit, _ in windows_of.scan(batch.column("text").to_pylist())]
+            if spans:
+                yield _cut(batch, masks)
+            else:
                 yield batch.filter(pa.array([not hit.any() for hit in masks], pa.bool_()))
-                continue
-            cut = [without_hits(t, hit) if hit.any() else t for t, hit in zip(texts, masks, strict=True)]
-            place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, batch.schema.field(place), pa.array(cut, batch.schema.field(place).type))
 
     return docs.mapInArrow(clean, docs.schema)
+
+
+def _cut(batch: pa.RecordBatch, masks: list[np.ndarray]) -> pa.RecordBatch:
+    """``batch`` with texts without the words that their masks hit."""
+    texts = batch.column("text").to_pylist()
+    cut = [without_hits(t, hit) if hit.any() else t for t, hit in zip(texts, masks, strict=True)]
+    place = batch.schema.get_field_index("text")
+    return batch.set_column(place, batch.schema.field(place), pa.array(cut, batch.schema.field(place).type))
+
+
+def joined_decontaminated(docs: DataFrame, windows: DataFrame, n: int = N, spans: bool = False) -> DataFrame:
+    """:func:`decontaminated` for windows of any number."""
+    keyed = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "benchmark-documents")
+    split = keyed.select(F.col("__row").alias("row"), words_column(F.col("text")).alias("w"))
+    hits = shared_table(joined_hits(split, windows, n), "benchmark-hits").withColumnRenamed("row", "__row")
+    if not spans:
+        return keyed.join(hits.select("__row").distinct(), "__row", "left_anti").drop("__row")
+    places = hits.select("__row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at"))
+    places = places.distinct().groupBy("__row").agg(F.collect_list("at").alias("__at"))  # no more than a text has words
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            masks = []
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("__at").to_pylist(), strict=True):
+                mask = np.zeros(len(words(text)) if at else 0, dtype=bool)
+                mask[np.array(at or [], dtype=np.int64)] = True
+                masks.append(mask)
+            yield _cut(batch.drop_columns(["__at"]), masks)
+
+    joined = keyed.join(places, "__row", "left").drop("__row")
+    return joined.mapInArrow(clean, docs.schema)

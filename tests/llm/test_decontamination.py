@@ -79,3 +79,21 @@ def test_removal_of_documents_and_spans(spark, documents):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
     cut = {r["doc_id"]: r["text"] for r in dc.decontaminated(docs, items, spans=True).collect()}
     assert cut == {1: "before, ! after", 2: "clean; text\n", 3: None}
+
+
+def test_removal_by_join_equals_removal_by_broadcast(spark, documents):
+    docs, items = cases()
+    docs, items = documents([*docs, docs[0]]), benchmark(spark, items)
+    for spans in (False, True):
+        near = dc.decontaminated(docs, items, spans=spans).collect()
+        joined = dc.decontaminated(docs, items, spans=spans, max_windows=0)
+        assert joined.columns == docs.columns
+        assert sorted(map(str, joined.collect())) == sorted(map(str, near))
+        assert spans or 0 < len(near) < 80
+
+
+def test_join_reads_long_texts(spark, documents):
+    passage = " ".join(f"w{k}" for k in range(12))
+    text = "filler " * 200_000 + passage
+    out = as_dict(dc.report(documents([(1, text)]), benchmark(spark, [(5, passage)]), max_windows=0))
+    assert out[1][:3] == (200_012, 12, 1)
