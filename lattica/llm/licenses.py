@@ -2,6 +2,9 @@
 
 Sentences are normalised and mapped to identifiers of known licence sentences; the sequence of a text's identifiers is
 matched against ordered rules. A rule takes the identifiers that it matches, so a later rule can't match them again.
+
+Lines of a paragraph are joined, so a sentence may be wrapped anywhere. A known sentence also counts if it fills whole
+lines of a paragraph without end marks, as titles and tags do, or what stands before or after a colon.
 """
 
 from __future__ import annotations
@@ -11,24 +14,144 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END = r"[.!?;]+(\s|$)"
+#: Where a sentence may be wrapped or a known one may end: after a colon, as at the end of a line.
+COLON = r":(?:[ \t\r]+\n?|\n)"
+#: A list's number or letter before its item, which begins a sentence.
+LIST_MARK = r"\n[^A-Za-z0-9\n]{0,40}[A-Za-z0-9]{1,2}\)[ \t]"
 
-# Identifiers of known licence sentences, and their texts as normalised.
+# Identifiers of known licence sentences, and their texts as normalised, one or several.
+_MIT_COPY = "permission is hereby granted free of charge to any person obtaining a copy"
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted"
+_BSD_SOURCE = "must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = (
+    "must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+    "and or other materials provided with the distribution"
+)
+_BSD_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+_HOLDER = "neither the name of the copyright holder nor the names of its contributors " + _BSD_ENDORSE
 SENTENCES = {
-    "apache-grant": "licensed under the apache license version 2 0",
-    "apache-compliance": "you may not use this file except in compliance with the license",
-    "mit-name": "mit license",
-    "mit-released": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy",
+    "apache-grant": (
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license",
+        "licensed under the apache license version 2 0 license",
+        "this file is licensed under the apache license version 2 0",
+        "this file is licensed to you under the apache license version 2 0 the license",
+        "this project is licensed under the apache license version 2 0",
+        "the asf licenses this file to you under the apache license version 2 0 the license",
+        "the asf licenses this file to you under the apache license version 2 0",
+        "licensed under the apache license 2 0",
+        "apache license version 2 0 january 2004",
+    ),
+    "apache-compliance": (
+        "you may not use this file except in compliance with the license",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    ),
+    "mit-name": ("mit license", "the mit license", "the mit license mit", "mit license mit"),
+    "mit-released": (
+        "released under the mit license",
+        "licensed under the mit license",
+        "this project is licensed under the mit license",
+        "this software is released under the mit license",
+        "this code is licensed under the mit license",
+    ),
+    "mit-grant": (
+        _MIT_COPY,
+        *(
+            f"{_MIT_COPY} of this software and {files} the software to deal in the software without restriction including "
+            "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+            f"software and to permit persons to whom the software is furnished to do so{end}"
+            for files in ("associated documentation files", "associated documentation")
+            for end in (" subject to the following conditions", "")
+        ),
+    ),
     "gpl-terms": "this program is free software you can redistribute it under the terms of the gnu general public license",
-    "gpl-3": "gnu general public license version 3",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted",
+    "gpl-3": (
+        "gnu general public license version 3",
+        "gnu general public license version 3 29 june 2007",
+        "licensed under the gnu general public license version 3",
+    ),
+    "gpl-2": ("gnu general public license version 2", "gnu general public license version 2 june 1991"),
+    "bsd-grant": (
+        _BSD_GRANT,
+        f"{_BSD_GRANT} provided that the following conditions are met",
+        f"{_BSD_GRANT} provided that the following condition is met",
+        f"{_BSD_GRANT} subject to the following conditions",
+    ),
+    "bsd-source": (
+        f"redistributions of source code {_BSD_SOURCE}",
+        f"redistributions of source code {_BSD_SOURCE} and",
+        f"redistribution of source code {_BSD_SOURCE}",
+    ),
+    "bsd-binary": (
+        f"redistributions in binary form {_BSD_BINARY}",
+        f"redistributions in binary form {_BSD_BINARY} and",
+        f"redistribution in binary form {_BSD_BINARY}",
+    ),
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-endorse": (_HOLDER, f"the name of the author may not be {_BSD_ENDORSE[len('may be '):]}"),
     "gpl-3-work": "this work is licensed under the gnu general public license version 3",
-    "cc-by": "licensed under creative commons attribution 4 0",
-    "cc-by-nc": "licensed under cc by nc 4 0",
+    "cc-by": (
+        "licensed under creative commons attribution 4 0",
+        "licensed under cc by 4 0",
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "this work is licensed under the creative commons attribution 4 0 international license",
+    ),
+    "cc-by-nc": (
+        "licensed under cc by nc 4 0",
+        "licensed under creative commons attribution noncommercial 4 0",
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+    ),
     "spdx-mit": "spdx license identifier mit",
     "spdx-apache": "spdx license identifier apache 2 0",
     "reserved": "all rights reserved",
+    "free-software": tuple(f"this {work} is free software" for work in ("program", "library", "file", "software")),
 }
+# The notices of the Free Software Foundation: an identifier per licence for the grant, others for the versions.
+_FAMILIES = {"GPL": "general", "LGPL": "lesser general", "AGPL": "affero general"}
+_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+for _family, _kind in _FAMILIES.items():
+    _terms = "you can redistribute it and or modify it under the terms of"
+    _law, _by = f"gnu {_kind} public license", "as published by the free software foundation"
+    SENTENCES[f"{_family.lower()}-grant"] = (f"{_terms} the {_law} {_by}", f"{_terms} the {_law}")
+    for _version in _VERSIONS[_family]:
+        _v = f"version {_version.replace('.', ' ')}"
+        SENTENCES[f"{_family.lower()}-{_version}-later"] = tuple(
+            f"{_terms} the {_law} {_by} either {_v} of the license or at your option any later version{end}"
+            for end in ("", " of the license")
+        )
+        SENTENCES[f"{_family.lower()}-{_version}-only"] = (
+            f"{_terms} the {_law} {_v} {_by}",
+            f"{_terms} {_v} of the {_law} {_by}",
+            f"{_terms} the {_law} {_by} {_v}",
+            f"{_terms} the {_law} {_by} {_v} of the license",
+        )
+for _version in sorted({v for versions in _VERSIONS.values() for v in versions}):
+    _v = f"version {_version.replace('.', ' ')} of the license"
+    SENTENCES[f"later-{_version}"] = (f"either {_v} or at your option any later version",)
+    SENTENCES[f"only-{_version}"] = (_v,)
+#: The clause with any holder's name, which is put as that of the copyright holder.
+NAMED_HOLDER = (
+    r"([\n\f])neither[ \n]the[ \n]names?[ \n]of(?:[ \n\f][a-z0-9]+){1,20}?[ \n\f]nor(?:[ \n]the)?[ \n]names?[ \n]of"
+    r"(?:[ \n][a-z0-9]+){0,3}?[ \n]contributors[ \n]" + _BSD_ENDORSE.replace(" ", r"[ \n]") + r"(?=[\n\f])"
+)
+
+
+def _fsf_rules():
+    """The versions of the GNU licences, in one sentence or (with a semicolon) two, after "is free software" or not."""
+    for family, versions in _VERSIONS.items():
+        low = family.lower()
+        for version in versions:
+            name = f"{family}-{version}" + ("" if "." in version else ".0")
+            for kind, suffix in (("later", "-or-later"), ("only", "-only")):
+                for tail in ((f"{low}-{version}-{kind}",), (f"{low}-grant", f"{kind}-{version}")):
+                    yield name + suffix, ("free-software", *tail)
+                    yield name + suffix, tail
+        yield family, ("free-software", f"{low}-grant")
+        yield family, (f"{low}-grant",)
+
+
+_BSD = ("bsd-grant", "bsd-source", "bsd-binary")
 # Ordered rules, the more telling sequences first: a licence and identifiers that follow each other.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-compliance")),
@@ -38,22 +161,67 @@ RULES = (
     ("MIT", ("mit-released",)),
     ("MIT", ("mit-grant",)),
     ("MIT", ("spdx-mit",)),
+    *_fsf_rules(),
     ("GPL-3.0", ("gpl-terms", "gpl-3")),
     ("GPL-3.0", ("gpl-3-work",)),
     ("GPL-3.0", ("gpl-3",)),
+    ("GPL-2.0", ("gpl-2",)),
     ("GPL", ("gpl-terms",)),
-    ("BSD", ("bsd-grant",)),
+    *(
+        (licence, (*reserved, *sequence))
+        for licence, sequence in (
+            ("BSD-4-Clause", (*_BSD, "bsd-advertising", "bsd-endorse")),
+            ("BSD-3-Clause", (*_BSD, "bsd-endorse")),
+            ("BSD-2-Clause", _BSD),
+            ("BSD", ("bsd-grant",)),
+        )
+        for reserved in (("reserved",), ())  # the words are part of the notice there
+    ),
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("Proprietary", ("reserved",)),
 )
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text: ASCII letters in lower case and digits, other characters one space."""
-    ended = F.regexp_replace(text, SENTENCE_END, "\n")
-    plain = F.regexp_replace(F.translate(ended, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda s: s != "")
+def _texts(known) -> dict[str, str]:
+    """The identifier of each text of ``known``, whose values are one text or several."""
+    return {text: name for name, texts in known.items() for text in ((texts,) if isinstance(texts, str) else texts)}
+
+
+def _pattern(tree: dict) -> str:
+    """A regular expression of the word sequences of ``tree``, the longest first, with lines ended anywhere."""
+    parts = []
+    for word, rest in tree.items():
+        if word is None:
+            continue
+        longer = _pattern(rest)
+        parts.append(word + (f"(?:[ \\n]{longer})?" if longer and None in rest else f"[ \\n]{longer}" if longer else ""))
+    return f"(?:{'|'.join(parts)})" if len(parts) > 1 else "".join(parts)
+
+
+def sentences(text: Column, known=None) -> Column:
+    """The normalised sentences of a text: ASCII letters in lower case and digits, other characters one space.
+
+    They end with end marks and with paragraphs, and around known sentences that fill whole lines.
+    """
+    tree: dict = {}
+    for sentence in _texts(SENTENCES if known is None else known):
+        node = tree
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[None] = True
+    ended = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "\f"), COLON, "\n")
+    ended = F.regexp_replace(ended, LIST_MARK, "\f")
+    plain = F.regexp_replace(F.translate(ended, UPPER, LOWER), r"[^a-z0-9\n\f]+", " ")
+    # One separator between words: a space, the end of a line, or that of a sentence or paragraph
+    plain = F.regexp_replace(F.concat(F.lit("\f"), plain, F.lit("\f")), r"\n ?\n[ \n]*", "\f")
+    plain = F.regexp_replace(F.regexp_replace(plain, r" ?\n? ?\f[ \n\f]*", "\f"), r" ?\n ?", "\n")
+    plain = F.regexp_replace(plain, NAMED_HOLDER, f"$1{_HOLDER}")
+    if tree:
+        plain = F.regexp_replace(plain, rf"[\n\f]({_pattern(tree)})(?=[\n\f])", "\f$1\f")
+    joined = F.translate(F.replace(plain, F.lit("\f\n"), F.lit("\f")), "\n", " ")
+    # No trim of the parts: within transform, Spark 4.1 returns wrong characters for some of them
+    return F.filter(F.split(joined, "\f"), lambda s: s != "")
 
 
 def scan(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
@@ -67,20 +235,29 @@ def scan(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
     gives no rows. Other columns are ignored, whatever their names.
     """
     known = SENTENCES if known is None else known
-    lookup = F.create_map(*[F.lit(x) for name, text in known.items() for x in (text, name)])
-    split = F.coalesce(sentences(F.col("text")), F.array().cast("array<string>"))
+    lookup = F.create_map(*[F.lit(x) for pair in _texts(known).items() for x in pair])
+    split = F.coalesce(sentences(F.col("text"), known), F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id"), split.alias("s"))
     ids = F.filter(F.transform("s", lambda s: F.try_element_at(lookup, s)), lambda i: i.isNotNull())
     rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
     left = F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|"))
-    rows = rows.withColumn("left", F.when(F.size("ids") > 0, left).otherwise(""))
-    rows = rows.withColumn("found", F.array().cast("array<string>"))
-    for licence, sequence in rules:
-        pattern = F.lit("".join(f"|{name}|" for name in sequence))
-        found = F.when(F.contains("left", pattern), F.array_append("found", F.lit(licence))).otherwise(F.col("found"))
-        rows = rows.select(
-            "doc_id", "n_sentences", "ids", F.replace("left", pattern, F.lit("#")).alias("left"), found.alias("found")
+    ordered = F.array(*[
+        F.struct(F.lit(licence).alias("licence"), F.lit("".join(f"|{name}|" for name in sequence)).alias("sequence"))
+        for licence, sequence in rules
+    ])
+    none = F.array().cast("array<string>")
+
+    def take(state: Column, rule: Column) -> Column:
+        matches = F.contains(state["left"], rule["sequence"])
+        taken = F.struct(
+            F.replace(state["left"], rule["sequence"], F.lit("#")).alias("left"),
+            F.array_append(state["found"], rule["licence"]).alias("found"),
         )
+        return F.when(matches, taken).otherwise(state)
+
+    start = F.struct(left.alias("left"), none.alias("found"))
+    found = F.aggregate(ordered, start, take, lambda state: state["found"]) if rules else none
+    rows = rows.withColumn("found", F.when(F.size("ids") > 0, found).otherwise(none))
     return rows.select(
         "doc_id",
         "n_sentences",

@@ -1,3 +1,6 @@
+import re
+import textwrap
+
 from lattica.llm import licenses
 
 
@@ -19,3 +22,102 @@ def test_sequences_rules_and_nulls(spark, documents):
     assert out[7]["licences"] == "Apache-2.0,Proprietary"
     assert licenses.scan(documents([])).count() == 0
     assert licenses.scan(documents([(1, "a"), (1, "a"), (None, "a")])).count() == 3
+
+
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+MIT = '''The MIT License (MIT)
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+'''
+BSD = '''Copyright (c) 2020, Some Lab Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+'''
+BSD_3 = BSD + '''
+3. Neither the name of Some Lab Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+GPL = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+'''
+GPL_2 = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = GPL_2.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1").replace("This program", "This library")
+
+
+def test_unaltered_notices_however_wrapped(spark, documents):
+    notices = {
+        "Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD_3,
+        "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL_2, "LGPL-2.1-or-later": LGPL,
+    }
+    rows, want = [], {}
+    for licence, notice in notices.items():
+        paragraphs = [" ".join(p.split()) for p in notice.split("\n\n")]
+        ways = [
+            notice, notice.replace("\n", "\r\n"), "\n\n".join(paragraphs), "\n\n".join(textwrap.fill(p, 31) for p in paragraphs),
+            "".join(f" * {line}\n" for line in notice.split("\n")), "".join(f"# {line}".strip() + "\n" for line in notice.split("\n")),
+            "Some words of a readme.\n\n" + notice + "\nMore words",
+        ]
+        for text in ways:
+            want[len(rows)] = licence
+            rows.append((len(rows), text))
+    out = run(documents(rows))
+    assert {k: r["licences"] for k, r in out.items()} == want
+
+
+def test_lines_without_end_marks_and_words_around(spark, documents):
+    rows = [
+        (1, "words and words\nReleased under the MIT License.\nmore words"), (2, "// SPDX-License-Identifier: MIT\nimport this\n"),
+        (3, "It is not licensed under the Apache License, Version 2.0."), (4, "Two wrapped\nlines. One more\n\nand a paragraph"),
+        (5, "Licensed under the Apache\nLicense, Version 2.0 but not this"), (6, "\n" * 300_000 + " \n" * 300_000 + "All rights\nreserved"),
+    ]
+    out = run(documents(rows))
+    assert {k: r["licences"] for k, r in out.items()} == {1: "MIT", 2: "MIT", 3: "", 4: "", 5: "", 6: "Proprietary"}
+    assert out[4]["n_sentences"] == 3 and out[1]["n_sentences"] == 3
+
+
+def test_sentences_keep_all_their_characters(spark, documents):
+    texts = [" ".join(f"No {k * j} of  words, and {'é' * (k % 5)} more {'!!' if j % 3 else '.'}" for j in range(k)) for k in range(60)]
+    ended = "\nLicensed under CC BY-NC 4.0."
+    rows = documents([(k, text + ended) for k, text in enumerate(texts)])
+    got = {r["doc_id"]: r["s"] for r in rows.select("doc_id", licenses.sentences(rows["text"]).alias("s")).collect()}
+    for k, text in enumerate(texts):
+        parts = [" ".join(re.findall("[a-z0-9]+", part.lower())) for part in re.split(r"[.!?;]+(?:\s|$)", text + ended)]
+        assert got[k] == [part for part in parts if part]
