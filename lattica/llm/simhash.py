@@ -120,6 +120,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, fingerprint, root, component_id) per document; root, a fingerprint, tells components apart."""
+    prints = shared_table(fingerprints(docs, id_col, text_col), "simhash-prints")
+    classes = shared_table(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    roots = shared_table(components(links(classes, max_distance)), "simhash-roots")
+    rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
+    rooted = rooted.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fingerprint", "root", "component_id")
+    joined = prints.join(shared_table(named, "simhash-named"), "fingerprint")
+    return joined.select("doc_id", "fingerprint", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE
 ) -> DataFrame:
@@ -129,23 +142,30 @@ def near_duplicates(
     A null id never is a component_id, unless all of its component are null. An empty table gives no rows. Other
     columns are ignored, whatever their names.
     """
-    prints = shared_table(fingerprints(docs, id_col, text_col), "simhash-prints")
-    classes = shared_table(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = shared_table(components(links(classes, max_distance)), "simhash-roots")
-    rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
-    rooted = rooted.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "component_id")
-    joined = prints.join(shared_table(named, "simhash-named"), "fingerprint")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = _rooted(docs, id_col, text_col, max_distance)
+    return rooted.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _first_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with an id and a fingerprint of ``chosen`` (doc_id, fingerprint), one of each."""
+    keyed = docs.select(F.struct(F.struct("*").alias("row"), F.col(id_col).alias("id")).alias("doc_id"), F.col(text_col).alias("text"))
+    printed = fingerprints(keyed, "doc_id", "text").select("doc_id.*", "fingerprint")
+    wanted = chosen.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__print"))
+    same = printed["fingerprint"].eqNullSafe(wanted["__print"]) & printed["id"].eqNullSafe(wanted["__id"])
+    found = printed.join(wanted, same, "left_semi")
+    text = F.col("row").getField(text_col)
+    rows = found.groupBy("id", "fingerprint").agg(F.min_by("row", F.coalesce(F.sha2(text, 256), F.lit(""))).alias("row"))
+    return rows.select("row.*")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id. The columns stay as they are.
 
-    Of rows that repeat a kept id one stays. Rows with null id stay one per component without other ids.
+    Rows that repeat an id are told apart by their fingerprints: of those with the smallest id of a component the one
+    with the smallest fingerprint stays, and of equal ones one. So an id stays more than once if texts that are not
+    alike share it. Rows with null id stay one per component without other ids.
     """
-    named = shared_table(near_duplicates(docs, id_col, text_col), "simhash-documents")
+    named = shared_table(_rooted(docs, id_col, text_col), "simhash-documents")
     counted = named.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept")
     )
@@ -155,15 +175,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "simhash-special",
     )
     with_id = docs.filter(F.col(id_col).isNotNull())
-    single = with_id.join(special, F.col(id_col) == F.col("__id"), "left_anti")
-    repeated = with_id.join(special.filter("kept").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    kept = single.unionByName(repeated.dropDuplicates([id_col]))
-    alone = named.filter("doc_id IS NULL AND component_id IS NULL").limit(1).count()
-    if not alone:
-        return kept
-    nameless = docs.filter(F.col(id_col).isNull())
-    printed = fingerprints(nameless.select(F.struct("*").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    roots = named.filter("component_id IS NULL").select("fingerprint").distinct()
-    hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    chosen = printed.withColumn("fingerprint", hexed).join(roots, "fingerprint", "left_semi")
-    return kept.unionByName(chosen.dropDuplicates(["fingerprint"]).select("doc_id.*"))
+    kept = with_id.join(special, F.col(id_col) == F.col("__id"), "left_anti")
+
+    def one_of_each(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
+
+    twice = special.filter("kept").select("__id")
+    if twice.limit(1).count():
+        repeated = with_id.join(twice, F.col(id_col) == F.col("__id"), "left_semi")
+        smallest = named.filter("doc_id = component_id").join(twice, F.col("doc_id") == F.col("__id"), "left_semi")
+        chosen = shared_table(one_of_each(smallest), "simhash-chosen")
+        kept = kept.unionByName(_first_rows(repeated, chosen, id_col, text_col))
+    alone = named.filter("doc_id IS NULL AND component_id IS NULL")
+    if alone.limit(1).count():
+        chosen = shared_table(one_of_each(alone), "simhash-nameless")
+        kept = kept.unionByName(_first_rows(docs.filter(F.col(id_col).isNull()), chosen, id_col, text_col))
+    return kept

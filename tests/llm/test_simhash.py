@@ -101,3 +101,15 @@ def test_deduplicated_keeps_one_of_each_component(spark, documents):
 def test_long_text_counts_to_its_end():
     text = "a b c d " * 200_000
     assert simhash.fingerprint(text.encode()) == brute_print(text)
+
+
+def test_deduplicated_keeps_each_text_of_a_repeated_id(spark, documents):
+    a, b, c = (" ".join(f"{name}{k}" for k in range(60)) for name in "abc")
+    rows = [(5, a), (5, b), (5, b.upper()), (2, c), (7, a), (8, b)]
+    kept = sorted((r["doc_id"], r["text"].lower()) for r in simhash.deduplicated(documents(rows)).collect())
+    assert kept == [(2, c), (5, a), (5, b)]
+    rows = [(5, a), (5, b), (2, b.upper()), (9, c), (9, c)]
+    kept = sorted((r["doc_id"], r["text"].lower()) for r in simhash.deduplicated(documents(rows)).collect())
+    assert kept == [(2, b), (5, a), (9, c)]
+    kept = simhash.deduplicated(documents([(None, a), (None, a.upper()), (None, b), (3, b)])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == [(0, a), (3, b)]
