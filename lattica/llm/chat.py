@@ -13,7 +13,7 @@ TRAINED_ROLE = "assistant"
 def adjacent_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): conversations 2k and 2k + 1, for all k of which both are there."""
     ids = turns.select("conv_id").filter("conv_id IS NOT NULL").distinct()
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    pair = F.shiftright("conv_id", 1).cast("long")  # whole numbers: doubles end at 2^53
     halves = ids.groupBy(pair.alias("pair_id")).agg(
         F.min("conv_id").alias("chosen"), F.max("conv_id").alias("rejected")
     )

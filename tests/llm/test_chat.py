@@ -40,3 +40,11 @@ def test_long_conversations(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t}" if t < 1500 else f"{c}") for c in (0, 1) for t in range(2000)]
     row = run(spark, rows)[0]
     assert row["prefix_turns"] == 1500 and len(row["chosen_spans"]) == 250
+
+
+def test_pairs_of_ids_beyond_doubles(spark):
+    first = 2**60
+    rows = [(first + k, 0, "user", f"t{k}") for k in range(6)] + [(-2, 0, "user", "a"), (-1, 0, "user", "b")]
+    out = run(spark, rows)
+    got = {k: (r["chosen_id"], r["rejected_id"]) for k, r in out.items()}
+    assert got == {-1: (-2, -1), **{first // 2 + k: (first + 2 * k, first + 2 * k + 1) for k in range(3)}}
