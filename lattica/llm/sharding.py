@@ -3,52 +3,100 @@
 Records hash into thousands of slots, bytes are summed per slot, and a slot-to-shard map is stored as a table with a
 version. A record's slot never changes, so rebalancing edits the map and moves whole slots. The law is ``bytes``: the
 sizes of the shards are near equal.
+
+A stored map is a folder with a folder per version, which holds the map (home, shard) and the heavy texts whose rows
+have slots of their own. Later versions keep the heavy texts of the earlier ones and number new ones after them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_table
+from lattica.llm.shared import is_empty, scratch_dir, shared_table
 
 SLOTS = 4096
-#: Slots of their own that a text gets which alone would fill more than a shard.
-SPREAD = 256
-#: Parts of a slot that are numbered apart, so no task numbers a whole slot.
-PARTS = 32
+#: A text is heavy if its copies fill more than this part of an equal share of a shard; it is then spread over slots
+#: that hold about a 64th of a share each.
+HEAVY_PART = 1 / 16
+SLOTS_PER_SHARE = 64
+#: How far a shard may be from an equal share before a stored map is edited.
+TOLERANCE = 0.02
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; null text has none), text_crc32 and the hash that slots go by."""
+    """doc_id, size (UTF-8 bytes plus 1; null text has none), text_crc32, text_hash, id_hash and seq.
+
+    ``seq`` tells rows apart that repeat an id and a text; it is fixed once the table is written.
+    """
     text = F.col(text_col)
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
+        F.xxhash64(id_col).alias("id_hash"),
+        F.monotonically_increasing_id().alias("seq"),
     )
 
 
-def heavy_texts(sized: DataFrame, n_shards: int) -> DataFrame:
-    """text_hash and place of the texts whose copies together exceed an equal share of a shard: fewer than n_shards."""
-    slot = F.pmod("text_hash", F.lit(SLOTS))
-    bytes_by_slot = sized.groupBy(slot.alias("home")).agg(F.sum("size").alias("bytes"))
-    share = F.sum("bytes").over(Window.partitionBy()) / n_shards
-    heavy = bytes_by_slot.withColumn("share", share).filter("bytes > share").select("home", "share")
-    texts = sized.select(slot.alias("home"), "text_hash", "size").join(F.broadcast(heavy), "home")
-    texts = texts.groupBy("text_hash", "share").agg(F.sum("size").alias("bytes")).filter("bytes > share")
-    return texts.select("text_hash", (F.row_number().over(Window.orderBy("text_hash")) - 1).alias("place"))
+HEAVY = "text_hash long, first long, width long"
+#: (text_hash, id_hash) of ids that repeat a heavy text so often that they would overfill a slot of theirs.
+REPEATED = "text_hash long, id_hash long"
 
 
-def with_slots(sized: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Add ``home``: the virtual slot. Equal texts share a slot unless they alone exceed a shard; then ids spread them.
+def heavy_texts(sized: DataFrame, n_shards: int, known: DataFrame | None = None) -> DataFrame:
+    """HEAVY rows: the texts whose copies exceed HEAVY_PART of a share, and the slots from ``first`` that are theirs.
 
-    ``heavy``, of :func:`heavy_texts`, has fewer rows than there are shards whatever the input, so it is broadcast.
+    They are fewer than ``n_shards / HEAVY_PART`` whatever the input. ``known``, of an earlier version, stays as it is.
+    """
+    slot = F.pmod("text_hash", F.lit(SLOTS))
+    bytes_by_slot = sized.groupBy(slot.alias("home")).agg(F.sum("size").alias("bytes"))
+    share = F.sum("bytes").over(Window.partitionBy()) / n_shards  # a row per slot
+    full = bytes_by_slot.withColumn("share", share).filter(F.col("bytes") > F.col("share") * HEAVY_PART)
+    texts = sized.select(slot.alias("home"), "text_hash", "size").join(F.broadcast(full.select("home", "share")), "home")
+    texts = texts.groupBy("text_hash", "share").agg(F.sum("size").alias("bytes"))
+    texts = texts.filter(F.col("bytes") > F.col("share") * HEAVY_PART)
+    if known is not None:
+        texts = texts.join(F.broadcast(known.select("text_hash")), "text_hash", "left_anti")
+    width = F.ceil(F.col("bytes") / F.col("share") * SLOTS_PER_SHARE).cast("long")
+    texts = texts.select("text_hash", width.alias("width"))
+    before = Window.orderBy("text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.lit(SLOTS).cast("long") if known is None else F.lit(
+        known.agg(F.coalesce(F.max(F.col("first") + F.col("width")), F.lit(SLOTS))).first()[0]
+    ).cast("long")
+    first = start + F.coalesce(F.sum("width").over(before), F.lit(0))
+    fresh = texts.select("text_hash", first.alias("first"), "width")
+    return fresh if known is None else known.unionByName(fresh)
+
+
+def repeated_ids(sized: DataFrame, heavy: DataFrame) -> DataFrame:
+    """REPEATED rows: ids that hold over half of a slot's part of a heavy text, so fewer than twice its slots."""
+    rows = sized.join(F.broadcast(heavy), "text_hash")
+    totals = rows.groupBy("text_hash", "id_hash", "width").agg(F.count("*").alias("n"))
+    of_text = rows.groupBy("text_hash").agg(F.count("*").alias("all"))
+    totals = totals.filter("n > 1").join(F.broadcast(of_text), "text_hash")
+    return totals.filter(F.col("n") * F.col("width") * 2 > F.col("all")).select("text_hash", "id_hash")
+
+
+def with_slots(rows: DataFrame, heavy: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Add ``home``, the virtual slot, to rows with text_hash, id_hash and seq.
+
+    Equal texts share a slot unless they are heavy; then ids spread them, and repeated ids their rows. ``heavy`` and
+    ``repeated`` have a few thousand rows at most whatever the input, so they are broadcast.
     """
-    spread = SLOTS + F.col("place") * SPREAD + F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    marked = rows.join(F.broadcast(heavy), "text_hash", "left")
+    own = F.col("id_hash")
+    if not is_empty(repeated):
+        often = F.broadcast(repeated.withColumn("often", F.lit(True)))
+        marked = marked.join(often, ["text_hash", "id_hash"], "left")
+        own = F.when(F.col("often"), F.xxhash64("seq")).otherwise(own)
+    spread = F.col("first") + F.pmod(F.xxhash64(own), F.col("width"))
     home = F.coalesce(spread, F.pmod("text_hash", F.lit(SLOTS))).cast("long")
-    return sized.join(F.broadcast(heavy), "text_hash", "left").withColumn("home", home).drop("place")
+    return marked.withColumn("home", home).drop("first", "width", "often")
 
 
 def _packed(loads: Column, slots: Column) -> Column:
@@ -78,14 +126,7 @@ def new_map(slot_bytes: DataFrame, n_shards: int) -> DataFrame:
     return _assigned(slot_bytes, empty).select(F.lit(1).alias("version"), "home", "shard")
 
 
-def first_map(sized: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
-    """The heavy texts of ``sized`` and version 1 of the map of its slots, as shared tables."""
-    heavy = shared_table(heavy_texts(sized, n_shards), "shard-heavy")
-    slot_bytes = with_slots(sized, heavy).groupBy("home").agg(F.sum("size").alias("bytes"))
-    return heavy, shared_table(new_map(slot_bytes, n_shards), "shard-map")
-
-
-def edited_map(old: DataFrame, slot_bytes: DataFrame, n_shards: int, tolerance: float = 0.02) -> DataFrame:
+def edited_map(old: DataFrame, slot_bytes: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> DataFrame:
     """The next version of ``old`` for the present ``slot_bytes`` and number of shards.
 
     A shard keeps its largest slots while they fit into an equal share plus ``tolerance``; the other slots, those of
@@ -109,28 +150,101 @@ def edited_map(old: DataFrame, slot_bytes: DataFrame, n_shards: int, tolerance:
     return kept.select("version", "home", "shard").unionByName(fresh)
 
 
-def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stored_version(spark: SparkSession, folder: str) -> int:
+    """The newest version of the map in ``folder``; 0 if it holds none."""
+    try:
+        newest = spark.read.parquet(f"{folder}/map").agg(F.max("version")).first()[0]
+    except AnalysisException:  # no such folder yet
+        return 0
+    return newest or 0
+
+
+def load_map(spark: SparkSession, folder: str, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The map (version, home, shard), heavy texts and repeated ids of one version."""
+    slot_map = spark.read.parquet(f"{folder}/map/version={version}").withColumn("version", F.lit(version))
+    heavy = spark.read.schema(HEAVY).parquet(f"{folder}/heavy/version={version}")
+    return slot_map, heavy, spark.read.schema(REPEATED).parquet(f"{folder}/repeated/version={version}")
+
+
+def store_map(slot_map: DataFrame, heavy: DataFrame, repeated: DataFrame, folder: str, version: int) -> None:
+    """Write a version; the map itself last, so a version without one was broken off and is written again."""
+    heavy.write.mode("overwrite").parquet(f"{folder}/heavy/version={version}")
+    repeated.write.mode("overwrite").parquet(f"{folder}/repeated/version={version}")
+    slot_map.select("home", "shard").write.mode("overwrite").parquet(f"{folder}/map/version={version}")
+
+
+def current_map(
+    sized: DataFrame, n_shards: int, folder: str, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The map in ``folder`` for the rows of ``sized``: loaded, edited if they need it, and stored as a new version.
+
+    It is edited if slots are missing in it, if it names other shards than there are, or if a shard's bytes are more
+    than ``tolerance`` above an equal share. Without a stored map the first version is made.
+    """
+    spark = sized.sparkSession
+    version = stored_version(spark, folder)
+    known = load_map(spark, folder, version) if version else None
+    heavy = shared_table(heavy_texts(sized, n_shards, known[1] if known else None), "shard-heavy")
+    repeated = repeated_ids(sized, heavy)
+    if known:
+        repeated = known[2].unionByName(repeated).distinct()
+    repeated = shared_table(repeated, "shard-repeated")
+    slot_bytes = with_slots(sized, heavy, repeated).groupBy("home").agg(F.sum("size").alias("bytes"))
+    slot_bytes = shared_table(slot_bytes, "shard-bytes")
+    if not known:
+        store_map(new_map(slot_bytes, n_shards), heavy, repeated, folder, 1)
+        return load_map(spark, folder, 1)
+    loads = slot_bytes.join(known[0], "home", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
+    share = sum(row["bytes"] for row in loads) / n_shards
+    unplaced = any(row["shard"] is None or row["shard"] >= n_shards for row in loads)
+    filled = sum(1 for row in loads if row["shard"] is not None)
+    if unplaced or filled < min(n_shards, slot_bytes.count()) or any(row["bytes"] > share * (1 + tolerance) for row in loads):
+        # slots without rows now keep their shard
+        idle = known[0].join(slot_bytes, "home", "left_anti").filter(F.col("shard") < n_shards)
+        fresh = edited_map(known[0], slot_bytes, n_shards, tolerance)
+        store_map(fresh.select("home", "shard").unionByName(idle.select("home", "shard")), heavy, repeated, folder, version + 1)
+        return load_map(spark, folder, version + 1)
+    return known
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/shard-map-{uuid.uuid4().hex}"
+
+
+def shards(
+    docs: DataFrame,
+    n_shards: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    map_folder: str | None = None,
+) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, home.
 
     ``slot`` is the place in the shard, gapless from 0; ``home`` the virtual slot, by which the map goes. Copies of a
-    text share a shard unless they alone exceed an equal share; such a text is spread over slots of its own by id.
-    ``grown_shard`` is null: under the law ``bytes`` the map decides, not the id.
+    text share a shard unless they exceed a 16th of an equal share; such a text is spread over slots of its own by id,
+    and the rows of an id that repeats it very often by themselves. ``grown_shard`` is null: under the law ``bytes``
+    the map decides, not the id.
 
-    Null text has size 1, no checksum and one hash of its own. Rows that repeat an id and a text are numbered one
-    after the other. An empty table gives no rows. Other columns are ignored, whatever their names.
+    With ``map_folder`` the newest map stored there is used, and edited and stored as the next version where the rows
+    need it, so few of them move; without, a map of its own is stored in the scratch folder.
+
+    Null text has size 1, no checksum and one hash of its own; null ids are an id like any other. Repeated rows each
+    get a place. A text of any length is one record of its size. Places follow the order of reading, so another run may
+    number a shard's rows in another order. An empty table gives no rows. Other columns are ignored, whatever their
+    names.
     """
     sized = shared_table(measured(docs, id_col, text_col), "shard-sizes")
-    heavy, slot_map = first_map(sized, n_shards)
-    sized = with_slots(sized, heavy)
-
-    part = F.pmod(F.xxhash64("doc_id", "size"), F.lit(PARTS)).cast("int")
-    parts = sized.withColumn("part", part)
-    counted = parts.groupBy("home", "part").agg(F.count("*").alias("n")).join(slot_map, "home")
-    before = Window.partitionBy("shard").orderBy("home", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = starts.select("home", "part", "shard", "start")
-    inside = Window.partitionBy("home", "part").orderBy("doc_id", "text_crc32", "size")
-    placed = parts.withColumn("row", F.row_number().over(inside)).join(starts, ["home", "part"])
+    slot_map, heavy, repeated = current_map(sized, n_shards, map_folder or _own_folder(docs.sparkSession))
+    placed = with_slots(sized, heavy, repeated).join(F.broadcast(slot_map.select("home", "shard")), "home")
+
+    # seq begins with the number of the task that wrote the row: a bounded group to number rows in
+    placed = placed.withColumn("task", F.shiftright("seq", 33))
+    counted = placed.groupBy("shard", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("shard", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = shared_table(starts, "shard-starts")
+    inside = Window.partitionBy("shard", "task").orderBy("seq")
+    placed = placed.withColumn("row", F.row_number().over(inside)).join(starts, ["shard", "task"])
     return placed.select(
         "doc_id",
         "size",
@@ -144,18 +258,24 @@ def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col
 
 
 def sharded_documents(
-    docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    n_shards: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    map_folder: str | None = None,
 ) -> DataFrame:
     """``docs`` with the columns ``home`` and ``shard`` (which replace columns of these names).
 
-    The map has a few thousand rows, so Spark can broadcast it and the texts don't shuffle. Nulls, repeated rows and
-    empty tables are treated as in :func:`shards`.
+    The map has a few thousand rows, so it is broadcast and the texts don't shuffle. ``map_folder``, nulls, repeated
+    rows, long texts and empty tables are treated as in :func:`shards`.
     """
-    heavy, slot_map = first_map(shared_table(measured(docs, id_col, text_col), "shard-sizes"), n_shards)
+    sized = shared_table(measured(docs, id_col, text_col), "shard-sizes")
+    slot_map, heavy, repeated = current_map(sized, n_shards, map_folder or _own_folder(docs.sparkSession))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("home", "shard")]).alias("row"),
-        F.col(id_col).alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("home", "shard")]).alias("row"),
+        F.xxhash64(id_col).alias("id_hash"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),
+        F.monotonically_increasing_id().alias("seq"),
     )
-    placed = with_slots(rows, heavy).join(slot_map.select("home", "shard"), "home")
+    placed = with_slots(rows, heavy, repeated).join(F.broadcast(slot_map.select("home", "shard")), "home")
     return placed.select("row.*", "home", F.col("shard").cast("int").alias("shard"))

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and joins that split their hot keys."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,18 +21,54 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables below :func:`shared_dir`; Spark's exit deletes it."""
+    context = spark.sparkContext
+    folder = getattr(context, "_lattica_scratch", None)
+    if folder is None:
+        folder = f"{shared_dir(spark)}/lattica-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._lattica_scratch = folder
+    return folder
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+    """Write ``df`` as Parquet to the scratch folder and read it back.
 
     Cuts the lineage: what follows survives a lost executor without running ``df`` again, and Spark knows
     the size of the written table, so it broadcasts it in a join only if that size is under the limit.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key beyond which a join doesn't bring them together in one task.
+HOT_ROWS = 200_000
+
+
+def is_empty(df: DataFrame) -> bool:
+    return not df.limit(1).count()
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``left``, with any number of rows per key, and ``right``, with one row per key.
+
+    ``hot`` has the keys with over HOT_ROWS rows in ``left``, so it has at most a row per HOT_ROWS of them; their
+    rows stay where they are and the matching rows of ``right`` are sent to them. The rest is joined by key.
+    """
+    if is_empty(hot):
+        return left.join(right, key)
+    hot = hot.select(key)
+    few = F.broadcast(shared_table(right.join(F.broadcast(hot), key, "left_semi"), "hot-rows"))
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right.join(F.broadcast(hot), key, "left_anti"), key)
+    return left.join(few, key).unionByName(rest)
+
+
 #: Rows of a batch that Python holds as objects at a time.
 SLICE_ROWS = 512
 

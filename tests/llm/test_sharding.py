@@ -1,6 +1,8 @@
+import heapq
 import zlib
 
 import numpy as np
+import pytest
 
 from lattica.llm import sharding
 
@@ -12,6 +14,18 @@ def check(out, rows):
     assert set(out.law) == {"bytes"} and out.grown_shard.isna().all()
 
 
+def packed_again(out, n=16):
+    """The shard of each virtual slot by a heap: largest first, to the shard with the fewest bytes."""
+    loads = out.groupby("home")["size"].sum()
+    heap = [(0, k) for k in range(n)]
+    where = {}
+    for home, size in sorted(loads.items(), key=lambda x: (-x[1], -x[0])):
+        load, shard = heapq.heappop(heap)
+        where[home] = shard
+        heapq.heappush(heap, (load + size, shard))
+    return where
+
+
 def test_near_equal_gapless_and_copies_together(spark, documents):
     rng = np.random.default_rng(3)
     rows = [(i, "x" * int(rng.integers(0, 900)) + str(i % 1500)) for i in range(3000)]
@@ -24,6 +38,8 @@ def test_near_equal_gapless_and_copies_together(spark, documents):
     assert first["size"] == len(texts[7].encode()) + 1 and first.text_crc32 == zlib.crc32(texts[7].encode())
     out["text"] = out.doc_id.map(texts)
     assert (out.groupby("text").shard.nunique() == 1).all()
+    where = packed_again(out)
+    assert (out.home.map(where) == out.shard).all()
 
 
 def test_a_third_of_all_rows_equal(spark, documents):
@@ -34,6 +50,26 @@ def test_a_third_of_all_rows_equal(spark, documents):
     assert loads.max() / loads.min() < 1.05
 
 
+@pytest.mark.parametrize("name", [None, 7])
+def test_a_repeated_row_or_null_ids_are_spread(spark, documents, name):
+    rows = [(name, "the same text")] * 3000 + [(i, f"text number {i}") for i in range(100, 1100)]
+    docs = documents(rows).repartition(5)
+    out = sharding.shards(docs).toPandas()
+    check(out, rows)
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 16 and loads.max() / loads.min() < 1.05
+    counts = sharding.sharded_documents(docs).groupBy("shard").count().toPandas()["count"]
+    assert counts.sum() == 4000 and counts.max() / counts.min() < 1.5
+
+
+def test_many_heavy_texts(spark, documents):
+    rows = [(i, f"text {i % 17}" * 3) for i in range(3400)]
+    out = sharding.shards(documents(rows)).toPandas()
+    check(out, rows)
+    loads = out.groupby("shard")["size"].sum()
+    assert loads.max() / loads.min() < 1.1
+
+
 def test_nulls_repeats_long_and_empty(spark, documents):
     rows = [(None, None), (None, ""), (1, "é"), (1, "é"), (2, "z" * 3_000_000)]
     out = sharding.shards(documents(rows)).toPandas()
@@ -41,6 +77,8 @@ def test_nulls_repeats_long_and_empty(spark, documents):
     assert sorted(out["size"]) == [1, 1, 3, 3, 3_000_001] and out.text_crc32.isna().sum() == 1
     assert sharding.shards(documents([])).count() == 0
     assert sharding.sharded_documents(documents([])).count() == 0
+    kept = sharding.sharded_documents(documents(rows))
+    assert sorted(len(r["text"] or "") for r in kept.collect()) == [0, 0, 1, 1, 3_000_000]
 
 
 def test_documents_keep_their_columns(spark, documents):
@@ -63,3 +101,23 @@ def test_edited_map_moves_little(spark):
         totals[b[home]] += size
     assert totals.max() / totals.min() < 1.1
     assert sum(a[h] != b[h] for h in a) < 0.35 * len(a)
+
+
+def test_a_stored_map_is_edited_and_few_records_move(spark, documents, tmp_path):
+    folder = f"file://{tmp_path}/map"
+    rows = [(i, f"text number {i} " * (1 + i % 9)) for i in range(4000)]
+    first = sharding.shards(documents(rows), map_folder=folder).toPandas().set_index("doc_id")
+    again = sharding.shards(documents(rows[::-1]), map_folder=folder).toPandas().set_index("doc_id")
+    assert sharding.stored_version(spark, folder) == 1 and (again.shard.sort_index() == first.shard.sort_index()).all()
+
+    more = rows + [(10_000 + i, "a text that became heavy") for i in range(2000)]  # new and heavy: edited
+    grown = sharding.shards(documents(more), map_folder=folder).toPandas().set_index("doc_id")
+    check(grown.reset_index(), more)
+    assert sharding.stored_version(spark, folder) == 2
+    assert (grown.home.loc[first.index] == first.home).all()  # a record's slot stays
+    assert (grown.shard.loc[first.index] != first.shard).mean() < 0.3
+    loads = grown.groupby("shard")["size"].sum()
+    assert loads.max() / loads.min() < 1.1
+
+    fewer = sharding.shards(documents(rows), n_shards=12, map_folder=folder).toPandas()
+    assert sharding.stored_version(spark, folder) == 3 and set(fewer.shard) == set(range(12))
