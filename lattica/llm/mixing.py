@@ -1,9 +1,10 @@
 """Mixing sources to target weights with hash-threshold histograms (DataFrame functions only).
 
-Every document has a 60-bit hash of its id. A source whose target is ``r`` times its size gives ``floor(r)`` whole
-copies of every document, and the rest of its budget as one more copy of the documents whose hash is below a
-threshold, so a smaller budget always takes a subset of a larger one. The threshold is found without sorting: words
-are summed by source and hash bucket, the bucket that the budget ends in is the only one that is split further.
+Every document has a 60-bit hash of its id, its text and its number among equal rows. A source whose target is ``r``
+times its size gives ``floor(r)`` whole copies of every document, and the rest of its budget as one more copy of the
+documents whose hash is below a threshold, so a smaller budget always takes a subset of a larger one. The threshold is
+found without sorting: words are summed by source and hash bucket, the bucket that the budget ends in is the only one
+that is split further.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_table
+from lattica.llm.shared import is_empty, shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
@@ -25,10 +26,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id as text; a null id hashes like empty text."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4)
-    return F.conv(digits, 16, 10).cast("long")
+def _digits(text: Column) -> Column:
+    """The first 60 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def text_hash(text: Column) -> Column:
+    return _digits(F.coalesce(text, F.lit("")))
+
+
+def row_hash(doc_id: Column, text: Column, number: Column) -> Column:
+    """The hash of the ``number``-th row (from 0) with an id and a text, given by its hash; a null id is empty."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), text.cast("string"), number.cast("string")]
+    return _digits(F.concat_ws("|", *parts))
 
 
 def target_sizes(sources: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -111,16 +121,38 @@ def mix_plan(sized: DataFrame, max_repeats: int = 3) -> DataFrame:
     )
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+#: Equal rows that one task numbers.
+NUMBERED_ROWS = 100_000
+ROW = ["source_key", "doc_id", "text_hash"]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         _source_key(F.col(source_col)).alias("source_key"),
+        text_hash(F.col(text_col)).alias("text_hash"),
         word_count(F.col(text_col)).alias("size"),
-        id_hash(F.col(id_col)).alias("hash"),
     )
 
 
+def _sized(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` with their hashes. Equal rows are counted, and numbered from their count."""
+    alike = keyed.groupBy(*ROW).agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("n"))
+    alike = shared_table(alike, "mix-alike")
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(NUMBERED_ROWS)) - 1))
+    rows = alike.withColumn("number", numbers)
+    many = alike.filter(F.col("n") > NUMBERED_ROWS)
+    if not is_empty(many):  # numbered in blocks that are spread over tasks
+        starts = F.explode(F.sequence(F.lit(NUMBERED_ROWS).cast("long"), F.col("n") - 1, F.lit(NUMBERED_ROWS).cast("long")))
+        blocks = many.withColumn("start", starts).repartition(*ROW, "start")
+        last = F.least(F.col("start") + NUMBERED_ROWS, F.col("n")) - 1
+        more = blocks.withColumn("number", F.explode(F.sequence("start", last))).drop("start")
+        rows = rows.unionByName(more)
+    hashed = row_hash(F.col("doc_id"), F.col("text_hash"), F.col("number")).alias("hash")
+    return rows.select("doc_id", "source", "source_key", "size", hashed)
+
+
 def _copies() -> Column:
     extra = F.col("hash") < F.coalesce("threshold", F.lit(0))
     return (F.col("whole") + extra.cast("long")).alias("copies")
@@ -137,14 +169,15 @@ def mix(
 
     ``size`` is the number of words, ``copies`` how often the mix takes the document (0 to ``max_repeats``), and
     ``taken`` the words that it takes of it. The document in which a budget ends is taken if at least half of it
-    fits, so a source misses its target by at most half a document. The result depends on ids, sizes and sources
-    alone, so reruns agree.
+    fits, so a source misses its target by at most half a document, its longest at worst. The result depends on ids,
+    texts and sources alone, so reruns agree.
 
-    Null text has no words and null source is a source of its own; null ids share one hash. Rows that repeat an id
-    share its hash and are taken together. Sources without words have target 0. An empty table gives no rows. Other
-    columns of ``docs`` are ignored, whatever their names.
+    Null text has no words and counts as empty, null source is a source of its own, and a null id is an id like any
+    other. Rows that repeat an id, a text and a source are numbered, and each number has a hash of its own. A text of
+    any length is one document of its size. Sources without words have target 0. An empty table gives no rows. Other
+    columns of ``docs`` are ignored, whatever their names. The targets are computed in one task, from a row per source.
     """
-    sized = shared_table(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    sized = shared_table(_sized(_keyed(docs, id_col, text_col, source_col)), "mix-sizes")
     mixed = sized.join(mix_plan(sized, max_repeats), "source_key")
     mixed = mixed.select("doc_id", "source", "size", "source_size", "target", _copies())
     return mixed.withColumn("taken", F.col("size") * F.col("copies"))
@@ -159,15 +192,37 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it; the columns stay as they are.
 
-    A row's copies follow from its id and its source's threshold, so only the plan, of a row per source, is joined
-    and the texts don't shuffle. Nulls, repeated rows and empty tables are treated as in :func:`mix`.
+    A row's copies follow from its hash and its source's threshold, so only the plan, of a row per source, is joined
+    and the texts don't shuffle. Only rows that repeat an id, a text and a source are written and numbered first;
+    which of them has which number is not defined, as they differ in other columns at most. Nulls, repeated rows, long
+    texts and empty tables are treated as in :func:`mix`.
     """
-    plan = mix_plan(shared_table(_sized(docs, id_col, text_col, source_col), "mix-sizes"), max_repeats)
+    keyed = _keyed(docs, id_col, text_col, source_col)
+    sized = shared_table(_sized(keyed), "mix-sizes")
+    plan = mix_plan(sized, max_repeats)
     rows = docs.select(
         F.struct("*").alias("row"),
+        F.col(id_col).alias("doc_id"),
         _source_key(F.col(source_col)).alias("source_key"),
-        id_hash(F.col(id_col)).alias("hash"),
+        text_hash(F.col(text_col)).alias("text_hash"),
     )
-    rows = rows.join(plan, "source_key").select("row", _copies()).filter("copies > 0")
-    repeated = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    twice = shared_table(keyed.groupBy(*ROW).count().filter("count > 1").select(*ROW), "mix-repeated")
+    numbered = rows.withColumn("number", F.lit(0).cast("long"))
+    if not is_empty(twice):
+        same = [rows[c].eqNullSafe(twice[c]) for c in ROW]
+        again = rows.join(twice, same, "left_semi").withColumn("seq", F.monotonically_increasing_id())
+        again = shared_table(again, "mix-repeats").withColumn("task", F.shiftright("seq", 33))
+        counted = again.groupBy(*ROW, "task").agg(F.count("*").alias("n"))
+        before = Window.partitionBy(*ROW).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counted.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row per task
+        inside = Window.partitionBy(*ROW, "task").orderBy("seq")  # the rows of one task at most
+        placed = again.withColumn("place", F.row_number().over(inside) - 1)
+        joined = placed.join(starts, [placed[c].eqNullSafe(starts[c]) for c in [*ROW, "task"]])
+        number = (starts["start"] + placed["place"]).alias("number")
+        again = joined.select(*[placed[c] for c in rows.columns], number)
+        numbered = numbered.join(twice, same, "left_anti").unionByName(again)
+    hashed = row_hash(F.col("doc_id"), F.col("text_hash"), F.col("number")).alias("hash")
+    taken = numbered.select("row", "source_key", hashed).join(plan, "source_key")
+    taken = taken.select("row", _copies()).filter("copies > 0")
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select("row.*")

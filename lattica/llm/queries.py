@@ -91,7 +91,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op3_mixing"] = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT
+           || '|' || (row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1)), 1, 15))::BIGINT AS h
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

@@ -44,7 +44,7 @@ def test_against_water_filling_and_sql(spark, documents):
         assert group.target.iloc[0] == pytest.approx(expected[name])
         assert abs(group.taken.sum() - expected[name]) <= group["size"].max() / 2 + 1e-6
     assert (out.taken <= 3 * out["size"]).all() and (out.copies >= 0).all()
-    want = oracle(docs.toPandas())
+    want = oracle(docs.toArrow())
     got = out.sort_values("doc_id").reset_index(drop=True)
     want = want.sort_values("doc_id").reset_index(drop=True)
     assert got.taken.tolist() == want.taken.tolist() and got.target.tolist() == want.target.tolist()
@@ -54,7 +54,8 @@ def test_nulls_repeated_rows_and_empty(spark, documents):
     rows = [(None, "a b", "x"), (None, None, "x"), (1, "a", "y"), (1, "a", "y"), (2, "", None), (3, "\t\x0b \n", None)]
     out = mixing.mix(documents(rows)).toPandas()
     assert len(out) == 6 and (out[out.source.isna()].target == 0).all()
-    assert out[out.doc_id == 1].taken.nunique() == 1
+    mixed = mixing.mixed_documents(documents(rows))
+    assert mixed.count() == out.copies.sum() and len(mixed.columns) == len(documents(rows).columns)
     assert mixing.mix(documents([])).count() == 0
     assert mixing.mixed_documents(documents([])).count() == 0
 
@@ -73,3 +74,26 @@ def test_documents_are_repeated_as_the_mix_says(spark, documents):
     assert mixed.columns == docs.columns
     counts = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == {k: v for k, v in copies.items() if v}
+
+
+@pytest.mark.parametrize("block", [100_000, 64])
+def test_null_ids_and_repeated_rows_come_near_the_targets(spark, documents, block, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBERED_ROWS", block)
+    rows = [(None, "w " * 4, "a") for i in range(500)] + [(i, "w " * 4, "b") for i in range(500)]
+    rows += [(7, "w " * 4, "a")] * 300 + [(None, "v " * (1 + i % 5), "c") for i in range(300)]
+    docs = documents(rows).repartition(6)
+    out = mixing.mix(docs).toPandas()
+    assert len(out) == len(rows)
+    for _, group in out.groupby("source"):
+        assert abs(group.taken.sum() - group.target.iloc[0]) <= group["size"].max() / 2 + 1e-6
+    want = oracle(docs.toArrow())
+    key = ["source", "doc_id", "size", "taken"]
+    shown = [sorted(map(str, pdf[key].astype({"doc_id": "Int64"}).values.tolist())) for pdf in (out, want)]
+    assert shown[0] == shown[1]
+    mixed = mixing.mixed_documents(docs).groupBy("source").count().toPandas().set_index("source")["count"]
+    assert mixed.to_dict() == out.groupby("source").copies.sum().to_dict()
+
+
+def test_a_long_text(spark, documents):
+    out = mixing.mix(documents([(1, "word " * 600_000, "a"), (2, "one", "b")])).toPandas().set_index("doc_id")
+    assert out.loc[1, "size"] == 600_000 and out.loc[2, "copies"] == 3
