@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_table
+from lattica.llm.shared import shared_table, slices
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
-#: Groups of equal payloads are joined to their response in this many parts.
+#: Repeated digests, of under 64 bytes each, that are broadcast; beyond them the payloads move, in salted groups.
+BROADCAST_DIGESTS = 100_000
 SALTS = 64
 
 # Fixed values of the Zstandard seekable format: magic numbers of its skippable frame and of its footer.
@@ -44,16 +45,23 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, copy: int = 0) -> str:
+    """The id of a page's record; ``copy`` tells rows apart that share a page_id, or have none."""
+    name = "" if page_id is None else page_id
+    return f"<urn:page:{name}:{copy}>" if copy else f"<urn:page:{name}>"
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has the digest and the length of its payload, but no block."""
+def warc_record(name: str, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
+    """One WARC/1.1 record of the id ``name``.
+
+    With ``refers_to``, the id of a response, it is a revisit: it has the digest and the length of its payload, but no
+    block.
+    """
+    revisit = refers_to is not None
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {name}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
     ]
@@ -61,7 +69,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
         lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url))
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"WARC-Refers-To: {record_id(refers_to)}")
+        lines.append(f"WARC-Refers-To: {refers_to}")
         lines.append(f"X-Payload-Length: {len(payload)}")
         payload = b""
     lines.append(f"Content-Length: {len(payload)}")
@@ -153,27 +161,30 @@ class BundleReader:
 
 
 def responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, payload, digest, copy) with refers_to: the page whose response holds the same payload.
+    """``pages`` (page_id, copy, url, payload, digest) with ``first``: the page and copy whose response it revisits.
 
-    refers_to is null for responses: the smallest page_id of equal payloads, and every payload under ``min_bytes``.
-    Only digests and ids are grouped. A digest of many pages is joined in up to ``SALTS`` parts, each with a copy of
-    its response's id, so no task gets a whole group.
+    ``first`` is null for responses: the smallest page_id of equal payloads, and every payload under ``min_bytes``.
+    Only digests and ids are grouped. Up to BROADCAST_DIGESTS repeated digests are sent to the payloads, which don't
+    move. Beyond that payloads and responses are joined by digest in up to ``SALTS`` parts, each with a copy of its
+    response's id, so no task gets a whole group.
     """
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "copy"), F.lit(SALTS)).cast("int"))
-    long_enough = salted.filter(F.octet_length("payload") >= min_bytes)
+    salt = F.pmod(F.xxhash64("page_id", "copy"), F.lit(SALTS)).cast("int").alias("salt")
+    keys = pages.filter(F.octet_length("payload") >= min_bytes).select("page_id", "copy", "digest", salt)
     first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "copy")).alias("first")
-    parts = long_enough.groupBy("digest", "salt").agg(first, F.count("*").alias("n"))
+    parts = keys.groupBy("digest", "salt").agg(first, F.count("*").alias("n"))
     groups = parts.groupBy("digest").agg(
         F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")
     )
-    repeated = groups.filter("n > 1").select("digest", "first", F.explode("salts").alias("salt"))
-    joined = salted.join(repeated, ["digest", "salt"], "left")
-    enough = F.octet_length("payload") >= min_bytes
-    is_first = (F.col("page_id").eqNullSafe(F.col("first.page_id"))) & (F.col("copy") == F.col("first.copy"))
-    revisit = F.col("first").isNotNull() & enough & ~is_first
-    return joined.select(
-        "page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to")
-    )
+    repeated = shared_table(groups.filter("n > 1").select("digest", "first", "salts"), "warc-repeated")
+    if repeated.count() <= BROADCAST_DIGESTS:
+        joined = pages.join(F.broadcast(repeated.select("digest", "first")), "digest", "left")
+    else:
+        spread = repeated.select("digest", "first", F.explode("salts").alias("salt"))
+        joined = pages.withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("copy") == F.col("first.copy"))
+    revisit = F.col("first").isNotNull() & (F.octet_length("payload") >= min_bytes) & ~is_first
+    of = F.struct(F.col("first.page_id").alias("page_id"), F.col("first.copy").alias("copy"))
+    return joined.select("page_id", "copy", "url", "payload", F.when(revisit, of).alias("first"))
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +194,12 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def bundle() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"bundle": [f"{task:06d}-{made:06d}"], "content": [writer.content()]})
 
-    for batch in batches:
-        columns = [batch.column(name) for name in ("page_id", "url", "payload", "refers_to", "revisit")]
-        for page, url, payload, refers, revisit in zip(*columns, strict=True):
-            payload = payload.as_py()
-            record = warc_record(page.as_py(), url.as_py(), payload, refers.as_py(), revisit.as_py())
-            writer.add(record_id(page.as_py()), record)
+    for batch in slices(batches):
+        columns = [batch.column(name) for name in ("page_id", "copy", "url", "payload", "first")]
+        for page, copy, url, payload, first in zip(*columns, strict=True):
+            name = record_id(page.as_py(), copy.as_py())
+            of = record_id(**first.as_py()) if first.is_valid else None
+            writer.add(name, warc_record(name, url.as_py(), payload.as_py(), of))
             if writer.bytes >= BUNDLE_BYTES:
                 yield bundle()
                 made += 1
@@ -199,22 +210,25 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_bundles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the WARC records of ``pages`` (page_id, url, html) to a shared table of bundles and return it.
 
-    Null html is an empty payload; null page_id gives a record with an empty id, which never is the response of a
-    payload that a page with an id has. Of rows that repeat a page_id and a payload one is the response and the
-    others revisit it. An empty table gives no bundles. Other columns are ignored.
+    Null html is an empty payload; null page_id gives a record without a page, which never is the response of a
+    payload that a page with an id has. Rows that repeat a page_id, or have none, are told apart by a copy number in
+    their record ids; of those with equal payloads one is the response and the others revisit it. A payload of any
+    length is one record, alone in its frame and bundle beyond their sizes. An empty table gives no bundles. Other
+    columns are ignored, whatever their names.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    rows = rows.withColumn("copy", F.lit(0).cast("long"))
-    twice = rows.groupBy("page_id").count().filter("count > 1").limit(1)
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
+    twice = rows.groupBy("page_id").count().filter("count > 1 OR page_id IS NULL").limit(1)
     if twice.count():  # only then rows need a number of their own
-        rows = shared_table(rows.withColumn("copy", F.monotonically_increasing_id()), "warc-pages")
+        rows = shared_table(rows.withColumn("copy", F.monotonically_increasing_id() + 1), "warc-pages")
+    else:
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
     return shared_table(responses(rows, min_bytes).mapInArrow(_write, BUNDLE_SCHEMA), "warc-bundles")
 
 
 def _read(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = re.compile(r"<urn:page:(-?\d*)>")
+        number = re.compile(r"<urn:page:(-?\d*)(?::\d+)?>")
 
         def page(name: str | None) -> int | None:
             found = number.fullmatch(name)[1] if name else ""
@@ -286,17 +300,18 @@ def bundle_index(bundles: DataFrame) -> DataFrame:
 
 
 def export_bundles(bundles: DataFrame, folder: str) -> None:
-    """Write each bundle as ``<bundle>.warc.zst`` into ``folder``, a path that every executor mounts."""
+    """Write each bundle as ``<bundle>.warc.zst`` into ``folder``, a URI of a store that every executor reaches."""
 
     def save(rows) -> None:
-        import os
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
         for row in rows:
-            path = os.path.join(folder, f"{row['bundle']}.warc.zst")
+            path = f"{root}/{row['bundle']}.warc.zst"
             part = f"{path}.{TaskContext.get().taskAttemptId()}"
-            with open(part, "wb") as file:
+            with store.open_output_stream(part) as file:
                 file.write(row["content"])
-            os.replace(part, path)  # whole or not at all, also if the task runs twice
+            store.move(part, path)  # whole or not at all, also if the task runs twice
 
     bundles.foreachPartition(save)

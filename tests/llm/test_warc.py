@@ -47,6 +47,31 @@ def test_repeated_rows_and_null_ids(spark):
     assert unknown[unknown.payload_digest == sha("x")].refers_to.tolist() == [1]
 
 
+def test_every_record_can_be_found_by_its_id(spark):
+    rows = [(1, "u", "x"), (1, "u", "y"), (None, "u", "x"), (None, "u", "z"), (2, "u", "x")]
+    bundles = warc.write_bundles(pages(spark, rows))
+    readers = [warc.BundleReader(bytes(r["content"])) for r in bundles.collect()]
+    names = [name for reader in readers for name in reader.places]
+    assert len(names) == len(set(names)) == 5
+    blocks = sorted(warc.parse_record(reader.record(name))[1] for reader in readers for name in reader.places)
+    assert blocks == [b"", b"", b"x", b"y", b"z"]
+    of = {h["WARC-Refers-To"] for r in readers for h in [warc.parse_record(r.record(n))[0] for n in r.places] if "WARC-Refers-To" in h}
+    assert of <= set(names) and len(of) == 1
+
+
+def test_against_brute_force_broadcast_and_salted(spark, monkeypatch):
+    rows = [(i, "u", f"text {i * i % 23}" if i % 3 else "hot") for i in range(1, 300)] + [(500, None, None), (501, "", "")]
+    want = {}
+    for i, _, html in rows:
+        same = [j for j, _, h in rows if (h or "") == (html or "")]
+        want[i] = (len((html or "").encode()), sha(html or ""), None if min(same) == i else min(same))
+    for limit in (100, 0):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", limit)
+        out = warc.read_bundles(warc.write_bundles(pages(spark, rows))).collect()
+        assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in out} == want
+        assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in out)
+
+
 def test_empty_table(spark):
     assert len(read(spark, [])) == 0
 
@@ -70,6 +95,6 @@ def test_bundle_is_seekable_and_plain_zstandard(spark, tmp_path):
     assert sum(len(warc.BundleReader(c).at) for c in contents) > 1
     index = warc.bundle_index(bundles).toPandas()
     assert len(index) == 40 and index.frame.max() >= 1
-    warc.export_bundles(bundles, str(tmp_path))
+    warc.export_bundles(bundles, f"file://{tmp_path}")
     files = spark.read.format("binaryFile").load(f"{tmp_path}/*.warc.zst")
     assert warc.read_bundles(files).count() == 40
