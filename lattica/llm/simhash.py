@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_table
+from lattica.llm.shared import HOT_ROWS, hot_join, is_empty, shared_table
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 SEED = 42
 SEGMENTS = 2
 SEGMENT_BITS = 64 // SEGMENTS
+#: Fingerprints with one segment beyond which their lookups are split over several tasks.
+SEGMENT_ROWS = 20_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -82,7 +84,18 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             F.explode(F.array(*[F.lit(flip).cast("long") for flip in flips])).alias("flip"),
             _segment("fingerprint", number).alias("key"),
         ).withColumn("key", F.col("key").bitwiseXOR(F.col("flip")))
-        pairs = probes.join(stored, "key")
+        # A row per SEGMENT_ROWS fingerprints at most, so it is broadcast
+        hot = stored.groupBy("key").agg(F.ceil(F.count("*") / SEGMENT_ROWS).cast("int").alias("parts")).filter("parts > 1")
+        hot = shared_table(hot, "simhash-hot-segments")
+        if is_empty(hot):
+            pairs = probes.join(stored, "key")
+        else:  # the stored ones of a frequent segment lie in parts, and each part gets all its lookups
+            hot = F.broadcast(hot)
+            parts = F.coalesce("parts", F.lit(1))
+            stored = stored.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
+            probes = probes.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+            probes = probes.drop("parts").withColumn("part", F.col("part").cast("long"))
+            pairs = probes.join(stored, ["key", "part"])
         near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
         for earlier in range(number):
             near &= F.bit_count(_segment("a", earlier).bitwiseXOR(_segment("b", earlier))) > radius
@@ -93,22 +106,30 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the smallest neighbour m of a; ``smallest`` is (a, m, n), n the number of edges of a."""
+    smallest = shared_table(smallest, "component-smallest")
+    hot = smallest.filter(F.col("n") > HOT_ROWS).select("a")
+    return hot_join(edges, smallest.select("a", "m"), "a", hot)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node that links reach.
 
-    Large-star and small-star rounds, each a grouping and a join by node, until nothing changes. Each round is
+    Large-star and small-star rounds, each a grouping and a join by node, until nothing changes; their number grows
+    with the logarithm of the longest chain. Nodes of very many links are joined where their links lie. Each round is
     written to the shared folder, so a lost executor costs no more than the round it is in.
     """
     edges = shared_table(edges.select("a", "b").filter("a != b").distinct(), "component-links")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(smallest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        smallest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        large = _with_smallest(both, smallest).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a")
+        down = shared_table(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "component-large")
+        lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_smallest(down, lowest)
         small = small.select("b", "m").unionByName(small.select(F.col("a").alias("b"), "m"))
         edges = shared_table(small.filter("b != m").distinct().select(F.col("b").alias("a"), F.col("m").alias("b")), "component-round")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -117,19 +138,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = state
-    raise RuntimeError("the components did not settle")
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, root, component_id) per document; root, a fingerprint, tells components apart."""
     prints = shared_table(fingerprints(docs, id_col, text_col), "simhash-prints")
-    classes = shared_table(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    classes = shared_table(classes, "simhash-classes")
     roots = shared_table(components(links(classes, max_distance)), "simhash-roots")
     rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
     rooted = rooted.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "root", "component_id")
-    joined = prints.join(shared_table(named, "simhash-named"), "fingerprint")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    smallest = shared_table(smallest, "simhash-components")
+    hot = smallest.filter(F.col("n") > HOT_ROWS)
+    named = hot_join(rooted, smallest.drop("n"), "root", hot).select("fingerprint", "root", "component_id")
+    hot = classes.filter(F.col("n") > HOT_ROWS)
+    joined = hot_join(prints, shared_table(named, "simhash-named"), "fingerprint", hot)
     return joined.select("doc_id", "fingerprint", "root", "component_id")
 
 
@@ -139,8 +163,8 @@ def near_duplicates(
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable).
 
     Texts without words have fingerprint zero and are linked like any other. Rows that repeat an id each get a row.
-    A null id never is a component_id, unless all of its component are null. An empty table gives no rows. Other
-    columns are ignored, whatever their names.
+    A null id never is a component_id, unless all of its component are null. Texts are read to their end, however
+    long. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rooted = _rooted(docs, id_col, text_col, max_distance)
     return rooted.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -150,9 +174,8 @@ def _first_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str)
     """The rows of ``docs`` with an id and a fingerprint of ``chosen`` (doc_id, fingerprint), one of each."""
     keyed = docs.select(F.struct(F.struct("*").alias("row"), F.col(id_col).alias("id")).alias("doc_id"), F.col(text_col).alias("text"))
     printed = fingerprints(keyed, "doc_id", "text").select("doc_id.*", "fingerprint")
-    wanted = chosen.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__print"))
-    same = printed["fingerprint"].eqNullSafe(wanted["__print"]) & printed["id"].eqNullSafe(wanted["__id"])
-    found = printed.join(wanted, same, "left_semi")
+    same = printed["fingerprint"].eqNullSafe(chosen["fingerprint"]) & printed["id"].eqNullSafe(chosen["doc_id"])
+    found = printed.join(chosen, same, "left_semi")
     text = F.col("row").getField(text_col)
     rows = found.groupBy("id", "fingerprint").agg(F.min_by("row", F.coalesce(F.sha2(text, 256), F.lit(""))).alias("row"))
     return rows.select("row.*")
@@ -170,24 +193,23 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept")
     )
     # Only ids that go, or that are there more than once, are joined to the texts.
-    special = shared_table(
-        counted.filter("doc_id IS NOT NULL AND (n > 1 OR NOT kept)").select(F.col("doc_id").alias("__id"), "kept"),
-        "simhash-special",
-    )
-    with_id = docs.filter(F.col(id_col).isNotNull())
-    kept = with_id.join(special, F.col(id_col) == F.col("__id"), "left_anti")
+    special = counted.filter("doc_id IS NOT NULL AND (n > 1 OR NOT kept)").select("doc_id", "kept")
+    special = shared_table(special, "simhash-special")
+    # Conditions name columns by their tables, so columns of docs may have any names
+    with_id = docs.filter(docs[id_col].isNotNull())
+    kept = with_id.join(special, with_id[id_col] == special["doc_id"], "left_anti")
 
     def one_of_each(rows: DataFrame) -> DataFrame:
         return rows.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
 
-    twice = special.filter("kept").select("__id")
-    if twice.limit(1).count():
-        repeated = with_id.join(twice, F.col(id_col) == F.col("__id"), "left_semi")
-        smallest = named.filter("doc_id = component_id").join(twice, F.col("doc_id") == F.col("__id"), "left_semi")
+    twice = special.filter("kept").select("doc_id")
+    if not is_empty(twice):
+        repeated = with_id.join(twice, with_id[id_col] == twice["doc_id"], "left_semi")
+        smallest = named.filter("doc_id = component_id").join(twice, "doc_id", "left_semi")
         chosen = shared_table(one_of_each(smallest), "simhash-chosen")
         kept = kept.unionByName(_first_rows(repeated, chosen, id_col, text_col))
     alone = named.filter("doc_id IS NULL AND component_id IS NULL")
-    if alone.limit(1).count():
+    if not is_empty(alone):
         chosen = shared_table(one_of_each(alone), "simhash-nameless")
-        kept = kept.unionByName(_first_rows(docs.filter(F.col(id_col).isNull()), chosen, id_col, text_col))
+        kept = kept.unionByName(_first_rows(docs.filter(docs[id_col].isNull()), chosen, id_col, text_col))
     return kept

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from lattica.llm import simhash
@@ -60,7 +61,9 @@ def test_against_brute_force(spark, documents):
     assert got == brute(rows)
 
 
-def test_links_find_every_close_pair_once(spark):
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_links_find_every_close_pair_once(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SEGMENT_ROWS", most)
     rng = random.Random(8)
     values = set()
     for _ in range(30):
@@ -79,10 +82,12 @@ def test_links_find_every_close_pair_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901)], "a long, b long")
+@pytest.mark.parametrize("most", [200_000, 4])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "HOT_ROWS", most)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901)] + [(2000 + k, 1000) for k in range(50)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert roots == {**{k: 0 for k in range(301)}, 900: 900, 901: 900}
+    assert roots == {**{k: 0 for k in range(301)}, 900: 900, 901: 900, 1000: 1000, **{2000 + k: 1000 for k in range(50)}}
 
 
 def test_deduplicated_keeps_one_of_each_component(spark, documents):
