@@ -32,10 +32,10 @@ ORACLE_SQL["op1_warc"] = """
 WITH payloads AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 coded AS (
-  SELECT *, list_transform(range(40), k -> instr('0123456789abcdef', hex[k + 1]) - 1) AS h FROM payloads),
+  SELECT *, list_transform(range(40), lambda k: instr('0123456789abcdef', hex[k + 1]) - 1) AS h FROM payloads),
 named AS (
   SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY hex) AS first,
-         array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (((h[5 * k // 4 + 1] * 16 + coalesce(h[5 * k // 4 + 2], 0)) >> (3 - 5 * k % 4)) & 31) + 1, 1)), '') AS payload_digest
   FROM coded)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,

@@ -55,13 +55,14 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Inner join of ``left``, with any number of rows per key, and ``right``, with one row per key.
 
     ``hot`` has the keys with over HOT_ROWS rows in ``left``, so it has at most a row per HOT_ROWS of them; their
-    rows stay where they are and the matching rows of ``right`` are sent to them. The rest is joined by key.
+    rows stay where they are and the matching rows of ``right`` are sent to them. The rest is joined by key. None says
+    that there are no such keys.
     """
-    if is_empty(hot):
+    if hot is None or is_empty(hot):
         return left.join(right, key)
     hot = hot.select(key)
     few = F.broadcast(shared_table(right.join(F.broadcast(hot), key, "left_semi"), "hot-rows"))

@@ -76,6 +76,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     if radius > 1:
         raise ValueError(f"distances over {2 * SEGMENTS - 1} need larger balls")
     flips = [0, *(1 << k for k in range(SEGMENT_BITS))] if radius else [0]
+    many = distinct.count() > SEGMENT_ROWS
     found = []
     for number in range(SEGMENTS):
         stored = distinct.select(F.col("fingerprint").alias("b"), _segment("fingerprint", number).alias("key"))
@@ -84,13 +85,11 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             F.explode(F.array(*[F.lit(flip).cast("long") for flip in flips])).alias("flip"),
             _segment("fingerprint", number).alias("key"),
         ).withColumn("key", F.col("key").bitwiseXOR(F.col("flip")))
-        # A row per SEGMENT_ROWS fingerprints at most, so it is broadcast
         hot = stored.groupBy("key").agg(F.ceil(F.count("*") / SEGMENT_ROWS).cast("int").alias("parts")).filter("parts > 1")
-        hot = shared_table(hot, "simhash-hot-segments")
-        if is_empty(hot):
+        if not many or is_empty(hot := shared_table(hot, "simhash-hot-segments")):
             pairs = probes.join(stored, "key")
         else:  # the stored ones of a frequent segment lie in parts, and each part gets all its lookups
-            hot = F.broadcast(hot)
+            hot = F.broadcast(hot)  # a row per SEGMENT_ROWS fingerprints at most
             parts = F.coalesce("parts", F.lit(1))
             stored = stored.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
             probes = probes.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -106,11 +105,14 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return out
 
 
-def _with_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
-    """``edges`` (a, b) with the smallest neighbour m of a; ``smallest`` is (a, m, n), n the number of edges of a."""
+def _with_smallest(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` (a, b) with m, the smallest of a and its neighbours; ``most`` is a bound of their number."""
+    smallest = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    smallest = smallest.withColumn("m", F.least("a", "m"))
+    if most <= HOT_ROWS:  # then no node can have more
+        return edges.join(smallest.drop("n"), "a")
     smallest = shared_table(smallest, "component-smallest")
-    hot = smallest.filter(F.col("n") > HOT_ROWS).select("a")
-    return hot_join(edges, smallest.select("a", "m"), "a", hot)
+    return hot_join(edges, smallest.drop("n"), "a", smallest.filter(F.col("n") > HOT_ROWS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,15 +123,15 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder, so a lost executor costs no more than the round it is in.
     """
     edges = shared_table(edges.select("a", "b").filter("a != b").distinct(), "component-links")
-    before = None
+    before, number = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        large = _with_smallest(both, smallest).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_smallest(both, 2 * number).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
-        down = shared_table(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "component-large")
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_smallest(down, lowest)
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        if 2 * number > HOT_ROWS:
+            down = shared_table(down, "component-large")
+        small = _with_smallest(down, 2 * number)
         small = small.select("b", "m").unionByName(small.select(F.col("a").alias("b"), "m"))
         edges = shared_table(small.filter("b != m").distinct().select(F.col("b").alias("a"), F.col("m").alias("b")), "component-round")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -137,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        before = state
+        before, number = state, state[0]
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -150,10 +152,9 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, max_distance: int = MAX
     rooted = rooted.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     smallest = shared_table(smallest, "simhash-components")
-    hot = smallest.filter(F.col("n") > HOT_ROWS)
-    named = hot_join(rooted, smallest.drop("n"), "root", hot).select("fingerprint", "root", "component_id")
-    hot = classes.filter(F.col("n") > HOT_ROWS)
-    joined = hot_join(prints, shared_table(named, "simhash-named"), "fingerprint", hot)
+    named = hot_join(rooted, smallest.drop("n"), "root", smallest.filter(F.col("n") > HOT_ROWS))
+    named = shared_table(named.select("fingerprint", "root", "component_id"), "simhash-named")
+    joined = hot_join(prints, named, "fingerprint", classes.filter(F.col("n") > HOT_ROWS))
     return joined.select("doc_id", "fingerprint", "root", "component_id")
 
 
