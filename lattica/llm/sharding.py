@@ -46,6 +46,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 HEAVY = "text_hash long, first long, width long"
 #: (text_hash, id_hash) of ids that repeat a heavy text so often that they would overfill a slot of theirs.
 REPEATED = "text_hash long, id_hash long"
+MAP = "home long, shard int"
 
 
 def heavy_texts(sized: DataFrame, n_shards: int, known: DataFrame | None = None) -> DataFrame:
@@ -159,18 +160,19 @@ def stored_version(spark: SparkSession, folder: str) -> int:
     return newest or 0
 
 
-def load_map(spark: SparkSession, folder: str, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The map (version, home, shard), heavy texts and repeated ids of one version."""
-    slot_map = spark.read.parquet(f"{folder}/map/version={version}").withColumn("version", F.lit(version))
-    heavy = spark.read.schema(HEAVY).parquet(f"{folder}/heavy/version={version}")
-    return slot_map, heavy, spark.read.schema(REPEATED).parquet(f"{folder}/repeated/version={version}")
+def _table(spark: SparkSession, folder: str, name: str, version: int, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{name}/version={version}")
+
 
+def _stored(df: DataFrame, folder: str, name: str, version: int, schema: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(f"{folder}/{name}/version={version}")
+    return _table(df.sparkSession, folder, name, version, schema)
 
-def store_map(slot_map: DataFrame, heavy: DataFrame, repeated: DataFrame, folder: str, version: int) -> None:
-    """Write a version; the map itself last, so a version without one was broken off and is written again."""
-    heavy.write.mode("overwrite").parquet(f"{folder}/heavy/version={version}")
-    repeated.write.mode("overwrite").parquet(f"{folder}/repeated/version={version}")
-    slot_map.select("home", "shard").write.mode("overwrite").parquet(f"{folder}/map/version={version}")
+
+def load_map(spark: SparkSession, folder: str, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The map (home, shard), heavy texts and repeated ids of one version."""
+    kinds = (("map", MAP), ("heavy", HEAVY), ("repeated", REPEATED))
+    return tuple(_table(spark, folder, name, version, schema) for name, schema in kinds)
 
 
 def current_map(
@@ -179,32 +181,38 @@ def current_map(
     """The map in ``folder`` for the rows of ``sized``: loaded, edited if they need it, and stored as a new version.
 
     It is edited if slots are missing in it, if it names other shards than there are, or if a shard's bytes are more
-    than ``tolerance`` above an equal share. Without a stored map the first version is made.
+    than ``tolerance`` above an equal share. Without a stored map the first version is made. The map of a version is
+    written last, so a version without one was broken off and is written again.
     """
     spark = sized.sparkSession
     version = stored_version(spark, folder)
     known = load_map(spark, folder, version) if version else None
-    heavy = shared_table(heavy_texts(sized, n_shards, known[1] if known else None), "shard-heavy")
-    repeated = repeated_ids(sized, heavy)
+    heavy = heavy_texts(sized, n_shards, known[1] if known else None)
+    heavy = _stored(heavy, folder, "heavy", version + 1, HEAVY)
+    if is_empty(heavy):
+        repeated = spark.createDataFrame([], REPEATED)
+    else:
+        repeated = repeated_ids(sized, heavy)
     if known:
         repeated = known[2].unionByName(repeated).distinct()
-    repeated = shared_table(repeated, "shard-repeated")
+    repeated = _stored(repeated, folder, "repeated", version + 1, REPEATED)
     slot_bytes = with_slots(sized, heavy, repeated).groupBy("home").agg(F.sum("size").alias("bytes"))
     slot_bytes = shared_table(slot_bytes, "shard-bytes")
     if not known:
-        store_map(new_map(slot_bytes, n_shards), heavy, repeated, folder, 1)
-        return load_map(spark, folder, 1)
-    loads = slot_bytes.join(known[0], "home", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
+        fresh = new_map(slot_bytes, n_shards).select("home", "shard")
+        return _stored(fresh, folder, "map", 1, MAP), heavy, repeated
+    old = known[0].withColumn("version", F.lit(version))
+    loads = slot_bytes.join(old, "home", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
     share = sum(row["bytes"] for row in loads) / n_shards
     unplaced = any(row["shard"] is None or row["shard"] >= n_shards for row in loads)
     filled = sum(1 for row in loads if row["shard"] is not None)
     if unplaced or filled < min(n_shards, slot_bytes.count()) or any(row["bytes"] > share * (1 + tolerance) for row in loads):
         # slots without rows now keep their shard
-        idle = known[0].join(slot_bytes, "home", "left_anti").filter(F.col("shard") < n_shards)
-        fresh = edited_map(known[0], slot_bytes, n_shards, tolerance)
-        store_map(fresh.select("home", "shard").unionByName(idle.select("home", "shard")), heavy, repeated, folder, version + 1)
-        return load_map(spark, folder, version + 1)
-    return known
+        idle = old.join(slot_bytes, "home", "left_anti").filter(F.col("shard") < n_shards)
+        fresh = edited_map(old, slot_bytes, n_shards, tolerance).select("home", "shard")
+        fresh = fresh.unionByName(idle.select("home", "shard"))
+        return _stored(fresh, folder, "map", version + 1, MAP), heavy, repeated
+    return known[0], heavy, repeated
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -242,7 +250,6 @@ def shards(
     counted = placed.groupBy("shard", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    starts = shared_table(starts, "shard-starts")
     inside = Window.partitionBy("shard", "task").orderBy("seq")
     placed = placed.withColumn("row", F.row_number().over(inside)).join(starts, ["shard", "task"])
     return placed.select(
