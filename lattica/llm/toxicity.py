@@ -4,8 +4,10 @@ A lexical transducer reads words letter by letter and writes classes: insult, li
 report or other. Its insults are a fixed list and stems learned from labels; a likely insult, whose stem harmless
 words have too, counts from its second occurrence in a document. Transducers for negation, reported speech, targets
 and threats read classes and rewrite them in context; composed into one, they turn a clause into the matches that
-count: plain, targeted, negated and reported insults, and threats at a target. A document's score is the logistic
-function of the weighted matches of its clauses; the weights are fitted on labelled documents.
+count: plain and targeted insults, threats at a target, and insults and threats that are negated or reported. One more
+transducer reads the clause backwards, for targets that stand after an insult. A document's score is the logistic
+function of the weighted matches of its clauses; the weights are fitted on labelled documents, and those of negated and
+reported matches never raise a score.
 """
 
 from __future__ import annotations
@@ -23,16 +25,27 @@ from pyspark.sql import functions as F
 from lattica.llm.shared import shared_table, slices
 
 # The words that the grammar knows without labels.
-INSULTS = "clown disgusting dumb idiot imbecile loser moron pathetic scum stupid trash worthless".split()
-THREATS = "beat crush destroy hurt kill murder punch shoot smash stab strangle".split()
-TARGETS = "you your yours yourself u he him she her they them dich dir euch toi vous te ti usted".split()
-NEGATIONS = "not no never nobody isn't aren't don't nicht kein keine nie pas jamais nunca".split()
-REPORTS = "said says say told claimed wrote quoted called sagte schrieb dit disait dijo".split()
-
-#: Labelled documents that stems and weights are learned from, and candidates for stems that are compared.
+INSULTS = (
+    "clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash",
+    "worthless",
+)
+THREATS = ("beat", "crush", "destroy", "hurt", "kill", "murder", "punch", "shoot", "smash", "stab", "strangle")
+TARGETS = (
+    "you", "your", "yours", "yourself", "u", "he", "him", "she", "her", "they", "them", "dich", "dir", "euch", "toi",
+    "vous", "te", "ti", "usted",
+)
+NEGATIONS = (
+    "not", "no", "never", "nobody", "isn't", "aren't", "wasn't", "don't", "didn't", "won't", "nicht", "kein", "keine",
+    "nie", "pas", "jamais", "nunca",
+)
+REPORTS = (
+    "said", "says", "say", "told", "claimed", "wrote", "quoted", "called", "sagte", "schrieb", "dit", "disait", "dijo",
+)
+#: Marks that stand for an apostrophe.
+APOSTROPHES = str.maketrans({mark: "'" for mark in "\u2018\u2019\u02bc\uff07"})
+
+#: Labelled documents that stems and weights are learned from.
 TRAIN_ROWS = 12_000
-MAX_CANDIDATES = 3_000
-MAX_STEMS = 200
 STEM_LETTERS = range(3, 9)
 MIN_SUPPORT = 3
 MIN_PRECISION = 0.85
@@ -42,15 +55,21 @@ WHOLE, TWICE = "=", "2"
 REACH = 3
 MATCHES = ("plain", "targeted", "negated", "reported", "threat")
 #: Weights that the fit starts from and is drawn to: the bias, then one for each of MATCHES.
-PRIOR = (-2.5, 3.0, 3.5, 1.0, 1.0, 3.0)
+PRIOR = (-2.5, 3.0, 3.5, -0.5, -0.5, 3.0)
+#: The weights of negated and reported matches are at most 0.
+NEVER_RAISE = (3, 4)
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
+def plain(text: str) -> str:
+    return text.lower().translate(APOSTROPHES)
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(plain(text))
 
 
 class Transducer:
@@ -87,15 +106,15 @@ def compose(first: Transducer, second: Transducer, alphabet) -> Transducer:
 
 
 def negation() -> Transducer:
-    """An insult up to REACH words after a negation is negated."""
+    """An insult or a threat up to REACH words after a negation is negated."""
     arcs = {(k, "N"): (REACH, "N") for k in range(REACH + 1)}
-    arcs |= {(k, "I"): (k - 1, "negated") for k in range(1, REACH + 1)}
+    arcs |= {(k, name): (k - 1, "negated") for k in range(1, REACH + 1) for name in "IT"}
     return Transducer(0, arcs, lambda k: max(0, k - 1))
 
 
 def reported() -> Transducer:
-    """An insult after a verb of reporting in the same clause is reported."""
-    return Transducer(0, {(0, "R"): (1, "R"), (1, "I"): (1, "reported")}, lambda k: k)
+    """An insult or a threat after a verb of reporting in the same clause is reported."""
+    return Transducer(0, {(0, "R"): (1, "R"), (1, "I"): (1, "reported"), (1, "T"): (1, "reported")}, lambda k: k)
 
 
 def targeted() -> Transducer:
@@ -110,6 +129,11 @@ def threatening() -> Transducer:
     return Transducer(0, arcs, lambda k: max(0, k - 1))
 
 
+def targeted_backwards() -> Transducer:
+    """Reads a clause from its end: an insult before a target, or before what made a threat, is targeted."""
+    return Transducer(0, {(0, "Y"): (1, "Y"), (0, "threat"): (1, "threat"), (1, "plain"): (1, "targeted")}, lambda k: k)
+
+
 def corroboration() -> Transducer:
     """Of likely insults the first in a document is let pass and the others are insults."""
     return Transducer(0, {(0, "V"): (1, "W"), (1, "V"): (1, "I")}, lambda k: k)
@@ -166,11 +190,12 @@ class Grammar:
     def __init__(self, stems: tuple[str, ...] = ()) -> None:
         self.lexicon = Lexicon(stems)
         self.clauses = clause_grammar()
+        self.backwards = targeted_backwards()
         self.likely = corroboration()
 
     def matches(self, text: str | None) -> tuple[int, ...]:
         """How often each of MATCHES occurs. Only clauses with a word that can match are read closely."""
-        lowered = (text or "").lower()
+        lowered = plain(text or "")
         found: Counter = Counter()
         if self.lexicon.trigger.search(lowered):
             state = self.likely.start
@@ -180,7 +205,7 @@ class Grammar:
                     for word in _WORD.findall(clause):
                         state, name = self.likely.step(state, self.lexicon.read(word))
                         classes.append(name)
-                    found.update(self.clauses.run(classes))
+                    found.update(self.backwards.run(reversed(self.clauses.run(classes))))
         return tuple(found[name] for name in MATCHES)
 
 
@@ -217,40 +242,54 @@ def patterns(text: str) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """(text, label) of at most ``train_rows`` labelled documents, those whose ids have the smallest hashes."""
+    """(row, text, label) of at most ``train_rows`` labelled documents, those whose ids have the smallest hashes.
+
+    A labelled id is one row, whatever the documents that repeat it: that with the smallest text. ``row`` is a hash of
+    the id.
+    """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(known), "doc_id").select("text", "label")  # train_rows rows at most are broadcast
+    rows = rows.join(F.broadcast(known), "doc_id")  # train_rows rows at most are broadcast
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("row"), "text", "label")
 
 
-def _candidates(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, int, int]]:
-    """(pattern, toxic documents, clean documents), the most telling ``MAX_CANDIDATES`` of the precise ones."""
+COUNTED = pa.schema([("pattern", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("documents", pa.int64())])
+
+
+def _candidates(sample: DataFrame) -> list[tuple[str, int, int]]:
+    """(pattern, toxic documents, clean documents) of the precise patterns of ``sample``.
+
+    Of patterns that occur in the same toxic documents, which no cover can tell apart, the one with the fewest clean
+    ones is kept, the longest of these; so copies of a document, or a rare phrase, make one candidate. Documents are
+    told apart by their hashes, a set of them by the exclusive or of its hashes.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        toxic, clean, documents = Counter(), Counter(), Counter()
         for batch in slices(batches):
-            for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
-                counts[label.as_py()].update(patterns(text.as_py()))
-        names = [name for name, n in counts[1].items()]
-        yield pa.RecordBatch.from_pydict(
-            {"pattern": names, "toxic": [counts[1][n] for n in names], "clean": [0] * len(names)},
-            pa.schema([("pattern", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]),
-        )
-        others = list(counts[0])
-        yield pa.RecordBatch.from_pydict(
-            {"pattern": others, "toxic": [0] * len(others), "clean": [counts[0][n] for n in others]},
-            pa.schema([("pattern", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]),
-        )
-
-    counted = sample.mapInArrow(count, "pattern string, toxic long, clean long")
-    counted = counted.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            for row, text, label in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "label")), strict=True):
+                found = patterns(text)
+                if label:
+                    toxic.update(found)
+                    for name in found:
+                        documents[name] ^= row
+                else:
+                    clean.update(found)
+        names = list(toxic | clean)
+        columns = [names, *([counter[n] for n in names] for counter in (toxic, clean, documents))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNTED.types, strict=True)], schema=COUNTED)
+
+    counted = sample.mapInArrow(count, "pattern string, toxic long, clean long, documents long").groupBy("pattern")
+    counted = counted.agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_xor("documents").alias("documents")
+    )
     precise = F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))
     counted = counted.filter((F.col("toxic") >= MIN_SUPPORT) & precise)
-    telling = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / max(1, clean))
-    counted = counted.orderBy(F.desc(F.col("toxic") * telling), "pattern").limit(MAX_CANDIDATES)
-    return [(row[0], row[1], row[2]) for row in counted.collect()]
+    best = F.struct("clean", (-F.length("pattern")).alias("length"), "pattern")
+    found = counted.groupBy("toxic", "documents").agg(F.min(best).alias("best")).select("toxic", "best.*")
+    return sorted((row["pattern"], row["toxic"], row["clean"]) for row in found.collect())
 
 
 def learn_stems(sample: DataFrame) -> tuple[str, ...]:
@@ -259,11 +298,9 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
     Greedy cover: each stem taken must explain MIN_SUPPORT documents that no earlier one does, so words that merely
     occur beside an insult, or in copies of one document, add nothing. Among equals the longest stem is taken.
     """
-    n = sample.groupBy("label").count().collect()
-    sizes = {row["label"]: row["count"] for row in n}
-    if not sizes.get(1):
+    candidates = _candidates(sample)
+    if not candidates:
         return ()
-    candidates = _candidates(sample, sizes[1], sizes.get(0, 0))
     place = {pattern: k for k, (pattern, _, _) in enumerate(candidates)}
     known = Grammar()
 
@@ -288,7 +325,7 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
         pattern, _, clean = candidates[candidate]
         return len(holders[candidate] & left) - clean, len(pattern), pattern
 
-    while len(stems) < MAX_STEMS and holders:
+    while holders:
         best = max(holders, key=worth)
         if worth(best)[0] < MIN_SUPPORT:
             break
@@ -298,7 +335,10 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
 
 
 def fit_weights(matches: np.ndarray, labels: np.ndarray, prior=PRIOR, ridge: float = 0.5) -> tuple[float, ...]:
-    """Logistic regression of labels on log(1 + matches), drawn to ``prior``, by Newton's method."""
+    """Logistic regression of labels on log(1 + matches), drawn to ``prior``, by Newton's method.
+
+    The weights NEVER_RAISE stay at most 0: at that bound they are held fixed while the data would raise them.
+    """
     x = np.hstack([np.ones((len(matches), 1)), np.log1p(matches)])
     start = np.array(prior)
     w = start.copy()
@@ -306,8 +346,11 @@ def fit_weights(matches: np.ndarray, labels: np.ndarray, prior=PRIOR, ridge: flo
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - labels) + ridge * (w - start)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        free = np.array([k not in NEVER_RAISE or w[k] < 0 or gradient[k] > 0 for k in range(len(w))])
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
         w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        w[list(NEVER_RAISE)] = np.minimum(w[list(NEVER_RAISE)], 0)
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
@@ -334,8 +377,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
 def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from a score of THRESHOLD).
 
-    Null and empty texts have no matches and the score of the bias. Rows with null id are scored and count as held
-    out; repeated rows each get a row. Without labels the fixed words and weights decide. An empty table gives no
+    Null and empty texts have no matches and the score of the bias; long texts are read to their end. Rows with null id
+    are scored and count as held out; repeated rows each get a row. Without labels the fixed words and weights decide. An empty table gives no
     rows. Other columns are ignored, whatever their names.
     """
     model = train(docs, labels, train_rows)

@@ -20,6 +20,75 @@ def test_clauses():
     assert sum(named("a clowns' idiotic parade").values()) == 0 and sum(named("").values()) == sum(named(None).values()) == 0
 
 
+def test_negation_and_report_act_on_threats_and_targets_stand_on_both_sides():
+    assert named("I will not hurt you") == {"plain": 0, "targeted": 0, "negated": 1, "reported": 0, "threat": 0}
+    assert named("he said he will kill you") == {"plain": 0, "targeted": 0, "negated": 0, "reported": 1, "threat": 0}
+    assert named("he isn\u2019t an idiot")["negated"] == 1 and named("he isn\u2019t an idiot")["targeted"] == 0
+    assert named("an idiot, you are")["targeted"] == 1 and named("an idiot. You are")["plain"] == 1
+    assert named("idiot, I will kill you") == {"plain": 0, "targeted": 1, "negated": 0, "reported": 0, "threat": 1}
+
+
+def brute(text):
+    """The matches by looking at each word's surroundings."""
+    classes = {w: c for c, ws in zip("ITYNR", (tx.INSULTS, tx.THREATS, tx.TARGETS, tx.NEGATIONS, tx.REPORTS), strict=True) for w in ws}
+    found = dict.fromkeys(tx.MATCHES, 0)
+    for clause in text.split("."):
+        names = [classes.get(w, "W") for w in clause.split()]
+        negated, kinds = set(), []
+        for k, name in enumerate(names):
+            near = [j for j in range(max(0, k - tx.REACH), k) if names[j] == "N"]
+            if name in "IT" and near:
+                negated.add(k)
+        for k, name in enumerate(names):
+            if name not in "IT":
+                kinds.append(name)
+            elif k in negated:
+                kinds.append("negated")
+            else:
+                kinds.append("reported" if "R" in names[:k] else name)
+        used = set()
+        for k, kind in enumerate(kinds):
+            if kind == "I":
+                found["targeted" if "Y" in kinds else "plain"] += 1
+            elif kind in ("negated", "reported"):
+                found[kind] += 1
+            elif kind == "Y":
+                before = [j for j in range(max(0, k - tx.REACH), k) if kinds[j] == "T" and j not in used]
+                if before:
+                    found["threat"] += 1
+                    used |= set(range(k))
+    return found
+
+
+def test_grammar_against_brute_force():
+    import random
+
+    rng = random.Random(12)
+    pool = ["idiot", "moron", "kill", "hurt", "you", "she", "not", "never", "said", "word", "more", ".", "xx"]
+    for _ in range(20_000):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))
+        assert named(text) == brute(text), text
+
+
+def test_negated_and_reported_matches_never_raise_a_score():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = rng.integers(0, 3, size=(400, 5)).astype(float)
+    labels = (m.sum(1) > 4).astype(float)  # labels that would raise them
+    weights = tx.fit_weights(m, labels)
+    assert weights[3] <= 0 and weights[4] <= 0 and weights[1] > 0
+    free = tx.fit_weights(m, (m[:, 0] > 1).astype(float))
+    assert free[3] <= 0 and np.isfinite(free).all()
+
+
+def test_the_sample_has_at_most_its_rows_however_often_documents_repeat(spark, documents):
+    docs = documents([(k, f"text {k} {j}") for k in range(40) for j in range(50)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], LABELS)
+    sample = tx._sample(docs, labels, 10).collect()
+    assert len(sample) == 10 and all(r["text"].endswith(" 0") for r in sample)
+
+
 def test_stems():
     assert named("lowe lowei loweixy", ("lowei",))["plain"] == 2
     assert named("achlich one", ("2achlich",))["plain"] == 0
