@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from lattica.llm import decontamination as dc
 
+NONE = dc.Bounds(windows=0)
 ITEMS = "item_id long, text string, window string"
 
 
@@ -50,11 +53,13 @@ def benchmark(spark, items):
     return spark.createDataFrame([(*i, "x") for i in items], ITEMS)
 
 
-def test_against_brute_force_broadcast_and_joined(spark, documents):
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_against_brute_force_broadcast_and_joined(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(dc, "HOT_ROWS", most)
     docs, items = cases()
     want = brute(docs, items)
     assert as_dict(dc.report(documents(docs), benchmark(spark, items))) == want
-    assert as_dict(dc.report(documents(docs), benchmark(spark, items), max_windows=0)) == want
+    assert as_dict(dc.report(documents(docs), benchmark(spark, items), bounds=NONE)) == want
 
 
 def test_empty_tables_and_repeats(spark, documents):
@@ -86,7 +91,7 @@ def test_removal_by_join_equals_removal_by_broadcast(spark, documents):
     docs, items = documents([*docs, docs[0]]), benchmark(spark, items)
     for spans in (False, True):
         near = dc.decontaminated(docs, items, spans=spans).collect()
-        joined = dc.decontaminated(docs, items, spans=spans, max_windows=0)
+        joined = dc.decontaminated(docs, items, spans=spans, bounds=NONE)
         assert joined.columns == docs.columns
         assert sorted(map(str, joined.collect())) == sorted(map(str, near))
         assert spans or 0 < len(near) < 80
@@ -95,5 +100,12 @@ def test_removal_by_join_equals_removal_by_broadcast(spark, documents):
 def test_join_reads_long_texts(spark, documents):
     passage = " ".join(f"w{k}" for k in range(12))
     text = "filler " * 200_000 + passage
-    out = as_dict(dc.report(documents([(1, text)]), benchmark(spark, [(5, passage)]), max_windows=0))
+    out = as_dict(dc.report(documents([(1, text)]), benchmark(spark, [(5, passage)]), bounds=NONE))
     assert out[1][:3] == (200_012, 12, 1)
+
+
+def test_items_beyond_the_bound_of_bytes_are_joined(spark, documents):
+    docs, items = cases()
+    items = items + [(90, "x" * 5000)]
+    out = dc.report(documents(docs), benchmark(spark, items), bounds=dc.Bounds(bytes=4000))
+    assert as_dict(out) == brute(docs, items)
