@@ -5,7 +5,8 @@ cells. A query visits the cells in the order of the summed distance of its halve
 yields one by one, until the visited cells hold enough entries; those entries are reranked by their exact distance.
 
 How many entries are enough is fitted with the codebooks on a bounded sample: the smallest share of it that finds
-``target_recall`` of the true neighbours. Every vector is indexed and no cell is capped.
+``target_recall`` of the true neighbours. The codebooks grow with the root of the table, up to a centroid per
+SAMPLE_PER_CENTROID rows of the sample. Every vector is indexed and no cell is capped.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from lattica.llm.shared import shared_table
 #: Vectors that codebooks and share are fitted on, and queries among them that measure recall.
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 200
-TARGET_RECALL = 0.96
-MAX_CENTROIDS = 64
-#: Entries in a block, the unit that is reranked at a time, and queries that meet a block at a time.
-BLOCK_ROWS = 2048
-QUERY_ROWS = 4096
+SAMPLE_PER_CENTROID = 40
+TARGET_RECALL = 0.94
+#: Fewest and most entries in a block, the unit that is reranked at a time.
+BLOCK_ROWS = (2048, 16384)
+#: Queries that meet a block in one task, and of which distances are held at a time.
+QUERY_ROWS, QUERY_SLICE = 2048, 256
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,7 +47,8 @@ def fit_centroids(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
         nearest = far.argmin(1)
         counts = np.bincount(nearest, minlength=len(centroids))
         sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, rows)
+        for column in range(rows.shape[1]):
+            sums[:, column] = np.bincount(nearest, rows[:, column], len(centroids))
         full = counts > 0
         centroids[full] = sums[full] / counts[full, None]
         if not full.all():
@@ -87,38 +90,46 @@ class MultiIndex:
         two = squared_distances(rows[:, self.half :], self.second).argmin(1)
         return one * len(self.second) + two
 
-    def visited(self, row: np.ndarray, counts: np.ndarray, enough: float) -> np.ndarray:
-        """The cells, nearest first, that together hold ``enough`` entries."""
-        first = ((self.first - row[: self.half]) ** 2).sum(1)
-        second = ((self.second - row[self.half :]) ** 2).sum(1)
-        out, held = [], 0
+    def sums(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of the halves of ``rows`` to the centroids; a cell's is the sum of two."""
+        return squared_distances(rows[:, : self.half], self.first), squared_distances(rows[:, self.half :], self.second)
+
+    def radius(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: float) -> float:
+        """The summed distance up to which the cells, nearest first, together hold ``enough`` entries."""
+        held, last = 0, 0.0
         for i, j in cells_by_distance(first, second):
-            cell = i * len(self.second) + j
-            if counts[cell]:
-                out.append(cell)
-                held += counts[cell]
+            if count := counts[i * len(self.second) + j]:
+                held += count
+                last = float(first[i] + second[j])
                 if held >= enough:
                     break
-        return np.array(out, dtype=np.int64)
+        return last
+
+
+def within(sums: np.ndarray, radius) -> np.ndarray:
+    """Whether cells lie within a radius; the margin is for sums that were computed in other batches."""
+    return sums <= radius * (1 + 1e-9) + 1e-12
 
 
 def fit(sample: np.ndarray, total: int, k: int, target_recall: float = TARGET_RECALL) -> MultiIndex:
-    """Codebooks and share for a table of ``total`` vectors, from a sample of it."""
+    """Codebooks and share for a table of ``total`` vectors, from a sample of it.
+
+    A larger table is searched with the share that its sample needs; with more vectors neighbours are nearer, so that
+    share finds no fewer of them.
+    """
     half = sample.shape[1] // 2
-    size = max(2, min(MAX_CENTROIDS, round(math.sqrt(total) / 4)))
+    size = max(2, min(len(sample) // SAMPLE_PER_CENTROID, round(math.sqrt(total) / 2)))
     index = MultiIndex(fit_centroids(sample[:, :half], size), fit_centroids(sample[:, half:], size))
     cell = index.cell(sample)
-    counts = np.bincount(cell, minlength=index.cells)
     rng = np.random.default_rng(11)
     needed = []
     for row in rng.choice(len(sample), min(SAMPLE_QUERIES, len(sample)), replace=False):
         far = ((sample - sample[row]) ** 2).sum(1)
         far[row] = np.inf
-        near = np.argsort(far, kind="stable")[: min(k, len(sample) - 1)]
-        held = np.cumsum(counts[order := index.visited(sample[row], counts, math.inf)])
-        place = np.empty(index.cells, dtype=np.int64)
-        place[order] = held
-        needed.extend(place[cell[near]])  # entries visited until the neighbour's cell is through
+        near = np.argpartition(far, min(k, len(sample) - 1) - 1)[: min(k, len(sample) - 1)]
+        first, second = index.sums(sample[row : row + 1])
+        sums = (first[0][:, None] + second[0][None, :]).ravel()[cell]
+        needed.extend(np.searchsorted(np.sort(sums), sums[near], side="right"))  # entries up to the neighbour's cell
     if needed:
         index.share = min(1.0, float(np.quantile(needed, target_recall)) / len(sample))
     return index
@@ -128,7 +139,8 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """(vec_id, vector of doubles) of the rows that take part.
 
     Rows whose id or vector is null, or whose vector is zero, has null or non-finite components or not the most
-    frequent length, take no part. A row that is repeated counts once.
+    frequent length, take no part. A row that is repeated counts once; an id with several vectors is as many rows, and
+    none of them is a neighbour of another.
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -159,7 +171,11 @@ def nearest(
     vec_id. Which rows take part says :func:`vectors`; a query among the others gets no rows, nor does an empty table.
 
     Equal vectors are one entry with its k + 1 smallest ids, as no further copy can be among the k nearest; equal
-    queries are searched once. So a vector that a third of the table repeats costs no more than any other.
+    queries are searched once. So a vector that a third of the table repeats costs no more than any other. Vectors may
+    be of any length.
+
+    Entries lie in blocks of neighbouring cells; a query goes to the blocks that hold cells it visits, and a block is
+    copied once per QUERY_ROWS queries that visit it. So the work grows with the pairs of queries and entries visited.
     """
     rows = shared_table(vectors(table, id_col, vector_col), "ann-vectors")
     copies = Window.partitionBy("vector").orderBy("vec_id")
@@ -187,14 +203,15 @@ def nearest(
     placed = entries.mapInPandas(place, "vec_id long, vector array<double>, cell long")
     placed = shared_table(placed, "ann-cells")
     counts = np.zeros(index.cells, dtype=np.int64)
-    for cell, count in placed.groupBy("cell").count().collect():  # MAX_CENTROIDS squared rows at most
+    for cell, count in placed.groupBy("cell").count().collect():  # a row per cell
         counts[cell] = count
 
-    # Cells in blocks of about BLOCK_ROWS: small cells share one, a large one has several
-    parts = np.maximum(1, -(-counts // BLOCK_ROWS))
+    # Cells in blocks of about block_rows: small cells share one, a large one has several
+    block_rows = min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], total // 64))
+    parts = np.maximum(1, -(-counts // block_rows))
     start, filled, first_block = 0, 0, np.zeros(index.cells, dtype=np.int64)
     for cell in range(index.cells):
-        if parts[cell] > 1 or filled + counts[cell] > BLOCK_ROWS:
+        if parts[cell] > 1 or filled + counts[cell] > block_rows:
             start, filled = start + bool(filled), 0
         first_block[cell] = start
         filled += int(counts[cell])
@@ -211,37 +228,52 @@ def nearest(
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points, out = wide(batch["vector"]), []
-            for query, vector, point in zip(batch["query_id"], batch["vector"], points, strict=True):
-                cells = index.visited(point, counts, enough)
-                blocks = np.concatenate([np.arange(first_block[c], first_block[c] + parts[c]) for c in cells])
-                mask = np.zeros(index.cells, dtype=bool)
-                mask[cells] = True
-                bits = np.packbits(mask).tobytes()
-                out.extend((query, vector, bits, b) for b in np.unique(blocks).tolist())
-            yield pd.DataFrame(out, columns=["query_id", "vector", "cells", "block"])
+            out = []
+            for query, vector in zip(batch["query_id"], batch["vector"], strict=True):
+                first, second = (half[0] for half in index.sums(wide(pd.Series([vector]))))
+                radius = index.radius(first, second, counts, enough)
+                cells = np.flatnonzero(within((first[:, None] + second[None, :]).ravel(), radius) & (counts > 0))
+                single, several = cells[parts[cells] == 1], cells[parts[cells] > 1]
+                blocks = [np.unique(first_block[single])]
+                blocks += [np.arange(first_block[c], first_block[c] + parts[c]) for c in several]
+                out.extend((query, vector, radius, b) for b in np.concatenate(blocks).tolist())
+            yield pd.DataFrame(out, columns=["query_id", "vector", "radius", "block"])
 
     asked = rows.filter(query_filter).distinct()
     distinct_queries = asked.groupBy("vector").agg(F.min("vec_id").alias("query_id"))
     distinct_queries = shared_table(distinct_queries.select("query_id", "vector"), "ann-queries")
-    chunks = max(1, -(-distinct_queries.count() // QUERY_ROWS))
-    routed = distinct_queries.mapInPandas(route, "query_id long, vector array<double>, cells binary, block long")
-    routed = routed.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
-    blocks = placed.mapInPandas(block, "vec_id long, vector array<double>, cell long, block long")
-    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    spread_out = distinct_queries.repartition(table.sparkSession.sparkContext.defaultParallelism, "query_id")
+    routed = spread_out.mapInPandas(route, "query_id long, vector array<double>, radius double, block long")
+    routed = shared_table(routed, "ann-routed")
+    chunks = routed.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("long").alias("chunks"))
+    chunks = shared_table(chunks, "ann-chunks")  # a row per block
+    routed = routed.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks"))).drop("chunks")
+    blocks = placed.mapInPandas(block, "vec_id long, vector array<double>, cell long, block long").join(chunks, "block")
+    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
 
     def rerank(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        """The k + 1 nearest entries of a block for each query that visits it, by exact distances."""
+        """The k + 1 nearest visited entries of a block for each query, by exact distances."""
         if not len(queries) or not len(held):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        held = held.sort_values("vec_id")
-        points, ids, cells = _matrix(held["vector"], width), held["vec_id"].to_numpy(), held["cell"].to_numpy()
+        points, ids = wide(held["vector"]), held["vec_id"].to_numpy()
+        one, two = np.divmod(held["cell"].to_numpy(), len(index.second))
+        most = float((points * points).sum(1).max())
         out = []
-        for query, vector, bits in zip(queries["query_id"], queries["vector"], queries["cells"], strict=True):
-            seen = np.unpackbits(np.frombuffer(bits, np.uint8))[cells].astype(bool)
-            score = np.sqrt(((points[seen] - np.asarray(vector)) ** 2).sum(1))
-            best = np.argsort(score, kind="stable")[: k + 1]  # ids ascend, so ties go to the smaller
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[seen][best], "score": score[best]}))
+        for begin in range(0, len(queries), QUERY_SLICE):
+            part = queries.iloc[begin : begin + QUERY_SLICE]
+            asking, names = wide(part["vector"]), part["query_id"].to_numpy()
+            first, second = index.sums(asking)
+            seen = within(first[:, one] + second[:, two], part["radius"].to_numpy()[:, None])
+            rough = np.where(seen, squared_distances(asking, points), np.inf)
+            last = np.partition(rough, min(k, len(ids) - 1), axis=1)[:, min(k, len(ids) - 1)]
+            margin = 1e-9 * ((asking * asking).sum(1) + most)  # far above the error of the rough distances
+            query, entry = np.nonzero((rough <= (last + margin)[:, None]) & seen)
+            score = np.sqrt(((points[entry] - asking[query]) ** 2).sum(1))
+            order = np.lexsort((ids[entry], score, query))
+            query, entry, score = query[order], entry[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            top = place <= k
+            out.append(pd.DataFrame({"query_id": names[query[top]], "vec_id": ids[entry[top]], "score": score[top]}))
         return pd.concat(out)
 
     near = routed.groupBy("block", "chunk").cogroup(blocks.groupBy("block", "chunk"))

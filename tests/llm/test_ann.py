@@ -74,3 +74,25 @@ def test_heap_yields_cells_by_summed_distance():
     order = list(ann.cells_by_distance(a, b))
     sums = [a[i] + b[j] for i, j in order]
     assert len(set(order)) == 35 and sums == sorted(sums)
+
+
+def test_a_table_far_larger_than_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_ROWS", 50)  # several chunks per block
+    rng = np.random.default_rng(4)
+    noise = rng.normal(size=(12_000, 16))
+    points = np.where(rng.random(12_000)[:, None] < 0.5, noise, noise * 0.05 + rng.normal(size=(8, 16))[rng.integers(0, 8, 12_000)])
+    points = points.astype(np.float32).astype(float)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    got = answers(ann.nearest(table(spark, rows), sample_rows=1000))
+    want = {}
+    for q in range(0, len(points), 100):
+        far = np.sqrt(((points - points[q]) ** 2).sum(1))
+        far[q] = np.inf
+        want[q] = [(far[i], int(i)) for i in np.argsort(far, kind="stable")[:10]]
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_clustered_vectors_are_searched_by_a_small_share():
+    rng = np.random.default_rng(5)
+    sample = rng.normal(size=(400, 32))[rng.integers(0, 400, 20_000)] + rng.normal(size=(20_000, 32)) * 0.1
+    assert ann.fit(sample, 1_000_000, 10).share < 0.05
