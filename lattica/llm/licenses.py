@@ -3,12 +3,15 @@
 Sentences are normalised and mapped to identifiers of known licence sentences; the sequence of a text's identifiers is
 matched against ordered rules. A rule takes the identifiers that it matches, so a later rule can't match them again.
 
-Lines of a paragraph are joined, so a sentence may be wrapped anywhere. A known sentence also counts if it fills whole
+Sentences that say that a work is released, licensed, distributed or available under something are put in one form,
+"under ...", whatever the work and the verb. Lines of a paragraph are joined, so a sentence may be wrapped anywhere. A known sentence also counts if it fills whole
 lines of a paragraph without end marks, as titles and tags do, or what stands before or after a colon.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +34,13 @@ _BSD_ENDORSE = "may be used to endorse or promote products derived from this sof
 _HOLDER = "neither the name of the copyright holder nor the names of its contributors " + _BSD_ENDORSE
 SENTENCES = {
     "apache-grant": (
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license",
-        "licensed under the apache license version 2 0 license",
-        "this file is licensed under the apache license version 2 0",
-        "this file is licensed to you under the apache license version 2 0 the license",
-        "this project is licensed under the apache license version 2 0",
+        "under apache license version 2 0",
+        "under apache license version 2 0 the license",
+        "under apache license version 2 0 license",
         "the asf licenses this file to you under the apache license version 2 0 the license",
         "the asf licenses this file to you under the apache license version 2 0",
-        "licensed under the apache license 2 0",
+        "under apache license 2 0",
+        "under apache 2 0 license",
         "apache license version 2 0 january 2004",
     ),
     "apache-compliance": (
@@ -47,13 +48,7 @@ SENTENCES = {
         "you may not use this file except in compliance with the license you may obtain a copy of the license at",
     ),
     "mit-name": ("mit license", "the mit license", "the mit license mit", "mit license mit"),
-    "mit-released": (
-        "released under the mit license",
-        "licensed under the mit license",
-        "this project is licensed under the mit license",
-        "this software is released under the mit license",
-        "this code is licensed under the mit license",
-    ),
+    "mit-released": ("under mit license", "under mit license mit"),
     "mit-grant": (
         _MIT_COPY,
         *(
@@ -68,9 +63,16 @@ SENTENCES = {
     "gpl-3": (
         "gnu general public license version 3",
         "gnu general public license version 3 29 june 2007",
-        "licensed under the gnu general public license version 3",
+        "under gnu general public license version 3",
+        "under gnu gpl version 3",
+        "under gpl v3",
+    ),
+    "gpl-2": (
+        "gnu general public license version 2",
+        "gnu general public license version 2 june 1991",
+        "under gnu general public license version 2",
+        "under gpl v2",
     ),
-    "gpl-2": ("gnu general public license version 2", "gnu general public license version 2 june 1991"),
     "bsd-grant": (
         _BSD_GRANT,
         f"{_BSD_GRANT} provided that the following conditions are met",
@@ -89,21 +91,61 @@ SENTENCES = {
     ),
     "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd-endorse": (_HOLDER, f"the name of the author may not be {_BSD_ENDORSE[len('may be '):]}"),
-    "gpl-3-work": "this work is licensed under the gnu general public license version 3",
-    "cc-by": (
-        "licensed under creative commons attribution 4 0",
-        "licensed under cc by 4 0",
-        "this work is licensed under a creative commons attribution 4 0 international license",
-        "this work is licensed under the creative commons attribution 4 0 international license",
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "this source code form is subject to the terms of the mozilla public license v",  # "v." ends a sentence
+        "under mozilla public license version 2 0",
+        "under mozilla public license 2 0",
+        "mozilla public license version 2 0",
+    ),
+    "epl-1": ("under eclipse public license v1 0", "under eclipse public license 1 0", "eclipse public license v 1 0"),
+    "epl-2": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 "
+        "which is available at",
+        "under eclipse public license 2 0",
+        "under eclipse public license v2 0",
+        "eclipse public license v 2 0",
+    ),
+    "permission": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-grant": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "under isc license",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "under unlicense",
     ),
-    "cc-by-nc": (
-        "licensed under cc by nc 4 0",
-        "licensed under creative commons attribution noncommercial 4 0",
-        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-        "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+    "boost": (
+        "under boost software license version 1 0",
+        "under boost software license 1 0",
+        "boost software license version 1 0 august 17th 2003",
+        "boost software license version 1 0",
     ),
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
+    "zlib-grant": (
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter "
+        "it and redistribute it freely subject to the following restrictions",
+        "under zlib license",
+    ),
+    "cc0": (
+        "under cc0 1 0",
+        "under cc0 1 0 universal",
+        "under creative commons cc0 1 0 universal license",
+        "under creative commons zero v1 0 universal",
+    ),
+    "wtfpl": ("do what the fuck you want to public license", "under wtfpl"),
+    "artistic-2": ("under artistic license 2 0", "the artistic license 2 0"),
+    "cddl-1": (
+        "the contents of this file are subject to the terms of the common development and distribution license the license",
+        "under common development and distribution license version 1 0",
+        "under cddl 1 0",
+    ),
+    "eupl": ("under eupl version 1 2", "under european union public licence version 1 2", "under eupl 1 2"),
+    "bsd-name": ("under bsd license", "under a bsd style license"),
+    "bsd-2-name": ("under bsd 2 clause license", "under simplified bsd license"),
+    "bsd-3-name": ("under bsd 3 clause license", "under new bsd license", "under modified bsd license"),
     "reserved": "all rights reserved",
     "free-software": tuple(f"this {work} is free software" for work in ("program", "library", "file", "software")),
 }
@@ -130,6 +172,39 @@ for _version in sorted({v for versions in _VERSIONS.values() for v in versions})
     _v = f"version {_version.replace('.', ' ')} of the license"
     SENTENCES[f"later-{_version}"] = (f"either {_v} or at your option any later version",)
     SENTENCES[f"only-{_version}"] = (_v,)
+# Creative Commons: a kind, its words, and the versions that name it.
+CREATIVE_COMMONS = {
+    "BY": "attribution",
+    "BY-SA": "attribution sharealike",
+    "BY-ND": "attribution noderivatives",
+    "BY-NC": "attribution noncommercial",
+    "BY-NC-SA": "attribution noncommercial sharealike",
+    "BY-NC-ND": "attribution noncommercial noderivatives",
+}
+CREATIVE_COMMONS_VERSIONS = ("3.0", "4.0")
+for _kind, _name in CREATIVE_COMMONS.items():
+    for _version in CREATIVE_COMMONS_VERSIONS:
+        _v = _version.replace(".", " ")
+        _words = (f"creative commons {_name} {_v}", f"cc {_kind.lower().replace('-', ' ')} {_v}")
+        _ends = ("", " license", " licence", " international license", " international licence", " international", " unported license")
+        SENTENCES[f"cc-{_kind.lower()}-{_version}"] = tuple(f"under {w}{end}" for w in _words for end in _ends)
+# Tags "SPDX-License-Identifier: ..." of these identifiers.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause",
+    "BSD-4-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+    *(f"CC-{kind}-{version}" for kind in CREATIVE_COMMONS for version in CREATIVE_COMMONS_VERSIONS),
+)
+for _name in SPDX:
+    SENTENCES[f"spdx-{_name.lower()}"] = "spdx license identifier " + _name.lower().replace("-", " ").replace(".", " ")
+#: A sentence's beginning that says that something is under a licence; what is left of it is "under".
+GRANT = (
+    r"(?:(?:this|the|our)[ \n](?:[a-z]+[ \n])?(?:file|files|project|software|code|work|program|library|package|document|"
+    r"repository|module|source)[ \n](?:is|are)[ \n])?(?:re|dual[ \n])?(?:licensed|licenced|released|distributed|published|"
+    r"(?:made[ \n])?available)[ \n](?:to[ \n]you[ \n])?under[ \n](?:the[ \n]terms[ \n](?:and[ \n]conditions[ \n])?of[ \n])?"
+    r"(?:the[ \n]|an?[ \n](?!bsd[ \n]style))?"
+)
 #: The clause with any holder's name, which is put as that of the copyright holder.
 NAMED_HOLDER = (
     r"([\n\f])neither[ \n]the[ \n]names?[ \n]of(?:[ \n\f][a-z0-9]+){1,20}?[ \n\f]nor(?:[ \n]the)?[ \n]names?[ \n]of"
@@ -156,14 +231,11 @@ _BSD = ("bsd-grant", "bsd-source", "bsd-binary")
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-compliance")),
     ("Apache-2.0", ("apache-grant",)),
-    ("Apache-2.0", ("spdx-apache",)),
     ("MIT", ("mit-name", "mit-grant")),
     ("MIT", ("mit-released",)),
     ("MIT", ("mit-grant",)),
-    ("MIT", ("spdx-mit",)),
     *_fsf_rules(),
     ("GPL-3.0", ("gpl-terms", "gpl-3")),
-    ("GPL-3.0", ("gpl-3-work",)),
     ("GPL-3.0", ("gpl-3",)),
     ("GPL-2.0", ("gpl-2",)),
     ("GPL", ("gpl-terms",)),
@@ -177,15 +249,32 @@ RULES = (
         )
         for reserved in (("reserved",), ())  # the words are part of the notice there
     ),
-    ("CC-BY-4.0", ("cc-by",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc",)),
+    ("BSD-2-Clause", ("bsd-2-name",)),
+    ("BSD-3-Clause", ("bsd-3-name",)),
+    ("BSD", ("bsd-name",)),
+    ("MPL-2.0", ("mpl-2",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("EPL-1.0", ("epl-1",)),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("permission",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("boost",)),
+    ("Zlib", ("zlib-grant",)),
+    ("CC0-1.0", ("cc0",)),
+    ("WTFPL", ("wtfpl",)),
+    ("Artistic-2.0", ("artistic-2",)),
+    ("CDDL-1.0", ("cddl-1",)),
+    ("EUPL-1.2", ("eupl",)),
+    *((f"CC-{kind}-{version}", (f"cc-{kind.lower()}-{version}",)) for kind in CREATIVE_COMMONS for version in CREATIVE_COMMONS_VERSIONS),
+    *((name, (f"spdx-{name.lower()}",)) for name in SPDX),
     ("Proprietary", ("reserved",)),
 )
 
 
 def _texts(known) -> dict[str, str]:
-    """The identifier of each text of ``known``, whose values are one text or several."""
-    return {text: name for name, texts in known.items() for text in ((texts,) if isinstance(texts, str) else texts)}
+    """The identifier of each text of ``known``, whose values are one text or several, with grants in their one form."""
+    listed = ((text, name) for name, texts in known.items() for text in ((texts,) if isinstance(texts, str) else texts))
+    return {re.sub(f"^{GRANT}", "under ", text): name for text, name in listed}
 
 
 def _pattern(tree: dict) -> str:
@@ -217,6 +306,7 @@ def sentences(text: Column, known=None) -> Column:
     plain = F.regexp_replace(F.concat(F.lit("\f"), plain, F.lit("\f")), r"\n ?\n[ \n]*", "\f")
     plain = F.regexp_replace(F.regexp_replace(plain, r" ?\n? ?\f[ \n\f]*", "\f"), r" ?\n ?", "\n")
     plain = F.regexp_replace(plain, NAMED_HOLDER, f"$1{_HOLDER}")
+    plain = F.regexp_replace(plain, rf"([\n\f]){GRANT}", "$1under ")
     if tree:
         plain = F.regexp_replace(plain, rf"[\n\f]({_pattern(tree)})(?=[\n\f])", "\f$1\f")
     joined = F.translate(F.replace(plain, F.lit("\f\n"), F.lit("\f")), "\n", " ")
@@ -231,7 +321,8 @@ def scan(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
     of the rules, each once. The sentences and rules are a fixed table, so they are part of the expression, and the
     scan needs no join and no shuffle.
 
-    Null and empty texts have no sentences and no licences. Repeated rows each get a row, null ids too. An empty table
+    A licence that several rules name, or that a text grants more than once, is listed once; sentence_ids keep repeats.
+    Null and empty texts have no sentences and no licences; long texts are read to their end. Repeated rows each get a row, null ids too. An empty table
     gives no rows. Other columns are ignored, whatever their names.
     """
     known = SENTENCES if known is None else known
