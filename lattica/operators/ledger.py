@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.running import running_sum
+
 NANO = 1_000_000_000
+# The types of wallets that can be created.
+WALLET_TYPES = ("human", "agent", "external")
 
 
 def entries(ledger: DataFrame) -> DataFrame:
@@ -36,7 +40,8 @@ def history(ledger: DataFrame, wallet: str, limit: int = 50) -> DataFrame:
     mine = ledger.filter((F.col("to_wallet") == wallet) | (F.col("from_wallet") == wallet))
     direction = F.when(F.col("to_wallet") == wallet, "received").otherwise("sent")
     rows = mine.select("from_wallet", "to_wallet", "amount", "reason", "timestamp", direction.alias("direction"))
-    return rows.orderBy(F.desc("timestamp")).limit(limit)
+    ties = ["from_wallet", "to_wallet", "amount", "reason"]
+    return rows.orderBy(F.desc("timestamp"), *ties).limit(limit)
 
 
 def total_supply(ledger: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def top_holders(ledger: DataFrame, k: int = 10) -> DataFrame:
 
 def last_mints(ledger: DataFrame, k: int = 10) -> DataFrame:
     mints = ledger.filter("from_wallet IS NULL").select("to_wallet", "amount", "reason", "timestamp")
-    return mints.orderBy(F.desc("timestamp")).limit(k)
+    return mints.orderBy(F.desc("timestamp"), "to_wallet", "amount", "reason").limit(k)
 
 
 def running_balances(ledger: DataFrame) -> DataFrame:
@@ -68,8 +73,7 @@ def running_balances(ledger: DataFrame) -> DataFrame:
     out = F.struct(F.col("from_wallet").alias("wallet"), (-F.col("amount")).alias("change"))
     changes = ledger.select("timestamp", F.explode(F.array(into, out)).alias("side")).select("timestamp", "side.*")
     changes = changes.filter("wallet IS NOT NULL")
-    upto = Window.partitionBy("wallet").orderBy("timestamp", "change").rowsBetween(Window.unboundedPreceding, 0)
-    return changes.withColumn("balance", F.sum("change").over(upto))
+    return running_sum(changes, ["wallet"], "timestamp", "change", "balance", ties=("change",))
 
 
 def overdrafts(ledger: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.paths import in_subtree
+from lattica.operators.running import running_sum
 
 
 def next_price() -> Column:
@@ -63,13 +64,13 @@ def settle(auctions: DataFrame, bids: DataFrame, clock: int = 0) -> DataFrame:
     """
     offers = bids.select(F.col("auction_id").alias("id"), "bidder_wallet", "max_price", "seq")
     good = auctions.filter("status = 'active'").join(offers, "id").filter("max_price >= current_price")
-    by_auction = Window.partitionBy("id")
-    enough = good.withColumn("n", F.count("*").over(by_auction)).filter("n >= min_bidders")
-    upto = by_auction.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return enough.select(
+    counts = good.groupBy("id").agg(F.count("*").alias("n"))
+    enough = good.join(counts, "id").filter("n >= min_bidders").drop("n")
+    summed = running_sum(enough, ["id"], "seq", "current_price", "upto")
+    return summed.select(
         F.col("id").alias("auction_id"), F.col("bidder_wallet").alias("from_wallet"),
         F.col("seller_wallet").alias("to_wallet"), F.col("current_price").alias("amount"),
-        (F.sum("current_price").over(upto) + clock).alias("timestamp"),
+        (F.col("upto") + clock).alias("timestamp"),
     )
 
 
@@ -82,7 +83,8 @@ def browse(
         chosen = chosen.filter(in_subtree(F.col("scope"), scope))
     if max_price is not None:
         chosen = chosen.filter(F.col("current_price") <= max_price)
-    counts = bids.groupBy(F.col("auction_id").alias("id")).agg(F.count("*").alias("bid_count"))
+    offers = bids.select(F.col("auction_id").alias("id")).join(chosen.select("id"), "id", "left_semi")
+    counts = offers.groupBy("id").agg(F.count("*").alias("bid_count"))
     joined = chosen.join(counts, "id", "left")
     rows = joined.select("id", "scope", "current_price", "floor_price", F.coalesce("bid_count", F.lit(0)).cast("long").alias("bid_count"))
     return rows.orderBy("current_price", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.paths import matches
+from lattica.tables import scratch_path, written
 
 # Kinds of nodes that define a symbol and that refer to one.
 DEFINING = ("fn", "struct", "enum", "trait", "impl", "mod", "const", "static", "type_alias", "macro_def", "union")
@@ -45,7 +46,10 @@ def refs(nodes: DataFrame, symbol: str, defining=DEFINING, referring=REFERRING)
 
 
 def with_child_count(chosen: DataFrame, nodes: DataFrame) -> DataFrame:
-    counts = nodes.groupBy(F.col("parent_id").alias("of")).agg(F.count("*").alias("child_count"))
+    """``chosen`` with their numbers of children; only children of chosen nodes are counted."""
+    below = nodes.select(F.col("parent_id").alias("of"))
+    below = below.join(chosen.select(F.col("id").alias("of")), "of", "left_semi")
+    counts = below.groupBy("of").agg(F.count("*").alias("child_count"))
     joined = chosen.join(counts, F.col("id") == F.col("of"), "left")
     return joined.select(
         "id", "kind", "content", "position", "path", F.coalesce("child_count", F.lit(0)).cast("long").alias("child_count")
@@ -62,38 +66,46 @@ def children(nodes: DataFrame, node_id: str) -> DataFrame:
     return with_child_count(nodes.filter(F.col("parent_id") == node_id), nodes).orderBy("position", "id")
 
 
-def ancestors(nodes: DataFrame, node_id: str, max_depth: int = 64) -> DataFrame:
-    """The parents of a node up to its root; depth 0 is the immediate parent.
+def _reached(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, depth) of what ``links`` (source, target) reach from ``start`` (id), which has depth 0.
 
-    A node has few ancestors, so each step is a lookup of one id: the chain is walked with a recursive query.
+    One join per level with the level before, until a level is empty. Each level is a folder of one written table, so
+    neither the number of rows nor the depth is limited, and a lost executor costs a level. What was reached before is
+    not reached again, so links that lead back end too.
     """
-    nodes.createOrReplaceTempView("lattica_nodes")
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE chain(id, kind, content, parent_id, path, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT p.id, p.kind, p.content, p.parent_id, p.path, 0
-          FROM lattica_nodes n JOIN lattica_nodes p ON n.parent_id = p.id WHERE n.id = :node
-          UNION ALL
-          SELECT p.id, p.kind, p.content, p.parent_id, p.path, depth + 1
-          FROM chain JOIN lattica_nodes p ON chain.parent_id = p.id)
-        SELECT id, kind, content, path, depth FROM chain""",
-        args={"node": node_id},
-    )
-
-
-def descendants(nodes: DataFrame, node_id: str, max_depth: int = 64) -> DataFrame:
-    """A node and all below it with their depth; a recursive query, for trees whose paths aren't kept up."""
-    nodes.createOrReplaceTempView("lattica_nodes")
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE below(id, kind, content, parent_id, position, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT id, kind, content, parent_id, position, 0 FROM lattica_nodes WHERE id = :node
-          UNION ALL
-          SELECT c.id, c.kind, c.content, c.parent_id, c.position, depth + 1
-          FROM below JOIN lattica_nodes c ON c.parent_id = below.id)
-        SELECT id, kind, content, parent_id, position, depth FROM below""",
-        args={"node": node_id},
-    )
+    spark = links.sparkSession
+    links = written(links, "links")
+    folder = scratch_path(spark, "reached")
+    start.select("id").distinct().write.parquet(f"{folder}/depth=0")
+    depth = 0
+    while True:
+        found = spark.read.parquet(folder).select("id", "depth")
+        last = found.filter(F.col("depth") == depth).select(F.col("id").alias("source"))
+        further = links.join(last, "source").select(F.col("target").alias("id")).distinct().join(found, "id", "left_anti")
+        further = written(further, "level")
+        if not further.limit(1).count():
+            return found
+        depth += 1
+        further.write.parquet(f"{folder}/depth={depth}")
+
+
+def ancestors(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The parents of a node up to its root; depth 0 is the immediate parent."""
+    up = nodes.filter("parent_id IS NOT NULL").select(F.col("id").alias("source"), F.col("parent_id").alias("target"))
+    found = _reached(up, nodes.filter(F.col("id") == node_id)).filter("depth > 0").select("id", (F.col("depth") - 1).alias("depth"))
+    return nodes.join(found, "id").select("id", "kind", "content", "path", "depth")
+
+
+def below(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth) of ``roots`` (id) and all nodes below them, by their parents: for trees whose paths aren't kept up."""
+    down = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), F.col("id").alias("target"))
+    return _reached(down, roots)
+
+
+def descendants(nodes: DataFrame, node_id: str) -> DataFrame:
+    """A node and all below it with their depth, by their parents."""
+    found = below(nodes, nodes.filter(F.col("id") == node_id))
+    return nodes.join(found, "id").select("id", "kind", "content", "parent_id", "position", "depth")
 
 
 def documents(nodes: DataFrame) -> DataFrame:

@@ -75,11 +75,10 @@ def ancestors_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 @register_sql("descendants_recursive", """WITH RECURSIVE below AS (
   SELECT id, kind, content, parent_id, position, 0 AS depth FROM nodes WHERE id = 'n7'
-  UNION ALL SELECT c.id, c.kind, c.content, c.parent_id, c.position, depth + 1 FROM below JOIN nodes c ON c.parent_id = below.id
-  WHERE c.kind <> 'line')
+  UNION ALL SELECT c.id, c.kind, c.content, c.parent_id, c.position, depth + 1 FROM below JOIN nodes c ON c.parent_id = below.id)
   SELECT id, kind, content, parent_id, position, depth FROM below""")
 def descendants_recursive(spark: SparkSession, d: str) -> DataFrame:
-    return navigate.descendants(model.nodes(spark, d, lines=False), "n7")
+    return navigate.descendants(model.nodes(spark, d), "n7")
 
 
 @register_sql("list_documents", """SELECT n.id, n.kind, n.content, n.position, n.path, coalesce(c.n, 0) AS child_count
@@ -134,7 +133,7 @@ def perspectives_latest(spark: SparkSession, d: str) -> DataFrame:
 @register_sql("get_perspectives", """SELECT node_id, kind, content, context_id, weight FROM perspectives p
   JOIN nodes n ON p.node_id = n.id WHERE agent_id = 'u3' AND weight >= -0.9""")
 def get_perspectives(spark: SparkSession, d: str) -> DataFrame:
-    return perspectives.get_perspectives(_perspectives(spark, d), model.nodes(spark, d, lines=False), "u3", None, -0.9)
+    return perspectives.get_perspectives(_perspectives(spark, d), model.nodes(spark, d), "u3", None, -0.9)
 
 
 @register_sql("get_associations", """SELECT source_id, target_id, relation, weight FROM associations
@@ -150,7 +149,7 @@ def get_associations(spark: SparkSession, d: str) -> DataFrame:
     FROM perspectives GROUP BY ALL HAVING count(DISTINCT agent_id) >= 2 AND avg(weight) >= -0.9) c
   JOIN nodes n ON c.node_id = n.id""")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
-    agreed = perspectives.consensus(_perspectives(spark, d), model.nodes(spark, d, lines=False), None, 2, -0.9)
+    agreed = perspectives.consensus(_perspectives(spark, d), model.nodes(spark, d), None, 2, -0.9)
     return agreed.withColumns({c: F.round(c, 10) for c in ("avg_weight", "stddev_weight")})
 
 
@@ -170,7 +169,7 @@ def perspective_diff(spark: SparkSession, d: str) -> DataFrame:
   WHERE a.agent_id = 's3' AND NOT EXISTS (SELECT 1 FROM associations o WHERE o.source_id = a.source_id
     AND o.target_id = a.target_id AND o.relation = a.relation AND o.agent_id <> a.agent_id)""")
 def unique_insights(spark: SparkSession, d: str) -> DataFrame:
-    return perspectives.unique_insights(_associations(spark, d), model.nodes(spark, d, lines=False), "s3")
+    return perspectives.unique_insights(_associations(spark, d), model.nodes(spark, d), "s3")
 
 
 @register_sql("list_agents", "SELECT id, name, kind FROM agents WHERE kind = 'llm'")

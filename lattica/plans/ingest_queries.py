@@ -235,7 +235,7 @@ def ensemble_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @register_sql("neural_search")
 def neural_search(spark: SparkSession, d: str) -> DataFrame:
-    parts = model.nodes(spark, d, lines=False).filter("kind = 'part'")
+    parts = model.nodes(spark, d).filter("kind = 'part'")
     found = fulltext.search(parts, "widget", None, 200)
     predicted = predict.predict_next(_transitions(spark, d), "R", 7, 1000)
     return predict.neural_search(found, predicted.withColumn("target", F.concat(F.lit("p"), _text("target"))), 100)

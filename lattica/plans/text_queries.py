@@ -10,6 +10,7 @@ from lattica.operators import citations, fulltext, perspectives, walks
 from lattica.plans import model
 from lattica.plans.graph_queries import register_sql
 from lattica.sources import csv_import
+from lattica.tables import scratch_path
 
 
 @register_sql("extract_urls", """SELECT 'g' || page_id AS id, 'url' AS extractor, regexp_replace(u, '\\.+$', '') AS key
@@ -65,7 +66,7 @@ def fts_search(spark: SparkSession, d: str) -> DataFrame:
 
 @register_sql("context_search")
 def context_search(spark: SparkSession, d: str) -> DataFrame:
-    parts = model.nodes(spark, d, lines=False).filter("kind = 'part'")
+    parts = model.nodes(spark, d).filter("kind = 'part'")
     rated = perspectives.current_perspectives(model.perspective_log(spark, d))
     return fulltext.context_search(parts, rated, "old gears", [f"u{k}" for k in range(20)], 50)
 
@@ -89,30 +90,100 @@ def csv_promote(spark: SparkSession, d: str) -> DataFrame:
     return csv_import.import_table(part)
 
 
-@register_sql("csv_shared_columns", """SELECT l.t AS left_table, r.t AS right_table, l.c AS "column" FROM
-  (VALUES (0, 'a', 'id'), (0, 'a', 'season'), (1, 'b', 'season'), (1, 'b', 'day'), (2, 'c', 'id'), (2, 'c', 'season')) l(i, t, c)
-  JOIN (VALUES (0, 'a', 'id'), (0, 'a', 'season'), (1, 'b', 'season'), (1, 'b', 'day'), (2, 'c', 'id'), (2, 'c', 'season')) r(i, t, c)
-  ON l.c = r.c AND l.i < r.i""")
+#: Tables that are written as CSV and imported; nation_copy shares its columns with nation.
+CSV_COLUMNS = {
+    "region": {"r_regionkey": "BIGINT", "r_name": "TEXT"},
+    "nation": {"n_nationkey": "BIGINT", "n_name": "TEXT", "n_regionkey": "BIGINT"},
+    "supplier": {"s_suppkey": "BIGINT", "s_name": "TEXT", "s_nationkey": "BIGINT"},
+    "part": {"p_partkey": "BIGINT", "p_name": "TEXT", "p_brand": "TEXT", "p_size": "BIGINT"},
+    "customer": {"c_custkey": "BIGINT", "c_name": "TEXT", "c_nationkey": "BIGINT", "c_mktsegment": "TEXT"},
+    "orders": {"o_orderkey": "BIGINT", "o_custkey": "BIGINT", "o_orderstatus": "TEXT", "o_orderpriority": "TEXT", "o_orderdate": "DATE"},
+}
+
+
+def _csv_folder(spark: SparkSession, d: str) -> str:
+    """The tables of CSV_COLUMNS, and nation once more, each as one CSV file with its header."""
+    folder = scratch_path(spark, "csv")
+    for name, columns in [*CSV_COLUMNS.items(), ("nation_copy", CSV_COLUMNS["nation"])]:
+        table = model.table(spark, d, name.removesuffix("_copy"))
+        text = [(F.date_format(c, "yyyy-MM-dd") if kind == "DATE" else F.col(c).cast("string")).alias(c.upper()) for c, kind in columns.items()]
+        table.select(*text).coalesce(1).write.csv(f"{folder}-parts/{name}", header=True)
+        move_part(spark, f"{folder}-parts/{name}", f"{folder}/{name.title().replace('_', '')}.csv")
+    return folder
+
+
+def move_part(spark: SparkSession, folder: str, path: str) -> None:
+    """Give the one part file of a written folder a name of its own."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    part = next(f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-"))
+    files.rename(part, target)
+
+
+def _csv_listed() -> list[tuple[str, str, dict[str, str]]]:
+    """(table, its name in the import, columns) in the order of the files."""
+    names = [*CSV_COLUMNS, "nation_copy"]
+    files = sorted(f"{n.title().replace('_', '')}.csv" for n in names)
+    order = {csv_import.table_name(f): k for k, f in enumerate(files)}
+    return sorted(((n.removesuffix("_copy"), n, CSV_COLUMNS[n.removesuffix("_copy")]) for n in names), key=lambda x: order[x[1]])
+
+
+@register_sql("csv_directory_columns", " UNION ALL ".join(
+    f"""SELECT 'retail.{name}.{c}' AS id, 'retail.{name}' AS parent_id, {k} AS position, '{kind}' AS type, false AS partial, count(*) AS rows,
+  count(*) - count({c}) AS nil_count, count(DISTINCT {c}) AS "distinct" FROM {table}"""
+    for table, name, columns in _csv_listed() for k, (c, kind) in enumerate(columns.items())
+))
+def csv_directory_columns(spark: SparkSession, d: str) -> DataFrame:
+    nodes = csv_import.import_directory(spark, _csv_folder(spark, d), "retail").nodes.filter("kind = 'csv_column'")
+    get = lambda key, kind: F.get_json_object("metadata", "$." + key).cast(kind).alias(key)
+    return nodes.select(
+        "id", "parent_id", "position", get("type", "string"), get("partial", "boolean"), get("rows", "long"), get("nil_count", "long"),
+        get("distinct", "long"),
+    )
+
+
+@register_sql("csv_directory_tables", f"""SELECT 'retail' AS id, 'csv_dataset' AS kind, NULL AS parent_id, 0 AS position,
+    ({" + ".join(f"(SELECT count(*) FROM {table})" for table, _, _ in _csv_listed())}) AS rows FROM region WHERE r_regionkey = 0 UNION ALL """
+  + " UNION ALL ".join(f"SELECT 'retail.{name}', 'csv_table', 'retail', {k}, count(*) FROM {table}"
+                       for k, (table, name, _) in enumerate(_csv_listed())))
+def csv_directory_tables(spark: SparkSession, d: str) -> DataFrame:
+    nodes = csv_import.import_directory(spark, _csv_folder(spark, d), "retail").nodes.filter("kind != 'csv_column'")
+    rows = F.coalesce(F.get_json_object("metadata", "$.row_count"), F.get_json_object("metadata", "$.total_rows")).cast("long")
+    return nodes.select("id", "kind", "parent_id", "position", rows.alias("rows"))
+
+
+@register_sql("csv_directory_orders", """SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_orderpriority,
+  o_orderdate::DATE AS o_orderdate FROM orders""")
+def csv_directory_orders(spark: SparkSession, d: str) -> DataFrame:
+    return csv_import.import_directory(spark, _csv_folder(spark, d), "retail").tables["orders"]
+
+
+@register_sql("csv_shared_columns", " UNION ALL ".join(
+    f"SELECT 'retail.nation.{c}' AS source_id, 'retail.nation_copy.{c}' AS target_id, 'shared_column' AS relation FROM region WHERE r_regionkey = 0"
+    for c in CSV_COLUMNS["nation"]
+))
 def csv_shared_columns(spark: SparkSession, d: str) -> DataFrame:
-    return csv_import.shared_columns(spark, {"a": ["id", "season"], "b": ["season", "day"], "c": ["id", "season"]})
+    return csv_import.import_directory(spark, _csv_folder(spark, d), "retail").edges
 
 
-@register_sql("vocab_build", "SELECT id, row_number() OVER (ORDER BY path, position, id) - 1 AS token FROM nodes WHERE kind <> 'line'")
+@register_sql("vocab_build", "SELECT id, row_number() OVER (ORDER BY path, position, id) - 1 AS token FROM nodes")
 def vocab_build(spark: SparkSession, d: str) -> DataFrame:
-    return walks.vocabulary(model.nodes(spark, d, lines=False))
+    return walks.vocabulary(model.nodes(spark, d))
 
 
 @register_sql("walk_tree", """SELECT row_number() OVER (ORDER BY path, position, id) - 1 AS step, id FROM nodes
-  WHERE (path = 'r2' OR starts_with(path, 'r2.')) AND kind <> 'line' ORDER BY path, position, id LIMIT 32""")
+  WHERE (path = 'r2' OR starts_with(path, 'r2.')) ORDER BY path, position, id LIMIT 32""")
 def walk_tree(spark: SparkSession, d: str) -> DataFrame:
-    return walks.tree_walk(model.nodes(spark, d, lines=False), "r2", 32)
+    return walks.tree_walk(model.nodes(spark, d), "r2", 32)
 
 
-@register_sql("adjacency", """WITH e AS (SELECT parent_id AS a, id AS b FROM nodes WHERE parent_id IS NOT NULL AND kind <> 'line'
+@register_sql("adjacency", """WITH e AS (SELECT parent_id AS a, id AS b FROM nodes WHERE parent_id IS NOT NULL
     UNION ALL SELECT source_id, target_id FROM edges)
   SELECT source, count(*) AS neighbours FROM (SELECT a AS source, b AS target FROM e UNION SELECT b, a FROM e) GROUP BY source""")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    both = walks.adjacency(model.nodes(spark, d, lines=False), model.edges(spark, d))
+    both = walks.adjacency(model.nodes(spark, d), model.edges(spark, d))
     return both.groupBy("source").agg(F.count("*").alias("neighbours"))
 
 

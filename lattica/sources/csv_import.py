@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.paths import label
+from lattica.tables import written
+
 INTEGER = r"^\s*[+-]?\d+\s*$"
 FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -38,42 +43,43 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header as text columns with clean, unique names; empty values are null."""
-    raw = spark.read.csv(path, header=False, inferSchema=False, mode="PERMISSIVE", multiLine=False)
-    header = raw.first()
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header as text columns with clean, unique names; empty values are null.
+
+    Short rows are filled with nulls, what long ones have beyond the header is dropped. ``multi_line`` allows line ends
+    within quotes, for which one task reads the whole file; without it a file is read in parts.
+    """
+    options = {"inferSchema": False, "mode": "PERMISSIVE", "multiLine": multi_line, "escape": '"'}
+    header = spark.read.csv(path, header=False, **options).first()
     if header is None:
-        return raw
+        return spark.createDataFrame([], "col string").limit(0)
     names = unique_names([column_name(h or "") for h in header])
-    body = spark.read.csv(path, header=True, inferSchema=False, nullValue="", mode="PERMISSIVE")
-    return body.toDF(*names)
+    schema = ", ".join(f"`{name}` string" for name in names)
+    return spark.read.schema(schema).csv(path, header=True, nullValue="", enforceSchema=True, **options)
 
 
 def profile(table: DataFrame) -> DataFrame:
     """A row per column: counts of values and of each type, distinct values, smallest and largest as text.
 
-    One aggregation over the table for all columns; the row is then turned into one row per column.
+    Values are counted by (column, value), which combines on the map side, and what remains by column; so a value is
+    tested once, however often it occurs, and the rows are read once for all columns.
     """
-    aggregates = []
-    for name in table.columns:
-        value = F.col(f"`{name}`")
-        aggregates += [
-            F.count("*").alias(f"{name}\trows"),
-            F.count(value).alias(f"{name}\tfilled"),
-            F.count_if(value == "").alias(f"{name}\tempty"),
-            F.count_distinct(value).alias(f"{name}\tdistinct"),
-            F.min(value).alias(f"{name}\tmin"),
-            F.max(value).alias(f"{name}\tmax"),
-            F.count_if(value.rlike(INTEGER)).alias(f"{name}\tintegers"),
-            F.count_if(value.rlike(FLOAT)).alias(f"{name}\tfloats"),
-            F.count_if(value.rlike(ISO_DATE) | value.rlike(US_DATE)).alias(f"{name}\tdates"),
-        ]
-    row = table.agg(*aggregates)
-    fields = ["rows", "filled", "empty", "distinct", "min", "max", "integers", "floats", "dates"]
-    structs = [
-        F.struct(F.lit(name).alias("column"), *[F.col(f"`{name}\t{f}`").alias(f) for f in fields]) for name in table.columns
-    ]
-    rows = row.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+    name = lambda c: F.lit(c).alias("column")
+    cells = F.array(*[F.struct(name(c), F.col(f"`{c}`").alias("value")) for c in table.columns])
+    counted = table.select(F.explode(cells).alias("c")).groupBy("c.column", "c.value").agg(F.count("*").alias("n"))
+    names = F.explode(F.array(*[F.lit(c) for c in table.columns])).alias("column")
+    none = table.sparkSession.range(1).select(names, F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
+    value = F.col("value")
+
+    def number(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+
+    rows = counted.unionByName(none).groupBy("column").agg(
+        F.sum("n").cast("long").alias("rows"), number(value.isNotNull()).alias("filled"), number(value == "").alias("empty"),
+        F.count("value").alias("distinct"), F.min("value").alias("min"), F.max("value").alias("max"),
+        number(value.rlike(INTEGER)).alias("integers"), number(value.rlike(FLOAT)).alias("floats"),
+        number(value.rlike(ISO_DATE) | value.rlike(US_DATE)).alias("dates"),
+    )
     nil = F.col("rows") - F.col("filled")
     promoted = (
         F.when(F.col("integers") > 0, "BIGINT").when(F.col("floats") > 0, "DOUBLE").when(F.col("dates") > 0, "DATE")
@@ -125,3 +131,71 @@ def shared_columns(spark: SparkSession, tables: dict[str, list[str]]) -> DataFra
     left = named.select(F.col("idx").alias("i"), F.col("table").alias("left_table"), "column")
     right = named.select(F.col("idx").alias("j"), F.col("table").alias("right_table"), "column")
     return left.join(right, "column").filter("i < j").select("left_table", "right_table", "column")
+
+
+@dataclass
+class Dataset:
+    """An imported directory: typed tables by name, a node per dataset, table and column, and the shared_column edges."""
+
+    tables: dict[str, DataFrame]
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """The CSV files of a folder by name; only their paths are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
+    return sorted(row["path"] for row in found.select("path").collect())
+
+
+def import_directory(spark: SparkSession, folder: str, project: str, multi_line: bool = True) -> Dataset:
+    """Import every CSV file of a folder: profile it, promote its columns, and describe it in nodes.
+
+    A file is read twice, once for its profile and once when its typed table is read. Nodes are (id, kind, content,
+    parent_id, position, path, metadata); ids are paths of project, table and column. The driver holds names alone.
+    """
+    tables, profiles, listed = {}, None, {}
+    names = unique_names([table_name(path) for path in csv_files(spark, folder)])
+    for place, (path, name) in enumerate(zip(csv_files(spark, folder), names, strict=True)):
+        raw = read_csv(spark, path, multi_line)
+        found = written(profile(raw), "csv-profile")
+        kinds = {row["column"]: (row["column"], row["type"], row["partial"]) for row in found.select("column", "type", "partial").collect()}
+        tables[name] = promote(raw, [kinds[c] for c in raw.columns])
+        listed[name] = raw.columns
+        at = F.array_position(F.array(*[F.lit(c) for c in raw.columns]), F.col("column")) - 1
+        own = found.select(
+            F.lit(name).alias("table"), F.lit(place).alias("place"), F.lit(path.rsplit("/", 1)[-1]).alias("source_file"),
+            at.cast("int").alias("at"), *found.columns,
+        )
+        profiles = own if profiles is None else profiles.unionByName(own)
+    root = label(project)
+    if profiles is None:
+        empty = "id string, kind string, content string, parent_id string, position int, path string, metadata string"
+        none = spark.createDataFrame([], empty)
+        return Dataset({}, none, spark.createDataFrame([], "source_id string, target_id string, relation string"))
+    profiles = written(profiles, "csv-profiles")
+    nothing = F.lit(None).cast("string")
+    by_table = profiles.groupBy("table", "place", "source_file").agg(
+        F.max("rows").alias("row_count"), F.count("*").alias("column_count"), F.sum("nil_count").alias("nil_total")
+    )
+    counts = F.struct(F.count("*").alias("table_count"), F.sum("row_count").alias("total_rows"), F.sum("column_count").alias("total_columns"))
+    dataset = by_table.agg(F.to_json(counts).alias("metadata")).select(
+        F.lit(root).alias("id"), F.lit("csv_dataset").alias("kind"), F.lit(project).alias("content"), nothing.alias("parent_id"),
+        F.lit(0).alias("position"), F.lit(root).alias("path"), "metadata",
+    )
+    table_path = F.concat_ws(".", F.lit(root), F.col("table"))
+    described = by_table.select(
+        table_path.alias("id"), F.lit("csv_table").alias("kind"), F.col("table").alias("content"), F.lit(root).alias("parent_id"),
+        F.col("place").alias("position"), table_path.alias("path"),
+        F.to_json(F.struct("source_file", "row_count", "column_count", "nil_total")).alias("metadata"),
+    )
+    column_path = F.concat_ws(".", table_path, F.col("column"))
+    columns = profiles.select(
+        column_path.alias("id"), F.lit("csv_column").alias("kind"), F.col("column").alias("content"), table_path.alias("parent_id"),
+        F.col("at").alias("position"), column_path.alias("path"),
+        F.to_json(F.struct("type", "partial", "rows", "nil_count", "empty", "distinct", "min", "max", "nil_rate")).alias("metadata"),
+    )
+    shared = shared_columns(spark, listed)
+    end = lambda side: F.concat_ws(".", F.lit(root), F.col(f"{side}_table"), F.col("column"))
+    edges = shared.select(end("left").alias("source_id"), end("right").alias("target_id"), F.lit("shared_column").alias("relation"))
+    return Dataset(tables, dataset.unionByName(described).unionByName(columns), edges)

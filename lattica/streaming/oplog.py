@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,20 +20,36 @@ def deduplicated(ops: DataFrame, delay: str = "1 day") -> DataFrame:
     return ops.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["author", "author_seq"])
 
 
+def held_log(spark: SparkSession, log: str) -> DataFrame | None:
+    """The operations of a log with the columns ``query`` and ``batch`` of their folders; None if there are none yet."""
+    try:
+        return spark.read.parquet(log)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_log(ops: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Append new operations to the Parquet log: what a batch repeats, or the log holds, is left out.
 
-    The anti join with the durable log makes replays harmless however late they come; a batch that runs twice after a
-    failure writes the same folder again.
+    Each batch of a query has a folder of its own. A batch that runs again after a failure compares itself with the
+    other folders, never with its own, and writes the same rows there again. The comparison reads only what can match:
+    row groups from the batch's smallest author_seq on.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         fresh = oplog.deduplicated(batch)
-        held = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(log) if number else None
-        if held is not None:
-            fresh = fresh.join(held.select("author", "author_seq"), ["author", "author_seq"], "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{log}/batch={number:09d}")
+        held = held_log(spark, log)
+        least = fresh.agg(F.min("author_seq")).first()[0]
+        if held is not None and least is not None:
+            own = (F.col("query") == query) & (F.col("batch") >= number)
+            held = held.filter(~own).filter(F.col("author_seq") >= least).select("author", "author_seq")
+            fresh = fresh.join(held, ["author", "author_seq"], "left_anti")
+        if least is not None:
+            fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{log}/query={query}/batch={number}")
 
     return ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
