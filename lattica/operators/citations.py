@@ -9,53 +9,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of the extractors.
-BIBLIOGRAPHY = r'([A-Z][^()"\n]{2,200}?)\s*\((\d{4}[a-z]?)\)[.,]?\s*"([^"]{5,300})"'
-INLINE = r"\(([A-Z][\p{L}­'-]+(?:\s*(?:&|and)\s*[A-Z][\p{L}­'-]+)?(?:\s+et\s+al\.?)?),?\s+(\d{4}[a-z]?)\)"
-DOI = r"(?i)doi:?\s*(10\.\d{4,}/[^\s,;]+)"
-ARXIV = r"(?i)arXiv[:\s]+([\w.\-/]*\d[\w.\-/]*)"
+BIBLIOGRAPHY = (
+    r"([A-Z][a-z\x{00AD}\x{00C0}-\x{024F}]+(?:,\s*(?:[A-Z]\.\s*)+(?:and\s+)?)*(?:,?\s*(?:et\s+al\.))?)\s*\((\d{4}[a-z]?)\)\.\s*"
+    r"[\"\x{201C}]([^\"\x{201D}]+)[\"\x{201D}]"
+)
+INLINE = (
+    r"\(([A-Z][a-z\x{00AD}\x{00C0}-\x{024F}]+(?:(?:,?\s*(?:and|&)\s*)?[A-Z][a-z\x{00AD}\x{00C0}-\x{024F}]+)*(?:,?\s*et\s+al\.?)?),?\s*"
+    r"(\d{4}[a-z]?)\)"
+)
+DOI = r"doi:?(10\.\d{4,}/[^\s,;]+)"
+ARXIV = r"arXiv[:\s]+([\d.]+(?:v\d+)?(?:\s*\[[a-z.,\s]+\])?)"
 URL = r"(https?://[^\s,;)\]]+)"
+#: Characters from the start of a bibliography entry in which its DOI stands.
+DOI_REACH = 500
 #: Extractors in the order in which they win a key: name, pattern, number of groups.
 PRIORITY = ("bibliography", "citation", "doi", "arxiv", "url")
 # How well a kind of reference can be resolved; others have 0.2.
 RESOLVABILITY = {"doi": 1.0, "arxiv": 0.9, "url": 0.8, "bibliography": 0.6, "citation": 0.4}
 MIN_LENGTH = 50
+#: Letters that surnames are looked up by.
+GRAM = 3
+
+
+def first_author(authors: Column) -> Column:
+    """The first surname in small letters, without soft hyphens, hyphens and hard spaces."""
+    surname = F.regexp_extract(F.substring_index(authors, ",", 1), r"(\S+)", 1)
+    return F.translate(F.lower(surname), "\u00ad\u00a0-", "")
 
 
 def author_year_key(authors: Column, year: Column) -> Column:
-    """The first surname in small letters without hyphens or odd spaces, a hyphen, and the year."""
-    surname = F.regexp_extract(authors, r"^\s*([^\s,&]+)", 1)
-    return F.concat(F.regexp_replace(F.lower(surname), "[­ \\-]", ""), F.lit("-"), year)
+    return F.concat(first_author(authors), F.lit("-"), year)
 
 
 def _stripped(value: Column) -> Column:
     return F.regexp_replace(value, r"\.+$", "")
 
 
-def _matches(paragraphs: DataFrame, kind: str, pattern: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("found")
-    return paragraphs.select("id", F.lit(kind).alias("extractor"), found)
-
-
 def extract(paragraphs: DataFrame) -> DataFrame:
-    """(id, extractor, key, title) for every citation in paragraphs (id, content) of over 50 characters."""
-    rows = paragraphs.filter(F.length("content") > MIN_LENGTH).select("id", "content")
-    group = lambda pattern, n: F.regexp_extract("found", pattern, n)
-    none = F.lit(None).cast("string")
-    parts = [
-        _matches(rows, "bibliography", BIBLIOGRAPHY).select(
-            "id", "extractor", author_year_key(group(BIBLIOGRAPHY, 1), group(BIBLIOGRAPHY, 2)).alias("key"),
-            group(BIBLIOGRAPHY, 3).alias("title")),
-        _matches(rows, "citation", INLINE).select(
-            "id", "extractor", author_year_key(group(INLINE, 1), group(INLINE, 2)).alias("key"), none.alias("title")),
-        _matches(rows, "doi", DOI).select("id", "extractor", _stripped(group(DOI, 1)).alias("key"), none.alias("title")),
-        _matches(rows, "arxiv", ARXIV).select(
-            "id", "extractor", F.concat(F.lit("arxiv:"), _stripped(group(ARXIV, 1))).alias("key"), none.alias("title")),
-        _matches(rows, "url", URL).select("id", "extractor", _stripped(group(URL, 1)).alias("key"), none.alias("title")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """(id, extractor, key, title) for every citation in paragraphs (id, content) of over 50 characters.
+
+    The paragraphs are read once: all matches of a paragraph are one array. A bibliography entry has the DOI that
+    stands within DOI_REACH characters from its start as its key, else the first author and the year.
+    """
+    content, none = F.col("content"), F.lit(None).cast("string")
+
+    def matches(kind: str, pattern: str, key, title=lambda found: none) -> Column:
+        found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda f: F.struct(F.lit(kind).alias("extractor"), key(f).alias("key"), title(f).alias("title")))
+
+    group = lambda found, pattern, n: F.regexp_extract(found, pattern, n)
+
+    def entry_key(found: Column) -> Column:
+        start = F.position(found, content)
+        doi = group(F.substring(content, start, F.lit(DOI_REACH)), DOI, 1)
+        named = author_year_key(group(found, BIBLIOGRAPHY, 1), group(found, BIBLIOGRAPHY, 2))
+        return F.when(doi != "", _stripped(doi)).otherwise(named)
+
+    all_found = F.concat(
+        matches("bibliography", BIBLIOGRAPHY, entry_key, lambda f: F.trim(group(f, BIBLIOGRAPHY, 3))),
+        matches("citation", INLINE, lambda f: author_year_key(group(f, INLINE, 1), group(f, INLINE, 2))),
+        matches("doi", DOI, lambda f: _stripped(group(f, DOI, 1))),
+        matches("arxiv", ARXIV, lambda f: F.concat(F.lit("arxiv:"), _stripped(F.regexp_extract(group(f, ARXIV, 1), r"(\S+)", 1)))),
+        matches("url", URL, lambda f: _stripped(group(f, URL, 1))),
+    )
+    rows = paragraphs.filter(F.length("content") > MIN_LENGTH).select("id", F.explode(all_found).alias("c"))
+    return rows.select("id", "c.*")
 
 
 def references(extracted: DataFrame) -> DataFrame:
@@ -78,13 +96,20 @@ def score_references(refs: DataFrame, cites: DataFrame, resolved_authors: DataFr
     """Unresolved references (key, extractor, author) by score.
 
     ``cites`` is (key, paragraph, document). Novelty is 0.5 without an author, 0.1 if a resolved author string holds
-    it, else 1. Authors are compared by the words of the resolved strings, so the join is one of equal keys.
+    the first author's surname, else 1. Surnames and strings are joined by the surname's first letters, of which a
+    string has few, and then compared.
     """
     counts = cites.groupBy("key").agg(F.count("*").alias("cites"), F.count_distinct("document").alias("documents"))
-    words = resolved_authors.select(F.explode(F.split(F.lower("authors"), r"[^\p{L}]+")).alias("author"))
-    known = words.filter("author != ''").distinct().withColumn("known", F.lit(True))
-    joined = refs.withColumn("author", F.lower("author")).join(counts, "key", "left").join(known, "author", "left")
-    novelty = F.when(F.coalesce("author", F.lit("")) == "", 0.5).when(F.col("known"), 0.1).otherwise(1.0)
+    refs = refs.withColumn("author", first_author(F.coalesce("author", F.lit(""))))
+    names = refs.select("author").filter("author != ''").distinct().withColumn("gram", F.left("author", F.lit(GRAM)))
+    text = F.lower("authors")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    grams = F.flatten(F.transform(starts, lambda at: F.array(*[F.substring(text, at, F.lit(n)) for n in range(1, GRAM + 1)])))
+    strings = resolved_authors.select(text.alias("held"), F.explode(F.array_distinct(grams)).alias("gram")).distinct()
+    known = names.join(strings, "gram").filter(F.contains("held", F.col("author"))).select("author").distinct()
+    known = known.withColumn("known", F.lit(True))
+    joined = refs.join(counts, "key", "left").join(known, "author", "left")
+    novelty = F.when(F.col("author") == "", 0.5).when(F.col("known"), 0.1).otherwise(1.0)
     zero = F.lit(0)
     score = efe_score(F.coalesce("cites", zero), F.coalesce("documents", zero), novelty, F.col("extractor"))
     return joined.select("key", "extractor", F.round(score, 3).alias("score")).orderBy(F.desc("score"), "key")
@@ -99,3 +124,9 @@ def link_citations(citations: DataFrame, entries: DataFrame) -> DataFrame:
 
 def link_counts(links: DataFrame) -> DataFrame:
     return links.agg(F.count("entry_id").alias("linked"), F.count_if(F.col("entry_id").isNull()).alias("unresolved"))
+
+
+def new_edges(cites: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation) of citations (paragraph, key) that aren't edges yet."""
+    wanted = cites.select(F.col("paragraph").alias("source_id"), F.col("key").alias("target_id"), F.lit("cites").alias("relation"))
+    return wanted.distinct().join(edges.select("source_id", "target_id", "relation"), ["source_id", "target_id", "relation"], "left_anti")

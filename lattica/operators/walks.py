@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.tables import written
+
+#: Parts in which the neighbours of a node are numbered.
+PARTS = 64
+
 
 def vocabulary(nodes: DataFrame) -> DataFrame:
     """(id, token): nodes numbered from 0 by path, position and id.
 
-    Numbered in two steps: counts per range of the order, then places within each, so no task sorts the whole table.
+    Numbered in two steps: the nodes are written in ranges of the order, then counted per range and numbered within
+    it, so no task sorts the whole table.
     """
     ranged = nodes.select("id", "path", "position").repartitionByRange("path", "position", "id")
-    ranged = ranged.withColumn("part", F.spark_partition_id())
+    ranged = written(ranged.withColumn("part", F.spark_partition_id()), "vocabulary")
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -21,6 +27,23 @@ def vocabulary(nodes: DataFrame) -> DataFrame:
     return placed.select("id", (F.col("start") + F.col("row") - 1).cast("long").alias("token"))
 
 
+def to_tokens(walks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``walks`` (walk, step, node) with the token of each node; nodes that aren't in the vocabulary are left out."""
+    named = vocabulary.select(F.col("id").alias("node"), "token")
+    return walks.join(named, "node").select("walk", "step", "token")
+
+
+def to_nodes(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(walk, step, node) of tokens (walk, step, token); unknown tokens are left out."""
+    return tokens.join(vocabulary.select("token", F.col("id").alias("node")), "token").select("walk", "step", "node")
+
+
+def in_order(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(place, id, kind, content) of the nodes that ``ids`` (ids, an array) name, in the order of the array."""
+    listed = ids.select(F.posexplode("ids").alias("place", "id"))
+    return listed.join(nodes.select("id", "kind", "content"), "id").select("place", "id", "kind", "content").orderBy("place")
+
+
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target): the tree and the edges in both directions, each once."""
     tree = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("a"), F.col("id").alias("b"))
@@ -38,20 +61,60 @@ def _draw(seed: int, step: int, *columns: str) -> Column:
 def walk(starts: DataFrame, neighbours: DataFrame, steps: int, seed: int = 0, weight: Column | None = None) -> DataFrame:
     """(walk, step, node): from each start (walk, node) up to ``steps`` steps to random neighbours (source, target).
 
-    A neighbour is drawn by the smallest exponential of its weight, so the draw is a grouping with min_by that
-    combines on the map side. Equal seeds give equal walks.
+    Neighbours are numbered once, and a step draws a number, so it is one row per walk even at a node of very many
+    neighbours. With ``weight`` a neighbour is drawn by the smallest exponential of its weight instead, a grouping with
+    min_by that combines on the map side. Equal seeds give equal walks.
     """
-    neighbours = neighbours.withColumn("w", F.lit(1.0) if weight is None else weight)
     here = starts.select("walk", "node")
     out = here.select("walk", F.lit(0).alias("step"), "node")
+    numbered = None if weight is not None else written(numbered_neighbours(neighbours), "neighbours")
     for step in range(1, steps + 1):
-        options = here.join(neighbours, F.col("node") == F.col("source"))
-        drawn = -F.log(_draw(seed, step, "walk", "target")) / F.col("w")
-        here = options.groupBy("walk").agg(F.min_by("target", F.struct(drawn, "target")).alias("node"))
+        if numbered is None:
+            options = here.join(neighbours.withColumn("w", weight), F.col("node") == F.col("source"))
+            drawn = -F.log(_draw(seed, step, "walk", "target")) / F.col("w")
+            here = options.groupBy("walk").agg(F.min_by("target", F.struct(drawn, "target")).alias("node"))
+        else:
+            degrees = numbered.filter("number = 0").select(F.col("source").alias("node"), "degree")
+            choice = F.floor(_draw(seed, step, "walk", "node") * F.col("degree")).alias("number")
+            chosen = here.join(degrees, "node").select("walk", F.col("node").alias("source"), choice)
+            here = chosen.join(numbered, ["source", "number"]).select("walk", F.col("target").alias("node"))
         out = out.unionByName(here.select("walk", F.lit(step).alias("step"), "node"))
     return out
 
 
+def numbered_neighbours(neighbours: DataFrame) -> DataFrame:
+    """``neighbours`` (source, target) with ``number``, from 0 within the source, and ``degree``.
+
+    Each source is numbered in PARTS parts after one another, so the neighbours of a hub don't meet in one task.
+    """
+    parted = neighbours.select("source", "target").distinct().withColumn("part", F.pmod(F.xxhash64("target"), F.lit(PARTS)))
+    counts = parted.groupBy("source", "part").agg(F.count("*").alias("n"))
+    of_source = Window.partitionBy("source")
+    before = of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        "source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(of_source).alias("degree")
+    )
+    inside = Window.partitionBy("source", "part").orderBy("target")
+    placed = parted.withColumn("row", F.row_number().over(inside)).join(starts, ["source", "part"])
+    return placed.select("source", "target", (F.col("start") + F.col("row") - 1).alias("number"), "degree")
+
+
+def weighted_targets(perspectives: DataFrame, agent: str, context: str | None = None, least: float = 0.0) -> DataFrame:
+    """(node_id, weight): what an agent rates above ``least``, the start of a walk over its perspectives."""
+    mine = perspectives.filter((F.col("agent_id") == agent) & (F.col("weight") > least))
+    if context is not None:
+        mine = mine.filter(F.col("context_id") == context)
+    return mine.groupBy("node_id").agg(F.max("weight").alias("weight"))
+
+
+def perspective_walk(perspectives: DataFrame, agent: str, length: int, seed: int = 0) -> DataFrame:
+    """(step, id): up to ``length`` nodes that an agent rates above zero, drawn without repeats by their weights."""
+    rated = weighted_targets(perspectives, agent)
+    drawn = -F.log(_draw(seed, 0, "node_id")) / F.col("weight")
+    first = rated.select(F.col("node_id").alias("id"), drawn.alias("drawn")).orderBy("drawn", "id").limit(length)
+    return first.select((F.row_number().over(Window.orderBy("drawn", "id")) - 1).alias("step"), "id")
+
+
 def tree_walk(nodes: DataFrame, root: str, length: int) -> DataFrame:
     """(step, id): the first ``length`` nodes below ``root`` in preorder: the order of their paths of positions."""
     below = nodes.filter((F.col("path") == root) | F.col("path").startswith(root + "."))

@@ -155,9 +155,10 @@ def csv_directory_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register_sql("csv_directory_orders", """SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_orderpriority,
-  o_orderdate::DATE AS o_orderdate FROM orders""")
+  strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""")
 def csv_directory_orders(spark: SparkSession, d: str) -> DataFrame:
-    return csv_import.import_directory(spark, _csv_folder(spark, d), "retail").tables["orders"]
+    orders = csv_import.import_directory(spark, _csv_folder(spark, d), "retail").tables["orders"]
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @register_sql("csv_shared_columns", " UNION ALL ".join(
