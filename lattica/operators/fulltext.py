@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from lattica.operators.navigate import clamped
 
 # Words that are no terms.
-STOP_WORDS = "a an and are as at be but by for from if in into is it no not of on or such that the their then there these they this to was will with".split()
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "if", "in", "into", "is", "it", "no", "not",
+    "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+)
 #: Endings that are cut, longest first, and what stands in their place.
 SUFFIXES = (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("iveness", "ive"), ("ingly", ""), ("edly", ""),
             ("ies", "i"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
@@ -43,14 +46,14 @@ def inverted_index(nodes: DataFrame) -> DataFrame:
 def matches(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
     """(id, rank): nodes that hold every term of ``query``. Only the postings of its terms are read.
 
-    rank is the sum of 1 - 1 / (1 + tf) over the terms, divided by 1 + log of the length in terms.
+    rank is the sum of 1 - 1 / (1 + tf) over the terms, in 9 digits, so that its order doesn't hang on how it was added.
     """
     spark = nodes.sparkSession
     asked = spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("term"))
     wanted = [row["term"] for row in asked.collect()]
     postings = (index if index is not None else inverted_index(nodes)).filter(F.col("term").isin(*wanted) if wanted else F.lit(False))
     held = postings.groupBy("id").agg(F.count_distinct("term").alias("n"), F.sum(1 - 1 / (1 + F.col("tf"))).alias("weight"))
-    return held.filter(F.col("n") == len(wanted)).select("id", F.col("weight").alias("rank"))
+    return held.filter(F.col("n") == len(wanted)).select("id", F.round("weight", 9).alias("rank"))
 
 
 def search(nodes: DataFrame, query: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
@@ -66,6 +69,6 @@ def context_search(
     chosen = perspectives if agents is None else perspectives.filter(F.col("agent_id").isin(*agents))
     boost = chosen.groupBy(F.col("node_id").alias("id")).agg(F.avg("weight").alias("boost"), F.count_distinct("agent_id").alias("agents"))
     found = matches(nodes, query).join(boost, "id", "left")
-    combined = F.col("rank") * (1 + F.coalesce("boost", F.lit(0.0)))
+    combined = F.round(F.col("rank") * (1 + F.coalesce("boost", F.lit(0.0))), 9)
     rows = found.select("id", "rank", combined.alias("combined"), F.coalesce("agents", F.lit(0)).cast("long").alias("agents"))
     return rows.orderBy(F.desc("combined"), "id").limit(clamped(limit))

@@ -19,12 +19,16 @@ def transitions(walks: DataFrame) -> DataFrame:
     return pairs.filter("target IS NOT NULL").groupBy("agent", "source", "target").agg(F.count("*").alias("n"))
 
 
-def predict_next(model: DataFrame, agent: str, node: str, top_k: int | None = None) -> DataFrame:
-    """(target, probability) of the likeliest nodes after ``node``; equal ones by id."""
+def probabilities(model: DataFrame, agent: str, node: str) -> DataFrame:
+    """(target, probability) of all nodes that followed ``node``."""
     options = model.filter((F.col("agent") == agent) & (F.col("source") == node))
     total = F.sum("n").over(Window.partitionBy("source"))
-    rows = options.select("target", (F.col("n") / total).alias("probability"))
-    return rows.orderBy(F.desc("probability"), "target").limit(clamped(top_k))
+    return options.select("target", (F.col("n") / total).alias("probability"))
+
+
+def predict_next(model: DataFrame, agent: str, node: str, top_k: int | None = None) -> DataFrame:
+    """(target, probability) of the likeliest nodes after ``node``; equal ones by id."""
+    return probabilities(model, agent, node).orderBy(F.desc("probability"), "target").limit(clamped(top_k))
 
 
 def ensemble_predict(model: DataFrame, agents: list[str], node: str, top_k: int | None = None) -> DataFrame:
@@ -40,7 +44,7 @@ def neural_search(found: DataFrame, predicted: DataFrame, limit: int | None = No
     """Search results (id, rank) by rank x (1 + probability of the node in ``predicted``)."""
     near = predicted.select(F.col("target").alias("id"), "probability")
     score = F.coalesce("probability", F.lit(0.0))
-    rows = found.join(near, "id", "left").select("id", "rank", score.alias("neural"), (F.col("rank") * (1 + score)).alias("combined"))
+    rows = found.join(near, "id", "left").select("id", "rank", score.alias("neural"), F.round(F.col("rank") * (1 + score), 9).alias("combined"))
     return rows.orderBy(F.desc("combined"), "id").limit(clamped(limit))
 
 

@@ -53,9 +53,15 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return all_edges.select(both.alias("e")).select("e.*").distinct()
 
 
+def _digits(text: Column, n: int) -> Column:
+    """The first ``n`` hexadecimal digits of the MD5 of a text, as a number."""
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
 def _draw(seed: int, step: int, *columns: str) -> Column:
     """A uniform number in (0, 1) that depends on seed, step and columns alone."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), *[F.col(c).cast("string") for c in columns])
+    return (_digits(text, 13) + 0.5) / float(1 << 52)
 
 
 def walk(starts: DataFrame, neighbours: DataFrame, steps: int, seed: int = 0, weight: Column | None = None) -> DataFrame:
@@ -87,7 +93,7 @@ def numbered_neighbours(neighbours: DataFrame) -> DataFrame:
 
     Each source is numbered in PARTS parts after one another, so the neighbours of a hub don't meet in one task.
     """
-    parted = neighbours.select("source", "target").distinct().withColumn("part", F.pmod(F.xxhash64("target"), F.lit(PARTS)))
+    parted = neighbours.select("source", "target").distinct().withColumn("part", _digits(F.col("target").cast("string"), 4) % PARTS)
     counts = parted.groupBy("source", "part").agg(F.count("*").alias("n"))
     of_source = Window.partitionBy("source")
     before = of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

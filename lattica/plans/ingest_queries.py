@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.operators import code, fulltext, predict, proofs, stacks
 from lattica.plans import model
 from lattica.plans.graph_queries import register_sql
+from lattica.plans.oracle import ranked_sql
 from lattica.sources import latex, markdown, repository
 
 
@@ -233,11 +234,14 @@ def ensemble_predict(spark: SparkSession, d: str) -> DataFrame:
     return predict.ensemble_predict(_transitions(spark, d), ["A", "N", "R"], 7, 10)
 
 
-@register_sql("neural_search")
+@register_sql("neural_search", f"""WITH found AS (SELECT * FROM {ranked_sql("nodes", "widget", "kind = 'part'")} ORDER BY rank DESC, id LIMIT 200),
+  predicted AS (SELECT 'p' || target AS id, n / sum(n) OVER () AS probability FROM ({TRANSITIONS}) WHERE agent = 'R' AND source = 7)
+  SELECT f.id, rank, coalesce(probability, 0) AS neural, round(rank * (1 + coalesce(probability, 0)), 9) AS combined
+  FROM found f LEFT JOIN predicted p ON f.id = p.id ORDER BY combined DESC, f.id LIMIT 100""")
 def neural_search(spark: SparkSession, d: str) -> DataFrame:
     parts = model.nodes(spark, d).filter("kind = 'part'")
     found = fulltext.search(parts, "widget", None, 200)
-    predicted = predict.predict_next(_transitions(spark, d), "R", 7, 1000)
+    predicted = predict.probabilities(_transitions(spark, d), "R", 7)
     return predict.neural_search(found, predicted.withColumn("target", F.concat(F.lit("p"), _text("target"))), 100)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from lattica.operators.fulltext import STOP_WORDS, SUFFIXES
+
 TABLES = {
     "lines": """SELECT *, row_number() OVER (PARTITION BY l_orderkey
       ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ordinal FROM lineitem""",
@@ -93,3 +95,29 @@ def sql(body: str) -> str:
         recursive, rest = found[1] or "", body[found.end() :]
         return f"WITH {recursive}" + ", ".join([*tables, rest])
     return ("WITH " + ", ".join(tables) + " " if tables else "") + body
+
+
+def stem_sql(word: str) -> str:
+    """The stem of a word in SQL, by the endings of :mod:`lattica.operators.fulltext`."""
+    whens = ""
+    for ending, instead in SUFFIXES:
+        fits = f"ends_with({word}, '{ending}') AND length({word}) >= {len(ending) + 3}"
+        if ending == "s":
+            fits += f" AND NOT ends_with({word}, 'ss') AND NOT ends_with({word}, 'us')"
+        whens += f" WHEN {fits} THEN left({word}, length({word}) - {len(ending)}) || '{instead}'"
+    return f"CASE{whens} ELSE {word} END"
+
+
+def terms_sql(text: str) -> str:
+    """A list of the terms of a text in SQL."""
+    listed = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    words = f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({listed}))"
+    return f"list_transform({words}, lambda w: {stem_sql('w')})"
+
+
+def ranked_sql(table: str, query: str, where: str = "true") -> str:
+    """(id, rank) of the rows of ``table`` that hold all terms of ``query``, in SQL."""
+    return f"""(SELECT id, round(sum(1 - 1 / (1 + tf)), 9) AS rank FROM (
+      SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('content')}) AS term FROM {table} WHERE {where})
+      WHERE list_contains({terms_sql(f"'{query}'")}, term) GROUP BY id, term)
+    GROUP BY id HAVING count(*) = len(list_distinct({terms_sql(f"'{query}'")})))"""

@@ -9,6 +9,7 @@ from lattica.functions import arithmetic
 from lattica.operators import citations, fulltext, perspectives, walks
 from lattica.plans import model
 from lattica.plans.graph_queries import register_sql
+from lattica.plans.oracle import ranked_sql
 from lattica.sources import csv_import
 from lattica.tables import scratch_path
 
@@ -59,12 +60,16 @@ def fts_match(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.matches(paragraphs, "the Apache licensed").select("id")
 
 
-@register_sql("fts_search")
+@register_sql("fts_search", f"""SELECT r.id, n.kind, n.path, r.rank FROM {ranked_sql("document_nodes", "licensed under the Apache License", "kind = 'paragraph'")} r
+  JOIN document_nodes n ON r.id = n.id ORDER BY rank DESC, r.id LIMIT 20""")
 def fts_search(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.search(model.document_nodes(spark, d), "licensed under the Apache License", "paragraph", 20)
 
 
-@register_sql("context_search")
+@register_sql("context_search", f"""WITH boost AS (SELECT node_id AS id, avg(weight) AS boost, count(DISTINCT agent_id) AS agents FROM perspectives
+    WHERE agent_id IN (SELECT 'u' || i FROM range(20) r(i)) GROUP BY node_id)
+  SELECT r.id, rank, round(rank * (1 + coalesce(boost, 0)), 9) AS combined, coalesce(agents, 0) AS agents
+  FROM {ranked_sql("nodes", "old gears", "kind = 'part'")} r LEFT JOIN boost b ON r.id = b.id ORDER BY combined DESC, r.id LIMIT 50""")
 def context_search(spark: SparkSession, d: str) -> DataFrame:
     parts = model.nodes(spark, d).filter("kind = 'part'")
     rated = perspectives.current_perspectives(model.perspective_log(spark, d))
@@ -188,7 +193,19 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("neighbours"))
 
 
-@register_sql("walk_edges")
+DRAWN = """floor((('0x' || substr(md5('3|{step}|' || walk || '|' || node), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * d.degree)"""
+
+
+def _step_sql(step: int) -> str:
+    return f"""s{step} AS (SELECT walk, n.target AS node FROM s{step - 1} JOIN (SELECT DISTINCT source, degree FROM numbered) d ON d.source = node
+    JOIN numbered n ON n.source = d.source AND n.number = {DRAWN.format(step=step)})"""
+
+
+@register_sql("walk_edges", f"""WITH e AS (SELECT DISTINCT source_id AS source, target_id AS target FROM edges),
+  numbered AS (SELECT source, target, count(*) OVER (PARTITION BY source) AS degree,
+    row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(target), 1, 4))::BIGINT % {walks.PARTS}, target) - 1 AS number FROM e),
+  s0 AS (SELECT 'o' || o_orderkey AS walk, 'o' || o_orderkey AS node FROM orders), {_step_sql(1)}, {_step_sql(2)}
+  SELECT walk, 0::INTEGER AS step, node FROM s0 UNION ALL SELECT walk, 1, node FROM s1 UNION ALL SELECT walk, 2, node FROM s2""")
 def walk_edges(spark: SparkSession, d: str) -> DataFrame:
     edges = model.edges(spark, d).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     starts = model.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
