@@ -87,14 +87,15 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         ).withColumn("key", F.col("key").bitwiseXOR(F.col("flip")))
         hot = stored.groupBy("key").agg(F.ceil(F.count("*") / SEGMENT_ROWS).cast("int").alias("parts")).filter("parts > 1")
         if not many or is_empty(hot := shared_table(hot, "simhash-hot-segments")):
-            pairs = probes.join(stored, "key")
+            # The sizes that Spark expects don't count what explode adds, so it must not broadcast the lookups
+            pairs = probes.join(stored.hint("merge"), "key")
         else:  # the stored ones of a frequent segment lie in parts, and each part gets all its lookups
             hot = F.broadcast(hot)  # a row per SEGMENT_ROWS fingerprints at most
             parts = F.coalesce("parts", F.lit(1))
             stored = stored.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
             probes = probes.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
             probes = probes.drop("parts").withColumn("part", F.col("part").cast("long"))
-            pairs = probes.join(stored, ["key", "part"])
+            pairs = probes.join(stored.hint("merge"), ["key", "part"])
         near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
         for earlier in range(number):
             near &= F.bit_count(_segment("a", earlier).bitwiseXOR(_segment("b", earlier))) > radius
