@@ -1,50 +1,15 @@
-"""Intermediate tables in the folder that all executors share, and joins that split their hot keys."""
+"""Written intermediate tables, joins that split their hot keys, and slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local session that sets none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables below :func:`shared_dir`; Spark's exit deletes it."""
-    context = spark.sparkContext
-    folder = getattr(context, "_lattica_scratch", None)
-    if folder is None:
-        folder = f"{shared_dir(spark)}/lattica-{context.applicationId}"
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        context._lattica_scratch = folder
-    return folder
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the scratch folder and read it back.
-
-    Cuts the lineage: what follows survives a lost executor without running ``df`` again, and Spark knows
-    the size of the written table, so it broadcasts it in a join only if that size is under the limit.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lattica.tables import scratch_dir, shared_dir  # noqa: F401  for the operators of this subpackage
+from lattica.tables import written as shared_table
 
 
 #: Rows of one key beyond which a join doesn't bring them together in one task.
