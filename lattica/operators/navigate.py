@@ -76,17 +76,18 @@ def _reached(links: DataFrame, start: DataFrame) -> DataFrame:
     spark = links.sparkSession
     links = written(links, "links")
     folder = scratch_path(spark, "reached")
-    start.select("id").distinct().write.parquet(f"{folder}/depth=0")
+    start = start.select("id").distinct()
+    start.write.parquet(f"{folder}/depth=0")
+    schema = f"id {start.schema['id'].dataType.simpleString()}, depth int"
     depth = 0
     while True:
-        found = spark.read.parquet(folder).select("id", "depth")
+        found = spark.read.schema(schema).parquet(folder)
         last = found.filter(F.col("depth") == depth).select(F.col("id").alias("source"))
         further = links.join(last, "source").select(F.col("target").alias("id")).distinct().join(found, "id", "left_anti")
-        further = written(further, "level")
-        if not further.limit(1).count():
-            return found
         depth += 1
         further.write.parquet(f"{folder}/depth={depth}")
+        if not spark.read.schema(schema).parquet(f"{folder}/depth={depth}").limit(1).count():
+            return spark.read.schema(schema).parquet(folder)
 
 
 def ancestors(nodes: DataFrame, node_id: str) -> DataFrame:
