@@ -31,7 +31,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 @register_sql("repo_census", """SELECT repo, language, count(*) AS files, sum(lines)::BIGINT AS lines FROM (
     SELECT source AS repo,
-      CASE WHEN doc_id % 13 = 0 THEN 'make' WHEN doc_id % 6 <> 4 AND octet_length(encode(text)) > 1000000 AND doc_id % 6 NOT IN (0, 2) THEN 'binary'
+      CASE WHEN doc_id % 13 = 0 THEN 'make' WHEN doc_id % 6 <> 4 AND octet_length(encode(text)) > 1048576 AND doc_id % 6 NOT IN (0, 2) THEN 'binary'
            ELSE ['rust', 'python', 'markdown', 'text', 'binary', 'json'][doc_id % 6 + 1] END AS language,
       CASE WHEN doc_id % 13 <> 0 AND doc_id % 6 = 4 THEN 0
            ELSE length(text) - length(replace(text, chr(10), '')) + (text <> '' AND right(text, 1) <> chr(10))::INT END AS lines

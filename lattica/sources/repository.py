@@ -9,86 +9,89 @@ from lattica.operators.latest import sync_counts
 
 # Languages of whole file names, and of extensions.
 FILE_NAMES = {
-    "make": "Makefile GNUmakefile",
-    "dockerfile": "Dockerfile",
-    "ruby": "Vagrantfile Rakefile Gemfile",
-    "cmake": "CMakeLists.txt",
-    "gitconfig": ".gitignore .gitattributes .gitmodules",
-    "ini": ".editorconfig",
+    "make": ["Makefile", "GNUmakefile"],
+    "dockerfile": ["Dockerfile"],
+    "ruby": ["Vagrantfile", "Rakefile", "Gemfile"],
+    "cmake": ["CMakeLists.txt"],
+    "gitconfig": [".gitignore", ".gitattributes", ".gitmodules"],
+    "ini": [".editorconfig"],
 }
 EXTENSIONS = {
-    "rust": "rs",
-    "go": "go",
-    "c": "c h",
-    "markdown": "md markdown",
-    "python": "py pyw pyi",
-    "javascript": "js mjs cjs",
-    "typescript": "ts mts cts",
-    "jsx": "jsx",
-    "tsx": "tsx",
-    "ruby": "rb",
-    "php": "php",
-    "perl": "pl pm",
-    "lua": "lua",
-    "r": "r",
-    "julia": "jl",
-    "elixir": "ex exs",
-    "erlang": "erl hrl",
-    "java": "java",
-    "kotlin": "kt kts",
-    "scala": "scala sc",
-    "swift": "swift",
-    "csharp": "cs",
-    "cpp": "cpp cc cxx hpp hxx hh",
-    "zig": "zig",
-    "nim": "nim",
-    "d": "d",
-    "haskell": "hs lhs",
-    "ocaml": "ml mli",
-    "fsharp": "fs fsx fsi",
-    "clojure": "clj cljs cljc",
-    "dart": "dart",
-    "shell": "sh bash zsh",
-    "fish": "fish",
-    "powershell": "ps1 psm1 psd1",
-    "batch": "bat cmd",
-    "yaml": "yaml yml",
-    "json": "json jsonc",
-    "toml": "toml",
-    "xml": "xml xsl xsd",
-    "ini": "ini cfg",
-    "csv": "csv tsv",
-    "sql": "sql",
-    "graphql": "graphql gql",
-    "protobuf": "proto",
-    "html": "html htm xhtml",
-    "css": "css",
-    "scss": "scss sass",
-    "less": "less",
-    "vue": "vue",
-    "svelte": "svelte",
-    "text": "txt text",
-    "rst": "rst",
-    "asciidoc": "adoc asciidoc",
-    "latex": "tex latex",
-    "org": "org",
-    "log": "log",
-    "cmake": "cmake",
-    "gradle": "gradle",
-    "lockfile": "lock",
-    "dotenv": "env",
-    "diff": "diff patch",
+    "rust": ["rs"],
+    "go": ["go"],
+    "c": ["c", "h"],
+    "markdown": ["md", "markdown"],
+    "python": ["py", "pyw", "pyi"],
+    "javascript": ["js", "mjs", "cjs"],
+    "typescript": ["ts", "mts", "cts"],
+    "jsx": ["jsx"],
+    "tsx": ["tsx"],
+    "ruby": ["rb"],
+    "php": ["php"],
+    "perl": ["pl", "pm"],
+    "lua": ["lua"],
+    "r": ["r"],
+    "julia": ["jl"],
+    "elixir": ["ex", "exs"],
+    "erlang": ["erl", "hrl"],
+    "java": ["java"],
+    "kotlin": ["kt", "kts"],
+    "scala": ["scala", "sc"],
+    "swift": ["swift"],
+    "csharp": ["cs"],
+    "cpp": ["cpp", "cc", "cxx", "hpp", "hxx", "hh"],
+    "zig": ["zig"],
+    "nim": ["nim"],
+    "d": ["d"],
+    "haskell": ["hs", "lhs"],
+    "ocaml": ["ml", "mli"],
+    "fsharp": ["fs", "fsx", "fsi"],
+    "clojure": ["clj", "cljs", "cljc"],
+    "dart": ["dart"],
+    "shell": ["sh", "bash", "zsh"],
+    "fish": ["fish"],
+    "powershell": ["ps1", "psm1", "psd1"],
+    "batch": ["bat", "cmd"],
+    "yaml": ["yaml", "yml"],
+    "json": ["json", "jsonc"],
+    "toml": ["toml"],
+    "xml": ["xml", "xsl", "xsd"],
+    "ini": ["ini", "cfg"],
+    "csv": ["csv", "tsv"],
+    "sql": ["sql"],
+    "graphql": ["graphql", "gql"],
+    "protobuf": ["proto"],
+    "html": ["html", "htm", "xhtml"],
+    "css": ["css"],
+    "scss": ["scss", "sass"],
+    "less": ["less"],
+    "vue": ["vue"],
+    "svelte": ["svelte"],
+    "text": ["txt", "text"],
+    "rst": ["rst"],
+    "asciidoc": ["adoc", "asciidoc"],
+    "latex": ["tex", "latex"],
+    "org": ["org"],
+    "log": ["log"],
+    "cmake": ["cmake"],
+    "gradle": ["gradle"],
+    "lockfile": ["lock"],
+    "dotenv": ["env"],
+    "diff": ["diff", "patch"],
 }
-BINARY_EXTENSIONS = (
-    "png jpg jpeg gif bmp ico webp svg tiff tif pdf doc docx xls xlsx ppt pptx odt zip tar gz bz2 xz 7z rar zst "
-    "exe dll so dylib a lib o obj pyc pyo class wasm bin dat ttf otf woff woff2 eot "
-    "mp3 mp4 wav ogg flac avi mkv mov webm db sqlite sqlite3"
-)
+# Extensions of binary files.
+BINARY_EXTENSIONS = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "svg", "tiff", "tif", "pdf", "doc", "docx", "xls", "xlsx",
+    "ppt", "pptx", "odt", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "zst", "exe", "dll", "so", "dylib", "a",
+    "lib", "o", "obj", "pyc", "pyo", "class", "wasm", "bin", "dat", "ttf", "otf", "woff", "woff2", "eot", "mp3",
+    "mp4", "wav", "ogg", "flac", "avi", "mkv", "mov", "webm", "db", "sqlite", "sqlite3",
+]
+# Languages that are parsed.
 PARSED = ("rust", "go", "c", "markdown")
 #: Bytes in which a null byte makes a file binary.
 SAMPLE_BYTES = 8192
-#: Bytes of opaque text that are stored, and beyond which a file counts as binary.
-STORED_BYTES, TEXT_BYTES = 100_000, 1_000_000
+# Fixed value: bytes of opaque text beyond which a file counts as binary.
+TEXT_BYTES = 1024 * 1024
 
 
 def normalized(text: Column) -> Column:
@@ -100,8 +103,8 @@ def normalized(text: Column) -> Column:
     return F.concat(F.regexp_replace(out, r"^\n+|\n+$", ""), F.lit("\n"))
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for language, names in table.items() for name in names.split() for x in (name, language)]
+def _lookup(table: dict[str, list[str]], key: Column) -> Column:
+    pairs = [F.lit(x) for language, names in table.items() for name in names for x in (name, language)]
     return F.create_map(*pairs)[key]
 
 
@@ -117,7 +120,7 @@ def language(path: Column, content: Column | None = None) -> Column:
         sample = F.decode(F.substring(content, 1, SAMPLE_BYTES), "ISO-8859-1")
         null_byte = F.coalesce(F.contains(sample, F.lit("\0")), F.lit(False))
     known = F.coalesce(_lookup(FILE_NAMES, name), _lookup(EXTENSIONS, extension))
-    binary = F.coalesce(extension.isin(*BINARY_EXTENSIONS.split()), F.lit(False))
+    binary = F.coalesce(extension.isin(*BINARY_EXTENSIONS), F.lit(False))
     return F.when(known.isNotNull(), known).when(~binary & ~null_byte, F.lit("text"))
 
 
@@ -131,7 +134,7 @@ def files(rows: DataFrame) -> DataFrame:
     """Nodes of files (repo, path, content): repo, path, kind, language, content, line_count, bytes, sha.
 
     Languages that are parsed have kind ``file``, other text ``repo_opaque_text``, the rest and text of over TEXT_BYTES
-    ``repo_opaque_binary``. Content is kept for texts of up to STORED_BYTES. Null content is empty.
+    ``repo_opaque_binary``. Texts keep their whole content. Null content is empty.
     """
     content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
     rows = rows.select("repo", "path", content.alias("content")).withColumn("language", language(F.col("path"), F.col("content")))
@@ -142,7 +145,7 @@ def files(rows: DataFrame) -> DataFrame:
     decoded = F.when(kind != "repo_opaque_binary", F.col("content").cast("string"))
     return rows.select(
         "repo", "path", kind.alias("kind"), F.when(kind != "repo_opaque_binary", F.col("language")).alias("language"),
-        F.when(parsed | (size <= STORED_BYTES), decoded).alias("content"), line_count(decoded).alias("line_count"),
+        decoded.alias("content"), line_count(decoded).alias("line_count"),
         size.cast("long").alias("bytes"), F.sha2("content", 256).alias("sha"),
     )
 
