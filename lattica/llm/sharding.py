@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from lattica.llm.shared import is_empty, scratch_dir, shared_table
 
 SLOTS = 4096
-#: A text is heavy if its copies fill more than this part of an equal share of a shard; it is then spread over slots
-#: that hold about a 64th of a share each.
-HEAVY_PART = 1 / 16
+#: A text is heavy if its copies fill more than an equal share of a shard, or than the second of these parts of one
+#: where the shards can't be near equal otherwise; it is then spread over slots that hold about a 64th of a share each.
+HEAVY_PARTS = (1.0, 1 / 16)
 SLOTS_PER_SHARE = 64
 #: How far a shard may be from an equal share before a stored map is edited.
 TOLERANCE = 0.02
@@ -49,18 +49,20 @@ REPEATED = "text_hash long, id_hash long"
 MAP = "home long, shard int"
 
 
-def heavy_texts(sized: DataFrame, n_shards: int, known: DataFrame | None = None) -> DataFrame:
-    """HEAVY rows: the texts whose copies exceed HEAVY_PART of a share, and the slots from ``first`` that are theirs.
+def heavy_texts(
+    sized: DataFrame, n_shards: int, known: DataFrame | None = None, part: float = HEAVY_PARTS[0]
+) -> DataFrame:
+    """HEAVY rows: the texts whose copies exceed ``part`` of a share, and the slots from ``first`` that are theirs.
 
-    They are fewer than ``n_shards / HEAVY_PART`` whatever the input. ``known``, of an earlier version, stays as it is.
+    They are fewer than ``n_shards / part`` whatever the input. ``known``, of an earlier version, stays as it is.
     """
     slot = F.pmod("text_hash", F.lit(SLOTS))
     bytes_by_slot = sized.groupBy(slot.alias("home")).agg(F.sum("size").alias("bytes"))
     share = F.sum("bytes").over(Window.partitionBy()) / n_shards  # a row per slot
-    full = bytes_by_slot.withColumn("share", share).filter(F.col("bytes") > F.col("share") * HEAVY_PART)
+    full = bytes_by_slot.withColumn("share", share).filter(F.col("bytes") > F.col("share") * part)
     texts = sized.select(slot.alias("home"), "text_hash", "size").join(F.broadcast(full.select("home", "share")), "home")
     texts = texts.groupBy("text_hash", "share").agg(F.sum("size").alias("bytes"))
-    texts = texts.filter(F.col("bytes") > F.col("share") * HEAVY_PART)
+    texts = texts.filter(F.col("bytes") > F.col("share") * part)
     if known is not None:
         texts = texts.join(F.broadcast(known.select("text_hash")), "text_hash", "left_anti")
     width = F.ceil(F.col("bytes") / F.col("share") * SLOTS_PER_SHARE).cast("long")
@@ -186,27 +188,16 @@ def current_map(
     """
     spark = sized.sparkSession
     version = stored_version(spark, folder)
-    known = load_map(spark, folder, version) if version else None
-    heavy = heavy_texts(sized, n_shards, known[1] if known else None)
-    heavy = _stored(heavy, folder, "heavy", version + 1, HEAVY)
-    if is_empty(heavy):
-        repeated = spark.createDataFrame([], REPEATED)
-    else:
-        repeated = repeated_ids(sized, heavy)
-    if known:
-        repeated = known[2].unionByName(repeated).distinct()
-    repeated = _stored(repeated, folder, "repeated", version + 1, REPEATED)
-    slot_bytes = with_slots(sized, heavy, repeated).groupBy("home").agg(F.sum("size").alias("bytes"))
-    slot_bytes = shared_table(slot_bytes, "shard-bytes")
-    if not known:
-        fresh = new_map(slot_bytes, n_shards).select("home", "shard")
-        return _stored(fresh, folder, "map", 1, MAP), heavy, repeated
+    if not version:
+        return _first_map(sized, n_shards, folder, tolerance)
+    known = load_map(spark, folder, version)
+    heavy, repeated, slot_bytes = _slots(sized, n_shards, folder, version + 1, known, HEAVY_PARTS[0])
     old = known[0].withColumn("version", F.lit(version))
-    loads = slot_bytes.join(old, "home", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
-    share = sum(row["bytes"] for row in loads) / n_shards
-    unplaced = any(row["shard"] is None or row["shard"] >= n_shards for row in loads)
-    filled = sum(1 for row in loads if row["shard"] is not None)
-    if unplaced or filled < min(n_shards, slot_bytes.count()) or any(row["bytes"] > share * (1 + tolerance) for row in loads):
+    loads = _loads(slot_bytes, old)
+    share = sum(loads.values()) / n_shards
+    unplaced = any(shard is None or shard >= n_shards for shard in loads)
+    empty = len(loads) < min(n_shards, slot_bytes.count())
+    if unplaced or empty or any(size > share * (1 + tolerance) for size in loads.values()):
         # slots without rows now keep their shard
         idle = old.join(slot_bytes, "home", "left_anti").filter(F.col("shard") < n_shards)
         fresh = edited_map(old, slot_bytes, n_shards, tolerance).select("home", "shard")
@@ -215,6 +206,37 @@ def current_map(
     return known[0], heavy, repeated
 
 
+def _slots(
+    sized: DataFrame, n_shards: int, folder: str, version: int, known: tuple | None, part: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The heavy texts and repeated ids of a version, stored, and the bytes of its slots."""
+    heavy = heavy_texts(sized, n_shards, known[1] if known else None, part)
+    heavy = _stored(heavy, folder, "heavy", version, HEAVY)
+    repeated = sized.sparkSession.createDataFrame([], REPEATED) if is_empty(heavy) else repeated_ids(sized, heavy)
+    if known:
+        repeated = known[2].unionByName(repeated).distinct()
+    repeated = _stored(repeated, folder, "repeated", version, REPEATED)
+    slot_bytes = with_slots(sized, heavy, repeated).groupBy("home").agg(F.sum("size").alias("bytes"))
+    return heavy, repeated, shared_table(slot_bytes, "shard-bytes")
+
+
+def _loads(slot_bytes: DataFrame, slot_map: DataFrame) -> dict[int | None, int]:
+    """The bytes of each shard; None for slots that the map doesn't have."""
+    rows = slot_bytes.join(slot_map, "home", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
+    return {row["shard"]: row["bytes"] for row in rows}
+
+
+def _first_map(sized: DataFrame, n_shards: int, folder: str, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Version 1: copies of a text stay together unless the shards can't be near equal then."""
+    for part in HEAVY_PARTS:
+        heavy, repeated, slot_bytes = _slots(sized, n_shards, folder, 1, None, part)
+        fresh = shared_table(new_map(slot_bytes, n_shards).select("home", "shard"), "shard-map")
+        loads = _loads(slot_bytes, fresh)
+        if max(loads.values(), default=0) * n_shards <= sum(loads.values()) * (1 + tolerance):
+            break
+    return _stored(fresh, folder, "map", 1, MAP), heavy, repeated
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/shard-map-{uuid.uuid4().hex}"
 
@@ -229,8 +251,9 @@ def shards(
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, home.
 
     ``slot`` is the place in the shard, gapless from 0; ``home`` the virtual slot, by which the map goes. Copies of a
-    text share a shard unless they exceed a 16th of an equal share; such a text is spread over slots of its own by id,
-    and the rows of an id that repeats it very often by themselves. ``grown_shard`` is null: under the law ``bytes``
+    text share a shard unless they exceed an equal share, or a 16th of one where the shards can't be near equal
+    otherwise; such a text is spread over slots of its own by id, and the rows of an id that repeats it very often by
+    themselves. ``grown_shard`` is null: under the law ``bytes``
     the map decides, not the id.
 
     With ``map_folder`` the newest map stored there is used, and edited and stored as the next version where the rows
