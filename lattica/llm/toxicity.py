@@ -255,6 +255,8 @@ def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("row"), "text", "label")
 
 
+#: Patterns whose counts a task holds at a time.
+HELD_PATTERNS = 100_000
 COUNTED = pa.schema([("pattern", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("documents", pa.int64())])
 
 
@@ -266,20 +268,28 @@ def _candidates(sample: DataFrame) -> list[tuple[str, int, int]]:
     told apart by their hashes, a set of them by the exclusive or of its hashes.
     """
 
+    def counted_batch(toxic: Counter, clean: Counter, documents: Counter) -> Iterator[pa.RecordBatch]:
+        none = Counter()
+        for names, parts in ((toxic, (toxic, none, documents)), (clean, (none, clean, none))):
+            columns = [pa.array(list(names), pa.string()), *(pa.array([p[n] for n in names], pa.int64()) for p in parts)]
+            yield pa.RecordBatch.from_arrays(columns, schema=COUNTED)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, documents = Counter(), Counter(), Counter()
         for batch in slices(batches):
-            for row, text, label in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "label")), strict=True):
-                found = patterns(text)
-                if label:
+            for row, text, label in zip(*(batch.column(c) for c in ("row", "text", "label")), strict=True):
+                found = patterns(text.as_py())
+                if label.as_py():
                     toxic.update(found)
                     for name in found:
-                        documents[name] ^= row
+                        documents[name] ^= row.as_py()
                 else:
                     clean.update(found)
-        names = list(toxic | clean)
-        columns = [names, *([counter[n] for n in names] for counter in (toxic, clean, documents))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNTED.types, strict=True)], schema=COUNTED)
+                if len(toxic) + len(clean) > HELD_PATTERNS:  # counts of parts, which Spark adds up
+                    yield from counted_batch(toxic, clean, documents)
+                    for counter in (toxic, clean, documents):
+                        counter.clear()
+        yield from counted_batch(toxic, clean, documents)
 
     counted = sample.mapInArrow(count, "pattern string, toxic long, clean long, documents long").groupBy("pattern")
     counted = counted.agg(
