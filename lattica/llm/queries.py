@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from lattica.llm import ann, chat, decontamination, licenses, mixing, sharding, simhash, toxicity, urls, vectorcodes, warc, whitening
+from lattica.llm import ann, chat, decontamination, licenses, lm, mixing, sharding, simhash, toxicity, urls, vectorcodes, warc, whitening
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -229,6 +229,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
