@@ -23,10 +23,20 @@ def first_wins(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
-def is_new(incoming: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    """``incoming`` with ``is_new``: whether no current row has its key."""
+def is_new(incoming: DataFrame, current: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``incoming`` with ``is_new``: whether no current row has its key.
+
+    With ``order`` the incoming rows are requests that are added one after the other: of those of a key that aren't
+    ``refused`` only the first is new, and no refused one is.
+    """
     held = current.select(*keys).distinct().withColumn("held", F.lit(True))
-    return incoming.join(held, keys, "left").withColumn("is_new", F.col("held").isNull()).drop("held")
+    rows = incoming.join(held, keys, "left").withColumn("is_new", F.col("held").isNull()).drop("held")
+    if order is None:
+        return rows
+    first = incoming.filter("refused IS NULL").groupBy(*keys).agg(F.min(order).alias("__first"))
+    rows = rows.join(first, keys, "left")
+    only = F.col("refused").isNull() & (F.col(order) == F.col("__first"))
+    return rows.withColumn("is_new", F.coalesce(F.col("is_new") & only, F.lit(False))).drop("__first")
 
 
 def sync_counts(wanted: DataFrame, current: DataFrame, key: str, value: str) -> DataFrame:

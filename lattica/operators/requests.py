@@ -3,19 +3,23 @@
 A batch of requests is a table with ``seq``, their order. Each function returns the requests with ``refused``: null if
 the request is accepted, else why not. What is accepted is appended by the caller, to logs that
 :mod:`lattica.operators.latest` and the folds read. Checks against the state before the batch are joins; a request that
-depends on earlier ones of the batch is judged by groupings or by running sums, never one after the other.
+depends on earlier ones of the batch is judged by groupings, by running sums or by a fixpoint of these, never one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lattica.operators import ledger
 from lattica.operators.latest import first_wins, is_new
 from lattica.operators.ledger import WALLET_TYPES
-from lattica.operators.running import running_sum
+from lattica.operators.running import running_sum, running_sums
 from lattica.operators.swarm import STATES
+from lattica.tables import written
 
 # The kinds of agents.
 AGENT_KINDS = ("human", "llm", "tool", "swarm")
@@ -39,8 +43,9 @@ def _known(rows: DataFrame, key: str, table: DataFrame, table_key: str, name: st
 
 
 def register_agents(requests: DataFrame, agents: DataFrame) -> DataFrame:
-    """Requests (seq, name, kind, ...) with refused and is_new: whether no agent had the name."""
-    return is_new(requests, agents, ["name"]).withColumn("refused", refused(("kind", ~F.col("kind").isin(*AGENT_KINDS))))
+    """Requests (seq, name, kind, ...) with refused and is_new: whether no agent had the name, nor an accepted request before."""
+    rows = requests.withColumn("refused", refused(("kind", ~F.col("kind").isin(*AGENT_KINDS))))
+    return is_new(rows, agents, ["name"], "seq")
 
 
 def remove_agents(requests: DataFrame, agents: DataFrame, perspectives: DataFrame, associations: DataFrame) -> DataFrame:
@@ -57,8 +62,8 @@ def register_peers(requests: DataFrame, peers: DataFrame) -> DataFrame:
     key = F.col("public_key_hex")
     good = F.rlike(key, F.lit("^[0-9A-Fa-f]{64}$"))
     made = F.when(good, F.base64(F.unhex(F.sha2(F.unhex(key), 256))))
-    rows = is_new(requests.withColumn("fingerprint", made), peers, ["fingerprint"])
-    return rows.withColumn("refused", refused(("key", ~good)))
+    rows = requests.withColumn("fingerprint", made).withColumn("refused", refused(("key", ~good)))
+    return is_new(rows, peers, ["fingerprint"], "seq")
 
 
 def listed_peers(peers: DataFrame) -> DataFrame:
@@ -108,41 +113,155 @@ def with_balances(wallets: DataFrame, book: DataFrame) -> DataFrame:
     return wallets.join(found, "id", "left").withColumn("balance", F.coalesce("balance", F.lit(0)).cast("long"))
 
 
-def transfers(requests: DataFrame, wallets: DataFrame, book: DataFrame) -> DataFrame:
-    """Requests (seq, from_wallet, to_wallet, amount) with refused, and the timestamp of the accepted.
+def _changes(rows: DataFrame) -> DataFrame:
+    """One row per side of each transfer (seq, from_wallet, to_wallet, amount, sure): what it does to its wallet's balance.
+
+    ``low`` and ``high`` bound the change, ``net`` is that of accepted transfers, ``taken`` and ``open`` count the
+    payer's accepted and undecided ones. A transfer to the payer itself changes nothing.
+    """
+    amount = F.when(F.col("from_wallet") == F.col("to_wallet"), F.lit(0)).otherwise(F.col("amount")).cast("decimal(38,0)")
+    sure, nothing = F.col("sure"), F.lit(0).cast("decimal(38,0)")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    out = F.struct(
+        F.col("from_wallet").alias("wallet"), F.lit(True).alias("pays"), (-amount).alias("low"),
+        F.when(sure, -amount).otherwise(nothing).alias("high"), F.when(sure, -amount).otherwise(nothing).alias("net"),
+        F.when(sure, one).otherwise(none).alias("taken"), F.when(sure, none).otherwise(one).alias("open"),
+    )
+    into = F.struct(
+        F.col("to_wallet").alias("wallet"), F.lit(False).alias("pays"), F.when(sure, amount).otherwise(nothing).alias("low"),
+        amount.alias("high"), F.when(sure, amount).otherwise(nothing).alias("net"), none.alias("taken"), none.alias("open"),
+    )
+    return rows.select(*rows.columns, F.explode(F.array(out, into)).alias("side")).select(*rows.columns, "side.*")
+
+
+#: Undecided transfers that a round judges one by one, the first in their order.
+REPLAYED = 20_000
+
+
+def _replayed(rows: list[Row], nonces: bool) -> list[int]:
+    """The accepted of undecided transfers (seq, ..., held, last) in their order, none undecided before them.
 
-    A payer's requests are accepted in their order while the balance before the batch covers them all; from the first
-    that it doesn't cover the payer's others are refused too. What a batch pays in counts from the next batch on.
-    Timestamps go on from the ledger's last.
+    ``held`` and ``last`` are the payer's balance and nonce by all that was accepted before.
     """
+    change: Counter = Counter()
+    taken: Counter = Counter()
+    out = []
+    for row in rows:
+        payer = row["from_wallet"]
+        covered = row["held"] + change[payer] >= row["amount"]
+        if covered and (not nonces or row["nonce"] == row["last"] + taken[payer] + 1):
+            out.append(row["seq"])
+            change[payer] -= row["amount"]
+            change[row["to_wallet"]] += row["amount"]
+            taken[payer] += 1
+    return out
+
+
+def _accepted(rows: DataFrame, balances: DataFrame, nonces: DataFrame | None = None) -> DataFrame:
+    """The seq of the transfers (seq, from_wallet, to_wallet, amount, nonce) that judging one after the other accepts.
+
+    A fixpoint over sets of transfers: accepted is what the payer's least possible balance covers, were all its
+    undecided earlier transfers accepted and none of those to it; refused is what its greatest possible balance doesn't
+    cover. With ``nonces`` (from_wallet, last) a transfer's nonce must follow the payer's accepted ones, too: it is
+    accepted with all undecided ones before it that follow on in the same way. Of what a round leaves undecided the
+    first REPLAYED are judged one by one, so chains of transfers that hang on each other take few rounds. Each round
+    goes on with the wallets that have undecided ones.
+    """
+    spark = rows.sparkSession
+    columns = ["seq", "from_wallet", "to_wallet", "amount", "nonce"]
+    left = rows.select(*columns, F.lit(False).alias("sure"))
+    done: list[DataFrame] = []
+    while True:
+        sums = {"least": "low", "most": "high", "before": "taken", "waiting": "open", "change": "net"}
+        summed = running_sums(_changes(left), ["wallet"], "seq", sums)
+        asked = summed.filter("pays AND NOT sure").join(balances.withColumnRenamed("wallet", "from_wallet"), "from_wallet", "left")
+        # an undecided transfer's own amount isn't in its least balance before it
+        own = F.when(F.col("from_wallet") == F.col("to_wallet"), F.lit(0)).otherwise(F.col("amount"))
+        held = F.coalesce("balance", F.lit(0))
+        covered = held + F.col("least") + own >= F.col("amount")
+        never = held + F.col("most") < F.col("amount")
+        last = F.lit(0).cast("long")
+        if nonces is not None:
+            asked = asked.join(nonces, "from_wallet", "left")
+            last = F.coalesce("last", F.lit(0)) + F.col("before")
+            follows = F.col("nonce") == last + F.col("waiting")  # after all undecided ones, itself among the waiting
+            never = never | ~F.coalesce(F.col("nonce").between(last + 1, last + F.col("waiting")), F.lit(False))
+            asked = asked.withColumn("breaks", F.when(covered & follows, 0).otherwise(1).cast("long"))
+        judged = asked.withColumns({"covered": covered, "never": never, "held": held + F.col("change"), "last": last})
+        if nonces is not None:
+            judged = judged.select(*columns, "covered", "never", "held", "last", "breaks")
+            judged = running_sum(judged, ["from_wallet"], "seq", "breaks", "broken").withColumn("covered", F.col("broken") == 0)
+        judged = written(judged.select(*columns, "covered", "never", "held", "last"), "transfers-judged")
+        sure = left.filter("sure").unionByName(judged.filter("covered").select(*columns, F.lit(True).alias("sure")))
+        undecided = judged.filter("NOT covered AND NOT never")
+        # what these hold counts what was sure before the round; what this round accepted is replayed with them
+        first = judged.filter("covered OR NOT never").orderBy("seq").limit(REPLAYED).collect()
+        if first:
+            taken = set(_replayed(first, nonces is not None))
+            end = first[-1]["seq"]
+            waiting = [row for row in first if not row["covered"]]
+            good = [tuple(row[c] for c in columns) for row in waiting if row["seq"] in taken]
+            replayed = spark.createDataFrame(good, rows.select(*columns).schema).withColumn("sure", F.lit(True))
+            sure = sure.unionByName(replayed)
+            undecided = undecided.filter(F.col("seq") > end) if len(first) == REPLAYED else undecided.limit(0)
+        undecided = undecided.select(*columns, F.lit(False).alias("sure"))
+        if not undecided.limit(1).count():
+            done.append(sure.select("seq"))
+            break
+        # accepted transfers still count where a wallet has undecided ones
+        wallets = undecided.select(F.col("from_wallet").alias("wallet")).distinct().withColumn("waits", F.lit(True))
+        for side in ("from", "to"):
+            waits = wallets.select(F.col("wallet").alias(f"{side}_wallet"), F.col("waits").alias(f"{side}_waits"))
+            sure = sure.join(waits, f"{side}_wallet", "left")
+        sure = written(sure, "transfers-sure")
+        waits = F.coalesce("from_waits", "to_waits", F.lit(False))
+        done.append(sure.filter(~waits).select("seq"))
+        left = sure.filter(waits).select(*columns, "sure").unionByName(undecided)
+    return written(reduce(DataFrame.unionByName, done), "transfers-accepted")
+
+
+def _judged_transfers(requests: DataFrame, wallets: DataFrame, book: DataFrame, nonces: DataFrame | None = None) -> DataFrame:
     rows = _known(requests, "from_wallet", wallets, "id", "payer")
     rows = _known(rows, "to_wallet", wallets, "id", "payee")
-    reason = refused(("amount", F.col("amount") <= 0), ("payer", ~F.col("payer")), ("payee", ~F.col("payee")))
-    rows = rows.withColumn("refused", reason).drop("payer", "payee")
-    balances = ledger.balances(book).select(F.col("wallet").alias("from_wallet"), "balance")
-    asked = F.when(F.col("refused").isNull(), F.col("amount")).otherwise(F.lit(0).cast("long"))
-    rows = running_sum(rows.withColumn("asked", asked), ["from_wallet"], "seq", "asked", "spent").join(balances, "from_wallet", "left")
-    short = F.col("spent") > F.coalesce("balance", F.lit(0))
-    rows = rows.withColumn("refused", F.coalesce("refused", F.when(short, "balance"))).drop("asked", "spent", "balance")
-    last = book.agg(F.coalesce(F.max("timestamp"), F.lit(0)).cast("long")).first()[0]
-    accepted = F.when(F.col("refused").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    rows = running_sum(rows.withColumn("accepted", accepted), [], "seq", "accepted", "place")
-    return rows.withColumn("timestamp", F.when(F.col("refused").isNull(), F.col("place") + last)).drop("accepted", "place")
+    reason = refused(("amount", F.col("amount") <= 0), ("payer", ~F.col("payer")))
+    rows = written(rows.withColumn("refused", reason), "transfers-asked")
+    balances = ledger.balances(book).select("wallet", "balance")
+    good = rows.filter("refused IS NULL AND payee")
+    last = None
+    if nonces is None:
+        good = good.withColumn("nonce", F.lit(None).cast("long"))
+    else:
+        last = nonces.select(F.col("wallet").alias("from_wallet"), F.col("nonce").alias("last"))
+    accepted = _accepted(good, balances, last).withColumn("accepted", F.lit(1).cast("long"))
+    rows = rows.join(accepted, "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
+    why = F.when(~F.col("payee"), "payee").otherwise("balance")
+    if last is not None:
+        rows = running_sum(rows, ["from_wallet"], "seq", "accepted", "taken").join(last, "from_wallet", "left")
+        wrong = F.coalesce(F.col("nonce") != F.coalesce("last", F.lit(0)) + F.col("taken") + 1, F.lit(True))
+        why = F.when(wrong, "nonce").otherwise(why)
+    rows = rows.withColumn("refused", F.coalesce("refused", F.when(F.col("accepted") == 0, why)))
+    now = book.agg(F.coalesce(F.max("timestamp"), F.lit(0)).cast("long")).first()[0]
+    rows = running_sum(rows, [], "seq", "accepted", "place")
+    rows = rows.withColumn("timestamp", F.when(F.col("refused").isNull(), F.col("place") + now))
+    return rows.select(*requests.columns, "refused", "timestamp")
+
+
+def transfers(requests: DataFrame, wallets: DataFrame, book: DataFrame) -> DataFrame:
+    """Requests (seq, from_wallet, to_wallet, amount) with refused, and the timestamp of the accepted.
+
+    Judged as if one after the other in the order of ``seq``, which must tell them apart: a request is accepted if the
+    payer's balance then covers it, with all that the batch has paid in and out before. Timestamps go on from the
+    ledger's last.
+    """
+    return _judged_transfers(requests, wallets, book)
 
 
 def signed_transfers(requests: DataFrame, wallets: DataFrame, book: DataFrame, nonces: DataFrame) -> DataFrame:
-    """:func:`transfers` of requests with a nonce: each payer's must go on by one from ``nonces`` (wallet, nonce).
+    """:func:`transfers` of requests with a nonce: each must be one above the payer's last accepted, from ``nonces`` (wallet, nonce) on.
 
-    Signatures are checked by who holds the keys. From a payer's first gap on the others are refused.
+    Signatures are checked by who holds the keys.
     """
-    last = nonces.select(F.col("wallet").alias("from_wallet"), F.col("nonce").alias("last"))
-    one = requests.withColumn("one", F.lit(1).cast("long"))
-    rows = running_sum(one, ["from_wallet"], "seq", "one", "place").join(last, "from_wallet", "left")
-    gap = F.coalesce(F.col("nonce") != F.coalesce("last", F.lit(0)) + F.col("place"), F.lit(True))
-    rows = running_sum(rows.withColumn("gap", gap.cast("long")), ["from_wallet"], "seq", "gap", "gaps")
-    good = rows.filter("gaps = 0").select(*requests.columns)
-    bad = rows.filter("gaps > 0").select(*requests.columns, F.lit("nonce").alias("refused"), F.lit(None).cast("long").alias("timestamp"))
-    return transfers(good, wallets, book).unionByName(bad)
+    return _judged_transfers(requests, wallets, book, nonces)
 
 
 def set_rewards(requests: DataFrame, schedule: DataFrame) -> DataFrame:

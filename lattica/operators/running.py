@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order that are summed apart.
-RANGES = 256
+from lattica.tables import written
 
 
-def with_range(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """``rows`` with ``__range``: which of equally wide ranges of the whole numbers ``order`` a row is in."""
-    ends = rows.agg(F.min(order), F.max(order)).first()
-    low, width = ends[0] or 0, max(1, ((ends[1] or 0) - (ends[0] or 0)) // ranges + 1)
-    return rows.withColumn("__range", F.floor((F.col(order) - low) / width).cast("int"))
-
-
-def running_sum(
-    rows: DataFrame, keys: list[str], order: str, value: str, name: str, ties: tuple[str | Column, ...] = (), ranges: int = RANGES
+def running_sums(
+    rows: DataFrame, keys: list[str], order: str, sums: dict[str, str], ties: tuple[str | Column, ...] = (), ranges: int | None = None
 ) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` up to each row of its key, in the order of ``order``, then ``ties``.
+    """``rows`` with a column for each of ``sums`` (name: value): the sum up to each row of its key, by ``order``, then ``ties``.
 
-    The order is cut into ranges: sums of key and range are built on the map side, their running sums have a row per
-    key and range, and each range of a key is finished by itself. So a key with a third of all rows is spread over
-    many tasks. ``rows`` is read twice, so it must give the same rows again.
+    The rows are dealt into ranges of (keys, order, ties) with about equally many rows each, whose ends Spark samples, and
+    written once. A range's sums are built on the map side, their running sums have a row per key and range, and each
+    range of a key is finished by itself. So a key with a third of all rows is spread over many tasks, however its
+    order is spread. Rows of one order that no tie tells apart are in one range.
     """
-    ranged = with_range(rows, order, ranges)
-    sums = ranged.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    by = [*keys, order, *ties]
+    dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
+    ranged = written(dealt.withColumn("__range", F.spark_partition_id()), "running-ranges")
+    totals = ranged.groupBy(*keys, "__range").agg(*[F.sum(value).alias(name) for name, value in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    starts = totals.select(*keys, "__range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__{name}") for name in sums])
     inside = Window.partitionBy(*keys, "__range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("__inside", F.sum(value).over(inside))
-    same = [summed[k].eqNullSafe(starts[k]) for k in [*keys, "__range"]]
-    joined = summed.join(starts, same)
-    return joined.select(*[summed[c] for c in rows.columns], (starts["__start"] + summed["__inside"]).alias(name))
+    summed = ranged.withColumns({f"__inside_{name}": F.sum(value).over(inside) for name, value in sums.items()})
+    joined = summed.join(starts, [summed[k].eqNullSafe(starts[k]) for k in [*keys, "__range"]])
+    return joined.select(
+        *[summed[c] for c in rows.columns], *[(starts[f"__{name}"] + summed[f"__inside_{name}"]).alias(name) for name in sums]
+    )
+
+
+def running_sum(
+    rows: DataFrame, keys: list[str], order: str, value: str, name: str, ties: tuple[str | Column, ...] = (), ranges: int | None = None
+) -> DataFrame:
+    """:func:`running_sums` of one value."""
+    return running_sums(rows, keys, order, {name: value}, ties, ranges)

@@ -28,11 +28,11 @@ def _seq() -> Column:
 
 
 @register_sql("register_agents", """SELECT event_id AS seq, 'u' || event_id % 1500 AS name, (['llm', 'robot', 'human'])[event_id % 3 + 1] AS kind,
-  a.name IS NULL AS is_new, CASE WHEN event_id % 3 = 1 THEN 'kind' END AS refused
-  FROM events LEFT JOIN agents a ON a.name = 'u' || event_id % 1500 WHERE event_id < 3000""")
+  a.name IS NULL AND event_id % 3 <> 1 AND count(*) FILTER (event_id % 3 <> 1) OVER (PARTITION BY event_id % 1500 ORDER BY event_id) = 1 AS is_new,
+  CASE WHEN event_id % 3 = 1 THEN 'kind' END AS refused FROM events LEFT JOIN agents a ON a.name = 'u' || event_id % 1500""")
 def register_agents(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("llm"), F.lit("robot"), F.lit("human")), (_seq() % 3 + 1).cast("int"))
-    asked = _events(spark, d).filter("event_id < 3000").select("seq", _text("u", _seq() % 1500).alias("name"), kind.alias("kind"))
+    asked = _events(spark, d).select("seq", _text("u", _seq() % 1500).alias("name"), kind.alias("kind"))
     return requests.register_agents(asked, model.agents(spark, d))
 
 
@@ -63,7 +63,7 @@ PEERS = """asked AS (SELECT s_suppkey AS seq, s_name AS name, 'local' AS endpoin
 
 
 @register_sql("register_peers", f"""WITH {PEERS}
-  SELECT k.*, NOT (fingerprint IS NOT NULL AND seq % 2 = 1) AS is_new, CASE WHEN fingerprint IS NULL THEN 'key' END AS refused FROM keyed k""")
+  SELECT k.*, fingerprint IS NOT NULL AND seq % 2 = 0 AS is_new, CASE WHEN fingerprint IS NULL THEN 'key' END AS refused FROM keyed k""")
 def register_peers(spark: SparkSession, d: str) -> DataFrame:
     asked = _peers(spark, d)
     none = spark.createDataFrame([], "fingerprint string")
@@ -132,11 +132,16 @@ def _transfers(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("seq", _text("s", _seq() % 13).alias("from_wallet"), _text("c", _seq() % 100).alias("to_wallet"), amount.alias("amount"))
 
 
+#: Each payer's valid requests one after the other; here no payer is paid by the batch.
 JUDGED = """checked AS (SELECT a.*, CASE WHEN amount <= 0 THEN 'amount' WHEN from_wallet NOT IN (SELECT id FROM wallets) THEN 'payer'
       WHEN to_wallet NOT IN (SELECT id FROM wallets) THEN 'payee' END AS why FROM asked a),
-  spent AS (SELECT *, sum(CASE WHEN why IS NULL THEN amount ELSE 0 END) OVER (PARTITION BY from_wallet ORDER BY seq) AS s FROM checked),
-  judged AS (SELECT s.* EXCLUDE (s, why), coalesce(why, CASE WHEN s > coalesce(balance, 0) THEN 'balance' END) AS refused
-    FROM spent s LEFT JOIN balances b ON from_wallet = wallet),
+  valid AS (SELECT seq, from_wallet, amount, row_number() OVER (PARTITION BY from_wallet ORDER BY seq) AS n FROM checked WHERE why IS NULL),
+  replay AS (WITH RECURSIVE r AS (
+      SELECT 0::BIGINT AS n, f.from_wallet, coalesce(balance, 0)::BIGINT AS held, NULL::BIGINT AS seq, false AS good
+      FROM (SELECT DISTINCT from_wallet FROM valid) f LEFT JOIN balances ON wallet = f.from_wallet
+      UNION ALL SELECT v.n, v.from_wallet, held - CASE WHEN held >= amount THEN amount ELSE 0 END, v.seq, held >= amount
+      FROM r JOIN valid v ON v.from_wallet = r.from_wallet AND v.n = r.n + 1) SELECT seq, good FROM r),
+  judged AS (SELECT c.* EXCLUDE (why), coalesce(why, CASE WHEN NOT good THEN 'balance' END) AS refused FROM checked c LEFT JOIN replay USING (seq)),
   stamped AS (SELECT *, CASE WHEN refused IS NULL THEN ((SELECT max(timestamp) FROM ledger)
       + count(*) FILTER (refused IS NULL) OVER (ORDER BY seq))::BIGINT END AS timestamp FROM judged)"""
 
@@ -146,13 +151,49 @@ def transfers(spark: SparkSession, d: str) -> DataFrame:
     return requests.transfers(_transfers(spark, d), _wallets(spark, d), model.ledger(spark, d))
 
 
-@register_sql("signed_transfers", f"""WITH {WALLETS}, nonced AS (SELECT event_id AS seq, 's' || event_id % 13 AS from_wallet, 'c' || event_id % 100 AS to_wallet,
+CHAINED = """asked AS (SELECT event_id AS seq, event_id % 9 AS f, event_id * 7 % 11 % 9 AS t, round(value * value * 900)::BIGINT AS amount FROM events),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM asked),
+  start AS (SELECT list(coalesce(balance, 0)::BIGINT // 300 ORDER BY w) AS held FROM range(9) r(w) LEFT JOIN balances ON wallet = 's' || w),
+  replay AS (WITH RECURSIVE r AS (SELECT 0::BIGINT AS n, held, NULL::BIGINT AS seq, false AS good FROM start
+      UNION ALL SELECT a.n, CASE WHEN held[f + 1] >= amount AND f <> t AND amount > 0 THEN list_transform(held,
+          lambda h, k: h - CASE WHEN k = f + 1 THEN amount ELSE 0 END + CASE WHEN k = t + 1 THEN amount ELSE 0 END) ELSE held END,
+        a.seq, held[f + 1] >= amount FROM r JOIN numbered a ON a.n = r.n + 1) SELECT seq, good FROM r)"""
+
+
+@register_sql("transfers_chained", f"""WITH {CHAINED}, judged AS (SELECT a.seq, 's' || f AS from_wallet, 's' || t AS to_wallet, amount,
+    CASE WHEN amount <= 0 THEN 'amount' WHEN NOT good THEN 'balance' END AS refused FROM asked a JOIN replay USING (seq))
+  SELECT *, CASE WHEN refused IS NULL THEN (1 + count(*) FILTER (refused IS NULL) OVER (ORDER BY seq))::BIGINT END AS timestamp FROM judged""")
+def transfers_chained(spark: SparkSession, d: str) -> DataFrame:
+    """Wallets that pay each other with what the batch has paid them."""
+    ids = spark.range(9).select(_text("s", F.col("id")).alias("id"))
+    held = requests.with_balances(ids, model.ledger(spark, d)).select("id", F.floor(F.col("balance") / 300).alias("amount"))
+    book = held.select(
+        F.lit(None).cast("string").alias("from_wallet"), F.col("id").alias("to_wallet"), "amount", F.lit("mint").alias("reason"),
+        F.lit(1).cast("long").alias("timestamp"),
+    )
+    amount = F.round(F.col("value") * F.col("value") * 900).cast("long").alias("amount")
+    to = _text("s", _seq() * 7 % 11 % 9).alias("to_wallet")
+    asked = _events(spark, d).select("seq", _text("s", _seq() % 9).alias("from_wallet"), to, amount)
+    return requests.transfers(asked, ids, book)
+
+
+SIGNED = """asked AS (SELECT event_id AS seq, 's' || event_id % 13 AS from_wallet, 'c' || event_id % 100 AS to_wallet,
     (CASE WHEN event_id % 17 = 0 THEN 0 ELSE round(value * 400) END)::BIGINT AS amount,
     event_id // 13 + CASE WHEN event_id % 13 = 3 AND event_id > 300 THEN 9 ELSE 3 END AS nonce FROM events),
-  placed AS (SELECT *, nonce <> row_number() OVER (PARTITION BY from_wallet ORDER BY seq) + 2 AS gap FROM nonced),
-  gaps AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY from_wallet ORDER BY seq) AS g FROM placed),
-  asked AS (SELECT * EXCLUDE (gap, g) FROM gaps WHERE g = 0), {JUDGED}
-  SELECT * FROM stamped UNION ALL BY NAME SELECT * EXCLUDE (gap, g), 'nonce' AS refused, NULL::BIGINT AS timestamp FROM gaps WHERE g > 0""")
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY from_wallet ORDER BY seq) AS n,
+      from_wallet IN (SELECT id FROM wallets) AS payer, to_wallet IN (SELECT id FROM wallets) AS payee FROM asked),
+  replay AS (WITH RECURSIVE r AS (
+      SELECT 0::BIGINT AS n, f.from_wallet, coalesce(balance, 0)::BIGINT AS held, 2::BIGINT AS last, NULL::BIGINT AS seq, NULL::VARCHAR AS refused
+      FROM (SELECT DISTINCT from_wallet FROM numbered) f LEFT JOIN balances ON wallet = f.from_wallet
+      UNION ALL SELECT n, from_wallet, held - CASE WHEN why IS NULL THEN amount ELSE 0 END, last + CASE WHEN why IS NULL THEN 1 ELSE 0 END, seq, why
+      FROM (SELECT v.*, held, last, CASE WHEN amount <= 0 THEN 'amount' WHEN NOT payer THEN 'payer' WHEN nonce <> last + 1 THEN 'nonce'
+          WHEN NOT payee THEN 'payee' WHEN held < amount THEN 'balance' END AS why
+        FROM r JOIN numbered v ON v.from_wallet = r.from_wallet AND v.n = r.n + 1)) SELECT seq, refused FROM r)"""
+
+
+@register_sql("signed_transfers", f"""WITH {WALLETS}, {SIGNED}
+  SELECT a.*, refused, CASE WHEN refused IS NULL THEN ((SELECT max(timestamp) FROM ledger)
+      + count(*) FILTER (refused IS NULL) OVER (ORDER BY seq))::BIGINT END AS timestamp FROM asked a JOIN replay USING (seq)""")
 def signed_transfers(spark: SparkSession, d: str) -> DataFrame:
     nonce = F.floor(_seq() / 13) + F.when((_seq() % 13 == 3) & (_seq() > 300), 9).otherwise(3)
     amount = F.when(_seq() % 17 == 0, F.lit(0)).otherwise(F.round(F.col("value") * 400)).cast("long").alias("amount")

@@ -96,7 +96,7 @@ def state_nodes(spark: SparkSession, d: str) -> DataFrame:
            UNION SELECT e.id FROM everything e JOIN r ON e.parent_id = r.id) SELECT id FROM r),
   up AS (WITH RECURSIVE r AS (SELECT id, parent_id AS heir, 1 AS n FROM gone WHERE NOT cascade
          UNION SELECT r.id, g.parent_id, n + 1 FROM r JOIN gone g ON r.heir = g.id AND NOT g.cascade WHERE n < 200) SELECT * FROM r),
-  heirs AS (SELECT id, arg_max(heir, n) AS heir, max(n) AS steps FROM up GROUP BY id)
+  heirs AS (SELECT id, arg_max_null(heir, n) AS heir, max(n) AS steps FROM up GROUP BY id)
   SELECT a.id, 'part' AS kind, content, CASE WHEN h.id IS NULL THEN a.parent_id WHEN steps < 200 THEN heir END AS parent_id, position
   FROM alive a LEFT JOIN heirs h ON a.parent_id = h.id WHERE a.id NOT IN (SELECT id FROM lost)""")
 def state_tree(spark: SparkSession, d: str) -> DataFrame:

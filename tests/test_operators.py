@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lattica.functions import arithmetic, paths
 from lattica.operators import (
@@ -260,10 +262,75 @@ def test_transfers_are_covered_in_their_order(spark):
     asked = [(1, "a", "b", 60), (2, "a", "b", 60), (3, "a", "b", 10), (4, "b", "a", 5), (5, "a", "x", 1), (6, "a", "b", 0), (7, None, "b", 1)]
     out = requests.transfers(spark.createDataFrame(asked, "seq long, from_wallet string, to_wallet string, amount long"), wallets, book)
     got = {r["seq"]: (r["refused"], r["timestamp"]) for r in out.collect()}
-    assert got[1] == (None, 8) and got[2][0] == got[3][0] == got[4][0] == "balance"
+    assert got[1] == (None, 8) and got[2][0] == "balance" and got[3] == (None, 9) and got[4] == (None, 10)
     assert got[5][0] == "payee" and got[6][0] == "amount" and got[7][0] == "payer"
 
 
+def _replayed(asked, held, nonces=None):
+    """Why each transfer is refused when they are judged one after the other; wallets are those of ``held``."""
+    held, last, out = dict(held), dict(nonces or {}), {}
+    for seq, payer, payee, amount, *nonce in asked:
+        if amount is None or amount <= 0:
+            out[seq] = "amount"
+        elif payer not in held:
+            out[seq] = "payer"
+        elif nonces is not None and nonce[0] != last.get(payer, 0) + 1:
+            out[seq] = "nonce"
+        elif payee not in held:
+            out[seq] = "payee"
+        elif held[payer] < amount:
+            out[seq] = "balance"
+        else:
+            out[seq] = None
+            held[payer] -= amount
+            held[payee] += amount
+            if nonces is not None:
+                last[payer] = nonce[0]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_transfers_equal_a_replay_one_by_one(spark, seed, monkeypatch):
+    monkeypatch.setattr(requests, "REPLAYED", [20_000, 7, 25, 0][seed])  # with 0 the rounds decide everything
+    draw = random.Random(seed)
+    held = {f"w{k}": draw.choice([0, 50, 100, 1000]) for k in range(5)}
+    names = [*held, "none"]
+    asked = [(k * 3, draw.choice(names), draw.choice(names), draw.choice([-1, 1, 7, 40, 90, 300])) for k in range(70)]
+    wallets = spark.createDataFrame([(w,) for w in held], "id string")
+    book = spark.createDataFrame([(None, w, a, "mint", 5) for w, a in held.items()], "from_wallet string, to_wallet string, amount long, reason string, timestamp long")
+    out = requests.transfers(spark.createDataFrame(asked, "seq long, from_wallet string, to_wallet string, amount long"), wallets, book).collect()
+    assert {r["seq"]: r["refused"] for r in out} == _replayed(asked, held)
+    assert [r["timestamp"] for r in sorted(out, key=lambda r: r["seq"]) if r["refused"] is None] == list(range(6, 6 + sum(r["refused"] is None for r in out)))
+    if seed < 2:
+        nonces = {w: draw.choice([0, 3]) for w in held}
+        due = dict(nonces)
+        signed = []
+        for row in asked:  # mostly the nonce that would follow, some repeated or skipped
+            due[row[1]] = due.get(row[1], 0) + draw.choice([1, 1, 1, 1, 0, 2])
+            signed.append((*row, due[row[1]]))
+        known = spark.createDataFrame(list(nonces.items()), "wallet string, nonce long")
+        schema = "seq long, from_wallet string, to_wallet string, amount long, nonce long"
+        out = requests.signed_transfers(spark.createDataFrame(signed, schema), wallets, book, known).collect()
+        assert {r["seq"]: r["refused"] for r in out} == _replayed(signed, held, nonces)
+
+
+def test_a_name_is_new_once_in_a_batch(spark):
+    agents = spark.createDataFrame([("a", "old")], "id string, name string")
+    asked = [(1, "old", "llm"), (2, "new", "robot"), (3, "new", "llm"), (4, "new", "human"), (5, None, "llm")]
+    out = requests.register_agents(spark.createDataFrame(asked, "seq long, name string, kind string"), agents)
+    assert {r["seq"]: (r["refused"], r["is_new"]) for r in out.collect() if r["seq"] < 5} == {
+        1: (None, False), 2: ("kind", False), 3: (None, True), 4: (None, False)}
+
+
+def test_running_sums_are_spread_however_the_order_lies(spark):
+    rows = [("a", 0, 1)] + [("a", 10**12 + k, 1) for k in range(999)]
+    table = spark.createDataFrame(rows, "key string, at long, value long")
+    out = running.running_sum(table, ["key"], "at", "value", "total", ranges=8)
+    assert sorted(r["total"] for r in out.collect()) == list(range(1, 1001))
+    dealt = table.repartitionByRange(8, "key", "at").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(dealt) == 8 and dealt.max() < 300
+
+
 def test_bibliography_takes_the_doi_that_follows(spark):
     text = "x" * 60 + ' Friston, K. (2010). "Free energy" 12, doi:10.1093/abc. Van (2011). \u201cOther\u201d, no number, (Costa et al., 2020)'
     found = citations.extract(spark.createDataFrame([("p", text)], "id string, content string")).collect()
