@@ -27,8 +27,8 @@ SLOTS_PER_SHARE = 64
 TOLERANCE = 0.02
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; null text has none), text_crc32, text_hash, id_hash and seq.
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus 1; null text has none), text_crc32, text_hash, id_hash, seq and ``more``.
 
     ``seq`` tells rows apart that repeat an id and a text; it is fixed once the table is written.
     """
@@ -40,6 +40,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.xxhash64(text).alias("text_hash"),
         F.xxhash64(id_col).alias("id_hash"),
         F.monotonically_increasing_id().alias("seq"),
+        *more,
     )
 
 
@@ -102,6 +103,13 @@ def with_slots(rows: DataFrame, heavy: DataFrame, repeated: DataFrame) -> DataFr
     return marked.withColumn("home", home).drop("first", "width", "often")
 
 
+def on_shards(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Add ``shard`` to rows with ``home``. A slot that the map doesn't have is an error, as its rows would be lost."""
+    placed = rows.join(F.broadcast(slot_map.select("home", "shard")), "home", "left")
+    missing = F.raise_error(F.concat(F.lit("no shard for virtual slot "), F.col("home").cast("string"))).cast("int")
+    return placed.withColumn("shard", F.coalesce("shard", missing))
+
+
 def _packed(loads: Column, slots: Column) -> Column:
     """Give each slot of an array (largest first) to the shard with the fewest bytes so far: the shards' numbers."""
     start = F.struct(loads.alias("loads"), F.array().cast("array<int>").alias("shards"))
@@ -266,7 +274,7 @@ def shards(
     """
     sized = shared_table(measured(docs, id_col, text_col), "shard-sizes")
     slot_map, heavy, repeated = current_map(sized, n_shards, map_folder or _own_folder(docs.sparkSession))
-    placed = with_slots(sized, heavy, repeated).join(F.broadcast(slot_map.select("home", "shard")), "home")
+    placed = on_shards(with_slots(sized, heavy, repeated), slot_map)
 
     # seq begins with the number of the task that wrote the row: a bounded group to number rows in
     placed = placed.withColumn("task", F.shiftright("seq", 33))
@@ -299,13 +307,9 @@ def sharded_documents(
     The map has a few thousand rows, so it is broadcast and the texts don't shuffle. ``map_folder``, nulls, repeated
     rows, long texts and empty tables are treated as in :func:`shards`.
     """
-    sized = shared_table(measured(docs, id_col, text_col), "shard-sizes")
-    slot_map, heavy, repeated = current_map(sized, n_shards, map_folder or _own_folder(docs.sparkSession))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("home", "shard")]).alias("row"),
-        F.xxhash64(id_col).alias("id_hash"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
-    placed = with_slots(rows, heavy, repeated).join(F.broadcast(slot_map.select("home", "shard")), "home")
-    return placed.select("row.*", "home", F.col("shard").cast("int").alias("shard"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("home", "shard")])
+    # written with the number that tells equal rows apart: another plan of ``docs`` could number them in another way
+    sized = shared_table(measured(docs, id_col, text_col, row.alias("row")), "shard-rows")
+    slot_map, heavy, repeated = current_map(sized.drop("row"), n_shards, map_folder or _own_folder(docs.sparkSession))
+    placed = with_slots(sized.select("row", "id_hash", "text_hash", "seq"), heavy, repeated)
+    return on_shards(placed, slot_map).select("row.*", "home", F.col("shard").cast("int").alias("shard"))

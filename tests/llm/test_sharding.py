@@ -121,3 +121,23 @@ def test_a_stored_map_is_edited_and_few_records_move(spark, documents, tmp_path)
 
     fewer = sharding.shards(documents(rows), n_shards=12, map_folder=folder).toPandas()
     assert sharding.stored_version(spark, folder) == 3 and set(fewer.shard) == set(range(12))
+
+
+def test_no_row_is_lost_when_the_plan_depends_on_the_columns(spark):
+    """Adaptive plans make other partitions of a wide table than of its narrow columns; rows of a repeated id stay all the same."""
+    rows = spark.range(2500).selectExpr(
+        "CASE WHEN id < 900 THEN 7 ELSE id END AS doc_id", "CASE WHEN id < 1200 THEN 'the same text' ELSE concat('text ', id) END AS text",
+        "repeat('wide ', 400) AS padding", "id AS original",
+    )
+    docs = rows.repartition("original")
+    out = sharding.sharded_documents(docs, 4)
+    assert out.columns == ["doc_id", "text", "padding", "original", "home", "shard"]
+    got = out.select("original", "shard").toPandas()
+    assert sorted(got["original"]) == list(range(2500)) and got["shard"].between(0, 3).all()
+
+
+def test_a_slot_without_a_shard_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 6)], "doc_id long, home long")
+    slot_map = spark.createDataFrame([(5, 0)], "home long, shard int")
+    with pytest.raises(Exception, match="no shard for virtual slot 6"):
+        sharding.on_shards(rows, slot_map).collect()
