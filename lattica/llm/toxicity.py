@@ -6,8 +6,8 @@ words have too, counts from its second occurrence in a document. Transducers for
 and threats read classes and rewrite them in context; composed into one, they turn a clause into the matches that
 count: plain and targeted insults, threats at a target, and insults and threats that are negated or reported. One more
 transducer reads the clause backwards, for targets that stand after an insult. A document's score is the logistic
-function of the weighted matches of its clauses; the weights are fitted on labelled documents, and those of negated and
-reported matches never raise a score.
+function of the weighted matches of its clauses; the weights are fitted on labelled documents within bounds: those of
+negated and reported matches never raise a score, and one targeted insult or one threat is enough.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ PRIOR = (-2.5, 3.0, 3.5, -0.5, -0.5, 3.0)
 #: The weights of negated and reported matches are at most 0.
 NEVER_RAISE = (3, 4)
 THRESHOLD = 0.7
+#: The logit that a document with one targeted insult, or one threat, has at least: a score a little above THRESHOLD.
+ALONE_LOGIT = 1.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -344,25 +346,49 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
     return tuple(stems)
 
 
+def _clamped(w: np.ndarray) -> np.ndarray:
+    """``w`` within the bounds of :func:`fit_weights`."""
+    out = w.copy()
+    out[list(NEVER_RAISE)] = np.minimum(out[list(NEVER_RAISE)], 0)
+    plain, targeted, threat = (1 + MATCHES.index(name) for name in ("plain", "targeted", "threat"))
+    out[targeted] = max(out[targeted], out[plain])
+    # log(1 + 1) times the weight of one match, and the bias, give this much at least
+    least = (ALONE_LOGIT - out[0]) / np.log(2)
+    out[[targeted, threat]] = np.maximum(out[[targeted, threat]], least)
+    return out
+
+
 def fit_weights(matches: np.ndarray, labels: np.ndarray, prior=PRIOR, ridge: float = 0.5) -> tuple[float, ...]:
-    """Logistic regression of labels on log(1 + matches), drawn to ``prior``, by Newton's method.
+    """Logistic regression of labels on log(1 + matches), drawn to ``prior``, by projected gradient steps.
 
-    The weights NEVER_RAISE stay at most 0: at that bound they are held fixed while the data would raise them.
+    Bounds: the weights NEVER_RAISE are at most 0, a targeted insult weighs no less than a plain one, and one targeted
+    insult, or one threat, reaches THRESHOLD by itself, as labels without them can't say what they are worth.
     """
     x = np.hstack([np.ones((len(matches), 1)), np.log1p(matches)])
     start = np.array(prior)
-    w = start.copy()
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - labels @ z + ridge / 2 * ((w - start) ** 2).sum())
+
+    w, rate = _clamped(start), 1.0
+    now = loss(w)
+    for _ in range(5000):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - labels) + ridge * (w - start)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        free = np.array([k not in NEVER_RAISE or w[k] < 0 or gradient[k] > 0 for k in range(len(w))])
-        step = np.zeros(len(w))
-        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
-        w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-        w[list(NEVER_RAISE)] = np.minimum(w[list(NEVER_RAISE)], 0)
-        if np.abs(step).max() < 1e-8:
+        scale = ((x * x).T @ np.maximum(p * (1 - p), 1e-3)) + ridge  # each weight by its own curvature
+        while rate > 1e-12:
+            ahead = _clamped(w - rate * gradient / scale)
+            after = loss(ahead)
+            if after <= now:
+                break
+            rate /= 2
+        else:
+            break
+        moved, w, gained, now = np.abs(ahead - w).max(), ahead, now - after, after
+        if moved < 1e-7 or gained < 1e-10 * max(1.0, now):
             break
+        rate = min(1.0, rate * 1.5)
     return tuple(float(v) for v in w)
 
 

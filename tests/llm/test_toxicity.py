@@ -82,6 +82,38 @@ def test_negated_and_reported_matches_never_raise_a_score():
     assert free[3] <= 0 and np.isfinite(free).all()
 
 
+def test_one_threat_or_targeted_insult_is_enough_whatever_the_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = np.zeros((500, 5))
+    m[:, 0] = rng.integers(0, 3, 500)  # labels that know plain insults only, and clean documents with targets
+    m[:100, 1] = 1
+    labels = (m[:, 0] > 0).astype(float)
+    weights = tx.fit_weights(m, labels)
+    model = tx.ToxicityModel((), weights)
+    assert weights[2] >= weights[1]
+    assert (model.score_texts(["I will kill you", "You are an idiot.", "kill yourself"], tx.Grammar()) >= tx.THRESHOLD).all()
+    assert (model.score_texts(["fine", "he said you are an idiot", "not an idiot", None], tx.Grammar()) < tx.THRESHOLD).all()
+
+
+def test_whole_scores_against_brute_force(spark, documents):
+    """Learned weights over the brute-force matches give the scores of the query."""
+    import math
+
+    texts = ["you idiot", "kill him", "never kill him. moron", "she said idiot you", "idiot word moron you hurt she", "word", "", None]
+    rows = [(k, texts[k % len(texts)]) for k in range(400)]
+    docs = documents(rows)
+    labels = spark.createDataFrame([(k, 1, int(k % len(texts) in (0, 1, 4))) for k in range(400)], LABELS)
+    model = tx.train(docs, labels)
+    assert model.stems == ()  # every toxic document has a known match
+    for row in tx.scored(docs, labels).collect():
+        found = brute(rows[row["doc_id"]][1] or "")
+        logit = model.weights[0] + sum(w * math.log1p(found[name]) for w, name in zip(model.weights[1:], tx.MATCHES, strict=True))
+        assert math.isclose(row["score"], 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+        assert row["predicted"] == int(row["score"] >= tx.THRESHOLD)
+
+
 def test_the_sample_has_at_most_its_rows_however_often_documents_repeat(spark, documents):
     docs = documents([(k, f"text {k} {j}") for k in range(40) for j in range(50)])
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], LABELS)
