@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.running import running_maximum, running_sum
+
 CLOCK = ["lamport_ts", "author", "author_seq"]
 # The types of operations a log may hold.
 OP_TYPES = (
@@ -43,6 +45,26 @@ def lamport_clock(ops: DataFrame) -> DataFrame:
     return ops.agg(F.coalesce(F.max("lamport_ts"), F.lit(0)).cast("long").alias("lamport_ts"))
 
 
+def assigned(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """New operations (author, arrived, lamport_ts, ...) with their author_seq and Lamport time, without a task per author.
+
+    ``arrived`` orders an author's rows. A row whose lamport_ts is null is an operation of the author; one that has it
+    is an operation of another that the author has seen, and isn't returned. Sequences go on gapless from the version
+    vector of ``log``, times from its clock: after n own operations the clock is n plus the largest of where it began
+    and, over what was seen, its time less the own operations before it.
+    """
+    own = F.col("lamport_ts").isNull()
+    rows = running_sum(requests.withColumn("__own", own.cast("long")), ["author"], "arrived", "__own", "__made")
+    rows = running_maximum(rows.withColumn("__seen", F.col("lamport_ts") - F.col("__made")), ["author"], "arrived", "__seen", "__ahead")
+    began = F.broadcast(lamport_clock(log).withColumnRenamed("lamport_ts", "__began"))  # one row
+    rows = rows.filter(own).join(version_vector(log), "author", "left").join(began)
+    return rows.select(
+        *[c for c in requests.columns if c != "lamport_ts"],
+        (F.coalesce("max_seq", F.lit(0)) + F.col("__made")).cast("long").alias("author_seq"),
+        (F.greatest("__began", F.coalesce("__ahead", "__began")) + F.col("__made")).cast("long").alias("lamport_ts"),
+    )
+
+
 def ops_since(ops: DataFrame, author: str, since_seq: int) -> DataFrame:
     return ops.filter((F.col("author") == author) & (F.col("author_seq") > since_seq)).orderBy("author_seq")
 
@@ -65,33 +87,53 @@ def vector_difference(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     ).filter("behind > 0 OR ahead > 0")
 
 
-def _last(value: Column, when: Column) -> Column:
-    """The value that the last operation for which ``when`` holds set."""
-    return F.max_by(F.when(when, value), F.when(when, clock()))
+#: The fields of a node's state: the clock of the last insert and delete, and of each value the last that set it.
+NODE_FIELDS = ("inserted", "deleted", "kind", "content", "parent_id", "position")
 
 
-def fold_nodes(ops: DataFrame) -> DataFrame:
-    """The nodes that node operations leave: one grouping by node, without a sort or a window.
+def node_state(ops: DataFrame) -> DataFrame:
+    """(node_id, NODE_FIELDS) of node operations: values with the clock that set them, so states can be merged.
 
-    ``payload`` is JSON. insert_node sets kind, content, parent_id, position and metadata; update_content sets
-    new_content; move_node sets new_parent_id and new_position, each only if given; delete_node is a tombstone
-    that beats every insert before it in the clock. Children of a deleted node are treated by :func:`cascade`.
+    ``payload`` is JSON. insert_node sets kind, content, parent_id and position; update_content sets new_content;
+    move_node sets new_parent_id and new_position, each only if given; delete_node is a tombstone that beats every
+    insert before it in the clock. One grouping by node, without a sort or a window.
     """
     op, get = F.col("op_type"), lambda key: F.get_json_object("payload", "$." + key)
     insert, move = op == "insert_node", op == "move_node"
     content = F.when(insert, get("content")).when(op == "update_content", get("new_content"))
     parent = F.when(insert, get("parent_id")).when(move, get("new_parent_id"))
     position = F.when(insert, F.coalesce(get("position"), F.lit("0"))).when(move, get("new_position"))
-    state = ops.filter("node_id IS NOT NULL").groupBy("node_id").agg(
+
+    def last(value: Column, when: Column) -> Column:
+        return F.max(F.when(when, F.struct(clock().alias("clock"), value.alias("value"))))
+
+    return ops.filter("node_id IS NOT NULL").groupBy("node_id").agg(
         F.max(F.when(insert, clock())).alias("inserted"),
         F.max(F.when(op == "delete_node", clock())).alias("deleted"),
-        _last(get("kind"), insert).alias("kind"),
-        _last(content, insert | (op == "update_content")).alias("content"),
-        _last(parent, insert | (move & get("new_parent_id").isNotNull())).alias("parent_id"),
-        _last(position, insert | (move & get("new_position").isNotNull())).cast("int").alias("position"),
+        last(get("kind"), insert).alias("kind"),
+        last(content, insert | (op == "update_content")).alias("content"),
+        last(parent, insert | (move & get("new_parent_id").isNotNull())).alias("parent_id"),
+        last(position, insert | (move & get("new_position").isNotNull())).alias("position"),
     )
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    """States of :func:`node_state` as one per node. Merging the same operations again changes nothing."""
+    return states.groupBy("node_id").agg(*[F.max(f).alias(f) for f in NODE_FIELDS])
+
+
+def nodes_of(state: DataFrame) -> DataFrame:
+    """The nodes that are alive in a state: id, kind, content, parent_id, position."""
     alive = F.col("inserted").isNotNull() & (F.col("deleted").isNull() | (F.col("inserted") > F.col("deleted")))
-    return state.filter(alive).select(F.col("node_id").alias("id"), "kind", "content", "parent_id", "position")
+    return state.filter(alive).select(
+        F.col("node_id").alias("id"), F.col("kind.value").alias("kind"), F.col("content.value").alias("content"),
+        F.col("parent_id.value").alias("parent_id"), F.col("position.value").cast("int").alias("position"),
+    )
+
+
+def fold_nodes(ops: DataFrame) -> DataFrame:
+    """The nodes that node operations leave. Children of a deleted node are treated by :func:`cascade`."""
+    return nodes_of(node_state(ops))
 
 
 def fold_metadata(ops: DataFrame) -> DataFrame:
@@ -102,16 +144,24 @@ def fold_metadata(ops: DataFrame) -> DataFrame:
     return merged.groupBy("node_id", "key").agg(F.max_by("value", clock()).alias("value"))
 
 
-def fold_edges(ops: DataFrame) -> DataFrame:
-    """The edges that inserts and deletes leave; the last operation on (source, target, relation) decides."""
+def edge_state(ops: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, metadata, clock) of edges whose last operation in the clock is an insert.
+
+    ``metadata`` is the JSON text that the insert gave, ``{}`` without any.
+    """
     get = lambda key: F.get_json_object("payload", "$." + key)
     edge = ops.filter(F.col("op_type").isin("insert_edge", "delete_edge"))
     keyed = edge.select(
         F.col("node_id").alias("source_id"), get("target_id").alias("target_id"), get("relation").alias("relation"),
-        "op_type", *CLOCK,
+        F.coalesce(get("metadata"), F.lit("{}")).alias("metadata"), "op_type", clock().alias("clock"),
     )
-    state = keyed.groupBy("source_id", "target_id", "relation").agg(F.max_by("op_type", clock()).alias("last"))
-    return state.filter("last = 'insert_edge'").drop("last")
+    state = keyed.groupBy("source_id", "target_id", "relation").agg(F.max_by(F.struct("op_type", "metadata", "clock"), "clock").alias("last"))
+    return state.filter("last.op_type = 'insert_edge'").select("source_id", "target_id", "relation", "last.metadata", "last.clock")
+
+
+def fold_edges(ops: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, metadata): the edges that inserts and deletes leave, whatever becomes of their nodes."""
+    return edge_state(ops).drop("clock")
 
 
 def cascade(nodes: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running sums without a task per key."""
+"""Running sums and maxima without a task per key."""
 
 from __future__ import annotations
 
@@ -8,32 +8,61 @@ from pyspark.sql import functions as F
 from lattica.tables import written
 
 
-def running_sums(
-    rows: DataFrame, keys: list[str], order: str, sums: dict[str, str], ties: tuple[str | Column, ...] = (), ranges: int | None = None
+def running(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    sums: dict[str, str] | None = None,
+    maxima: dict[str, str] | None = None,
+    ties: tuple[str | Column, ...] = (),
+    ranges: int | None = None,
 ) -> DataFrame:
-    """``rows`` with a column for each of ``sums`` (name: value): the sum up to each row of its key, by ``order``, then ``ties``.
+    """``rows`` with columns (name: value) of sums and maxima up to each row of its key, by ``order``, then ``ties``.
 
     The rows are dealt into ranges of (keys, order, ties) with about equally many rows each, whose ends Spark samples, and
-    written once. A range's sums are built on the map side, their running sums have a row per key and range, and each
-    range of a key is finished by itself. So a key with a third of all rows is spread over many tasks, however its
-    order is spread. Rows of one order that no tie tells apart are in one range.
+    written once. A range's totals are built on the map side, their running totals have a row per key and range, and
+    each range of a key is finished by itself. So a key with a third of all rows is spread over many tasks, however
+    its order is spread. Rows of one order that no tie tells apart are in one range. Sums skip nulls and start at 0,
+    maxima skip nulls and start with null; they may be of any type that has an order, as structs.
     """
+    sums, maxima = sums or {}, maxima or {}
     by = [*keys, order, *ties]
     dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
     ranged = written(dealt.withColumn("__range", F.spark_partition_id()), "running-ranges")
-    totals = ranged.groupBy(*keys, "__range").agg(*[F.sum(value).alias(name) for name, value in sums.items()])
+    totals = ranged.groupBy(*keys, "__range").agg(
+        *[F.sum(value).alias(name) for name, value in sums.items()], *[F.max(value).alias(name) for name, value in maxima.items()]
+    )
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "__range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__{name}") for name in sums])
+    starts = totals.select(
+        *keys, "__range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__{name}") for name in sums],
+        *[F.max(name).over(before).alias(f"__{name}") for name in maxima],
+    )
     inside = Window.partitionBy(*keys, "__range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumns({f"__inside_{name}": F.sum(value).over(inside) for name, value in sums.items()})
+    within = {f"__inside_{name}": F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in sums.items()}
+    within |= {f"__inside_{name}": F.max(value).over(inside) for name, value in maxima.items()}
+    summed = ranged.withColumns(within)
     joined = summed.join(starts, [summed[k].eqNullSafe(starts[k]) for k in [*keys, "__range"]])
     return joined.select(
-        *[summed[c] for c in rows.columns], *[(starts[f"__{name}"] + summed[f"__inside_{name}"]).alias(name) for name in sums]
+        *[summed[c] for c in rows.columns],
+        *[(starts[f"__{name}"] + summed[f"__inside_{name}"]).alias(name) for name in sums],
+        *[F.greatest(starts[f"__{name}"], summed[f"__inside_{name}"]).alias(name) for name in maxima],
     )
 
 
+def running_sums(
+    rows: DataFrame, keys: list[str], order: str, sums: dict[str, str], ties: tuple[str | Column, ...] = (), ranges: int | None = None
+) -> DataFrame:
+    """:func:`running` of sums (name: value)."""
+    return running(rows, keys, order, sums, None, ties, ranges)
+
+
 def running_sum(
     rows: DataFrame, keys: list[str], order: str, value: str, name: str, ties: tuple[str | Column, ...] = (), ranges: int | None = None
 ) -> DataFrame:
-    """:func:`running_sums` of one value."""
-    return running_sums(rows, keys, order, {name: value}, ties, ranges)
+    """:func:`running` of one sum."""
+    return running(rows, keys, order, {name: value}, None, ties, ranges)
+
+
+def running_maximum(rows: DataFrame, keys: list[str], order: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """:func:`running` of one maximum."""
+    return running(rows, keys, order, None, {name: value}, (), ranges)

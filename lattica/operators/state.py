@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.ledger import WALLET_TYPES
 from lattica.operators.navigate import below
-from lattica.operators.oplog import clock, fold_metadata, fold_nodes
+from lattica.operators.oplog import clock, edge_state, fold_metadata, fold_nodes
 from lattica.operators.swarm import STATES
 from lattica.tables import written
 
@@ -108,6 +108,24 @@ def tree_after(ops: DataFrame) -> DataFrame:
     return moved.select("id", "kind", "content", parent, "position")
 
 
+def edges_after(ops: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, metadata): the edges of a log after its deletions.
+
+    Deleting a node takes the edges at it that were inserted before, and deleting one with cascade those at all below it.
+    """
+    deleted = ops.filter("op_type = 'delete_node'").groupBy(F.col("node_id").alias("id")).agg(F.max(clock()).alias("deleted"))
+    deleted = written(deleted, "fold-deleted")
+    everything = fold_nodes(ops).select("id", "parent_id")
+    gone = written(deletions(ops), "fold-deletions")
+    lost = written(below(everything.unionByName(gone.select("id", "parent_id")), gone.filter("cascade")), "fold-lost")
+    edges = edge_state(ops)
+    for side in ("source_id", "target_id"):
+        at = deleted.select(F.col("id").alias(side), "deleted")
+        edges = edges.join(at, side, "left").filter("deleted IS NULL OR clock > deleted").drop("deleted")
+        edges = edges.join(lost.select(F.col("id").alias(side)), side, "left_anti")
+    return edges.select("source_id", "target_id", "relation", "metadata")
+
+
 def perspectives(ops: DataFrame) -> DataFrame:
     """(agent_id, node_id, context_id, weight, reasoning); a null context is a key like any other."""
     schema = "agent_id string, node_id string, context_id string, weight double, reasoning string"

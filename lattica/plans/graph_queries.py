@@ -269,7 +269,7 @@ def metadata_merge_fold(spark: SparkSession, d: str) -> DataFrame:
     return oplog.fold_metadata(ops)
 
 
-@register_sql("oplog_fold_edges", """SELECT node_id AS source_id, 't' || lamport_ts % 7 AS target_id, 'links' AS relation
+@register_sql("oplog_fold_edges", """SELECT node_id AS source_id, 't' || lamport_ts % 7 AS target_id, 'links' AS relation, '{}' AS metadata
   FROM operations GROUP BY node_id, lamport_ts % 7 HAVING arg_max(lamport_ts % 4, lamport_ts) <> 0""")
 def oplog_fold_edges(spark: SparkSession, d: str) -> DataFrame:
     target = F.concat(F.lit('{"relation":"links","target_id":"t'), (F.col("lamport_ts") % 7).cast("string"), F.lit('"}'))

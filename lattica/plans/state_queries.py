@@ -9,6 +9,8 @@ from lattica.operators import oplog, state
 from lattica.plans import model
 from lattica.plans.oracle import sql
 from lattica.queries import register
+from lattica.streaming import fold
+from lattica.tables import scratch_path
 
 TASK_STATES = ("pending", "running", "succeeded", "failed", "stopped", "bogus")
 BOUNTY_STATES = ("open", "claimed", "paid", "expired", "cancelled", "bogus")
@@ -88,12 +90,49 @@ def state_nodes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"made": F.col("metadata")["made"], "seen": F.col("metadata")["seen"]}).drop("metadata")
 
 
-@register_fold("state_tree", f""", folded AS ({NODE_SQL}),
+LOST_SQL = f"""folded AS ({NODE_SQL}),
   gone AS (SELECT id, parent_id, cascade FROM folded WHERE deleted IS NOT NULL AND coalesce(inserted, 0) < deleted),
   alive AS (SELECT * FROM folded WHERE inserted > coalesce(deleted, 0)),
   everything AS (SELECT id, parent_id FROM alive UNION ALL SELECT id, parent_id FROM gone),
   lost AS (WITH RECURSIVE r AS (SELECT id FROM gone WHERE cascade
-           UNION SELECT e.id FROM everything e JOIN r ON e.parent_id = r.id) SELECT id FROM r),
+           UNION SELECT e.id FROM everything e JOIN r ON e.parent_id = r.id) SELECT id FROM r)"""
+
+
+@register_fold("state_edges", f""", {LOST_SQL}, last AS (SELECT node_id, turn % 7 AS t, max(lt) AS lt, arg_max(author, lt) AS made FROM log
+    WHERE {_op('insert_edge', 'delete_edge')} AND node_id IS NOT NULL GROUP BY ALL HAVING arg_max(op, lt) = {TYPES.index('insert_edge')})
+  SELECT node_id AS source_id, 't' || t AS target_id, 'links' AS relation, '{{"made":"' || last.made || '"}}' AS metadata
+  FROM last LEFT JOIN folded ON id = node_id WHERE lt > coalesce(deleted, 0) AND node_id NOT IN (SELECT id FROM lost)""")
+def state_edges(spark: SparkSession, d: str) -> DataFrame:
+    return state.edges_after(full_log(spark, d))
+
+
+@register_fold("incremental_fold", f""", folded AS ({NODE_SQL})
+  SELECT id, 'part' AS kind, content, parent_id, position FROM folded WHERE inserted > coalesce(deleted, 0)""")
+def incremental_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The log in three batches, one of them twice."""
+    log, folder = full_log(spark, d), scratch_path(spark, "incremental-fold")
+    for batch, part in enumerate((1, 0, 0, 2)):
+        fold.merge(log.filter(F.col("lamport_ts") % 3 == part), folder, batch, buckets=16)
+    return fold.nodes(spark, folder)
+
+
+@register("assigned_clocks", sql("""WITH asked AS (SELECT 'u' || user_id % 9 AS author, event_id AS arrived,
+    CASE WHEN event_id % 5 = 0 THEN event_id * 3 % 20000 END AS seen FROM events),
+  made AS (SELECT *, count(*) FILTER (seen IS NULL) OVER (PARTITION BY author ORDER BY arrived) AS n FROM asked),
+  ahead AS (SELECT *, max(seen - n) OVER (PARTITION BY author ORDER BY arrived) AS a FROM made),
+  vector AS (SELECT author, max(author_seq) AS s FROM operations WHERE lamport_ts <= 500 GROUP BY author)
+  SELECT author, arrived, coalesce(s, 0) + n AS author_seq, n + greatest(coalesce(a, 0), (SELECT max(lamport_ts) FROM operations WHERE lamport_ts <= 500)) AS lamport_ts
+  FROM ahead LEFT JOIN vector USING (author) WHERE seen IS NULL"""))
+def assigned_clocks(spark: SparkSession, d: str) -> DataFrame:
+    event = F.col("event_id")
+    asked = model.table(spark, d, "events").select(
+        F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")).alias("author"), event.alias("arrived"),
+        F.when(event % 5 == 0, event * 3 % 20000).alias("lamport_ts"),
+    )
+    return oplog.assigned(asked, model.operations(spark, d).filter("lamport_ts <= 500"))
+
+
+@register_fold("state_tree", f""", {LOST_SQL},
   up AS (WITH RECURSIVE r AS (SELECT id, parent_id AS heir, 1 AS n FROM gone WHERE NOT cascade
          UNION SELECT r.id, g.parent_id, n + 1 FROM r JOIN gone g ON r.heir = g.id AND NOT g.cascade WHERE n < 200) SELECT * FROM r),
   heirs AS (SELECT id, arg_max_null(heir, n) AS heir, max(n) AS steps FROM up GROUP BY id)
