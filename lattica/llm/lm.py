@@ -294,7 +294,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     return model
 
 
-PARTIAL = "seq long, n_tokens long, n_known long, log_counts double, log_model double, rare array<string>"
+PARTIAL = "seq long, doc_id {id}, held_out boolean, n_tokens long, n_known long, log_counts double, log_model double, rare array<string>"
 
 
 def _partial(docs: DataFrame, model: Model, common: dict[bytes, int]) -> DataFrame:
@@ -303,7 +303,6 @@ def _partial(docs: DataFrame, model: Model, common: dict[bytes, int]) -> DataFra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             reader = Reader(model.bits)
-            seq = batch.column("seq").to_numpy()
             for piece in pieces(batch.column("text")):
                 counts = np.fromiter((common.get(w, -1) for w in piece.words), np.int64, len(piece.words))
                 c, logs = counts[piece.code], np.log10(np.maximum(counts, 0) + 1)[piece.code]
@@ -315,12 +314,14 @@ def _partial(docs: DataFrame, model: Model, common: dict[bytes, int]) -> DataFra
                 words = pa.array(piece.words, pa.string()).take(pa.array(piece.code[rare]))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=n))])
                 columns = [
-                    pa.array(seq[first : first + n]), pa.array(np.bincount(row, minlength=n)), pa.array(summed(c > 0).astype(np.int64)),
+                    *(batch.column(name).slice(first, n) for name in ("seq", "doc_id", "held_out")), pa.array(np.bincount(row, minlength=n)), pa.array(summed(c > 0).astype(np.int64)),
                     pa.array(summed(logs)), pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PARTIAL.split(", ")])
 
-    return docs.select("seq", "text").mapInArrow(score, PARTIAL)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "held_out", "text")
+    return numbered.mapInArrow(score, PARTIAL.format(id=id_type))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,31 +334,26 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     their names.
     """
     id_column = F.col(f"`{id_col}`")
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("seq"), id_column.alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
-        held_out(id_column).alias("held_out"),
-    )
-    rows = shared_table(rows, "lm-documents")
+    rows = docs.select(id_column.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(id_column).alias("held_out"))
     counts = shared_table(_counts(rows), "lm-counts")
     sums = counts.agg(F.sum("c"), F.sum("n"), F.count_if(F.col("c") > 0)).first()
     n, everything, types = (int(s or 0) for s in sums)
     model = train(rows, counts)
     often = counts.filter(F.col("n") > F.lit(everything) / COMMON).collect()  # COMMON rows at most
     common = {row["word"].encode(): row["c"] for row in often}
-    partial = shared_table(_partial(rows, model, common), "lm-partial")
-
-    def added(*columns: str) -> list[Column]:
-        return [F.sum(c).alias(c) for c in columns]
+    partial = shared_table(_partial(rows, model, common), "lm-partial")  # numbers the rows, for good
 
     listed = partial.filter(F.size("rare") > 0).select("seq", F.explode("rare").alias("word"))
-    known = listed.join(counts.select("word", "c"), "word")
-    known = known.select(
-        "seq", F.lit(0).cast("long").alias("n_tokens"), (F.col("c") > 0).cast("long").alias("n_known"),
-        F.log10(F.col("c") + 1).alias("log_counts"), F.lit(0.0).alias("log_model"),
+    known = listed.join(counts.select("word", "c"), "word").groupBy("seq").agg(
+        F.lit(0).cast("long").alias("n_tokens"), F.count_if(F.col("c") > 0).alias("n_known"),
+        F.sum(F.log10(F.col("c") + 1)).alias("log_counts"), F.lit(0.0).alias("log_model"),
+    )
+    named = {"doc_id": F.lit(None).cast(partial.schema["doc_id"].dataType), "held_out": F.lit(None).cast("boolean")}
+    both = partial.drop("rare").unionByName(known.withColumns(named)).groupBy("seq").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("held_out", ignorenulls=True).alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "log_model")],
     )
-    known = known.groupBy("seq").agg(*added("n_tokens", "n_known", "log_counts", "log_model"))
-    both = partial.drop("rare").unionByName(known).groupBy("seq").agg(*added("n_tokens", "n_known", "log_counts", "log_model"))
-    return rows.select("seq", "doc_id", "held_out").join(both, "seq").select(
+    return both.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(n + types + 1)))).alias("base_score"),
         (F.col("log_counts") + F.col("log_model")).alias("score"),
