@@ -1,15 +1,17 @@
-"""Next-node prediction from walks: first-order transition counts in place of a trained network.
+"""Next-node prediction from walks: counts of what followed a node, or a context of several, in place of a trained network.
 
 Counting is one grouping that combines on the map side and grows with the corpus; a network trained on one machine
-would not.
+would not. Contexts of any order back off to their shorter ends (Witten and Bell): the more kinds of nodes have followed
+a context, the more of its weight goes to what follows the context without its first node.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.navigate import clamped
+from lattica.tables import written
 
 
 def transitions(walks: DataFrame) -> DataFrame:
@@ -53,3 +55,83 @@ def model_info(model: DataFrame) -> DataFrame:
     return model.groupBy("agent").agg(
         F.count_distinct("source").alias("sources"), F.count("*").alias("parameters"), F.sum("n").alias("observations")
     )
+
+
+# Contexts of several nodes
+
+ORDER = 3
+
+
+def _contexts(walks: DataFrame, order: int) -> DataFrame:
+    """(agent, walk, step, target, before): every node of a walk with up to ``order`` nodes before it, the last one last."""
+    along = Window.partitionBy("agent", "walk").orderBy("step")
+    before = F.array_compact(F.array(*[F.lag("node", k).over(along) for k in range(order, 0, -1)]))
+    return walks.filter("node IS NOT NULL").select("agent", "walk", "step", F.col("node").alias("target"), before.alias("before"))
+
+
+def _ending(context: Column, length: int) -> Column:
+    """The last ``length`` nodes of a context; null if it has fewer."""
+    return F.when(F.size(context) >= length, F.slice(context, F.size(context) - (length - 1), length) if length else F.slice(context, 1, 0))
+
+
+def context_counts(walks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(agent, context, target, n): how often a node of a walk (agent, walk, step, node) came after up to ``order`` nodes.
+
+    Each node counts for the empty context and for every ending of what is before it.
+    """
+    rows = _contexts(walks, order)
+    endings = F.array_compact(F.array(*[_ending(F.col("before"), k) for k in range(order + 1)]))
+    rows = rows.select("agent", F.explode(endings).alias("context"), "target")
+    return rows.groupBy("agent", "context", "target").agg(F.count("*").alias("n"))
+
+
+def context_totals(counts: DataFrame) -> DataFrame:
+    """(agent, context, total, kinds): how often a context had a node after it, and how many different ones."""
+    return counts.groupBy("agent", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+
+
+def _backed_off(orders: list[tuple[Column, Column, Column]], uniform: Column) -> Column:
+    """The probability from (n, total, kinds) of the shortest context to the longest; unknown ones change nothing."""
+    p = uniform
+    for n, total, kinds in orders:
+        mixed = (F.coalesce(n, F.lit(0)) + kinds * p) / (total + kinds)
+        p = F.when(total.isNotNull(), mixed).otherwise(p)
+    return p
+
+
+def predict_after(counts: DataFrame, agent: str, context: list, top_k: int | None = None) -> DataFrame:
+    """(target, probability) of the likeliest nodes after a list of nodes; only the rows of its endings are read.
+
+    Every node that any walk of the agent holds has a probability, and they add up to 1.
+    """
+    node = counts.schema["target"].dataType.simpleString()
+    endings = [context[len(context) - k :] for k in range(len(context) + 1)]
+    literal = lambda ending: F.array(*[F.lit(v) for v in ending]).cast(f"array<{node}>")
+    length = F.size("context")
+    own = counts.filter((F.col("agent") == agent) & F.array_contains(F.array(*map(literal, endings)), F.col("context")))
+    totals = {row["k"]: row for row in own.groupBy(length.alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
+    columns = [F.sum(F.when(length == k, F.col("n"))).alias(f"n{k}") for k in sorted(totals)]
+    wide = own.groupBy("target").agg(*columns) if columns else own.select("target")
+    orders = [(F.col(f"n{k}"), F.lit(totals[k]["total"]), F.lit(totals[k]["kinds"])) for k in sorted(totals)]
+    p = _backed_off(orders, F.lit(1.0 / totals[0]["kinds"] if totals else 0.0))
+    return wide.select("target", p.alias("probability")).orderBy(F.desc("probability"), "target").limit(clamped(top_k))
+
+
+def walk_likelihoods(counts: DataFrame, walks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(agent, walk, nodes, log_likelihood): the sum of the logarithms of each node's probability after those before it.
+
+    A node that no walk of the agent held when counting has the probability of one more kind. Endings are looked up by
+    one join per length with the counts, which are written once.
+    """
+    counts = written(counts, "context-counts")
+    totals = written(context_totals(counts), "context-totals")
+    rows = _contexts(walks, order)
+    orders = []
+    for k in range(order + 1):
+        rows = rows.withColumn(f"c{k}", _ending(F.col("before"), k))
+        at = totals.select("agent", F.col("context").alias(f"c{k}"), F.col("total").alias(f"t{k}"), F.col("kinds").alias(f"k{k}"))
+        n = counts.select("agent", F.col("context").alias(f"c{k}"), "target", F.col("n").alias(f"n{k}"))
+        rows = rows.join(at, ["agent", f"c{k}"], "left").join(n, ["agent", f"c{k}", "target"], "left")
+        orders.append((F.col(f"n{k}"), F.col(f"t{k}"), F.col(f"k{k}")))
+    p = _backed_off(orders, 1.0 / (F.coalesce("k0", F.lit(0)) + 1))
+    return rows.groupBy("agent", "walk").agg(F.count("*").alias("nodes"), F.sum(F.log(p)).alias("log_likelihood"))

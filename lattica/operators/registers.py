@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lattica.operators.latest import sync_counts
 from lattica.operators.navigate import _reached
 from lattica.operators.requests import refused
+from lattica.operators.running import running_maximum, running_sum
+from lattica.tables import written
 
 # The sections of an initial document: category, heading, what stands between key and value.
 SECTIONS = (("alias", "# aliases", ": "), ("config", "# config", " "))
@@ -176,3 +178,71 @@ def reachable_commits(commits: DataFrame, refs: DataFrame) -> DataFrame:
     start = refs.select(F.concat_ws("@", "repo", "sha").alias("id"))
     found = _reached(links, start).select(F.col("id").alias("found"))
     return commits.join(found, F.concat_ws("@", "repo", "sha") == F.col("found"), "left_semi")
+
+
+RING = "commits are each other's parents"
+
+
+def commit_runs(commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, run, place): commits in runs, in which each is the only child of its only parent; place 0 is the run's first.
+
+    Every round doubles the steps towards the first, so a run of n commits takes the logarithm of n rounds. A commit
+    whose step ends at a first one is finished and isn't joined again.
+    """
+    ids = commits.select(F.concat_ws("@", "repo", "sha").alias("id")).distinct()
+    only_parent = edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"), F.min("target_id").alias("up")).filter("n = 1")
+    only_child = edges.groupBy(F.col("target_id").alias("up")).agg(F.count("*").alias("n")).filter("n = 1").select("up")
+    inner = written(only_parent.join(only_child, "up", "left_semi").select("id", "up"), "commit-inner")
+    first = ids.join(inner, "id", "left_anti").select("id", F.col("id").alias("run"), F.lit(0).cast("long").alias("place"))
+    ended = inner.select(F.col("up").alias("at")).join(inner.select(F.col("id").alias("at")), "at", "left_anti").withColumn("ends", F.lit(True))
+    hops = inner.join(ended, F.col("up") == F.col("at"), "left")
+    hops = written(hops.select("id", "up", F.lit(1).cast("long").alias("steps"), F.coalesce("ends", F.lit(False)).alias("ends")), "commit-hops")
+    rounds = hops.count().bit_length() + 1
+    while hops.filter("NOT ends").limit(1).count():
+        if not rounds:
+            raise ValueError(RING)
+        rounds -= 1
+        over = hops.select(F.col("id").alias("via"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("ends").alias("then"))
+        joined = hops.filter("NOT ends").join(over, F.col("up") == F.col("via"))
+        moved = joined.select("id", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("ends"))
+        hops = written(hops.filter("ends").unionByName(moved), "commit-hops")
+    return written(first.unionByName(hops.select("id", F.col("up").alias("run"), F.col("steps").alias("place"))), "commit-runs")
+
+
+def commit_order(commits: DataFrame) -> DataFrame:
+    """(repo, sha, moment, place): parents before children, else by time; ``place`` counts from 0 in the repository.
+
+    A commit's ``moment`` is its time, or one more than the latest moment of its parents if that is later. Along a run
+    of commits it is a running maximum, and between runs moments are passed on until none changes: as many rounds as
+    runs follow each other with times that lie behind, and one more. A commit that names itself as a parent doesn't
+    count as one; longer rings, which hashes can't form, are an error.
+    """
+    commits = written(commits.select("repo", "sha", "time", "parents", F.concat_ws("@", "repo", "sha").alias("id")), "commit-rows")
+    edges = written(commit_edges(commits).filter("source_id != target_id"), "commit-edges")
+    rows = commits.join(commit_runs(commits, edges), "id").withColumn("ahead", F.col("time") - F.col("place"))
+    # along a run the moment at a place is the place plus the largest time less its own place up to there
+    rows = written(running_maximum(rows, ["run"], "place", "ahead", "most"), "commit-moments")
+    starts = rows.filter("place = 0").select(F.col("id").alias("source_id"))
+    into = edges.join(starts, "source_id", "left_semi").select(F.col("source_id").alias("run"), F.col("target_id").alias("id"))
+    links = written(
+        into.join(rows.select("id", F.col("run").alias("of"), (F.col("place") + F.col("most") + 1).alias("least"), "place"), "id")
+        .groupBy("run", "of", "place").agg(F.max("least").alias("least")), "commit-links",
+    )
+    # pushed: the least moment that the parents leave the first commit of a run
+    pushed = written(links.groupBy("run").agg(F.max("least").alias("pushed")), "commit-pushed")
+    rounds = pushed.count() + 1
+    while True:
+        if not rounds:
+            raise ValueError(RING)
+        rounds -= 1
+        through = links.join(pushed.select(F.col("run").alias("of"), "pushed"), "of", "left")
+        further = through.groupBy("run").agg(F.max(F.greatest("least", F.col("place") + F.col("pushed") + 1)).alias("further"))
+        joined = pushed.select("run", "pushed").join(further, "run")
+        pushed = written(joined.select("run", F.col("further").alias("pushed"), (F.col("further") > F.col("pushed")).alias("grew")), "commit-pushed")
+        if not pushed.filter("grew").limit(1).count():
+            break
+    pushed = pushed.drop("grew")
+    moment = F.col("place") + F.greatest("most", "pushed")
+    rows = rows.join(pushed, "run", "left").select("repo", "sha", moment.alias("moment"), "time", F.lit(1).cast("long").alias("one"))
+    placed = running_sum(rows, ["repo"], "moment", "one", "n", ties=("time", "sha"))
+    return placed.select("repo", "sha", "moment", (F.col("n") - 1).alias("place"))

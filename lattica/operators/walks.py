@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.tables import written
+from lattica.operators.running import running_sum
+from lattica.tables import scratch_path, written
 
 #: Parts in which the neighbours of a node are numbered.
 PARTS = 64
@@ -67,25 +68,56 @@ def _draw(seed: int, step: int, *columns: str) -> Column:
 def walk(starts: DataFrame, neighbours: DataFrame, steps: int, seed: int = 0, weight: Column | None = None) -> DataFrame:
     """(walk, step, node): from each start (walk, node) up to ``steps`` steps to random neighbours (source, target).
 
-    Neighbours are numbered once, and a step draws a number, so it is one row per walk even at a node of very many
-    neighbours. With ``weight`` a neighbour is drawn by the smallest exponential of its weight instead, a grouping with
-    min_by that combines on the map side. Equal seeds give equal walks.
+    Neighbours are numbered once, or laid out by ``weight`` once, and a step draws a number, so it is one row per walk
+    even at a node of very many neighbours. Each step is written and the next reads it, so a walk of k steps is k joins
+    with the neighbours. Equal seeds give equal walks.
     """
-    here = starts.select("walk", "node")
-    out = here.select("walk", F.lit(0).alias("step"), "node")
-    numbered = None if weight is not None else written(numbered_neighbours(neighbours), "neighbours")
+    here = starts.select("walk", F.lit(0).alias("step"), "node")
+    folder = scratch_path(starts.sparkSession, "walk")
+    paths = [f"{folder}/0"]
+    here.write.parquet(paths[0])
+    read = lambda *chosen: starts.sparkSession.read.schema(here.schema).parquet(*chosen)
+    if weight is None:
+        laid = written(numbered_neighbours(neighbours), "neighbours")
+        sources = laid.filter("number = 0").select(F.col("source").alias("node"), "degree")
+    else:
+        laid = written(weighted_neighbours(neighbours.select("source", "target", weight.alias("weight"))), "neighbours")
+        sources = written(laid.select(F.col("source").alias("node"), "total", "width").distinct(), "neighbours-sources")
     for step in range(1, steps + 1):
-        if numbered is None:
-            options = here.join(neighbours.withColumn("w", weight), F.col("node") == F.col("source"))
-            drawn = -F.log(_draw(seed, step, "walk", "target")) / F.col("w")
-            here = options.groupBy("walk").agg(F.min_by("target", F.struct(drawn, "target")).alias("node"))
+        at = read(paths[-1]).join(sources, "node")
+        drawn = _draw(seed, step, "walk", "node")
+        if weight is None:
+            chosen = at.select("walk", F.col("node").alias("source"), F.floor(drawn * F.col("degree")).alias("number"))
+            further = chosen.join(laid, ["source", "number"])
         else:
-            degrees = numbered.filter("number = 0").select(F.col("source").alias("node"), "degree")
-            choice = F.floor(_draw(seed, step, "walk", "node") * F.col("degree")).alias("number")
-            chosen = here.join(degrees, "node").select("walk", F.col("node").alias("source"), choice)
-            here = chosen.join(numbered, ["source", "number"]).select("walk", F.col("target").alias("node"))
-        out = out.unionByName(here.select("walk", F.lit(step).alias("step"), "node"))
-    return out
+            point = F.least(F.floor(drawn * F.col("total")), F.col("total") - 1)
+            chosen = at.select("walk", F.col("node").alias("source"), point.alias("point"), F.floor(point / F.col("width")).alias("cell"))
+            further = chosen.join(laid, ["source", "cell"]).filter("point >= low AND point < high")
+        paths.append(f"{folder}/{step}")
+        further.select("walk", F.lit(step).alias("step"), F.col("target").alias("node")).write.parquet(paths[-1])
+    return read(*paths)
+
+
+#: Weights are whole numbers of this part, so that their sums are exact in any order.
+WEIGHT_UNIT = 1_000_000
+
+
+def weighted_neighbours(neighbours: DataFrame) -> DataFrame:
+    """``neighbours`` (source, target, weight) as a table to draw from: source, target, low, high, total, width, cell.
+
+    A neighbour owns the whole numbers from ``low`` to below ``high`` of its source's ``total``, which running sums lay
+    out. They are cut into as many cells of ``width`` as the source has neighbours, and a neighbour has a row for
+    each cell that it reaches into: two rows a neighbour on average. So a drawn number finds its neighbour by an
+    equality join on the cell, even at a hub. Weights under a WEIGHT_UNIT-th count as that.
+    """
+    whole = F.greatest(F.round(F.col("weight") * WEIGHT_UNIT), F.lit(1)).cast("long")
+    rows = neighbours.groupBy("source", "target").agg(F.sum(whole).alias("share"))
+    rows = running_sum(rows, ["source"], "target", "share", "high")
+    totals = rows.groupBy("source").agg(F.max("high").alias("total"), F.count("*").alias("degree"))
+    totals = totals.select("source", "total", F.ceil(F.col("total") / F.col("degree")).alias("width"))
+    rows = rows.join(totals, "source").withColumn("low", F.col("high") - F.col("share"))
+    first, last = F.floor(F.col("low") / F.col("width")), F.floor((F.col("high") - 1) / F.col("width"))
+    return rows.select("source", "target", "low", "high", "total", "width", F.explode(F.sequence(first, last)).alias("cell"))
 
 
 def numbered_neighbours(neighbours: DataFrame) -> DataFrame:
@@ -121,6 +153,59 @@ def perspective_walk(perspectives: DataFrame, agent: str, length: int, seed: int
     return first.select((F.row_number().over(Window.orderBy("drawn", "id")) - 1).alias("step"), "id")
 
 
+#: The least weight of an edge in walks by perspectives.
+LEAST_WEIGHT = 0.01
+
+
+def perspective_edges(edges: DataFrame, perspectives: DataFrame, agent: str) -> DataFrame:
+    """(source, target, weight) of ``edges``: 1 plus the size of what the agent rates the target, LEAST_WEIGHT at least.
+
+    A target that the agent rates in several contexts counts once for each, an unrated one weighs 1.
+    """
+    rated = perspectives.filter(F.col("agent_id") == agent).select(F.col("node_id").alias("target"), F.col("weight").alias("rated"))
+    ends = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    weight = F.greatest(1 + F.abs(F.coalesce("rated", F.lit(0.0))), F.lit(LEAST_WEIGHT))
+    return ends.join(rated, "target", "left").select("source", "target", weight.alias("weight"))
+
+
+def drawn_starts(neighbours: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(walk, node): ``n`` starts, drawn with repeats from the sources of ``neighbours``."""
+    sources = neighbours.select("source").distinct().withColumn("one", F.lit(1).cast("long"))
+    numbered = written(running_sum(sources, [], "source", "one", "number"), "walk-starts")
+    total = numbered.count()
+    walks = neighbours.sparkSession.range(n).withColumnRenamed("id", "walk")
+    drawn = walks.select("walk", (F.floor(_draw(seed, 0, "walk") * total) + 1).alias("number"))
+    return drawn.join(numbered, "number").select("walk", F.col("source").alias("node"))
+
+
+WALKS = ("edge", "random", "perspective")
+
+
+def generated(
+    kind: str, nodes: DataFrame, edges: DataFrame, n: int, length: int, seed: int = 0, perspectives: DataFrame | None = None, agent: str = ""
+) -> DataFrame:
+    """(walk, step, node): ``n`` training sequences of a kind of WALKS, of up to ``length`` nodes; those of one are left out.
+
+    ``edge`` goes along edges, ``random`` along edges and the tree in both directions, ``perspective`` along edges by
+    what an agent thinks of their ends. Without edges the first and last go from parents to children.
+    """
+    if kind not in WALKS:
+        raise ValueError(f"a walk is one of {', '.join(WALKS)}")
+    weight = None
+    ends = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    if kind == "random":
+        neighbours = adjacency(nodes, edges)
+    elif not edges.limit(1).count():
+        neighbours = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), F.col("id").alias("target"))
+    elif kind == "edge":
+        neighbours = ends
+    else:
+        neighbours, weight = perspective_edges(edges, perspectives, agent), F.col("weight")
+    out = walk(drawn_starts(neighbours, n, seed), neighbours, length - 1, seed, weight)
+    longer = out.filter("step = 1").select("walk")
+    return out.join(longer, "walk", "left_semi")
+
+
 def tree_walk(nodes: DataFrame, root: str, length: int) -> DataFrame:
     """(step, id): the first ``length`` nodes below ``root`` in preorder: the order of their paths of positions."""
     below = nodes.filter((F.col("path") == root) | F.col("path").startswith(root + "."))

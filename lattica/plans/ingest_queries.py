@@ -216,6 +216,42 @@ def model_transitions(spark: SparkSession, d: str) -> DataFrame:
     return _transitions(spark, d)
 
 
+CONTEXTS = """contexts AS (SELECT l_returnflag AS agent, l_orderkey AS walk, l_partkey AS target, list_filter([
+    lag(l_partkey, 2) OVER w, lag(l_partkey) OVER w], lambda x: x IS NOT NULL) AS before FROM lines
+    WINDOW w AS (PARTITION BY l_returnflag, l_orderkey ORDER BY ordinal)),
+  counts AS (SELECT agent, before[len(before) - k + 1 :] AS context, target, count(*) AS n
+    FROM (SELECT *, unnest(range(0, len(before) + 1)) AS k FROM contexts WHERE walk % 5 <> 0) GROUP BY ALL),
+  totals AS (SELECT agent, context, sum(n) AS total, count(*) AS kinds FROM counts GROUP BY ALL)"""
+
+
+def _context_walks(spark: SparkSession, d: str) -> DataFrame:
+    return model.numbered_lines(spark, d).select(
+        F.col("l_returnflag").alias("agent"), F.col("l_orderkey").alias("walk"), F.col("ordinal").alias("step"), F.col("l_partkey").alias("node")
+    )
+
+
+@register_sql("context_counts", f"WITH {CONTEXTS} SELECT agent, array_to_string(context, ',') AS context, target, n FROM counts")
+def context_counts(spark: SparkSession, d: str) -> DataFrame:
+    counts = predict.context_counts(_context_walks(spark, d).filter("walk % 5 != 0"), 2)
+    return counts.withColumn("context", F.array_join(F.col("context").cast("array<string>"), ","))
+
+
+@register_sql("walk_likelihoods", f"""WITH {CONTEXTS}, held AS (SELECT *, before[len(before) :] AS one FROM contexts WHERE walk % 5 = 0),
+  p0 AS (SELECT h.*, (coalesce(n, 0) + kinds * (1 / (kinds + 1))) / (total + kinds) AS p FROM held h
+    JOIN totals t ON t.agent = h.agent AND t.context = [] LEFT JOIN counts c ON c.agent = h.agent AND c.context = [] AND c.target = h.target),
+  p1 AS (SELECT h.* EXCLUDE (p), CASE WHEN total IS NULL THEN p ELSE (coalesce(n, 0) + kinds * p) / (total + kinds) END AS p FROM p0 h
+    LEFT JOIN totals t ON t.agent = h.agent AND t.context = one AND len(before) >= 1
+    LEFT JOIN counts c ON c.agent = h.agent AND c.context = one AND c.target = h.target AND len(before) >= 1),
+  p2 AS (SELECT h.* EXCLUDE (p), CASE WHEN total IS NULL THEN p ELSE (coalesce(n, 0) + kinds * p) / (total + kinds) END AS p FROM p1 h
+    LEFT JOIN totals t ON t.agent = h.agent AND t.context = before AND len(before) = 2
+    LEFT JOIN counts c ON c.agent = h.agent AND c.context = before AND c.target = h.target AND len(before) = 2)
+  SELECT agent, walk, count(*) AS nodes, sum(ln(p)) AS log_likelihood FROM p2 GROUP BY agent, walk""")
+def walk_likelihoods(spark: SparkSession, d: str) -> DataFrame:
+    walks = _context_walks(spark, d)
+    counts = predict.context_counts(walks.filter("walk % 5 != 0"), 2)
+    return predict.walk_likelihoods(counts, walks.filter("walk % 5 = 0"), 2)
+
+
 @register_sql("model_info", f"""SELECT agent, count(DISTINCT source) AS sources, count(*) AS parameters, sum(n)::BIGINT AS observations
   FROM ({TRANSITIONS}) GROUP BY agent""")
 def model_info(spark: SparkSession, d: str) -> DataFrame:

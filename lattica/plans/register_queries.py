@@ -191,6 +191,20 @@ def commit_edges(spark: SparkSession, d: str) -> DataFrame:
     return registers.commit_edges(_commits(spark, d))
 
 
+#: Times that often lie before those of the parents.
+LATE = "late AS (SELECT * REPLACE (time - time % 4 * 5 AS time) FROM commits)"
+
+
+@register_sql("commit_order", f"""WITH {COMMITS}, {LATE}, {EDGES}, moments AS (WITH RECURSIVE r AS (
+      SELECT repo || '@' || sha AS id, time AS moment FROM late
+      UNION SELECT repo || '@' || sha, moment + 1 FROM r JOIN edges2 ON target_id = r.id AND source_id <> target_id JOIN late ON repo || '@' || sha = source_id
+      WHERE moment + 1 > time) SELECT id, max(moment) AS moment FROM r GROUP BY id)
+  SELECT repo, sha, moment, row_number() OVER (PARTITION BY repo ORDER BY moment, time, sha) - 1 AS place
+  FROM late JOIN moments ON id = repo || '@' || sha""")
+def commit_order(spark: SparkSession, d: str) -> DataFrame:
+    return registers.commit_order(_commits(spark, d).withColumn("time", F.col("time") - F.col("time") % 4 * 5))
+
+
 @register_sql("mirror_at", f"""WITH {COMMITS}, {EDGES}, reached AS (WITH RECURSIVE r AS (SELECT repo || '@' || sha AS id FROM commits WHERE time IN (40, 71)
       UNION SELECT target_id FROM edges2 JOIN r ON source_id = r.id) SELECT id FROM r)
   SELECT repo, sha, message, time FROM commits WHERE repo || '@' || sha IN (SELECT id FROM reached)""")
@@ -321,6 +335,33 @@ def neighbour_degrees(spark: SparkSession, d: str) -> DataFrame:
     return numbered.groupBy("source").agg(F.count_distinct("number").alias("numbers"), F.max("degree").alias("degree"))
 
 
+@register_sql("weighted_neighbours", """WITH rated AS (SELECT node_id, weight FROM perspectives WHERE agent_id = 'u3'),
+  e AS (SELECT source_id AS source, target_id AS target, sum(greatest(round(greatest(1 + abs(coalesce(weight, 0)), 0.01) * 1000000), 1)::BIGINT) AS share
+    FROM edges LEFT JOIN rated ON node_id = target_id GROUP BY ALL),
+  laid AS (SELECT *, sum(share) OVER (PARTITION BY source ORDER BY target) AS high, sum(share) OVER (PARTITION BY source) AS total FROM e)
+  SELECT source, target, (high - share)::BIGINT AS low, high::BIGINT AS high, total::BIGINT AS total FROM laid""")
+def weighted_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    rated = perspectives.current_perspectives(model.perspective_log(spark, d))
+    laid = walks.weighted_neighbours(walks.perspective_edges(model.edges(spark, d), rated, "u3"))
+    return laid.select("source", "target", "low", "high", "total").distinct()
+
+
+@register_sql("walk_perspective", """WITH rated AS (SELECT node_id, weight FROM perspectives WHERE agent_id = 'u3'),
+  e AS (SELECT source_id AS source, target_id AS target, sum(greatest(round(greatest(1 + abs(coalesce(weight, 0)), 0.01) * 1000000), 1)::BIGINT) AS share
+    FROM edges LEFT JOIN rated ON node_id = target_id GROUP BY ALL),
+  laid AS (SELECT *, sum(share) OVER (PARTITION BY source ORDER BY target) AS high, sum(share) OVER (PARTITION BY source) AS total FROM e),
+  s0 AS (SELECT 'o' || o_orderkey AS walk, 'o' || o_orderkey AS node FROM orders),
+  d1 AS (SELECT walk, node, floor((('0x' || substr(md5('5|1|' || walk || '|' || node), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * total) AS p
+    FROM s0 JOIN (SELECT DISTINCT source, total FROM laid) ON source = node),
+  s1 AS (SELECT walk, target AS node FROM d1 JOIN laid ON source = node AND p >= high - share AND p < high)
+  SELECT walk, 0::INTEGER AS step, node FROM s0 UNION ALL SELECT walk, 1, node FROM s1""")
+def walk_perspective(spark: SparkSession, d: str) -> DataFrame:
+    rated = perspectives.current_perspectives(model.perspective_log(spark, d))
+    edges = walks.perspective_edges(model.edges(spark, d), rated, "u3")
+    starts = model.table(spark, d, "orders").select(_text("o", F.col("o_orderkey")).alias("node"))
+    return walks.walk(starts.select(F.col("node").alias("walk"), "node"), edges, 1, seed=5, weight=F.col("weight"))
+
+
 @register_sql("weighted_targets", """SELECT node_id, max(weight) AS weight FROM perspectives WHERE agent_id = 'u3' AND weight > -0.95 GROUP BY node_id""")
 def weighted_targets(spark: SparkSession, d: str) -> DataFrame:
     return walks.weighted_targets(perspectives.current_perspectives(model.perspective_log(spark, d)), "u3", least=-0.95)

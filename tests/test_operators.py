@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import arithmetic, paths
 from lattica.operators import (
-    citations, fulltext, latest, ledger, market, navigate, oplog, perspectives, requests, running, state, swarm, walks,
+    citations, fulltext, latest, ledger, market, navigate, oplog, perspectives, predict, registers, requests, running, stacks, state,
+    swarm, walks,
 )
 from lattica.sources import csv_import
 from lattica.streaming import oplog as stream
@@ -343,3 +344,104 @@ def test_walks_at_a_hub_draw_evenly(spark):
     starts = spark.range(4000).selectExpr("id AS walk", "'hub' AS node")
     ends = walks.walk(starts, edges, 1, seed=2).filter("step = 1").groupBy("node").count().toPandas()["count"]
     assert len(ends) > 490 and ends.max() < 30
+
+
+def test_weighted_walks_at_a_hub_draw_by_weight(spark):
+    heavy = [("hub", f"n{k}", 0.01 if k < 900 else 1.0) for k in range(1000)] + [("hub", "most", 91.0)]
+    edges = spark.createDataFrame(heavy, "source string, target string, weight double")
+    starts = spark.range(20_000).selectExpr("id AS walk", "'hub' AS node")
+    ends = walks.walk(starts, edges, 1, seed=2, weight=F.col("weight")).filter("step = 1").groupBy("node").count().toPandas().set_index("node")["count"]
+    light = ends[[n for n in ends.index if n != "most" and int(n[1:]) < 900]].sum()
+    assert ends.sum() == 20_000 and 8700 < ends["most"] < 9500 and 700 < light < 1100  # 91, 9 and 100 parts of 200
+    laid = walks.weighted_neighbours(edges)
+    assert laid.count() <= 2 * 1001 and laid.groupBy("cell").count().agg({"count": "sum"}).first()[0] == laid.count()
+
+
+def test_generated_walks(spark):
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("b", "r")], "id string, parent_id string")
+    edges = spark.createDataFrame([("a", "x"), ("x", "a"), ("b", "end")], "source_id string, target_id string")
+    rated = spark.createDataFrame([("me", "x", 0.5), ("me", "a", -1.0)], "agent_id string, node_id string, weight double")
+    for kind in walks.WALKS:
+        out = walks.generated(kind, nodes, edges, 50, 4, 1, rated, "me").toPandas()
+        assert out.walk.nunique() == 50 and out.groupby("walk").size().between(2, 4).all()
+    tree = walks.generated("edge", nodes, edges.limit(0), 20, 5).toPandas()
+    assert set(tree.node) == {"r", "a", "b"} and (tree.groupby("walk").size() == 2).all()
+    with pytest.raises(ValueError, match="a walk is one of"):
+        walks.generated("other", nodes, edges, 1, 2)
+    weights = {(r[0], r[1]): r[2] for r in walks.perspective_edges(edges, rated, "me").collect()}
+    assert weights == {("a", "x"): 1.5, ("x", "a"): 2.0, ("b", "end"): 1.0}
+
+
+def test_commits_come_after_their_parents(spark):
+    draw = random.Random(4)
+    rows = [("r", f"c{k}", 100 - k if k % 7 else k, [f"c{k - 1}"] if k else []) for k in range(300)]  # one long run, times run back
+    for k in range(300, 330):
+        parents = draw.sample([r[1] for r in rows], draw.choice([0, 1, 1, 2, 3])) + (["gone"] if k % 9 == 0 else [])
+        rows.append(("r", f"c{k}", draw.randrange(200), parents))
+    rows.append(("other", "c1", 5, []))
+    commits = spark.createDataFrame(rows, "repo string, sha string, time long, parents array<string>").repartition(5)
+    out = {(r["repo"], r["sha"]): r for r in registers.commit_order(commits).collect()}
+    assert len(out) == len(rows)
+    moments = {}
+    for repo, sha, time, parents in rows:  # parents stand before their children here
+        moments[repo, sha] = max([time] + [moments[repo, p] + 1 for p in parents if (repo, p) in moments])
+    assert {k: r["moment"] for k, r in out.items()} == moments
+    placed = sorted((r for (repo, _), r in out.items() if repo == "r"), key=lambda r: r["place"])
+    assert [r["place"] for r in placed] == list(range(330))
+    assert all(out[repo, p]["place"] < out[repo, sha]["place"] for repo, sha, _, parents in rows for p in parents if (repo, p) in out)
+
+
+def test_rings_of_commits_are_an_error(spark):
+    schema = "repo string, sha string, time long, parents array<string>"
+    for rows in ([("r", "a", 1, ["b"]), ("r", "b", 2, ["a"])], [("r", "a", 1, ["b", "c"]), ("r", "b", 2, ["a"]), ("r", "c", 2, ["a"])]):
+        with pytest.raises(ValueError, match="each other's parents"):
+            registers.commit_order(spark.createDataFrame(rows, schema))
+    own = spark.createDataFrame([("r", "a", 1, ["a"]), ("r", "b", 0, ["a"])], schema)
+    assert [(r["sha"], r["moment"]) for r in registers.commit_order(own).orderBy("place").collect()] == [("a", 1), ("b", 2)]
+    assert registers.commit_order(own.limit(0)).count() == 0
+
+
+def test_contexts_predict_better_than_one_node(spark):
+    draw = random.Random(5)
+    rows = []
+    for w in range(120):  # what follows b hangs on what was before it
+        node = draw.choice("ab")
+        for step in range(12):
+            rows.append(("m", w, step, node))
+            last = rows[-2][3] if step else "a"
+            node = {"ab": "c", "cb": "a", "bb": "c"}.get(last + node, draw.choice("bbbc") if node in "ac" else "b")
+    table = spark.createDataFrame(rows, "agent string, walk long, step int, node string")
+    train, held = table.filter("walk % 4 != 0"), table.filter("walk % 4 = 0")
+    scores = [
+        predict.walk_likelihoods(predict.context_counts(train, order), held, order).agg(F.sum("log_likelihood")).first()[0]
+        for order in (0, 1, 2)
+    ]
+    assert scores[0] < scores[1] - 20 < scores[2] - 40
+    counts = predict.context_counts(train, 2)
+    after = predict.predict_after(counts, "m", ["a", "b"]).collect()
+    assert after[0]["target"] == "c" and abs(sum(r["probability"] for r in after) - 1) < 1e-9
+    assert predict.predict_after(counts, "m", ["c", "b"], 1).first()["target"] == "a"
+    assert predict.predict_after(counts, "nobody", ["a"]).count() == 0
+    unknown = predict.predict_after(counts, "m", ["never", "seen"]).collect()
+    assert abs(sum(r["probability"] for r in unknown) - 1) < 1e-9
+
+
+def test_one_stack_is_spread_over_tasks(spark):
+    draw = random.Random(6)
+    log, held, off = [], [], []
+    for seq in range(3000):
+        op = draw.choice(["push"] * 5 + ["pop"] * 4 + ["drop", "replace"] + (["clear"] if seq % 500 == 0 else []))
+        log.append(("s", seq, op, f"c{seq}"))
+        if op == "push":
+            held.append(f"c{seq}")
+        elif op == "clear":
+            held.clear()
+        elif held:
+            last = held.pop()
+            if op == "replace":
+                held.append(f"c{seq}")
+            else:
+                off.append((seq, last))
+    table = spark.createDataFrame(log, "stack string, seq long, op string, content string").repartition(6)
+    assert [r["content"] for r in stacks.items(table).orderBy("position").collect()] == held
+    assert sorted((r["seq"], r["content"]) for r in stacks.popped(table).collect()) == off
