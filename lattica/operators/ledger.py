@@ -10,6 +10,10 @@ from lattica.operators.running import running_sum
 NANO = 1_000_000_000
 # The types of wallets that can be created.
 WALLET_TYPES = ("human", "agent", "external")
+# Work that counts as parsing, that counts as a version, and the nodes that past parsing is paid for.
+PARSE_WORK = ("parse_file", "parse_crate", "parse_markdown")
+VERSION_WORK = "create_version"
+NODES_REWARDED = 100
 
 
 def entries(ledger: DataFrame) -> DataFrame:
@@ -96,6 +100,29 @@ def reward_mints(work: DataFrame, schedule: DataFrame) -> DataFrame:
     return work.join(rates, "work_type").select("wallet", "work_type", F.col("reward").alias("amount"), reason)
 
 
+def evaluate_mining(nodes: DataFrame, versions: DataFrame, rewards: DataFrame, schedule: DataFrame, book: DataFrame) -> DataFrame:
+    """Mints (work_type, amount, reason, timestamp) of what past work is owed, from counts of one row each.
+
+    ``rewards`` (work_type) is the log of rewarded work. Without any reward for parsing the nodes earn a unit each, up to
+    NODES_REWARDED; versions beyond those rewarded earn what the schedule gives for one, if that is enabled.
+    Timestamps go on from the ledger's last.
+    """
+    parsed = F.count_if(F.col("work_type").isin(*PARSE_WORK)).alias("parsed")
+    versioned = F.count_if(F.col("work_type") == VERSION_WORK).alias("versioned")
+    rate = schedule.filter((F.col("work_type") == VERSION_WORK) & F.col("enabled")).agg(F.max("reward").alias("rate"))
+    one = nodes.agg(F.count("*").alias("nodes")).join(versions.agg(F.count("*").alias("versions")))
+    one = one.join(rewards.agg(parsed, versioned)).join(rate).join(book.agg(F.coalesce(F.max("timestamp"), F.lit(0)).alias("last")))
+    parsing = F.when(F.col("parsed") == 0, F.least(F.col("nodes"), F.lit(NODES_REWARDED)) * NANO)
+    versions_owed = (F.col("versions") - F.col("versioned")) * F.col("rate")
+    owed = F.array(*[
+        F.struct(F.lit(kind).alias("work_type"), F.coalesce(amount, F.lit(0)).cast("long").alias("amount"))
+        for kind, amount in (("retroactive_parsing", parsing), ("retroactive_versions", versions_owed))
+    ])
+    rows = one.select("last", F.posexplode(F.filter(owed, lambda o: o["amount"] > 0)).alias("place", "o"))
+    reason = F.concat(F.lit("reward:"), "o.work_type").alias("reason")
+    return rows.select("o.work_type", "o.amount", reason, (F.col("last") + F.col("place") + 1).cast("long").alias("timestamp"))
+
+
 def retroactive_bonus(nodes: int, parse_rewards: int, versions: int, rewarded_versions: int, rate: int) -> dict[str, int]:
     """What past work is owed: up to 100 units for nodes never rewarded, and ``rate`` per version not yet rewarded."""
     return {

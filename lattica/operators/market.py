@@ -114,8 +114,13 @@ def market_balance(ledger: DataFrame, auctions: DataFrame, bids: DataFrame, wall
     return row.select("earnings", "spending", (F.col("earnings") - F.col("spending")).alias("net"), "active_auctions", "active_bids")
 
 
-def commons(auctions: DataFrame, scope: str | None = None) -> DataFrame:
+def commons(auctions: DataFrame, scope: str | None = None, since=None) -> DataFrame:
+    """Open-sourced auctions, below a scope and, by ``open_sourced_at``, from a moment on, the latest first."""
     chosen = auctions.filter("status = 'open_sourced'")
+    if since is not None:
+        chosen = chosen.filter(F.col("open_sourced_at") >= since)
+        scoped = chosen if scope is None else chosen.filter(in_subtree(F.col("scope"), scope))
+        return scoped.select("id", "scope", "current_price", "open_sourced_at").orderBy(F.desc("open_sourced_at"), F.desc("id"))
     if scope is not None:
         chosen = chosen.filter(in_subtree(F.col("scope"), scope))
     return chosen.select("id", "scope", "current_price").orderBy(F.desc("id"))

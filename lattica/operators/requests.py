@@ -48,6 +48,11 @@ def register_agents(requests: DataFrame, agents: DataFrame) -> DataFrame:
     return is_new(rows, agents, ["name"], "seq")
 
 
+def get_agent(agents: DataFrame, name: str) -> DataFrame:
+    """The agent of a name; no row if there is none."""
+    return agents.filter(F.col("name") == name)
+
+
 def remove_agents(requests: DataFrame, agents: DataFrame, perspectives: DataFrame, associations: DataFrame) -> DataFrame:
     """Requests (seq, name): an agent that holds perspectives or associations stays."""
     named = requests.join(agents.select("name", F.col("id").alias("agent_id")), "name", "left")
@@ -70,6 +75,12 @@ def listed_peers(peers: DataFrame) -> DataFrame:
     return peers.filter("NOT is_self").select("name", "fingerprint", F.lower("public_key_hex").alias("public_key_hex"), "endpoint").orderBy("name", "fingerprint")
 
 
+def get_peer(peers: DataFrame, fingerprint: str) -> DataFrame:
+    """The peer, or the instance itself, of a fingerprint; no row if there is none."""
+    found = peers.filter(F.col("fingerprint") == fingerprint)
+    return found.select("name", "fingerprint", "endpoint", F.lower("public_key_hex").alias("public_key_hex"), "is_self")
+
+
 def remove_peers(requests: DataFrame, peers: DataFrame) -> DataFrame:
     """Requests (seq, name): an instance doesn't remove itself."""
     named = requests.join(peers.select("name", "is_self").distinct(), "name", "left")
@@ -93,6 +104,30 @@ def tasks_after(tasks: DataFrame, judged: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
+def stop_swarms(requests: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Requests (seq, task_id): a running task is stopped once; the first request of a batch does it."""
+    rows = requests.join(tasks.select(F.col("id").alias("task_id"), "status"), "task_id", "left")
+    rows = rows.withColumn("refused", refused(("unknown", F.col("status").isNull()), ("state", F.col("status") != "running")))
+    first = rows.filter("refused IS NULL").groupBy("task_id").agg(F.min("seq").alias("first"))
+    later = F.when(F.col("refused").isNull() & (F.col("seq") > F.col("first")), "state")
+    return rows.join(first, "task_id", "left").withColumn("refused", F.coalesce("refused", later)).drop("first", "status")
+
+
+def record_results(requests: DataFrame, tasks: DataFrame, agents: DataFrame, vector: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results (seq, task_id, agent, passed, output, duration_ms, ops_count) of named agents, and the version vector they saw.
+
+    The accepted have the agent's id and ``snapshot``, a number that the rows (snapshot, author, max_seq) of the second
+    table share: one copy of the vector serves a whole batch, however many authors it has.
+    """
+    named = requests.join(agents.select(F.col("name").alias("agent"), F.col("id").alias("agent_id")), "agent", "left")
+    known = _known(named, "task_id", tasks, "id", "known")
+    rows = known.withColumn("refused", refused(("agent", F.col("agent_id").isNull()), ("task", ~F.col("known")))).drop("known")
+    snapshot = requests.agg(F.min("seq").alias("snapshot"))
+    seen = vector.select("author", "max_seq").join(F.broadcast(snapshot)).select("snapshot", "author", "max_seq")  # one row
+    rows = rows.join(F.broadcast(snapshot))
+    return rows.withColumn("snapshot", F.when(F.col("refused").isNull(), F.col("snapshot"))), seen
+
+
 def get_task(tasks: DataFrame, agents: DataFrame, task_id: str) -> DataFrame:
     """A task with the name of its swarm."""
     names = agents.select(F.col("id").alias("swarm_id"), F.col("name").alias("swarm_name"))

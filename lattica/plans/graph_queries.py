@@ -101,8 +101,8 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return oplog.cascade(nodes, nodes.filter(F.col("id").isin("n3", "c11", "o77"))).select("id", "kind", "path")
 
 
-@register_sql("reparent_delete", """SELECT n.id, n.kind, CASE WHEN p.kind = 'nation' THEN p.parent_id ELSE n.parent_id END
-  AS parent_id FROM nodes n LEFT JOIN nodes p ON n.parent_id = p.id WHERE n.kind <> 'nation'""")
+@register_sql("reparent_delete", """SELECT id, kind, CASE WHEN kind = 'customer' THEN split_part(path, '.', 1) ELSE parent_id END
+  AS parent_id FROM nodes WHERE kind <> 'nation'""")
 def reparent_delete(spark: SparkSession, d: str) -> DataFrame:
     nodes = model.nodes(spark, d)
     return oplog.reparent(nodes, nodes.filter("kind = 'nation'")).select("id", "kind", "parent_id")
@@ -428,6 +428,14 @@ def market_stats(spark: SparkSession, d: str) -> DataFrame:
     return market.stats(model.auctions(spark, d), model.bids(spark, d))
 
 
+@register_sql("market_commons_since", """SELECT id, scope, current_price, event_id AS open_sourced_at FROM auctions
+  JOIN (SELECT event_id FROM events) ON event_id = id * 3 WHERE status = 'open_sourced' AND event_id >= 200""")
+def market_commons_since(spark: SparkSession, d: str) -> DataFrame:
+    opened = model.table(spark, d, "events").select(F.col("event_id").alias("open_sourced_at"))
+    auctions = model.auctions(spark, d).join(opened, F.col("open_sourced_at") == F.col("id") * 3)
+    return market.commons(auctions, "parts", 200)
+
+
 @register_sql("market_commons", "SELECT id, scope, current_price FROM auctions WHERE status = 'open_sourced'")
 def market_commons(spark: SparkSession, d: str) -> DataFrame:
     return market.commons(model.auctions(spark, d), "parts")

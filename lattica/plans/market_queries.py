@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators import perspectives, requests
+from lattica.operators import ledger, oplog, perspectives, requests
 from lattica.plans import model
 from lattica.plans.oracle import sql
 from lattica.queries import register
@@ -36,6 +36,11 @@ def register_agents(spark: SparkSession, d: str) -> DataFrame:
     return requests.register_agents(asked, model.agents(spark, d))
 
 
+@register_sql("get_agent", "SELECT * FROM agents WHERE name = 'u3'")
+def get_agent(spark: SparkSession, d: str) -> DataFrame:
+    return requests.get_agent(model.agents(spark, d), "u3")
+
+
 @register_sql("remove_agents", """SELECT i AS seq, n.name, a.id AS agent_id, CASE WHEN a.id IS NULL THEN 'unknown'
     WHEN EXISTS (SELECT 1 FROM perspectives p WHERE p.agent_id = a.id AND weight > 0.9) THEN 'perspectives'
     WHEN EXISTS (SELECT 1 FROM associations s WHERE replace(s.agent_id, 's', 'u') = a.id AND weight > 0.9) THEN 'associations' END AS refused
@@ -81,6 +86,13 @@ def list_peers(spark: SparkSession, d: str) -> DataFrame:
     return requests.listed_peers(_peer_table(spark, d))
 
 
+@register_sql("get_peer", f"""WITH {PEERS} SELECT name, fingerprint, endpoint, public_key_hex, seq = 1 AS is_self FROM keyed
+  WHERE fingerprint = (SELECT min(fingerprint) FROM keyed)""")
+def get_peer(spark: SparkSession, d: str) -> DataFrame:
+    peers = _peer_table(spark, d)
+    return requests.get_peer(peers, peers.agg(F.min("fingerprint")).first()[0])
+
+
 @register_sql("remove_peers", f"""WITH {PEERS} SELECT seq, name, CASE WHEN fingerprint IS NULL THEN 'unknown' WHEN seq = 1 THEN 'self' END AS refused FROM keyed""")
 def remove_peers(spark: SparkSession, d: str) -> DataFrame:
     return requests.remove_peers(_peers(spark, d).select("seq", "name"), _peer_table(spark, d))
@@ -110,6 +122,53 @@ def tasks_after(spark: SparkSession, d: str) -> DataFrame:
     return requests.tasks_after(tasks, requests.update_tasks(_task_requests(spark, d), tasks))
 
 
+@register_sql("stop_swarms", """WITH asked AS (SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'none' WHEN event_id % 7 = 0 THEN 'idle'
+    ELSE event_type END AS task_id FROM events),
+  judged AS (SELECT a.*, CASE WHEN t.id IS NULL THEN 'unknown' WHEN t.status <> 'running' THEN 'state' END AS why FROM asked a LEFT JOIN tasks t ON t.id = task_id)
+  SELECT seq, task_id, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY task_id, why IS NULL ORDER BY seq) > 1 THEN 'state' END) AS refused FROM judged""")
+def stop_swarms(spark: SparkSession, d: str) -> DataFrame:
+    task = F.when(_seq() % 11 == 0, "none").when(_seq() % 7 == 0, "idle").otherwise(F.col("event_type")).alias("task_id")
+    return requests.stop_swarms(_events(spark, d).select("seq", task), model.tasks(spark, d))
+
+
+RESULTS = """asked AS (SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'none' ELSE event_type END AS task_id,
+    'u' || event_id % 1500 AS agent, value < 50 AS passed, (event_id % 900)::INTEGER AS duration_ms FROM events),
+  judged AS (SELECT a.*, g.id AS agent_id, CASE WHEN g.id IS NULL THEN 'agent' WHEN task_id = 'none' THEN 'task' END AS refused
+    FROM asked a LEFT JOIN agents g ON g.name = agent)"""
+
+
+def _record_results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    task = F.when(_seq() % 11 == 0, "none").otherwise(F.col("event_type")).alias("task_id")
+    asked = _events(spark, d).select(
+        "seq", task, _text("u", _seq() % 1500).alias("agent"), (F.col("value") < 50).alias("passed"), (_seq() % 900).cast("int").alias("duration_ms")
+    )
+    vector = oplog.version_vector(model.operations(spark, d))
+    return requests.record_results(asked, model.tasks(spark, d), model.agents(spark, d), vector)
+
+
+@register_sql("record_results", f"WITH {RESULTS} SELECT *, CASE WHEN refused IS NULL THEN (SELECT min(event_id) FROM events) END AS snapshot FROM judged")
+def record_results(spark: SparkSession, d: str) -> DataFrame:
+    return _record_results(spark, d)[0]
+
+
+@register_sql("result_snapshots", """SELECT (SELECT min(event_id) FROM events) AS snapshot, author, max(author_seq) AS max_seq FROM operations GROUP BY author""")
+def result_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return _record_results(spark, d)[1]
+
+
+@register_sql("evaluate_mining", """WITH done AS (SELECT CASE WHEN event_type = 'click' THEN 'create_version' ELSE event_type END AS kind FROM events),
+  owed AS (SELECT 'retroactive_parsing' AS work_type, least((SELECT count(*) FROM part), 100) * 1000000000 AS amount
+    UNION ALL SELECT 'retroactive_versions', ((SELECT count(*) FROM lineitem) - (SELECT count(*) FROM done WHERE kind = 'create_version')) * 7)
+  SELECT work_type, amount::BIGINT AS amount, 'reward:' || work_type AS reason,
+    (SELECT max(timestamp) FROM ledger) + row_number() OVER (ORDER BY work_type) AS timestamp FROM owed WHERE amount > 0""")
+def evaluate_mining(spark: SparkSession, d: str) -> DataFrame:
+    done = F.when(F.col("event_type") == "click", "create_version").otherwise(F.col("event_type")).alias("work_type")
+    schedule = spark.createDataFrame([("create_version", 7, True), ("parse_file", 3, True)], "work_type string, reward long, enabled boolean")
+    return ledger.evaluate_mining(
+        model.table(spark, d, "part"), model.table(spark, d, "lineitem"), _events(spark, d).select(done), schedule, model.ledger(spark, d)
+    )
+
+
 @register_sql("get_task", """SELECT t.swarm_id, t.id, t.description, t.status, t.created_at, a.name AS swarm_name FROM tasks t
   LEFT JOIN agents a ON t.swarm_id = a.id WHERE t.id = 'click'""")
 def get_task(spark: SparkSession, d: str) -> DataFrame:
