@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from lattica.operators.fulltext import STOP_WORDS, SUFFIXES
-
 TABLES = {
     "lines": """SELECT *, row_number() OVER (PARTITION BY l_orderkey
       ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ordinal FROM lineitem""",
@@ -97,27 +95,80 @@ def sql(body: str) -> str:
     return ("WITH " + ", ".join(tables) + " " if tables else "") + body
 
 
-def stem_sql(word: str) -> str:
-    """The stem of a word in SQL, by the endings of :mod:`lattica.operators.fulltext`."""
-    whens = ""
-    for ending, instead in SUFFIXES:
-        fits = f"ends_with({word}, '{ending}') AND length({word}) >= {len(ending) + 3}"
-        if ending == "s":
-            fits += f" AND NOT ends_with({word}, 'ss') AND NOT ends_with({word}, 'us')"
-        whens += f" WHEN {fits} THEN left({word}, length({word}) - {len(ending)}) || '{instead}'"
-    return f"CASE{whens} ELSE {word} END"
+# Stop words and Porter's endings, written here again so that the code is checked against them.
+STOPS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+  itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has
+  had having do does did doing a an the and but if or because as until while of at by for with about against between into
+  through during before after above below to from up down in out on off over under again further then once here there when
+  where why how all any both each few more most other some such no nor not only own same so than too very s t can will just
+  don should now""".split()
+SECOND = """ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate
+  ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log""".split()
+THIRD = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()
+DOUBLES = "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx")
+
+
+def _shape(word: str) -> str:
+    """A word's letters as c and v: a y after a c is a v, as in the published definition."""
+    return f"""regexp_replace(regexp_replace(regexp_replace({word}, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g'), '(^|v)y', '\\1c', 'g')"""
+
+
+def _steps_sql() -> str:
+    """stems AS (word, term) of words AS (word), a step of Porter's a table."""
+    def shape(x: str) -> str:
+        return f"replace({_shape(x)}, 'y', 'v')"
+
+    def measure(x: str, least: int) -> str:
+        return f"regexp_matches({shape(x)}, 'v+c{'.*v+c' * (least - 1)}')"
+
+    def vowel(x: str) -> str:
+        return f"contains({shape(x)}, 'v')"
+
+    def short(x: str) -> str:
+        return f"(regexp_matches({shape(x)}, '^c+vc$') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+    def table(name: str, before: str, cut: str, then: str) -> str:
+        return f"""{name}a AS (SELECT word, w, regexp_extract(w, '^(.+?)({cut})$', 1) AS s, regexp_extract(w, '^(.+?)({cut})$', 2) AS e FROM {before}),
+  {name} AS (SELECT word, {then} AS w FROM {name}a)"""
 
+    def mapped(name: str, before: str, pairs: list[str]) -> str:
+        keys = "|".join(p.split(":")[0] for p in pairs)
+        whens = " ".join("WHEN '{}' THEN '{}'".format(*p.split(":")) for p in pairs)
+        return table(name, before, keys, f"CASE WHEN e <> '' AND {measure('s', 1)} THEN s || CASE e {whens} END ELSE w END")
 
-def terms_sql(text: str) -> str:
-    """A list of the terms of a text in SQL."""
-    listed = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    words = f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({listed}))"
-    return f"list_transform({words}, lambda w: {stem_sql('w')})"
+    fourth = "al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ou|ism|ate|iti|ous|ive|ize"
+    mended = f"""CASE WHEN regexp_matches(s, '(at|bl|iz)$') THEN s || 'e' WHEN regexp_matches(s, '({DOUBLES})$') THEN left(s, length(s) - 1)
+      WHEN {short('s')} THEN s || 'e' ELSE s END"""
+    return ", ".join([
+        "w0 AS (SELECT word, word AS w FROM words)",
+        table("w1", "w0", "s", "CASE WHEN regexp_matches(w, '(ss|i)es$') AND length(w) > 4 OR regexp_matches(w, '.sses$|.ies$') THEN left(w, length(w) - 2) "
+              "WHEN e = '' OR right(s, 1) = 's' OR length(s) < 2 THEN w ELSE s END"),
+        table("w2", "w1", "eed|ed|ing", f"CASE WHEN e = '' THEN w WHEN e = 'eed' THEN CASE WHEN {measure('s', 1)} THEN s || 'ee' ELSE w END "
+              f"WHEN {vowel('s')} THEN {mended} ELSE w END"),
+        table("w3", "w2", "y", f"CASE WHEN e <> '' AND {vowel('s')} THEN s || 'i' ELSE w END"),
+        mapped("w4", "w3", SECOND),
+        mapped("w5", "w4", THIRD),
+        table("w6", "w5", fourth, f"""CASE WHEN e <> '' THEN CASE WHEN {measure('s', 2)} THEN s ELSE w END
+          WHEN regexp_matches(w, '.[st]ion$') AND {measure('left(w, length(w) - 3)', 2)} THEN left(w, length(w) - 3) ELSE w END"""),
+        table("w7", "w6", "e", f"""CASE WHEN e <> '' AND ({measure('s', 2)} OR ({measure('s', 1)} AND NOT {short('s')})) THEN s ELSE w END"""),
+        f"stems AS (SELECT word, CASE WHEN length(word) < 3 THEN word WHEN w LIKE '%ll' AND {measure('w', 2)} THEN left(w, length(w) - 1) ELSE w END AS term FROM w7)",
+    ])
 
 
 def ranked_sql(table: str, query: str, where: str = "true") -> str:
     """(id, rank) of the rows of ``table`` that hold all terms of ``query``, in SQL."""
-    return f"""(SELECT id, round(sum(1 - 1 / (1 + tf)), 9) AS rank FROM (
-      SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('content')}) AS term FROM {table} WHERE {where})
-      WHERE list_contains({terms_sql(f"'{query}'")}, term) GROUP BY id, term)
-    GROUP BY id HAVING count(*) = len(list_distinct({terms_sql(f"'{query}'")})))"""
+    stops = ", ".join(f"'{w}'" for w in STOPS)
+    split = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""(WITH placed AS (SELECT id, unnest({split.format('content')}) AS word, generate_subscripts({split.format('content')}, 1) AS place FROM {table} WHERE {where}),
+      asked AS (SELECT DISTINCT unnest({split.format(f"'{query}'")}) AS word),
+      words AS (SELECT word FROM (SELECT word FROM placed UNION SELECT word FROM asked) WHERE word NOT IN ({stops})), {_steps_sql()},
+      wanted AS (SELECT DISTINCT term FROM asked JOIN stems USING (word)),
+      held AS (SELECT id, term, least(place, 16383) AS place, row_number() OVER (PARTITION BY id, term ORDER BY place) AS k
+        FROM placed JOIN stems USING (word) WHERE term IN (SELECT term FROM wanted)),
+      full_ids AS (SELECT id FROM held GROUP BY id HAVING count(DISTINCT term) = (SELECT count(*) FROM wanted)),
+      single AS (SELECT id, 0.1 / 1.64493406685 * sum(1.0 / (k * k)) AS rank FROM held WHERE k <= 255 GROUP BY id),
+      pairs AS (SELECT a.id, exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN abs(a.place - b.place) BETWEEN 1 AND 100
+          THEN 1 / (1.005 + 0.05 * exp(abs(a.place - b.place) / 1.5 - 2)) ELSE 1e-30 END)))) AS missed
+        FROM held a JOIN held b ON a.id = b.id AND a.term < b.term WHERE a.k <= 255 AND b.k <= 255 GROUP BY a.id)
+    SELECT f.id, round(CASE WHEN (SELECT count(*) FROM wanted) = 1 THEN s.rank ELSE 1 - missed END, 6) AS rank
+    FROM full_ids f JOIN single s USING (id) LEFT JOIN pairs p USING (id))"""

@@ -52,9 +52,7 @@ def link_citations(spark: SparkSession, d: str) -> DataFrame:
     return citations.link_counts(citations.link_citations(found, entries))
 
 
-@register_sql("fts_match", """SELECT id FROM document_nodes WHERE kind = 'paragraph'
-  AND list_contains(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), 'licensed')
-  AND list_contains(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), 'apache')""")
+@register_sql("fts_match", f"""SELECT id FROM {ranked_sql("document_nodes", "the Apache licensed", "kind = 'paragraph'")}""")
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
     paragraphs = model.document_nodes(spark, d).filter("kind = 'paragraph'")
     return fulltext.matches(paragraphs, "the Apache licensed").select("id")
@@ -66,6 +64,16 @@ def fts_search(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.search(model.document_nodes(spark, d), "licensed under the Apache License", "paragraph", 20)
 
 
+@register_sql("fts_index", f"""SELECT id, rank FROM {ranked_sql("nodes", "hot widgets", "kind = 'part'")}""")
+def fts_index(spark: SparkSession, d: str) -> DataFrame:
+    """A search of a written index."""
+    parts = model.nodes(spark, d).filter("kind = 'part'")
+    folder = scratch_path(spark, "index")
+    fulltext.write_index(parts, folder)
+    terms = fulltext.query_terms(spark, "hot widgets")
+    return fulltext.matches(parts, "hot widgets", fulltext.read_index(spark, folder, terms))
+
+
 @register_sql("context_search", f"""WITH boost AS (SELECT node_id AS id, avg(weight) AS boost, count(DISTINCT agent_id) AS agents FROM perspectives
     WHERE agent_id IN (SELECT 'u' || i FROM range(20) r(i)) GROUP BY node_id)
   SELECT r.id, rank, round(rank * (1 + coalesce(boost, 0)), 9) AS combined, coalesce(agents, 0) AS agents

@@ -131,7 +131,8 @@ def test_citations(spark):
 
 def test_search_needs_every_term(spark):
     nodes = spark.createDataFrame([("1", "k", "Parsing the files"), ("2", "k", "parsed file"), ("3", "k", "file")], "id string, kind string, content string")
-    assert {r["id"] for r in fulltext.matches(nodes, "parse files").collect()} == set()
+    assert {r["id"] for r in fulltext.matches(nodes, "parse files").collect()} == {"1", "2"}
+    assert fulltext.matches(nodes, "parsed folders").count() == fulltext.matches(nodes, "the").count() == 0
     assert {r["id"] for r in fulltext.matches(nodes, "parsed the file").collect()} == {"1", "2"}
 
 
@@ -445,3 +446,34 @@ def test_one_stack_is_spread_over_tasks(spark):
     table = spark.createDataFrame(log, "stack string, seq long, op string, content string").repartition(6)
     assert [r["content"] for r in stacks.items(table).orderBy("position").collect()] == held
     assert sorted((r["seq"], r["content"]) for r in stacks.popped(table).collect()) == off
+
+
+# Words and stems that the published description of the algorithm gives.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor
+  sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail
+  filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit
+  conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic
+  operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit
+  sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness
+  good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens
+  irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate
+  activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll
+  control roll roll generalizations gener oscillators oscil is is yes ye youth youth syzygy syzygi by by"""
+
+
+def test_stems_are_those_of_the_published_algorithm(spark):
+    listed = STEMS.split()
+    pairs = list(zip(listed[::2], listed[1::2], strict=True))
+    table = spark.createDataFrame(pairs, "word string, want string").withColumn("got", fulltext.stem(F.col("word")))
+    assert [(r["word"], r["got"]) for r in table.filter("got != want").collect()] == []
+    begins = table.filter("NOT startswith(word, left(got, greatest(1, length(got) - 2)))")
+    assert begins.count() == 0  # what a search without an index filters by
+
+
+def test_ranks_of_near_and_far_terms(spark):
+    texts = [("one", "fox"), ("twice", "fox and foxes"), ("near", "quick fox"), ("far", "quick " + "w " * 60 + "fox"), ("no", None)]
+    nodes = spark.createDataFrame(texts, "id string, content string")
+    single = {r["id"]: r["rank"] for r in fulltext.matches(nodes, "fox").collect()}
+    assert single == {"one": 0.060793, "twice": 0.075991, "near": 0.060793, "far": 0.060793}
+    pair = {r["id"]: r["rank"] for r in fulltext.matches(nodes, "the quick foxes").collect()}
+    assert pair["near"] == 0.099103 and 0 <= pair["far"] < 1e-6 and len(pair) == 2
