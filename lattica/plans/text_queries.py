@@ -174,6 +174,16 @@ def csv_directory_orders(spark: SparkSession, d: str) -> DataFrame:
     return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
+@register_sql("csv_quoted_parts", """SELECT doc_id::VARCHAR AS doc_id, source, md5(coalesce(text, '')) AS digest FROM documents""")
+def csv_quoted_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, with their line ends and quotes, written as CSV files and read back in parts."""
+    folder = scratch_path(spark, "csv-quoted")
+    docs = model.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+    docs.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = csv_import.read_parts(spark, folder, ["doc_id", "source", "text"])
+    return rows.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
 @register_sql("csv_shared_columns", " UNION ALL ".join(
     f"SELECT 'retail.nation.{c}' AS source_id, 'retail.nation_copy.{c}' AS target_id, 'shared_column' AS relation FROM region WHERE r_regionkey = 0"
     for c in CSV_COLUMNS["nation"]

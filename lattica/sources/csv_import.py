@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.paths import label
@@ -17,6 +19,13 @@ FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 US_DATE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
+#: What stands within quotes, and whole fields with the comma after them; possessive, so a line is read once.
+QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+FIELDS = rf'(?:(?:"{QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+#: Lines that end within quotes if they start outside of them, and if they start within.
+OPENING = re.compile(rf'{FIELDS}"{QUOTED}')
+STAYING = re.compile(rf'{QUOTED}(?:"[^,]*+,{FIELDS}"{QUOTED})?')
+
 
 def snake_case(name: str) -> str:
     """CamelCase to snake_case; a run of capitals is one word, whose last letter begins the next before a small one."""
@@ -43,19 +52,112 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+CSV_OPTIONS = {"inferSchema": False, "mode": "PERMISSIVE", "escape": '"'}
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV file with a header as text columns with clean, unique names; empty values are null.
+    """A CSV file, or a folder of files of one header, as text columns with clean, unique names; empty values are null.
 
     Short rows are filled with nulls, what long ones have beyond the header is dropped. ``multi_line`` allows line ends
-    within quotes, for which one task reads the whole file; without it a file is read in parts.
+    within quotes; files that Spark would cut into several parts are then read in parts, too (``read_parts``).
     """
-    options = {"inferSchema": False, "mode": "PERMISSIVE", "multiLine": multi_line, "escape": '"'}
-    header = spark.read.csv(path, header=False, **options).first()
+    header = spark.read.csv(path, header=False, multiLine=multi_line, **CSV_OPTIONS).first()
     if header is None:
         return spark.createDataFrame([], "col string").limit(0)
     names = unique_names([column_name(h or "") for h in header])
+    if multi_line:
+        sizes = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("largest"))
+        part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        if sizes.first()["largest"] > part:
+            return read_parts(spark, path, names)
+    schema = ", ".join(f"`{name}` string" for name in names)
+    return spark.read.schema(schema).csv(path, header=True, nullValue="", enforceSchema=True, multiLine=multi_line, **CSV_OPTIONS)
+
+
+LINES = "file string, part long, line long, text string, " + ", ".join(f"before{k} int, after{k} int, ended{k} long" for k in (0, 1))
+
+
+def _stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines (file, part, text) in the order of the file, with what holds before and after them if their part starts
+    outside (0) or within quotes (1): whether that is within quotes, and how many records of the part have ended."""
+    at, states, ended, line = None, [0, 1], [0, 0], 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        key = (batch["file"] != batch["file"].shift()) | (batch["part"] != batch["part"].shift())
+        for _, rows in batch.groupby(key.cumsum(), sort=False):
+            here = (rows["file"].iloc[0], rows["part"].iloc[0])
+            if here != at:
+                at, states, ended, line = here, [0, 1], [0, 0], 0
+            texts = rows["text"].to_numpy()
+            quoted = np.flatnonzero(rows["text"].str.contains('"', regex=False))
+            moves = [[int((STAYING if s else OPENING).fullmatch(texts[i]) is not None) for i in quoted] for s in (0, 1)]
+            blank = np.isin(texts, ["", "\r"])
+            out = {"file": rows["file"], "part": rows["part"], "line": line + np.arange(len(rows)), "text": rows["text"]}
+            for k in (0, 1):
+                changes, state = np.empty(len(quoted) + 1, dtype=np.int32), states[k]
+                changes[0] = state
+                for n in range(len(quoted)):
+                    state = moves[state][n]
+                    changes[n + 1] = state
+                passed = np.zeros(len(rows), dtype=np.int64)
+                passed[quoted] = 1
+                passed = passed.cumsum()
+                after = changes[passed]
+                before = np.concatenate([[states[k]], after[:-1]]).astype(np.int32)
+                ends = ((after == 0) & ~((before == 0) & blank)).astype(np.int64)
+                out |= {f"before{k}": before, f"after{k}": after, f"ended{k}": ended[k] + ends.cumsum() - ends}
+                states[k], ended[k] = state, ended[k] + int(ends.sum())
+            line += len(rows)
+            yield pd.DataFrame(out)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text) of the records of CSV files, from 0 in each; line ends within quotes belong to the record.
+
+    A file is read in parts by many tasks. Whether a part starts within quotes follows from those before it: a line takes
+    each of the two states to one, and so do the lines of a part, in order. Each line is written once with what
+    holds for either start; a row per part then tells which start is true. Lines that are a record of their own stay where
+    they are, and only the others are grouped, so a record lies in one row (a quote that is never closed takes the rest
+    of its file, as it does in any reader). Lines end in \\n or \\r\\n; empty lines outside of quotes are no records. A
+    quote counts where it opens a field, so ``5" pipe`` opens nothing.
+    """
+    source = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part")
+    raw = spark.read.text(path, lineSep="\n").select(*source, F.col("value").alias("text"))
+    lines = written(raw.mapInPandas(_stepped, LINES), "csv-lines")
+    own = lines.groupBy("file", "part").agg(*[
+        column for k in (0, 1) for column in (
+            F.max_by(f"after{k}", "line").alias(f"after{k}"),
+            F.sum(F.when((F.col(f"after{k}") == 0) & ~((F.col(f"before{k}") == 0) & F.col("text").isin("", "\r")), 1).otherwise(0)).alias(f"ended{k}"),
+        )
+    ])
+    # A part that ends alike whatever it starts with fixes the state; after it, each part that turns the state counts.
+    order = Window.partitionBy("file").orderBy("part")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.count_if(F.col("after0") > F.col("after1")).over(order)
+    fixed = F.when(F.col("after0") == F.col("after1"), F.struct(F.col("after0").alias("state"), F.col("turned")))
+    starts = own.withColumn("turned", turned).withColumn("fixed", F.last(fixed, ignorenulls=True).over(earlier))
+    turns = F.coalesce(F.lag("turned").over(order), F.lit(0)) - F.coalesce(F.col("fixed.turned"), F.lit(0))
+    starts = starts.withColumn("start", (F.coalesce(F.col("fixed.state"), F.lit(0)) + turns) % 2)
+    ended = F.when(F.col("start") == 0, F.col("ended0")).otherwise(F.col("ended1"))
+    starts = starts.select("file", "part", "start", F.coalesce(F.sum(ended).over(earlier), F.lit(0)).alias("base"))
+    starts = written(starts, "csv-parts")
+    pick = lambda name: F.when(F.col("start") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1")).alias(name)
+    placed = lines.join(starts, ["file", "part"]).select("file", "part", "line", "text", "base", pick("before"), pick("after"), pick("ended"))
+    placed = placed.withColumn("record", F.col("base") + F.col("ended"))
+    alone = (F.col("before") == 0) & (F.col("after") == 0)
+    whole = placed.filter(alone & ~F.col("text").isin("", "\r")).select("file", "record", "text")
+    pieces = F.sort_array(F.collect_list(F.struct("part", "line", "text")))
+    joined = placed.filter(~alone).groupBy("file", "record").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "\n").alias("text"))
+    return whole.unionByName(joined).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+
+
+def read_parts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The rows of CSV files with a header as text columns ``names``, from :func:`csv_records`."""
     schema = ", ".join(f"`{name}` string" for name in names)
-    return spark.read.schema(schema).csv(path, header=True, nullValue="", enforceSchema=True, **options)
+    options = {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true", "nullValue": ""}
+    rows = csv_records(spark, path).filter("record > 0")
+    return rows.select(F.from_csv("text", schema, options).alias("row")).select("row.*")
 
 
 def profile(table: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases with literal rows."""
 
+import csv
 import datetime as dt
 import json
 import random
@@ -240,6 +241,40 @@ def test_csv_with_line_ends_in_quotes_and_uneven_rows(spark, tmp_path):
     assert csv_import.import_directory(spark, f"file://{tmp_path}", "none").nodes.count() == 0
 
 
+def test_csv_in_parts_equals_one_reader(spark, tmp_path):
+    rng = random.Random(5)
+    folder = tmp_path / "parts"
+    folder.mkdir()
+
+    def field() -> str:
+        text = "".join(rng.choice(['a', '5" x', ",", "\n", '"', "\r\n", " ", "é"]) for _ in range(rng.randrange(6)))
+        quoted = rng.random() < 0.5 or text.startswith('"') or any(c in text for c in ",\n")
+        return '"' + text.replace('"', '""') + '"' if quoted else text
+
+    for n, end in ((1, "\n"), (2, "\r\n")):
+        rows = [f"{k},{field()},{field()}" if rng.random() < 0.9 else "" for k in range(60)]
+        (folder / f"f{n}.csv").write_text("\n" * (n - 1) + end.join(['Id,"Te\nxt",More', *rows]) + end * (n - 1), newline="")
+    names = ["id", "te_xt", "more"]
+    first = f"file://{folder}/f1.csv"
+
+    def replayed(n: int) -> list[tuple]:
+        with open(folder / f"f{n}.csv", newline="") as lines:
+            return [tuple(value or None for value in row) for row in csv.reader(lines) if row][1:]
+
+    shown = lambda rows: sorted(repr(tuple(row)) for row in rows)
+    assert shown(csv_import.read_csv(spark, first).collect()) == shown(replayed(1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40b")
+        assert shown(csv_import.read_parts(spark, f"file://{folder}", names).collect()) == shown(replayed(1) + replayed(2))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+        assert shown(csv_import.read_csv(spark, first).collect()) == shown(replayed(1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (folder / "g.txt").write_text("")
+    assert csv_import.read_parts(spark, f"file://{folder}/g.txt", names).count() == 0
+
+
 def test_float_values_of_weights(spark):
     import base64
 
