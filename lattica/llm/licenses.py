@@ -6,6 +6,10 @@ matched against ordered rules. A rule takes the identifiers that it matches, so
 Sentences that say that a work is released, licensed, distributed or available under something are put in one form,
 "under ...", whatever the work and the verb. Lines of a paragraph are joined, so a sentence may be wrapped anywhere. A known sentence also counts if it fills whole
 lines of a paragraph without end marks, as titles and tags do, or what stands before or after a colon.
+
+Each operand of an SPDX expression (OR, AND, WITH, parentheses) is a tag of its own, exceptions too, and "+" after a GNU
+licence is "or later". "Under either of A or B at your option" is a grant of each. Whether licences are a choice or hold
+together isn't told apart.
 """
 
 from __future__ import annotations
@@ -185,9 +189,14 @@ CREATIVE_COMMONS_VERSIONS = ("3.0", "4.0")
 for _kind, _name in CREATIVE_COMMONS.items():
     for _version in CREATIVE_COMMONS_VERSIONS:
         _v = _version.replace(".", " ")
-        _words = (f"creative commons {_name} {_v}", f"cc {_kind.lower().replace('-', ' ')} {_v}")
+        _words = (
+            f"creative commons {_name} {_v}", f"creative commons {_name} license {_v}", f"{_name} license {_v}",
+            f"cc {_kind.lower().replace('-', ' ')} {_v}",
+        )
         _ends = ("", " license", " licence", " international license", " international licence", " international", " unported license")
-        SENTENCES[f"cc-{_kind.lower()}-{_version}"] = tuple(f"under {w}{end}" for w in _words for end in _ends)
+        SENTENCES[f"cc-{_kind.lower()}-{_version}"] = (
+            *(f"under {w}{end}" for w in _words for end in _ends), *_words[:3]
+        )
 # Tags "SPDX-License-Identifier: ..." of these identifiers.
 SPDX = (
     "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause",
@@ -196,8 +205,18 @@ SPDX = (
     "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
     *(f"CC-{kind}-{version}" for kind in CREATIVE_COMMONS for version in CREATIVE_COMMONS_VERSIONS),
 )
-for _name in SPDX:
+# Exceptions that such a tag adds with WITH; each is listed by its own name.
+SPDX_EXCEPTIONS = (
+    "Autoconf-exception-3.0", "Bison-exception-2.2", "Classpath-exception-2.0", "GCC-exception-2.0", "GCC-exception-3.1",
+    "LLVM-exception", "Linux-syscall-note", "OCaml-LGPL-linking-exception", "Qt-GPL-exception-1.0",
+)
+for _name in (*SPDX, *SPDX_EXCEPTIONS):
     SENTENCES[f"spdx-{_name.lower()}"] = "spdx license identifier " + _name.lower().replace("-", " ").replace(".", " ")
+#: The tag, an operand of a tag's expression with what joins it to the next (the match goes on where the last one ended),
+#: and a GNU licence of a version or later.
+TAG = "SPDX-License-Identifier"
+OPERAND = rf"((?:\G(?!\A)|{TAG}:[ \t]*)\(*[A-Za-z0-9.+-]+\)*)[ \t]+(?:OR|AND|WITH)[ \t]+"
+OR_LATER = r"((?:L|A)?GPL-[0-9]+(?:\.[0-9]+)*)\+"
 #: A sentence's beginning that says that something is under a licence; what is left of it is "under".
 GRANT = (
     r"(?:(?:this|the|our)[ \n](?:[a-z]+[ \n])?(?:file|files|project|software|code|work|program|library|package|document|"
@@ -266,7 +285,7 @@ RULES = (
     ("CDDL-1.0", ("cddl-1",)),
     ("EUPL-1.2", ("eupl",)),
     *((f"CC-{kind}-{version}", (f"cc-{kind.lower()}-{version}",)) for kind in CREATIVE_COMMONS for version in CREATIVE_COMMONS_VERSIONS),
-    *((name, (f"spdx-{name.lower()}",)) for name in SPDX),
+    *((name, (f"spdx-{name.lower()}",)) for name in (*SPDX, *SPDX_EXCEPTIONS)),
     ("Proprietary", ("reserved",)),
 )
 
@@ -277,6 +296,17 @@ def _texts(known) -> dict[str, str]:
     return {re.sub(f"^{GRANT}", "under ", text): name for text, name in listed}
 
 
+def _tree(texts) -> dict:
+    """The words of texts as a tree, in which None marks the end of a text."""
+    tree: dict = {}
+    for text in texts:
+        node = tree
+        for word in text.split():
+            node = node.setdefault(word, {})
+        node[None] = True
+    return tree
+
+
 def _pattern(tree: dict) -> str:
     """A regular expression of the word sequences of ``tree``, the longest first, with lines ended anywhere."""
     parts = []
@@ -293,12 +323,10 @@ def sentences(text: Column, known=None) -> Column:
 
     They end with end marks and with paragraphs, and around known sentences that fill whole lines.
     """
-    tree: dict = {}
-    for sentence in _texts(SENTENCES if known is None else known):
-        node = tree
-        for word in sentence.split():
-            node = node.setdefault(word, {})
-        node[None] = True
+    texts = _texts(SENTENCES if known is None else known)
+    tree, granted = _tree(texts), _tree(text.removeprefix("under ") for text in texts if text.startswith("under "))
+    text = F.when(F.contains(text, F.lit("GPL-")), F.regexp_replace(text, OR_LATER, "$1-or-later")).otherwise(text)
+    text = F.when(F.contains(text, F.lit(TAG)), F.regexp_replace(text, OPERAND, f"$1\n{TAG}: ")).otherwise(text)
     ended = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "\f"), COLON, "\n")
     ended = F.regexp_replace(ended, LIST_MARK, "\f")
     plain = F.regexp_replace(F.translate(ended, UPPER, LOWER), r"[^a-z0-9\n\f]+", " ")
@@ -307,6 +335,13 @@ def sentences(text: Column, known=None) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, r" ?\n? ?\f[ \n\f]*", "\f"), r" ?\n ?", "\n")
     plain = F.regexp_replace(plain, NAMED_HOLDER, f"$1{_HOLDER}")
     plain = F.regexp_replace(plain, rf"([\n\f]){GRANT}", "$1under ")
+    if granted:
+        one, article = _pattern(granted), r"(?:the[ \n]|an?[ \n])?"
+        plain = F.regexp_replace(plain, rf"([\n\f]under[ \n])either[ \n](?:of[ \n])?{article}(?={one})", "$1")
+        last = rf"{one}(?:[\n\f]|[ \n](?:or|and|at)[ \n])"
+        choice = rf"((?:[\n\f]under[ \n]|\G(?!\A)){one})[ \n](?:or|and)[ \n](?:under[ \n])?{article}(?={last})"
+        plain = F.regexp_replace(plain, choice, "$1\funder ")
+        plain = F.regexp_replace(plain, rf"([\n\f]under[ \n]{one})[ \n]at[ \n]your[ \n]option(?=[\n\f])", "$1")
     if tree:
         plain = F.regexp_replace(plain, rf"[\n\f]({_pattern(tree)})(?=[\n\f])", "\f$1\f")
     joined = F.translate(F.replace(plain, F.lit("\f\n"), F.lit("\f")), "\n", " ")

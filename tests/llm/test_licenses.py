@@ -150,13 +150,41 @@ def test_short_grants_and_tags(spark, documents):
     assert {k: r["licences"] for k, r in out.items()} == want
 
 
+def test_expressions_and_grants_of_several_licences(spark, documents):
+    tag = licenses.TAG
+    cases = {
+        f"// {tag}: GPL-2.0+": "GPL-2.0-or-later",
+        f"# {tag}: Apache-2.0 OR MIT": "Apache-2.0,MIT",
+        f"/* {tag}: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */\nint x;": "GPL-2.0-only,MIT,Linux-syscall-note",
+        f"# {tag}: MIT OR unheard-of-1.0 OR Zlib": "MIT,Zlib",
+        f"# {tag}: MIT\nthis OR that WITH those": "MIT",
+        "A OR B AND C": "",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT",
+        "This crate is dual. Dual-licensed under the MIT License or the\nApache License, Version 2.0.": "Apache-2.0,MIT",
+        "Licensed under the MIT License, the words. Or not": "",
+        "Licensed under either the ISC license or the MIT license or the zlib license": "MIT,ISC,Zlib",
+        "Released under the Apache License 2.0 or the MIT license of old": "",
+        "Attribution-ShareAlike License 4.0": "CC-BY-SA-4.0",
+        "Licensed under the Creative Commons Attribution License 3.0": "CC-BY-3.0",
+    }
+    out = run(documents(list(enumerate(cases))))
+    assert {text: out[k]["licences"] for k, text in enumerate(cases)} == cases
+    assert run(documents([(0, "a OR b " * 300_000 + f"\n{tag}: " + " OR ".join(["MIT"] * 50_000))]))[0]["n_matched"] == 50_000
+
+
 def brute(text):
     """The sentences and licences of a text by tokens: words with what separates them, then longest known runs.
 
-    Named holders, which the scan puts as the copyright holder, are left out here.
+    Named holders, which the scan puts as the copyright holder, and grants of one licence or another are left out here.
     """
     if text is None:
         return 0, "", ""
+    lines = []
+    for line in text.split("\n"):
+        line = re.sub(r"GPL-(\d+(\.\d+)*)\+", r"GPL-\1-or-later", line)
+        head, tag, rest = line.partition(licenses.TAG + ":")
+        lines.append(head + f"\n{tag}: ".join(["", *re.split(r"[ \t]+(?:OR|AND|WITH)[ \t]+", rest)])[1:] if tag else line)
+    text = "\n".join(lines)
     for pattern, instead in ((licenses.SENTENCE_END, "\f"), (licenses.COLON, "\n"), (licenses.LIST_MARK, "\f")):
         text = re.sub(pattern, instead, text, flags=re.ASCII)
     tokens = re.findall(r"[a-z0-9]+|[^a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
@@ -211,7 +239,8 @@ def brute(text):
 
 
 def test_against_brute_force(spark, documents):
-    texts = [APACHE, MIT, BSD, GPL, GPL_2, LGPL, "", None, "Released under the MIT License. All rights reserved"]
+    texts = [f"// {licenses.TAG}: {e}\nuse" for e in ("GPL-2.0+", "(MIT OR Apache-2.0) AND LGPL-2.1+", "GPL-2.0-only WITH Linux-syscall-note")]
+    texts += [APACHE, MIT, BSD, GPL, GPL_2, LGPL, "", None, "Released under the MIT License. All rights reserved"]
     stored = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
     texts += [r["text"] for r in stored]
     out = run(documents(list(enumerate(texts))))
