@@ -5,9 +5,16 @@ Extraction is done with Spark's regular expressions; each extractor explodes its
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.tables import written
+
 # Patterns of the extractors.
 BIBLIOGRAPHY = (
     r"([A-Z][a-z\x{00AD}\x{00C0}-\x{024F}]+(?:,\s*(?:[A-Z]\.\s*)+(?:and\s+)?)*(?:,?\s*(?:et\s+al\.))?)\s*\((\d{4}[a-z]?)\)\.\s*"
@@ -27,8 +34,8 @@ PRIORITY = ("bibliography", "citation", "doi", "arxiv", "url")
 # How well a kind of reference can be resolved; others have 0.2.
 RESOLVABILITY = {"doi": 1.0, "arxiv": 0.9, "url": 0.8, "bibliography": 0.6, "citation": 0.4}
 MIN_LENGTH = 50
-#: Letters that surnames are looked up by.
-GRAM = 3
+#: Surnames and characters of surnames that one automaton holds; more are looked for in several passes over the strings.
+MAX_NAMES, MAX_NAME_CHARS = 500_000, 16_000_000
 
 
 def first_author(authors: Column) -> Column:
@@ -92,22 +99,56 @@ def efe_score(cites: Column, documents: Column, novelty: Column, extractor: Colu
     return 0.4 * F.log1p(cites) + 0.3 * F.log1p(documents) + 0.2 * novelty + 0.1 * resolvable
 
 
+def known_names(names: DataFrame, strings: DataFrame, max_names: int = MAX_NAMES, max_chars: int = MAX_NAME_CHARS) -> DataFrame:
+    """The rows of ``names`` (author) that stand anywhere in a string of ``strings`` (held), each once.
+
+    The names are cut by hash into blocks of ``max_names`` and ``max_chars`` on average, each of which is broadcast as one
+    automaton that reads every string once, whatever the names share; a task gives each name that it found once. Nulls
+    and empty names are found nowhere. Work grows with the characters of the strings times the blocks.
+    """
+    spark = names.sparkSession
+    names = written(names.select("author").filter("author != ''").distinct(), "names")
+    strings = strings.select("held").filter("held IS NOT NULL")
+    size = names.agg(F.count("*").alias("n"), F.sum(F.length("author")).alias("chars")).first()
+    blocks = max(1, math.ceil(size["n"] / max_names), math.ceil((size["chars"] or 0) / max_chars))
+    if blocks > 1:
+        strings = written(strings, "name-strings")
+    found = names.limit(0)
+    for block in range(blocks if size["n"] else 0):
+        rows = names.filter(F.pmod(F.xxhash64("author"), F.lit(blocks)) == block).toPandas()
+        if len(rows):
+            sent = spark.sparkContext.broadcast(rows["author"].tolist())
+            found = found.unionByName(strings.mapInPandas(_holding(sent), "author string"))
+    return found.distinct()
+
+
+def _holding(sent):
+    """A pass over strings that gives each of the broadcast names which stands in one of them once per task."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ahocorasick.Automaton()
+        for name in sent.value:
+            names.add_word(name, name)
+        names.make_automaton()
+        seen: set[str] = set()
+        for batch in batches:
+            for text in batch["held"]:
+                seen.update(name for _, name in names.iter(text))
+        yield pd.DataFrame({"author": sorted(seen)}, dtype=object)
+
+    return scan
+
+
 def score_references(refs: DataFrame, cites: DataFrame, resolved_authors: DataFrame) -> DataFrame:
     """Unresolved references (key, extractor, author) by score.
 
     ``cites`` is (key, paragraph, document). Novelty is 0.5 without an author, 0.1 if a resolved author string holds
-    the first author's surname, else 1. Surnames and strings are joined by the surname's first letters, of which a
-    string has few, and then compared.
+    the first author's surname, else 1.
     """
     counts = cites.groupBy("key").agg(F.count("*").alias("cites"), F.count_distinct("document").alias("documents"))
     refs = refs.withColumn("author", first_author(F.coalesce("author", F.lit(""))))
-    names = refs.select("author").filter("author != ''").distinct().withColumn("gram", F.left("author", F.lit(GRAM)))
-    text = F.lower("authors")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.flatten(F.transform(starts, lambda at: F.array(*[F.substring(text, at, F.lit(n)) for n in range(1, GRAM + 1)])))
-    strings = resolved_authors.select(text.alias("held"), F.explode(F.array_distinct(grams)).alias("gram")).distinct()
-    known = names.join(strings, "gram").filter(F.contains("held", F.col("author"))).select("author").distinct()
-    known = known.withColumn("known", F.lit(True))
+    strings = resolved_authors.select(F.lower("authors").alias("held")).distinct()
+    known = known_names(refs.select("author"), strings).withColumn("known", F.lit(True))
     joined = refs.join(counts, "key", "left").join(known, "author", "left")
     novelty = F.when(F.col("author") == "", 0.5).when(F.col("known"), 0.1).otherwise(1.0)
     zero = F.lit(0)

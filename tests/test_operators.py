@@ -275,6 +275,19 @@ def test_csv_in_parts_equals_one_reader(spark, tmp_path):
     assert csv_import.read_parts(spark, f"file://{folder}/g.txt", names).count() == 0
 
 
+def test_known_names_in_one_pass_and_in_blocks(spark):
+    rng = random.Random(8)
+    word = lambda most: "".join(rng.choice("abé ") for _ in range(rng.randrange(most)))
+    names, strings = [word(5) for _ in range(60)] + [None, ""], [word(30) for _ in range(25)] + [None, "", "a" * 200_000]
+    want = {n for n in names if n and any(n in (s or "") for s in strings)}
+    given = spark.createDataFrame([(n,) for n in names * 2], "author string"), spark.createDataFrame([(s,) for s in strings], "held string")
+    for bounds in ((1000, 1000), (10, 1000), (1000, 20)):
+        got = [r["author"] for r in citations.known_names(*given, *bounds).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert citations.known_names(given[0].limit(0), given[1]).count() == 0
+    assert citations.known_names(given[0], given[1].limit(0)).count() == 0
+
+
 def test_float_values_of_weights(spark):
     import base64
 
