@@ -1,13 +1,16 @@
 """Markdown documents as nodes: lines are classified, gathered into blocks and nested under headings by windows.
 
-A document is one text of one row, so its window is bounded by that text. Nesting needs no stack: the parent of a heading
-is the last heading before it of a lower level, that of any other block the last heading.
+A document is one text of one row, so its window is bounded by that text. Headings need no stack: the parent of a heading
+is the last heading before it of a lower level, that of any other block the last heading. An item of a list hangs on the
+item within whose text it is indented.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lattica.sources.repository import normalized
 
@@ -15,6 +18,9 @@ FENCE = r"^ {0,3}(?:```|~~~)"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?$"
 RULE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
 ITEM = r"^ {0,3}([-*+]|\d{1,9}[.)])[ \t]+(.*)$"
+#: An item of a list that has begun, however far it is indented, and a line that ends all lists.
+INNER_ITEM = r"^[ \t]*([-*+]|\d{1,9}[.)])[ \t]+(.*)$"
+FLUSH = r"^[^ \t]"
 QUOTE = r"^ {0,3}>[ ]?(.*)$"
 TABLE = r"^ {0,3}\|"
 LINK = r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"
@@ -32,12 +38,15 @@ def lines(docs: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc").orderBy("line")
     fence = F.rlike("text", F.lit(FENCE))
     rows = rows.withColumn("fences", F.count_if(fence).over(before))
+    item = F.rlike("text", F.lit(ITEM)) & ~F.rlike("text", F.lit(RULE))
+    latest = lambda condition: F.coalesce(F.last(F.when(condition, F.col("line")), ignorenulls=True).over(before), F.lit(-1))
+    in_list = latest(item & (F.col("fences") % 2 == 0)) > latest(~item & F.rlike("text", F.lit(FLUSH)))
     kind = (
         F.when(fence | (F.col("fences") % 2 == 1), "code_block")
         .when(F.col("text") == "", "blank")
         .when(F.rlike("text", F.lit(HEADING)), "heading")
         .when(F.rlike("text", F.lit(RULE)), "thematic_break")
-        .when(F.rlike("text", F.lit(ITEM)), "list_item")
+        .when(item | (in_list & F.rlike("text", F.lit(INNER_ITEM))), "list_item")
         .when(F.rlike("text", F.lit(QUOTE)), "block_quote")
         .when(F.rlike("text", F.lit(TABLE)), "table")
         .otherwise("paragraph")
@@ -46,7 +55,10 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc, line, kind, level, marker, content): runs of lines of one kind; headings, items and rules stand alone."""
+    """(doc, line, kind, level, marker, content, indent): runs of lines of one kind; headings, items and rules stand alone.
+
+    ``indent`` is the column at which an item's marker stands, with four for a tab.
+    """
     order = Window.partitionBy("doc").orderBy("line")
     alone = F.col("kind").isin("heading", "list_item", "thematic_break")
     opens = (F.col("kind") == "code_block") & F.rlike("text", F.lit(FENCE)) & (F.col("fences") % 2 == 1)
@@ -55,36 +67,70 @@ def blocks(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.count_if("starts").over(order)).filter("kind != 'blank'")
     shown = (
         F.when(F.col("kind") == "heading", _match(HEADING, 2))
-        .when(F.col("kind") == "list_item", _match(ITEM, 2))
+        .when(F.col("kind") == "list_item", _match(INNER_ITEM, 2))
         .when(F.col("kind") == "block_quote", _match(QUOTE, 1))
         .when((F.col("kind") == "code_block") & F.rlike("text", F.lit(FENCE)), F.lit(None))
         .when(F.col("kind") == "paragraph", F.trim("text"))
         .otherwise(F.col("text"))
     )
     marker = (
-        F.when(F.col("kind") == "list_item", _match(ITEM, 1))
+        F.when(F.col("kind") == "list_item", _match(INNER_ITEM, 1))
         .when(opens, F.trim(F.regexp_replace("text", FENCE + "[`~]*", "")))
     )
     level = F.when(F.col("kind") == "heading", F.length(_match(HEADING, 1)))
-    rows = rows.select("doc", "line", "block", "kind", shown.alias("shown"), marker.alias("marker"), level.alias("level"))
+    indent = F.when(F.col("kind") == "list_item", F.length(F.replace(_match(r"^([ \t]*)", 1), F.lit("\t"), F.lit("    "))))
+    rows = rows.select("doc", "line", "block", "kind", shown.alias("shown"), marker.alias("marker"), level.alias("level"), indent.alias("indent"))
     gathered = rows.groupBy("doc", "block").agg(
         F.min("line").alias("line"), F.first("kind").alias("kind"), F.max("level").alias("level"),
-        F.max("marker").alias("marker"), F.sort_array(F.collect_list(F.struct("line", "shown"))).alias("parts"),
+        F.max("marker").alias("marker"), F.max("indent").alias("indent"), F.sort_array(F.collect_list(F.struct("line", "shown"))).alias("parts"),
     )
     texts = F.filter(F.transform("parts", lambda p: p["shown"]), lambda t: t.isNotNull())
     joined = F.when(F.col("kind") == "paragraph", F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n"))
-    return gathered.select("doc", "line", "kind", "level", "marker", joined.alias("content"))
+    return gathered.select("doc", "line", "kind", "level", "marker", joined.alias("content"), "indent")
+
+
+AROUND = ArrayType(StructType([StructField("around", ArrayType(IntegerType())), StructField("needed", IntegerType())]))
+
+
+@F.pandas_udf(AROUND)
+def _nested(lines: pd.Series, kinds: pd.Series, markers: pd.Series, indents: pd.Series) -> pd.Series:
+    """For each block of a document the lines of the items around it, and the indent that it needs at least.
+
+    An item lies within those whose text starts at its marker or before it; any other block ends the lists.
+    """
+
+    def document(blocks) -> list[dict]:
+        out: list[dict] = []
+        held: list[tuple[int, int, int]] = []  # line, and where the text starts, as written and as needed
+        for line, kind, marker, indent in blocks:
+            if kind != "list_item":
+                held = []
+                out.append({"around": [], "needed": 0})
+                continue
+            while held and held[-1][1] > indent:
+                held.pop()
+            needed, width = held[-1][2] if held else 0, len(marker) + 1
+            out.append({"around": [item[0] for item in held], "needed": needed})
+            held.append((int(line), int(indent) + width, needed + width))
+        return out
+
+    return pd.Series([document(zip(*blocks, strict=True)) for blocks in zip(lines, kinds, markers, indents, strict=True)], dtype=object)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """Nodes of Markdown documents (doc, text): doc, id, kind, content, parent_id, position, path, level, marker.
+    """Nodes of Markdown documents (doc, text): doc, id, kind, content, parent_id, position, path, level, marker, indent.
 
-    Ids are ``doc#line``. Blocks before the first heading hang on the document, whose own node is the caller's. Null and
+    Ids are ``doc#line``. An item that is indented to another's text or beyond hangs on that item, to any depth. Blocks before the first heading hang on the document, whose own node is the caller's. Null and
     empty texts have no nodes.
     """
     order = Window.partitionBy("doc").orderBy("line")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocks(docs).withColumn("position", F.row_number().over(order) - 1)
+    parts = ("line", "kind", "level", "marker", "content", "indent")
+    rows = blocks(docs).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("b"))
+    indents = F.transform("b.indent", lambda i: F.coalesce(i, F.lit(0)))  # without nulls these stay whole numbers
+    rows = rows.withColumn("n", _nested("b.line", "b.kind", "b.marker", indents)).select("doc", F.explode(F.arrays_zip("b", "n")).alias("z"))
+    rows = rows.select("doc", *[F.col(f"z.b.{c}") for c in parts[:-1]], "z.n.around", F.col("z.n.needed").alias("indent"))
+    rows = rows.withColumn("position", F.row_number().over(order) - 1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("line")), ignorenulls=True).over(earlier) for k in LEVELS}
     rows = rows.withColumns({f"last_{k}": F.coalesce(last[k], F.lit(-1)) for k in LEVELS})
     own = F.coalesce("level", F.lit(7))
@@ -93,13 +139,13 @@ def nodes(docs: DataFrame) -> DataFrame:
     for k in LEVELS:
         above = F.greatest(F.lit(-1), F.lit(-1), *[F.col(f"last_{j}") for j in range(1, k)])
         places.append(F.when((own > k) & (F.col(f"last_{k}") > above), F.col(f"last_{k}").cast("string")))
-    open_lines = F.filter(F.array(*places), lambda x: x.isNotNull())
+    open_lines = F.concat(F.filter(F.array(*places), lambda x: x.isNotNull()), F.col("around").cast("array<string>"))
     rows = rows.withColumn("open", open_lines)
     doc = F.col("doc").cast("string")
     parent = F.when(F.size("open") > 0, F.concat_ws("#", doc, F.element_at("open", -1))).otherwise(doc)
     return rows.select(
         "doc", F.concat_ws("#", doc, F.col("line").cast("string")).alias("id"), "kind", "content", parent.alias("parent_id"),
-        "position", F.concat_ws(".", doc, F.array_join("open", "."), F.col("line").cast("string")).alias("path"), "level", "marker",
+        "position", F.concat_ws(".", doc, F.array_join("open", "."), F.col("line").cast("string")).alias("path"), "level", "marker", "indent",
     ).withColumn("path", F.replace("path", F.lit(".."), F.lit(".")))
 
 
@@ -116,7 +162,7 @@ def reconstruct(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("position")
     text = (
         F.when(F.col("kind") == "heading", F.rtrim(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "content")))
-        .when(F.col("kind") == "list_item", F.concat("marker", F.lit(" "), "content"))
+        .when(F.col("kind") == "list_item", F.concat(F.repeat(F.lit(" "), F.col("indent")), "marker", F.lit(" "), "content"))
         .when(F.col("kind") == "block_quote", F.concat(F.lit("> "), F.replace("content", F.lit("\n"), F.lit("\n> "))))
         .when(F.col("kind") == "code_block", F.concat(F.lit("```"), "marker", F.lit("\n"), "content", F.lit("\n```")))
         .otherwise(F.col("content"))

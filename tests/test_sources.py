@@ -62,6 +62,46 @@ def test_markdown_nests_by_heading_level(spark):
     assert [r["target"] for r in markdown.links(nodes).collect()] == ["other.md"]
 
 
+LISTS = """# Lists
+
+- a
+  - b
+    1. c
+       - d
+   - e
+ - f
+- g
+
+      * h
+
+after
+
+10. ten
+    - of ten
+  - own
+```
+- code
+```
+"""
+
+
+def test_markdown_nested_lists(spark):
+    found = markdown.nodes(spark.createDataFrame([("n", LISTS), ("m", "- x\n\t- y\n\n---\n  - z\n"), ("o", None)], "doc string, text string"))
+    plain = markdown.nodes(spark.createDataFrame([("p", "- x\n\nafter\n\n    - no item\n")], "doc string, text string")).collect()
+    assert [(r["kind"], r["content"]) for r in plain] == [("list_item", "x"), ("paragraph", "after"), ("paragraph", "- no item")]
+    rows = {(r["doc"], r["content"]): r for r in found.collect()}
+    parent = {content: rows[doc, content]["parent_id"] for doc, content in rows if doc == "n"}
+    at = lambda content, doc="n": rows[doc, content]["id"]
+    assert parent["a"] == at("Lists") and parent["b"] == at("a") and parent["c"] == at("b") and parent["d"] == at("c")
+    assert parent["e"] == at("a") and parent["f"] == parent["g"] == at("Lists") and parent["h"] == at("g")
+    assert rows["n", "d"]["path"] == "n.0.2.3.4.5" and rows["n", "ten"]["kind"] == rows["n", "own"]["kind"] == "list_item"
+    assert parent["of ten"] == at("ten") and parent["own"] == at("Lists") and rows["n", "- code"]["kind"] == "code_block"
+    assert rows["m", "y"]["parent_id"] == at("x", "m") and rows["m", "z"]["parent_id"] == "m"
+    again = markdown.nodes(markdown.reconstruct(found))
+    shape = lambda rows: sorted((r["doc"], r["position"], r["kind"], r["content"], r["path"].count("."), r["indent"]) for r in rows.collect())
+    assert shape(found) == shape(again)
+
+
 def test_markdown_round_trip(spark):
     docs = spark.createDataFrame([("d", PAGE), ("e", "# A\r\n\r\n\r\ntext  \r\n## B")], "doc string, text string")
     first = markdown.nodes(docs)
