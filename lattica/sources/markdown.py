@@ -94,7 +94,7 @@ AROUND = ArrayType(StructType([StructField("around", ArrayType(IntegerType())),
 
 @F.pandas_udf(AROUND)
 def _nested(lines: pd.Series, kinds: pd.Series, markers: pd.Series, indents: pd.Series) -> pd.Series:
-    """For each block of a document the lines of the items around it, and the indent that it needs at least.
+    """For each block of a document the lines of the items around it, and the indent that it needs at least; null of null.
 
     An item lies within those whose text starts at its marker or before it; any other block ends the lists.
     """
@@ -114,7 +114,8 @@ def _nested(lines: pd.Series, kinds: pd.Series, markers: pd.Series, indents: pd.
             held.append((int(line), int(indent) + width, needed + width))
         return out
 
-    return pd.Series([document(zip(*blocks, strict=True)) for blocks in zip(lines, kinds, markers, indents, strict=True)], dtype=object)
+    documents = zip(lines, kinds, markers, indents, strict=True)
+    return pd.Series([None if blocks[0] is None else document(zip(*blocks, strict=True)) for blocks in documents], dtype=object)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -128,8 +129,12 @@ def nodes(docs: DataFrame) -> DataFrame:
     parts = ("line", "kind", "level", "marker", "content", "indent")
     rows = blocks(docs).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("b"))
     indents = F.transform("b.indent", lambda i: F.coalesce(i, F.lit(0)))  # without nulls these stay whole numbers
-    rows = rows.withColumn("n", _nested("b.line", "b.kind", "b.marker", indents)).select("doc", F.explode(F.arrays_zip("b", "n")).alias("z"))
-    rows = rows.select("doc", *[F.col(f"z.b.{c}") for c in parts[:-1]], "z.n.around", F.col("z.n.needed").alias("indent"))
+    # Python sees the documents that have indented items; in others nothing lies in an item
+    seen = [F.when(F.exists("b.indent", lambda i: i > 0), c) for c in (F.col("b.line"), F.col("b.kind"), F.col("b.marker"), indents)]
+    rows = rows.withColumn("n", F.coalesce(_nested(*seen), F.array().cast(AROUND))).select("doc", F.explode(F.arrays_zip("b", "n")).alias("z"))
+    rows = rows.select("doc", *[F.col(f"z.b.{c}") for c in parts[:-1]], *[F.coalesce(c, none).alias(name) for c, none, name in (
+        (F.col("z.n.around"), F.array().cast("array<int>"), "around"), (F.col("z.n.needed"), F.lit(0), "indent")
+    )])
     rows = rows.withColumn("position", F.row_number().over(order) - 1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("line")), ignorenulls=True).over(earlier) for k in LEVELS}
     rows = rows.withColumns({f"last_{k}": F.coalesce(last[k], F.lit(-1)) for k in LEVELS})
