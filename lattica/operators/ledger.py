@@ -14,6 +14,10 @@ WALLET_TYPES = ("human", "agent", "external")
 PARSE_WORK = ("parse_file", "parse_crate", "parse_markdown")
 VERSION_WORK = "create_version"
 NODES_REWARDED = 100
+# Work that counts as training, steps that one reward is for, and what an inference is priced as.
+TRAINING_WORK = "model_training"
+STEPS_REWARDED = 10
+INFERENCE = "model_inference"
 
 
 def entries(ledger: DataFrame) -> DataFrame:
@@ -100,6 +104,17 @@ def reward_mints(work: DataFrame, schedule: DataFrame) -> DataFrame:
     return work.join(rates, "work_type").select("wallet", "work_type", F.col("reward").alias("amount"), reason)
 
 
+def training_rewards(work: DataFrame, agents: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Mints (agent, wallet, steps, amount, reason) of training runs (agent, steps): the scheduled reward for each full
+    ten steps, and at least once. Agents (id, wallet) without a wallet, and a reward that is missing or disabled, mint none.
+    """
+    rate = schedule.filter((F.col("work_type") == TRAINING_WORK) & F.col("enabled")).agg(F.max("reward").alias("rate"))
+    owners = agents.filter("wallet IS NOT NULL").select(F.col("id").alias("agent"), "wallet")
+    rows = work.join(owners, "agent").join(F.broadcast(rate.filter("rate IS NOT NULL")))  # one row
+    times = F.greatest(F.floor(F.coalesce("steps", F.lit(0)) / STEPS_REWARDED), F.lit(1))
+    return rows.select("agent", "wallet", "steps", (F.col("rate") * times).cast("long").alias("amount"), F.lit(TRAINING_WORK).alias("reason"))
+
+
 def evaluate_mining(nodes: DataFrame, versions: DataFrame, rewards: DataFrame, schedule: DataFrame, book: DataFrame) -> DataFrame:
     """Mints (work_type, amount, reason, timestamp) of what past work is owed, from counts of one row each.
 

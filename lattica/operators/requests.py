@@ -299,6 +299,21 @@ def signed_transfers(requests: DataFrame, wallets: DataFrame, book: DataFrame, n
     return _judged_transfers(requests, wallets, book, nonces)
 
 
+def inference_costs(requests: DataFrame, agents: DataFrame, wallets: DataFrame, pricing: DataFrame, book: DataFrame, instance: str) -> DataFrame:
+    """The ledger rows (seq, from_wallet, to_wallet, amount, reason, timestamp) of inferences (seq, agent) that are paid for.
+
+    ``pricing`` (resource_type, unit_cost) names the price, the least if there are several; without one nothing is
+    paid. An inference is paid to the wallet ``instance`` if the agent's wallet then covers it, see :func:`transfers`; what
+    isn't covered, or has no wallet, is inferred all the same and leaves no row.
+    """
+    price = pricing.filter(F.col("resource_type") == ledger.INFERENCE).agg(F.min("unit_cost").cast("long").alias("amount"))
+    owners = agents.filter("wallet IS NOT NULL").select(F.col("id").alias("agent"), F.col("wallet").alias("from_wallet"))
+    asked = requests.join(owners, "agent").join(F.broadcast(price.filter("amount IS NOT NULL")))  # one row
+    asked = asked.select("seq", "from_wallet", F.lit(instance).alias("to_wallet"), "amount")
+    paid = transfers(asked, wallets, book).filter("refused IS NULL")
+    return paid.select("seq", "from_wallet", "to_wallet", "amount", F.lit(ledger.INFERENCE).alias("reason"), "timestamp")
+
+
 def set_rewards(requests: DataFrame, schedule: DataFrame) -> DataFrame:
     """The schedule (work_type, reward, enabled) after requests (seq, work_type, reward, enabled) with a positive reward.
 

@@ -9,6 +9,8 @@ from lattica.operators import latest, ledger, market, navigate, oplog, perspecti
 from lattica.plans import model
 from lattica.plans.oracle import sql
 from lattica.queries import register
+from lattica.sources import peer
+from lattica.tables import scratch_path
 
 COUNTED = """SELECT n.id, n.kind, n.content, n.position, n.path, coalesce(c.n, 0) AS child_count
   FROM nodes n LEFT JOIN (SELECT parent_id AS of, count(*) AS n FROM nodes GROUP BY parent_id) c ON n.id = c.of"""
@@ -226,6 +228,43 @@ def vector_difference(spark: SparkSession, d: str) -> DataFrame:
     return oplog.vector_difference(ops.filter("value < 100"), ops)
 
 
+PEER_SCHEMA = "author string, author_seq long, id long, op_type string, created_at timestamp"
+
+
+def _published(spark: SparkSession, ops: DataFrame, label: str) -> str:
+    """A peer's folder with two batches of ``ops``: each author's operations up to the tenth, then the rest."""
+    folder = scratch_path(spark, label)
+    for part in ("author_seq <= 10", "author_seq > 10"):
+        peer.publish(ops.filter(part), folder)
+    return folder
+
+
+@register_sql("peer_pull", """SELECT o.author, o.author_seq, o.id, o.op_type, o.created_at FROM operations o LEFT JOIN (
+  SELECT author, max(author_seq) AS seen FROM operations WHERE value < 100 GROUP BY author) v ON o.author = v.author
+  WHERE o.author_seq > coalesce(seen, 0)""")
+def peer_pull(spark: SparkSession, d: str) -> DataFrame:
+    """What a peer's published log has beyond one's own, through the data source."""
+    ops = model.operations(spark, d)
+    return peer.pull(spark, _published(spark, ops, "peer"), oplog.version_vector(ops.filter("value < 100")), PEER_SCHEMA)
+
+
+@register_sql("peer_sync", """WITH mine AS (SELECT author, author_seq FROM operations WHERE id % 3 = 0),
+  theirs AS (SELECT author, author_seq FROM operations WHERE id % 3 = 1),
+  m AS (SELECT author, max(author_seq) AS n FROM mine GROUP BY author), t AS (SELECT author, max(author_seq) AS n FROM theirs GROUP BY author),
+  both_logs AS (SELECT 'mine' AS side, * FROM mine UNION ALL SELECT 'theirs', * FROM theirs
+    UNION ALL SELECT 'mine', o.* FROM theirs o LEFT JOIN m USING (author) WHERE author_seq > coalesce(n, 0)
+    UNION ALL SELECT 'theirs', o.* FROM mine o LEFT JOIN t USING (author) WHERE author_seq > coalesce(n, 0))
+  SELECT side, author, count(*) AS operations, max(author_seq) AS max_seq FROM both_logs GROUP BY side, author""")
+def peer_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Two published logs after an exchange: how many operations of each author either has."""
+    ops = model.operations(spark, d)
+    folders = {side: _published(spark, ops.filter(F.col("id") % 3 == k), side) for k, side in enumerate(("mine", "theirs"))}
+    peer.sync(spark, folders["mine"], folders["theirs"], PEER_SCHEMA)
+    held = [peer.operations(spark, f).withColumn("side", F.lit(side)) for side, f in folders.items()]
+    counted = held[0].unionByName(held[1], allowMissingColumns=True).groupBy("side", "author")
+    return counted.agg(F.count("*").alias("operations"), F.max("author_seq").alias("max_seq"))
+
+
 @register_sql("oplog_newest", """SELECT id, author, lamport_ts FROM operations WHERE author = 'u9'
   ORDER BY lamport_ts DESC, author DESC, author_seq DESC LIMIT 20""")
 def oplog_newest(spark: SparkSession, d: str) -> DataFrame:
@@ -393,6 +432,17 @@ def reward_mints(spark: SparkSession, d: str) -> DataFrame:
     return ledger.reward_mints(work, _schedule(spark))
 
 
+@register_sql("training_rewards", """SELECT 'u' || user_id AS agent, 'c' || user_id AS wallet, event_id % 57 AS steps,
+  5 * greatest(event_id % 57 // 10, 1) AS amount, 'model_training' AS reason FROM events WHERE user_id % 3 <> 0""")
+def training_rewards(spark: SparkSession, d: str) -> DataFrame:
+    runs = model.table(spark, d, "events").select("user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent"),
+                                                  (F.col("event_id") % 57).alias("steps"))
+    wallet = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string")))
+    agents = runs.select(F.col("agent").alias("id"), wallet.alias("wallet")).distinct()
+    schedule = spark.createDataFrame([("model_training", 5, True), ("view", 7, True)], "work_type string, reward long, enabled boolean")
+    return ledger.training_rewards(runs.select("agent", "steps"), agents, schedule)
+
+
 # Market
 
 

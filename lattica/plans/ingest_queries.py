@@ -10,6 +10,7 @@ from lattica.plans import model
 from lattica.plans.graph_queries import register_sql
 from lattica.plans.oracle import ranked_sql
 from lattica.sources import latex, markdown, repository
+from lattica.tables import scratch_path
 
 
 def _text(value: str):
@@ -57,6 +58,19 @@ def normalize_source(spark: SparkSession, d: str) -> DataFrame:
     return model.table(spark, d, "documents").select("doc_id", F.md5(repository.normalized(F.col("text"))).alias("digest"))
 
 
+@register_sql("file_discovery", """SELECT 'source=' || coalesce(source, 'none') AS folder, sum(coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS bytes
+  FROM documents GROUP BY ALL""")
+def file_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as files of folders per source; the same again in folders of builds and hidden ones isn't found."""
+    root = scratch_path(spark, "tree")
+    docs = model.table(spark, d, "documents").select("text", F.coalesce("source", F.lit("none")).alias("source"))
+    for folder in ("src", "src/target", "target/deep", ".hidden"):
+        docs.write.partitionBy("source").text(f"{root}/{folder}")
+    found = repository.discovered(spark, root, "*.txt")
+    folder = F.element_at(F.split("path", "/"), -2).alias("folder")
+    return found.groupBy(folder).agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
 def _order_pages(spark: SparkSession, d: str) -> DataFrame:
     """A Markdown page per order: a heading, a paragraph of two lines, and a section with two items for each line."""
     line = model.numbered_lines(spark, d).join(model.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -103,21 +117,51 @@ def markdown_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     return markdown.reconstruct(markdown.nodes(_order_pages(spark, d)))
 
 
-@register_sql("bib_fields", """SELECT p_partkey AS doc, 'k' || p_partkey AS key, 'article' AS type, unnest(['title', 'year', 'note']) AS field,
-  unnest(['The {' || p_name || '} part', p_size::VARCHAR, p_brand]) AS value FROM part""")
-def bib_fields(spark: SparkSession, d: str) -> DataFrame:
+def _bibliographies(spark: SparkSession, d: str) -> DataFrame:
+    """A bibliography of a comment and an article per part."""
     text = F.concat(F.lit("@comment{x, y = 1\n}\n@Article{k"), _text("p_partkey"), F.lit(",\n  Title = {The {"), F.col("p_name"),
                     F.lit("}\n   part},\n  year = "), _text("p_size"), F.lit(',\n  note = "'), F.col("p_brand"), F.lit('"\n}\n'))
-    return latex.bib_fields(model.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))
+    return model.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.alias("text"))
 
 
-@register_sql("latex_references", """SELECT l_orderkey || '_' || ordinal AS doc, 3 AS source_position, 1 AS target_position FROM lines WHERE ordinal % 2 = 0""")
-def latex_references(spark: SparkSession, d: str) -> DataFrame:
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """A LaTeX source per order line: a label and references, every other one to it."""
     part, asked = _text("l_partkey"), F.col("ordinal") % 2 == 0
     name = F.when(asked, part).otherwise(F.lit("none"))
     text = F.concat(F.lit("\\section{One}\n% \\label{none}\n\\label{"), part, F.lit("}\nSee \\cite[p. 2]{a, b} and \\ref{"), name, F.lit("}.\n"))
     key = F.concat(_text("l_orderkey"), F.lit("_"), _text("ordinal"))
-    return latex.reference_edges(latex.commands(model.numbered_lines(spark, d).select(key.alias("doc"), text.alias("text"))))
+    return model.numbered_lines(spark, d).select(key.alias("doc"), text.alias("text"))
+
+
+def _written_files(spark: SparkSession, docs: DataFrame, label: str) -> DataFrame:
+    """The texts of ``docs`` written to files of several texts each, and found there."""
+    root = scratch_path(spark, label)
+    docs.select("text").write.text(f"{root}/src")
+    return repository.discovered(spark, root, "*.txt")
+
+
+@register_sql("bibtex_files", """SELECT 'k' || p_partkey AS key, 'article' AS type, unnest(['title', 'year', 'note']) AS field,
+  unnest(['The {' || p_name || '} part', p_size::VARCHAR, p_brand]) AS value FROM part""")
+def bibtex_files(spark: SparkSession, d: str) -> DataFrame:
+    return latex.bib_fields(latex.sources(_written_files(spark, _bibliographies(spark, d), "bib"))).drop("doc")
+
+
+@register_sql("latex_files", """SELECT kind, name, count(*) AS n FROM (SELECT unnest(['latex_section', 'latex_label', 'latex_cite', 'latex_cite', 'latex_ref']) AS kind,
+    unnest(['One', l_partkey::VARCHAR, 'a', 'b', CASE WHEN ordinal % 2 = 0 THEN l_partkey::VARCHAR ELSE 'none' END]) AS name FROM lines) GROUP BY kind, name""")
+def latex_files(spark: SparkSession, d: str) -> DataFrame:
+    found = latex.commands(latex.sources(_written_files(spark, _articles(spark, d), "tex")))
+    return found.groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+@register_sql("bib_fields", """SELECT p_partkey AS doc, 'k' || p_partkey AS key, 'article' AS type, unnest(['title', 'year', 'note']) AS field,
+  unnest(['The {' || p_name || '} part', p_size::VARCHAR, p_brand]) AS value FROM part""")
+def bib_fields(spark: SparkSession, d: str) -> DataFrame:
+    return latex.bib_fields(_bibliographies(spark, d))
+
+
+@register_sql("latex_references", """SELECT l_orderkey || '_' || ordinal AS doc, 3 AS source_position, 1 AS target_position FROM lines WHERE ordinal % 2 = 0""")
+def latex_references(spark: SparkSession, d: str) -> DataFrame:
+    return latex.reference_edges(latex.commands(_articles(spark, d)))
 
 
 @register_sql("lint_naming", """SELECT p_partkey AS id, ['non_camel_type', 'non_upper_const', 'non_snake_fn'][p_partkey % 3 + 1] AS rule,

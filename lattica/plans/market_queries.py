@@ -210,6 +210,21 @@ def transfers(spark: SparkSession, d: str) -> DataFrame:
     return requests.transfers(_transfers(spark, d), _wallets(spark, d), model.ledger(spark, d))
 
 
+@register_sql("inference_costs", """WITH asked AS (SELECT event_id AS seq, 's' || user_id % 10 AS w FROM events),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY seq) AS n FROM asked),
+  paid AS (SELECT seq, w FROM placed JOIN balances ON wallet = w WHERE n <= balance // 30000000)
+  SELECT seq, w AS from_wallet, 'c1' AS to_wallet, 30000000::BIGINT AS amount, 'model_inference' AS reason,
+    ((SELECT max(timestamp) FROM ledger) + row_number() OVER (ORDER BY seq))::BIGINT AS timestamp FROM paid""")
+def inference_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is an inference of its user's agent, whose wallet is a supplier's; one of ten has none in the ledger."""
+    book = model.ledger(spark, d)
+    asked = _events(spark, d).select("seq", _text("u", F.col("user_id")).alias("agent"), "user_id")
+    agents = asked.select(F.col("agent").alias("id"), _text("s", F.col("user_id") % 10).alias("wallet")).distinct()
+    wallets = ledger.balances(book).select(F.col("wallet").alias("id")).union(spark.createDataFrame([("c1",)], "id string")).distinct()
+    pricing = spark.createDataFrame([("model_inference", 30_000_000), ("storage", 1)], "resource_type string, unit_cost long")
+    return requests.inference_costs(asked.select("seq", "agent"), agents, wallets, pricing, book, "c1")
+
+
 CHAINED = """asked AS (SELECT event_id AS seq, event_id % 9 AS f, event_id * 7 % 11 % 9 AS t, round(value * value * 900)::BIGINT AS amount FROM events),
   numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM asked),
   start AS (SELECT list(coalesce(balance, 0)::BIGINT // 300 ORDER BY w) AS held FROM range(9) r(w) LEFT JOIN balances ON wallet = 's' || w),

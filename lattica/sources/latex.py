@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Commands by the kind of node that they make.
-SECTIONS = "part chapter section subsection subsubsection paragraph subparagraph"
-REFERENCES = "ref eqref pageref autoref nameref cref Cref vref"
+SECTIONS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
+REFERENCES = ("ref", "eqref", "pageref", "autoref", "nameref", "cref", "Cref", "vref")
 COMMAND = r"\\([A-Za-z]+)\*?(?:\[[^\]]*\])*\{([^{}]*)\}"
 ENTRY = r"(?s)@(\w+)\s*\{\s*([^,\s{}]+)\s*,(.*?)\n\s*\}"
 FIELD = r'(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|"([^"]*)"|(\w+))'
@@ -15,6 +15,11 @@ FIELD = r'(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|"([^"]*)"|(\w+))'
 NO_WORKS = ("comment", "preamble", "string")
 
 
+def sources(files: DataFrame) -> DataFrame:
+    """(doc, text) of files (path, content), for :func:`commands` and :func:`bib_fields`; null content is empty."""
+    return files.select(F.col("path").alias("doc"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("text"))
+
+
 def commands(docs: DataFrame) -> DataFrame:
     """(doc, position, kind, name) of sections, labels, references, citations and environments of sources (doc, text).
 
@@ -24,9 +29,9 @@ def commands(docs: DataFrame) -> DataFrame:
     found = docs.select("doc", F.posexplode(F.regexp_extract_all(text, F.lit(COMMAND), F.lit(0))).alias("position", "found"))
     command, argument = F.regexp_extract("found", COMMAND, 1), F.regexp_extract("found", COMMAND, 2)
     kind = (
-        F.when(command.isin(*SECTIONS.split()), F.concat(F.lit("latex_"), command))
+        F.when(command.isin(*SECTIONS), F.concat(F.lit("latex_"), command))
         .when(command == "label", "latex_label")
-        .when(command.isin(*REFERENCES.split()), "latex_ref")
+        .when(command.isin(*REFERENCES), "latex_ref")
         .when(F.contains(F.lower(command), F.lit("cite")), "latex_cite")
         .when(command == "begin", "latex_environment")
     )

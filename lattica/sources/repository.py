@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.latest import sync_counts
@@ -86,6 +88,8 @@ BINARY_EXTENSIONS = [
     "lib", "o", "obj", "pyc", "pyo", "class", "wasm", "bin", "dat", "ttf", "otf", "woff", "woff2", "eot", "mp3",
     "mp4", "wav", "ogg", "flac", "avi", "mkv", "mov", "webm", "db", "sqlite", "sqlite3",
 ]
+# Folders of what is built, which discovery leaves out.
+SKIPPED = ("target",)
 # Languages that are parsed.
 PARSED = ("rust", "go", "c", "markdown")
 #: Bytes in which a null byte makes a file binary.
@@ -130,6 +134,23 @@ def line_count(text: Column) -> Column:
     return F.coalesce(ends + F.when((text != "") & ~F.endswith(text, F.lit("\n")), 1).otherwise(0), F.lit(0)).cast("long")
 
 
+def discovered(spark: SparkSession, folder: str, name: str = "*", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(path, content) of the files below ``folder`` whose names match a glob, for :func:`files` and other readers of files.
+
+    Paths are relative to the folder. Folders of the names in ``skipped``, and hidden ones, aren't entered: their files
+    are pruned by path before they are read. Spark's file readers know no empty files and nothing whose name begins with an
+    underscore, so these are missing. A file is one value.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().toString()
+    plain = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    relative = F.substring(F.regexp_replace("_metadata.file_path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"), len(plain) + 2, 1 << 30)
+    unwanted = "(^|/)(" + "|".join([r"\.[^/]*", *map(re.escape, skipped)]) + ")/"
+    chosen = rows.filter(~relative.rlike(unwanted) & ~F.startswith(F.substring_index(relative, "/", -1), F.lit(".")))
+    return chosen.select(F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"), "content")
+
+
 def files(rows: DataFrame) -> DataFrame:
     """Nodes of files (repo, path, content): repo, path, kind, language, content, line_count, bytes, sha.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lattica.operators import oplog
 
+#: Buckets of authors that a batch of the log lies in.
+BUCKETS = 64
+
 
 def read_ops(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """Operations that arrive as Parquet files in ``folder``."""
@@ -21,7 +27,7 @@ def deduplicated(ops: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def held_log(spark: SparkSession, log: str) -> DataFrame | None:
-    """The operations of a log with the columns ``query`` and ``batch`` of their folders; None if there are none yet."""
+    """The operations of a log with the columns that its folders name; None if there are none yet."""
     try:
         return spark.read.parquet(log)
     except AnalysisException as error:
@@ -33,23 +39,27 @@ def held_log(spark: SparkSession, log: str) -> DataFrame | None:
 def append_log(ops: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Append new operations to the Parquet log: what a batch repeats, or the log holds, is left out.
 
-    Each batch of a query has a folder of its own. A batch that runs again after a failure compares itself with the
-    other folders, never with its own, and writes the same rows there again. The comparison reads only what can match:
-    row groups from the batch's smallest author_seq on.
+    Each batch of a query has a folder of its own, with one below it per bucket of authors. A batch that runs again after
+    a failure compares itself with the other folders, never with its own, and writes the same rows there again. The
+    comparison reads only what can match: of the buckets that the batch has authors of, row groups from its smallest
+    author_seq there on. So a new author makes it read one bucket from the start, not the log.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        fresh = oplog.deduplicated(batch)
+        bucket = F.pmod(F.xxhash64("author"), F.lit(BUCKETS)).cast("int")
+        fresh = oplog.deduplicated(batch).withColumn("author_bucket", bucket)
         held = held_log(spark, log)
-        least = fresh.agg(F.min("author_seq")).first()[0]
-        if held is not None and least is not None:
+        least = fresh.groupBy("author_bucket").agg(F.min("author_seq").alias("least")).collect()  # BUCKETS at most
+        if held is not None and least:
             own = (F.col("query") == query) & (F.col("batch") >= number)
-            held = held.filter(~own).filter(F.col("author_seq") >= least).select("author", "author_seq")
+            near = [(F.col("author_bucket") == r["author_bucket"]) & (F.col("author_seq") >= r["least"]) for r in least if r["least"] is not None]
+            held = held.filter(~own).filter(reduce(or_, near, F.lit(False))).select("author", "author_seq")
             fresh = fresh.join(held, ["author", "author_seq"], "left_anti")
-        if least is not None:
-            fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{log}/query={query}/batch={number}")
+        if least:
+            out = fresh.select(*batch.columns, "author_bucket").write.mode("overwrite").partitionBy("author_bucket")
+            out.parquet(f"{log}/query={query}/batch={number}")
 
     return ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -525,3 +525,23 @@ def test_ranks_of_near_and_far_terms(spark):
     assert single == {"one": 0.060793, "twice": 0.075991, "near": 0.060793, "far": 0.060793}
     pair = {r["id"]: r["rank"] for r in fulltext.matches(nodes, "the quick foxes").collect()}
     assert pair["near"] == 0.099103 and 0 <= pair["far"] < 1e-6 and len(pair) == 2
+
+
+def test_training_is_rewarded_and_inference_paid_while_the_wallet_covers_it(spark):
+    agents = spark.createDataFrame([("a", "wa"), ("b", "wb"), ("n", None)], "id string, wallet string")
+    schedule = spark.createDataFrame([("model_training", 3, True), ("other", 9, True)], "work_type string, reward long, enabled boolean")
+    work = spark.createDataFrame([("a", 5), ("a", 39), ("n", 100), ("x", 10), ("b", None)], "agent string, steps long")
+    made = ledger.training_rewards(work, agents, schedule)
+    assert sorted((r["wallet"], r["amount"]) for r in made.collect()) == [("wa", 3), ("wa", 9), ("wb", 3)]
+    off = schedule.withColumn("enabled", F.lit(False))
+    assert ledger.training_rewards(work, agents, off).count() == 0
+
+    book = spark.createDataFrame([(None, "wa", 25, "mint", 4), (None, "wb", 9, "mint", 5)], "from_wallet string, to_wallet string, amount long, reason string, timestamp long")
+    wallets = spark.createDataFrame([("wa",), ("wb",), ("me",)], "id string")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "n"), (5, "a")], "seq long, agent string")
+    prices = spark.createDataFrame([("model_inference", 10), ("disk", 1)], "resource_type string, unit_cost long")
+    paid = requests.inference_costs(asked, agents, wallets, prices, book, "me")
+    assert sorted((r["seq"], r["from_wallet"], r["to_wallet"], r["amount"], r["timestamp"]) for r in paid.collect()) == [
+        (1, "wa", "me", 10, 6), (3, "wa", "me", 10, 7)
+    ]
+    assert requests.inference_costs(asked, agents, wallets, prices.filter("unit_cost < 5"), book, "me").count() == 0

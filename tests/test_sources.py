@@ -183,3 +183,18 @@ def test_naming_and_imports(spark):
     rows = spark.createDataFrame([("f", k, s) for k, s in enumerate(lines)], "file string, position int, source string")
     got = [r["source"] for r in code.sorted_imports(rows).orderBy("place").collect()]
     assert got == ["pub use std::fmt;", "use serde::De;", "use crate::a;", "use super::b;"]
+
+
+def test_discovery_finds_files_by_name_and_enters_no_skipped_folder(spark, tmp_path):
+    root = tmp_path / "a repo+é"
+    for path in ("src/main.rs", "src/a b%20+c/é.rs", "src/x.py", "src/targets/y.rs", "src/target/z.rs", "target/z.rs", ".git/z.rs", "src/.h.rs", "empty.rs"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("" if path == "empty.rs" else path)
+    found = {r["path"]: bytes(r["content"]).decode() for r in repository.discovered(spark, str(root), "*.rs").collect()}
+    assert found == {p: p for p in ("src/main.rs", "src/a b%20+c/é.rs", "src/targets/y.rs")}
+    plan = repository.discovered(spark, str(root), "*.rs")
+    kinds = repository.files(plan.selectExpr("'r' AS repo", "path", "content"))
+    assert {r["kind"] for r in kinds.collect()} == {"file"}
+    docs = {r["doc"]: r["text"] for r in latex.sources(plan).collect()}
+    assert docs["src/main.rs"] == "src/main.rs"
+    assert repository.discovered(spark, str(root), "*.go").count() == 0
