@@ -46,7 +46,11 @@ def refs(nodes: DataFrame, symbol: str, defining=DEFINING, referring=REFERRING)
 
 
 def with_child_count(chosen: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``chosen`` with their numbers of children; only children of chosen nodes are counted."""
+    """``chosen`` with their numbers of children; only children of chosen nodes are counted.
+
+    The chosen nodes are written once: they are met twice, and by their size Spark sees whether to broadcast them.
+    """
+    chosen = written(chosen, "chosen")
     below = nodes.select(F.col("parent_id").alias("of"))
     below = below.join(chosen.select(F.col("id").alias("of")), "of", "left_semi")
     counts = below.groupBy("of").agg(F.count("*").alias("child_count"))

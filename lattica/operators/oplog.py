@@ -87,6 +87,8 @@ def vector_difference(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     ).filter("behind > 0 OR ahead > 0")
 
 
+#: Deleted ids that are looked up as literals.
+FEW_DELETED = 1000
 #: The fields of a node's state: the clock of the last insert and delete, and of each value the last that set it.
 NODE_FIELDS = ("inserted", "deleted", "kind", "content", "parent_id", "position")
 
@@ -167,9 +169,13 @@ def fold_edges(ops: DataFrame) -> DataFrame:
 def cascade(nodes: DataFrame, deleted: DataFrame) -> DataFrame:
     """``nodes`` without the subtrees of ``deleted`` (id), by the labels of their paths: no recursion.
 
-    A path holds the labels of all ancestors, so the deleted ids that a node lies under are found by one join of its
-    labels.
+    A path holds the labels of all ancestors. Up to FEW_DELETED ids are looked up in the path as the nodes are read,
+    without a shuffle; more are found by one join of the labels. Nodes without a path stay.
     """
+    few = deleted.select(F.col("id").cast("string")).filter("id IS NOT NULL").distinct().limit(FEW_DELETED + 1).collect()
+    if len(few) <= FEW_DELETED:
+        under = F.exists(F.split("path", r"\."), lambda label: label.isin([r["id"] for r in few]))
+        return nodes.filter(~F.coalesce(under, F.lit(False))) if few else nodes
     labels = nodes.select("id", F.explode(F.split("path", r"\.")).alias("label"))
     gone = labels.join(deleted.select(F.col("id").alias("label")).distinct(), "label", "left_semi")
     return nodes.join(gone.select("id").distinct(), "id", "left_anti")

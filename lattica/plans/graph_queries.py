@@ -10,7 +10,7 @@ from lattica.plans import model
 from lattica.plans.oracle import sql
 from lattica.queries import register
 from lattica.sources import peer
-from lattica.tables import scratch_path
+from lattica.tables import scratch_path, written
 
 COUNTED = """SELECT n.id, n.kind, n.content, n.position, n.path, coalesce(c.n, 0) AS child_count
   FROM nodes n LEFT JOIN (SELECT parent_id AS of, count(*) AS n FROM nodes GROUP BY parent_id) c ON n.id = c.of"""
@@ -244,7 +244,7 @@ def _published(spark: SparkSession, ops: DataFrame, label: str) -> str:
   WHERE o.author_seq > coalesce(seen, 0)""")
 def peer_pull(spark: SparkSession, d: str) -> DataFrame:
     """What a peer's published log has beyond one's own, through the data source."""
-    ops = model.operations(spark, d)
+    ops = written(model.operations(spark, d), "operations")
     return peer.pull(spark, _published(spark, ops, "peer"), oplog.version_vector(ops.filter("value < 100")), PEER_SCHEMA)
 
 
@@ -257,7 +257,7 @@ def peer_pull(spark: SparkSession, d: str) -> DataFrame:
   SELECT side, author, count(*) AS operations, max(author_seq) AS max_seq FROM both_logs GROUP BY side, author""")
 def peer_sync(spark: SparkSession, d: str) -> DataFrame:
     """Two published logs after an exchange: how many operations of each author either has."""
-    ops = model.operations(spark, d)
+    ops = written(model.operations(spark, d), "operations")
     folders = {side: _published(spark, ops.filter(F.col("id") % 3 == k), side) for k, side in enumerate(("mine", "theirs"))}
     peer.sync(spark, folders["mine"], folders["theirs"], PEER_SCHEMA)
     held = [peer.operations(spark, f).withColumn("side", F.lit(side)) for side, f in folders.items()]

@@ -545,3 +545,13 @@ def test_training_is_rewarded_and_inference_paid_while_the_wallet_covers_it(spar
         (1, "wa", "me", 10, 6), (3, "wa", "me", 10, 7)
     ]
     assert requests.inference_costs(asked, agents, wallets, prices.filter("unit_cost < 5"), book, "me").count() == 0
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_a_cascade_takes_all_below_the_deleted(spark, monkeypatch, few):
+    monkeypatch.setattr(oplog, "FEW_DELETED", few)
+    paths = ["a", "a.b", "a.b.c", "a.d", "e", "e.ab", None]
+    nodes = spark.createDataFrame([(p.split(".")[-1] if p else "z", p) for p in paths], "id string, path string")
+    gone = spark.createDataFrame([("b",), ("b",), (None,), ("x",)], "id string")
+    assert sorted(r["id"] for r in oplog.cascade(nodes, gone).collect()) == ["a", "ab", "d", "e", "z"]
+    assert oplog.cascade(nodes, gone.limit(0)).count() == 7
