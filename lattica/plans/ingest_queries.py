@@ -133,10 +133,14 @@ def _articles(spark: SparkSession, d: str) -> DataFrame:
     return model.numbered_lines(spark, d).select(key.alias("doc"), text.alias("text"))
 
 
+#: Texts of a written file: a file is read as one value, so its size must not grow with the tables.
+TEXTS_PER_FILE = 10_000
+
+
 def _written_files(spark: SparkSession, docs: DataFrame, label: str) -> DataFrame:
     """The texts of ``docs`` written to files of several texts each, and found there."""
     root = scratch_path(spark, label)
-    docs.select("text").write.text(f"{root}/src")
+    docs.select("text").write.option("maxRecordsPerFile", TEXTS_PER_FILE).text(f"{root}/src")
     return repository.discovered(spark, root, "*.txt")
 
 
@@ -161,7 +165,7 @@ def bib_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @register_sql("latex_references", """SELECT l_orderkey || '_' || ordinal AS doc, 3 AS source_position, 1 AS target_position FROM lines WHERE ordinal % 2 = 0""")
 def latex_references(spark: SparkSession, d: str) -> DataFrame:
-    return latex.reference_edges(latex.commands(_articles(spark, d)))
+    return latex.references(_articles(spark, d))
 
 
 @register_sql("lint_naming", """SELECT p_partkey AS id, ['non_camel_type', 'non_upper_const', 'non_snake_fn'][p_partkey % 3 + 1] AS rule,

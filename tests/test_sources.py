@@ -5,6 +5,7 @@ import random
 import struct
 
 from lattica.operators import code, proofs, stacks
+from lattica.plans import ingest_queries
 from lattica.sources import latex, markdown, repository
 
 PAGE = """intro line
@@ -198,3 +199,20 @@ def test_discovery_finds_files_by_name_and_enters_no_skipped_folder(spark, tmp_p
     docs = {r["doc"]: r["text"] for r in latex.sources(plan).collect()}
     assert docs["src/main.rs"] == "src/main.rs"
     assert repository.discovered(spark, str(root), "*.go").count() == 0
+
+
+def test_latex_references_of_a_source_need_no_shuffle(spark):
+    texts = [(1, r"\label{x}\label{ x }\ref{x}\cref{y, x0}\label{x0}% \label{y}"), (2, r"\ref{x}\begin{z}\end{z}\cite{x}"), (3, ""), (4, r"100\% \label{a} \ref{a}")]
+    docs = spark.createDataFrame(texts, "doc int, text string")
+    found = latex.references(docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 0), (1, 3, 4), (4, 1, 0)]
+    assert sorted(map(tuple, latex.reference_edges(latex.commands(docs)).collect())) == [(1, 2, 0), (1, 3, 4), (4, 1, 0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Filter (((size" not in plan
+
+
+def test_written_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ingest_queries, "TEXTS_PER_FILE", 10)
+    docs = spark.range(100).selectExpr("concat('\\\\label{', id, '}') AS text").coalesce(1)
+    found = ingest_queries._written_files(spark, docs, "bounded")
+    assert found.count() == 10 and latex.commands(latex.sources(found)).count() == 100
