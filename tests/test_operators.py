@@ -17,6 +17,7 @@ from lattica.operators import (
 )
 from lattica.sources import csv_import
 from lattica.streaming import oplog as stream
+from lattica.tables import written
 
 NODES = "id string, kind string, content string, parent_id string, position int, path string, metadata string"
 
@@ -364,6 +365,23 @@ def test_transfers_equal_a_replay_one_by_one(spark, seed, monkeypatch):
         assert {r["seq"]: r["refused"] for r in out} == _replayed(signed, held, nonces)
 
 
+@pytest.mark.parametrize(("most_wallets", "most_rounds"), [(200_000, 4), (3, 40)])
+def test_chained_transfers_take_few_rounds(spark, monkeypatch, most_wallets, most_rounds):
+    monkeypatch.setattr(requests, "REPLAYED", 5)
+    monkeypatch.setattr(requests, "HELD_WALLETS", most_wallets)
+    monkeypatch.setattr(requests, "ACCEPTED_PART", 7)
+    labels = []
+    monkeypatch.setattr(requests, "written", lambda df, label: labels.append(label) or written(df, label))
+    held = {f"w{k}": 10 for k in range(4)}
+    draw = random.Random(5)
+    asked = [(k, f"w{k % 4}", f"w{(k + draw.randint(1, 3)) % 4}", draw.randint(1, 25)) for k in range(120)]
+    wallets = spark.createDataFrame([(w,) for w in held], "id string")
+    book = spark.createDataFrame([(None, w, a, "mint", 5) for w, a in held.items()], "from_wallet string, to_wallet string, amount long, reason string, timestamp long")
+    out = requests.transfers(spark.createDataFrame(asked, "seq long, from_wallet string, to_wallet string, amount long"), wallets, book).collect()
+    assert {r["seq"]: r["refused"] for r in out} == _replayed(asked, held)
+    assert labels.count("transfers-judged") <= most_rounds
+
+
 def test_a_name_is_new_once_in_a_batch(spark):
     agents = spark.createDataFrame([("a", "old")], "id string, name string")
     asked = [(1, "old", "llm"), (2, "new", "robot"), (3, "new", "llm"), (4, "new", "human"), (5, None, "llm")]
