@@ -1,16 +1,16 @@
-"""Markdown documents as nodes: lines are classified, gathered into blocks and nested under headings by windows.
+"""Markdown documents as nodes: lines are classified, gathered into blocks and nested under headings.
 
-A document is one text of one row, so its window is bounded by that text. Headings need no stack: the parent of a heading
-is the last heading before it of a lower level, that of any other block the last heading. An item of a list hangs on the
-item within whose text it is indented.
+A document is one text of one row, and stays one until its blocks are rows: nothing is shuffled or sorted for it. Spark tells
+what each line looks like, a helper goes over these numbers. The parent of a heading is the last heading before it of a lower
+level, that of any other block the last heading. An item of a list hangs on the item within whose text it is indented.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from lattica.sources.repository import normalized
 
@@ -24,134 +24,127 @@ FLUSH = r"^[^ \t]"
 QUOTE = r"^ {0,3}>[ ]?(.*)$"
 TABLE = r"^ {0,3}\|"
 LINK = r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"
-LEVELS = range(1, 7)
 
-
-def _match(pattern: str, group: int) -> Column:
-    return F.regexp_extract("text", pattern, group)
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, text, kind) of documents (doc, text), normalised; lines of fenced code have kind ``code_block``."""
-    split = F.split(F.rtrim(normalized(F.coalesce("text", F.lit("")))), "\n")
-    rows = docs.select("doc", F.posexplode(split).alias("line", "text"))
-    before = Window.partitionBy("doc").orderBy("line")
-    fence = F.rlike("text", F.lit(FENCE))
-    rows = rows.withColumn("fences", F.count_if(fence).over(before))
-    item = F.rlike("text", F.lit(ITEM)) & ~F.rlike("text", F.lit(RULE))
-    latest = lambda condition: F.coalesce(F.last(F.when(condition, F.col("line")), ignorenulls=True).over(before), F.lit(-1))
-    in_list = latest(item & (F.col("fences") % 2 == 0)) > latest(~item & F.rlike("text", F.lit(FLUSH)))
-    kind = (
-        F.when(fence | (F.col("fences") % 2 == 1), "code_block")
-        .when(F.col("text") == "", "blank")
-        .when(F.rlike("text", F.lit(HEADING)), "heading")
-        .when(F.rlike("text", F.lit(RULE)), "thematic_break")
-        .when(item | (in_list & F.rlike("text", F.lit(INNER_ITEM))), "list_item")
-        .when(F.rlike("text", F.lit(QUOTE)), "block_quote")
-        .when(F.rlike("text", F.lit(TABLE)), "table")
-        .otherwise("paragraph")
-    )
-    return rows.withColumn("kind", kind)
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc, line, kind, level, marker, content, indent): runs of lines of one kind; headings, items and rules stand alone.
-
-    ``indent`` is the column at which an item's marker stands, with four for a tab.
-    """
-    order = Window.partitionBy("doc").orderBy("line")
-    alone = F.col("kind").isin("heading", "list_item", "thematic_break")
-    opens = (F.col("kind") == "code_block") & F.rlike("text", F.lit(FENCE)) & (F.col("fences") % 2 == 1)
-    changes = ~F.col("kind").eqNullSafe(F.lag("kind").over(order))
-    rows = lines(docs).withColumn("starts", changes | alone | opens)
-    rows = rows.withColumn("block", F.count_if("starts").over(order)).filter("kind != 'blank'")
-    shown = (
-        F.when(F.col("kind") == "heading", _match(HEADING, 2))
-        .when(F.col("kind") == "list_item", _match(INNER_ITEM, 2))
-        .when(F.col("kind") == "block_quote", _match(QUOTE, 1))
-        .when((F.col("kind") == "code_block") & F.rlike("text", F.lit(FENCE)), F.lit(None))
-        .when(F.col("kind") == "paragraph", F.trim("text"))
-        .otherwise(F.col("text"))
-    )
-    marker = (
-        F.when(F.col("kind") == "list_item", _match(INNER_ITEM, 1))
-        .when(opens, F.trim(F.regexp_replace("text", FENCE + "[`~]*", "")))
+#: What a line looks like by itself, as bits of a number; above them its level as a heading, and an item's width and indent.
+FENCE_LINE, BLANK_LINE, RULE_LINE, ITEM_LINE, INNER_LINE, QUOTE_LINE, TABLE_LINE, FLUSH_LINE = (1 << k for k in range(8))
+LEVEL, WIDTH, MARGIN = 1 << 8, 1 << 11, 1 << 16
+KINDS = ((BLANK_LINE, "blank"), (LEVEL * 7, "heading"), (RULE_LINE, "thematic_break"))
+LATER_KINDS = ((QUOTE_LINE, "block_quote"), (TABLE_LINE, "table"))
+
+
+def _shape(line: Column) -> Column:
+    """The number of a line: its bits, level, width of marker and space, and indent with four for a tab."""
+    like = lambda pattern: F.rlike(line, F.lit(pattern))
+    bit = lambda condition, value: F.when(condition, value).otherwise(0)
+    rule, inner = like(RULE), like(INNER_ITEM)
+    margin = F.length(F.replace(F.regexp_extract(line, r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
+    width = F.length(F.regexp_extract(line, INNER_ITEM, 1)) + 1
+    level = F.length(F.regexp_extract(line, HEADING, 1))  # 0 if it is none
+    shape = (
+        bit(like(FENCE), FENCE_LINE) + bit(rule, RULE_LINE) + bit(like(QUOTE), QUOTE_LINE) + bit(like(TABLE), TABLE_LINE)
+        + bit(like(FLUSH), FLUSH_LINE) + level * LEVEL
+        + F.when(inner, bit(like(ITEM) & ~rule, ITEM_LINE) + INNER_LINE + width * WIDTH + margin.cast("long") * MARGIN).otherwise(0)
     )
-    level = F.when(F.col("kind") == "heading", F.length(_match(HEADING, 1)))
-    indent = F.when(F.col("kind") == "list_item", F.length(F.replace(_match(r"^([ \t]*)", 1), F.lit("\t"), F.lit("    "))))
-    rows = rows.select("doc", "line", "block", "kind", shown.alias("shown"), marker.alias("marker"), level.alias("level"), indent.alias("indent"))
-    gathered = rows.groupBy("doc", "block").agg(
-        F.min("line").alias("line"), F.first("kind").alias("kind"), F.max("level").alias("level"),
-        F.max("marker").alias("marker"), F.max("indent").alias("indent"), F.sort_array(F.collect_list(F.struct("line", "shown"))).alias("parts"),
-    )
-    texts = F.filter(F.transform("parts", lambda p: p["shown"]), lambda t: t.isNotNull())
-    joined = F.when(F.col("kind") == "paragraph", F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n"))
-    return gathered.select("doc", "line", "kind", "level", "marker", joined.alias("content"), "indent")
+    return F.when(line == "", F.lit(BLANK_LINE)).otherwise(shape).cast("long")
 
 
-AROUND = ArrayType(StructType([StructField("around", ArrayType(IntegerType())), StructField("needed", IntegerType())]))
+BLOCKS = ArrayType(
+    StructType()
+    .add("line", IntegerType()).add("n", IntegerType()).add("kind", StringType()).add("open", ArrayType(IntegerType())).add("indent", IntegerType())
+)
 
 
-@F.pandas_udf(AROUND)
-def _nested(lines: pd.Series, kinds: pd.Series, markers: pd.Series, indents: pd.Series) -> pd.Series:
-    """For each block of a document the lines of the items around it, and the indent that it needs at least; null of null.
+@F.pandas_udf(BLOCKS)
+def _laid(documents: pd.Series) -> pd.Series:
+    """The blocks of documents, given as the shapes of their lines: first line, number of lines, kind, the lines of the
+    headings and items that a block hangs on, outermost first, and the indent that an item needs at least.
 
     An item lies within those whose text starts at its marker or before it; any other block ends the lists.
     """
 
-    def document(blocks) -> list[dict]:
+    def document(shapes) -> list[dict]:
         out: list[dict] = []
+        fenced = in_list = False
+        before = None
+        headings: list[tuple[int, int]] = []  # level, line
         held: list[tuple[int, int, int]] = []  # line, and where the text starts, as written and as needed
-        for line, kind, marker, indent in blocks:
-            if kind != "list_item":
-                held = []
-                out.append({"around": [], "needed": 0})
+        for line, shape in enumerate(shapes):
+            fence, item = shape & FENCE_LINE, shape & ITEM_LINE
+            fenced ^= bool(fence)
+            in_list = (in_list or not fenced) if item else in_list and not shape & FLUSH_LINE
+            if fence or fenced:
+                kind = "code_block"
+            else:
+                kind = next((k for bit, k in KINDS if shape & bit), None)
+                if kind is None and (item or (in_list and shape & INNER_LINE)):
+                    kind = "list_item"
+                kind = kind or next((k for bit, k in LATER_KINDS if shape & bit), "paragraph")
+            goes_on = kind == before and kind not in ("heading", "list_item", "thematic_break") and not (fence and fenced)
+            before = kind
+            if kind == "blank":
+                continue
+            if goes_on:
+                out[-1]["n"] += 1
                 continue
-            while held and held[-1][1] > indent:
-                held.pop()
-            needed, width = held[-1][2] if held else 0, len(marker) + 1
-            out.append({"around": [item[0] for item in held], "needed": needed})
-            held.append((int(line), int(indent) + width, needed + width))
+            needed = 0
+            if kind == "list_item":
+                indent, width = shape // MARGIN, shape // WIDTH % (MARGIN // WIDTH)
+                while held and held[-1][1] > indent:
+                    held.pop()
+                needed = held[-1][2] if held else 0
+            else:
+                held = []
+            level = shape // LEVEL % 8
+            while kind == "heading" and headings and headings[-1][0] >= level:
+                headings.pop()
+            around = [h[1] for h in headings] + [h[0] for h in held]
+            out.append({"line": line, "n": 1, "kind": kind, "open": around, "indent": needed})
+            if kind == "list_item":
+                held.append((line, indent + width, needed + width))
+            elif kind == "heading":
+                headings.append((level, line))
         return out
 
-    documents = zip(lines, kinds, markers, indents, strict=True)
-    return pd.Series([None if blocks[0] is None else document(zip(*blocks, strict=True)) for blocks in documents], dtype=object)
+    return pd.Series([document(shapes.tolist()) for shapes in documents], dtype=object)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """Nodes of Markdown documents (doc, text): doc, id, kind, content, parent_id, position, path, level, marker, indent.
 
-    Ids are ``doc#line``. An item that is indented to another's text or beyond hangs on that item, to any depth. Blocks before the first heading hang on the document, whose own node is the caller's. Null and
-    empty texts have no nodes.
+    Ids are ``doc#line``. An item that is indented to another's text or beyond hangs on that item, to any depth. Blocks
+    before the first heading hang on the document, whose own node is the caller's. Null and empty texts have no nodes.
     """
-    order = Window.partitionBy("doc").orderBy("line")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    parts = ("line", "kind", "level", "marker", "content", "indent")
-    rows = blocks(docs).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("b"))
-    indents = F.transform("b.indent", lambda i: F.coalesce(i, F.lit(0)))  # without nulls these stay whole numbers
-    # Python sees the documents that have indented items; in others nothing lies in an item
-    seen = [F.when(F.exists("b.indent", lambda i: i > 0), c) for c in (F.col("b.line"), F.col("b.kind"), F.col("b.marker"), indents)]
-    rows = rows.withColumn("n", F.coalesce(_nested(*seen), F.array().cast(AROUND))).select("doc", F.explode(F.arrays_zip("b", "n")).alias("z"))
-    rows = rows.select("doc", *[F.col(f"z.b.{c}") for c in parts[:-1]], *[F.coalesce(c, none).alias(name) for c, none, name in (
-        (F.col("z.n.around"), F.array().cast("array<int>"), "around"), (F.col("z.n.needed"), F.lit(0), "indent")
-    )])
-    rows = rows.withColumn("position", F.row_number().over(order) - 1)
-    last = {k: F.last(F.when(F.col("level") == k, F.col("line")), ignorenulls=True).over(earlier) for k in LEVELS}
-    rows = rows.withColumns({f"last_{k}": F.coalesce(last[k], F.lit(-1)) for k in LEVELS})
-    own = F.coalesce("level", F.lit(7))
-    # Heading k is open if no heading of a lower level has come since, and this block is deeper.
-    places = []
-    for k in LEVELS:
-        above = F.greatest(F.lit(-1), F.lit(-1), *[F.col(f"last_{j}") for j in range(1, k)])
-        places.append(F.when((own > k) & (F.col(f"last_{k}") > above), F.col(f"last_{k}").cast("string")))
-    open_lines = F.concat(F.filter(F.array(*places), lambda x: x.isNotNull()), F.col("around").cast("array<string>"))
-    rows = rows.withColumn("open", open_lines)
-    doc = F.col("doc").cast("string")
-    parent = F.when(F.size("open") > 0, F.concat_ws("#", doc, F.element_at("open", -1))).otherwise(doc)
+    split = F.split(F.rtrim(normalized(F.coalesce("text", F.lit("")))), "\n")
+    rows = docs.select("doc", split.alias("texts"))
+    rows = rows.select("doc", "texts", _laid(F.transform("texts", _shape)).alias("blocks"))
+    block = lambda b: F.struct(*[b[c].alias(c) for c in ("line", "kind", "open", "indent")], F.slice("texts", b["line"] + 1, b["n"]).alias("texts"))
+    # an outer explode: before a plain one Spark looks for empty arrays, and lays the blocks once more for that
+    rows = rows.select("doc", F.posexplode_outer(F.transform("blocks", block)).alias("position", "b")).filter("b IS NOT NULL")
+    rows = rows.select("doc", "position", "b.line", "b.kind", "b.open", "b.indent", "b.texts")
+    kind, first = F.col("kind"), F.col("texts")[0]
+    of = lambda pattern, group: F.regexp_extract(first, pattern, group)
+    unquoted = F.transform("texts", lambda t: F.regexp_extract(t, QUOTE, 1))
+    unfenced = F.filter("texts", lambda t: ~F.rlike(t, F.lit(FENCE)))
+    content = (
+        F.when(kind == "heading", of(HEADING, 2))
+        .when(kind == "list_item", of(INNER_ITEM, 2))
+        .when(kind == "block_quote", F.array_join(unquoted, "\n"))
+        .when(kind == "code_block", F.array_join(unfenced, "\n"))
+        .when(kind == "paragraph", F.array_join(F.transform("texts", lambda t: F.trim(t)), " "))
+        .otherwise(F.array_join("texts", "\n"))
+    )
+    marker = (
+        F.when(kind == "list_item", of(INNER_ITEM, 1))
+        .when(kind == "code_block", F.trim(F.regexp_replace(first, FENCE + "[`~]*", "")))
+    )
+    level = F.when(kind == "heading", F.length(of(HEADING, 1)))
+    doc, line = F.col("doc").cast("string"), F.col("line").cast("string")
+    parent = F.when(F.size("open") > 0, F.concat_ws("#", doc, F.element_at("open", -1).cast("string"))).otherwise(doc)
+    path = F.array_join(F.concat(F.array(doc), F.col("open").cast("array<string>"), F.array(line)), ".")
     return rows.select(
-        "doc", F.concat_ws("#", doc, F.col("line").cast("string")).alias("id"), "kind", "content", parent.alias("parent_id"),
-        "position", F.concat_ws(".", doc, F.array_join("open", "."), F.col("line").cast("string")).alias("path"), "level", "marker", "indent",
-    ).withColumn("path", F.replace("path", F.lit(".."), F.lit(".")))
+        "doc", F.concat_ws("#", doc, line).alias("id"), "kind", content.alias("content"), parent.alias("parent_id"),
+        "position", path.alias("path"), level.alias("level"), marker.alias("marker"), "indent",
+    )
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -164,7 +157,6 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def reconstruct(nodes: DataFrame) -> DataFrame:
     """(doc, text): the Markdown of nodes, which parses to the same nodes again (ids go by line and may differ)."""
-    order = Window.partitionBy("doc").orderBy("position")
     text = (
         F.when(F.col("kind") == "heading", F.rtrim(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "content")))
         .when(F.col("kind") == "list_item", F.concat(F.repeat(F.lit(" "), F.col("indent")), "marker", F.lit(" "), "content"))
@@ -172,9 +164,11 @@ def reconstruct(nodes: DataFrame) -> DataFrame:
         .when(F.col("kind") == "code_block", F.concat(F.lit("```"), "marker", F.lit("\n"), "content", F.lit("\n```")))
         .otherwise(F.col("content"))
     )
-    previous = F.lag("kind").over(order)
-    both_items = (previous == "list_item") & (F.col("kind") == "list_item")
-    gap = F.when(previous.isNull(), "").when(both_items, "\n").otherwise("\n\n")
-    parts = nodes.select("doc", "position", F.concat(gap, text).alias("part"))
-    joined = parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("position", "part"))).alias("parts"))
-    return joined.select("doc", F.concat(F.array_join(F.transform("parts", lambda p: p["part"]), ""), F.lit("\n")).alias("text"))
+    joined = nodes.select("doc", F.struct("position", "kind", text.alias("text")).alias("p")).groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("parts"))
+
+    def part(p: Column, k: Column) -> Column:
+        both_items = (F.get("parts", k - 1)["kind"] == "list_item") & (p["kind"] == "list_item")
+        return F.concat(F.when(k == 0, "").when(both_items, "\n").otherwise("\n\n"), p["text"])
+
+    shown = F.filter(F.transform("parts", part), lambda p: p.isNotNull())
+    return joined.select("doc", F.concat(F.array_join(shown, ""), F.lit("\n")).alias("text"))

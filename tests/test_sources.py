@@ -216,3 +216,17 @@ def test_written_files_are_bounded(spark, monkeypatch):
     docs = spark.range(100).selectExpr("concat('\\\\label{', id, '}') AS text").coalesce(1)
     found = ingest_queries._written_files(spark, docs, "bounded")
     assert found.count() == 10 and latex.commands(latex.sources(found)).count() == 100
+
+
+def test_markdown_needs_no_shuffle_and_keeps_odd_lines(spark):
+    text = "- a\n```\n# no\n\n~~~\n```py\nx\n```\n## h\n  1. n\n     - m\n> q\n>r\n* * *\n   # g\nt\n  u  "
+    found = markdown.nodes(spark.createDataFrame([("a..b", text), ("e", None)], "doc string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan and plan.count("ArrowEvalPython") == 1
+    rows = [(r["id"], r["kind"], r["content"], r["path"], r["marker"], r["indent"]) for r in found.orderBy("position").collect()]
+    assert rows == [
+        ("a..b#0", "list_item", "a", "a..b.0", "-", 0), ("a..b#1", "code_block", "# no\n", "a..b.1", "", 0), ("a..b#5", "code_block", "x", "a..b.5", "py", 0),
+        ("a..b#8", "heading", "h", "a..b.8", None, 0), ("a..b#9", "list_item", "n", "a..b.8.9", "1.", 0), ("a..b#10", "list_item", "m", "a..b.8.9.10", "-", 3),
+        ("a..b#11", "block_quote", "q\nr", "a..b.8.11", None, 0), ("a..b#13", "thematic_break", "* * *", "a..b.8.13", None, 0),
+        ("a..b#14", "heading", "g", "a..b.14", None, 0), ("a..b#15", "paragraph", "t u", "a..b.14.15", None, 0),
+    ]
