@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.running import running_sum
-from lattica.tables import scratch_path, written
+from lattica.tables import scratch_path, tasks_for, written
 
 #: Parts in which the neighbours of a node are numbered.
 PARTS = 64
+#: Neighbours of one node beyond which they don't meet in one task.
+HUB_ROWS = 200_000
 
 
 def vocabulary(nodes: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def walk(starts: DataFrame, neighbours: DataFrame, steps: int, seed: int = 0, we
         sources = laid.filter("number = 0").select(F.col("source").alias("node"), "degree")
     else:
         laid = written(weighted_neighbours(neighbours.select("source", "target", weight.alias("weight"))), "neighbours")
-        sources = written(laid.select(F.col("source").alias("node"), "total", "width").distinct(), "neighbours-sources")
+        sources = laid.filter("low = 0 AND cell = 0").select(F.col("source").alias("node"), "total", "width")  # one row a source
     for step in range(1, steps + 1):
         at = read(paths[-1]).join(sources, "node")
         drawn = _draw(seed, step, "walk", "node")
@@ -111,11 +113,19 @@ def weighted_neighbours(neighbours: DataFrame) -> DataFrame:
     equality join on the cell, even at a hub. Weights under a WEIGHT_UNIT-th count as that.
     """
     whole = F.greatest(F.round(F.col("weight") * WEIGHT_UNIT), F.lit(1)).cast("long")
-    rows = neighbours.groupBy("source", "target").agg(F.sum(whole).alias("share"))
-    rows = running_sum(rows, ["source"], "target", "share", "high")
-    totals = rows.groupBy("source").agg(F.max("high").alias("total"), F.count("*").alias("degree"))
-    totals = totals.select("source", "total", F.ceil(F.col("total") / F.col("degree")).alias("width"))
-    rows = rows.join(totals, "source").withColumn("low", F.col("high") - F.col("share"))
+    few, many, tasks = _by_hubs(neighbours.select("source", "target", whole.alias("share")))
+    by_target = Window.partitionBy("source").orderBy("target")
+    along, whole_source = (by_target.rowsBetween(Window.unboundedPreceding, end) for end in (0, Window.unboundedFollowing))
+    rows = few.repartition(tasks, "source").groupBy("source", "target").agg(F.sum("share").alias("share"))
+    rows = rows.select(
+        "*", F.sum("share").over(along).alias("high"), F.sum("share").over(whole_source).alias("total"),
+        F.count("*").over(whole_source).alias("degree"),
+    )
+    if many is not None:  # the neighbours of a hub don't meet
+        shares = running_sum(many.groupBy("source", "target").agg(F.sum("share").alias("share")), ["source"], "target", "share", "high")
+        totals = shares.groupBy(F.col("source").alias("of")).agg(F.max("high").alias("total"), F.count("*").alias("degree"))
+        rows = rows.unionByName(shares.join(F.broadcast(totals), F.col("source").eqNullSafe(F.col("of"))).drop("of"))
+    rows = rows.withColumns({"low": F.col("high") - F.col("share"), "width": F.ceil(F.col("total") / F.col("degree"))})
     first, last = F.floor(F.col("low") / F.col("width")), F.floor((F.col("high") - 1) / F.col("width"))
     return rows.select("source", "target", "low", "high", "total", "width", F.explode(F.sequence(first, last)).alias("cell"))
 
@@ -123,17 +133,45 @@ def weighted_neighbours(neighbours: DataFrame) -> DataFrame:
 def numbered_neighbours(neighbours: DataFrame) -> DataFrame:
     """``neighbours`` (source, target) with ``number``, from 0 within the source, and ``degree``.
 
-    Each source is numbered in PARTS parts after one another, so the neighbours of a hub don't meet in one task.
+    The neighbours of a source meet once, where they are told apart and numbered. Those of a hub are numbered in PARTS
+    parts after one another, so they don't meet in one task.
     """
-    parted = neighbours.select("source", "target").distinct().withColumn("part", _digits(F.col("target").cast("string"), 4) % PARTS)
-    counts = parted.groupBy("source", "part").agg(F.count("*").alias("n"))
-    of_source = Window.partitionBy("source")
-    before = of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    few, many, tasks = _by_hubs(neighbours.select("source", "target"))
+    part = F.coalesce(_digits(F.col("target").cast("string"), 4) % PARTS, F.lit(PARTS))
+    along = Window.partitionBy("source").orderBy("part", "target")
+    number = (F.row_number().over(along) - 1).cast("long")
+    degree = F.count("*").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # same order: one window
+    rows = few.repartition(tasks, "source").distinct().withColumn("part", part)
+    placed = rows.select("source", "target", number.alias("number"), degree.alias("degree"))
+    return placed if many is None else placed.unionByName(_numbered_in_parts(many.distinct().withColumn("part", part)))
+
+
+def _by_hubs(neighbours: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """``neighbours`` of sources with up to HUB_ROWS rows, those of hubs, None if there are none, and tasks for the rows.
+
+    There is a hub per HUB_ROWS rows at most, so their names are broadcast.
+    """
+    counts = neighbours.groupBy("source").agg(F.count("*").alias("n"))
+    rows, most = counts.agg(F.sum("n"), F.max("n")).first()
+    tasks = tasks_for(neighbours.sparkSession, rows)
+    if (most or 0) <= HUB_ROWS:
+        return neighbours, None, tasks
+    hubs = F.broadcast(written(counts.filter(F.col("n") > HUB_ROWS).select(F.col("source").alias("hub")), "hubs"))
+    at_hub = F.col("source").eqNullSafe(F.col("hub"))
+    return neighbours.join(hubs, at_hub, "left_anti"), neighbours.join(hubs, at_hub, "left_semi"), tasks
+
+
+def _numbered_in_parts(parted: DataFrame) -> DataFrame:
+    """Distinct (source, target, part) of hubs with number and degree, see :func:`numbered_neighbours`."""
+    counts = parted.groupBy(F.col("source").alias("of"), F.col("part").alias("of_part")).agg(F.count("*").alias("n"))
+    of_source = Window.partitionBy("of")
+    before = of_source.orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        "source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(of_source).alias("degree")
+        "of", "of_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(of_source).alias("degree")
     )
     inside = Window.partitionBy("source", "part").orderBy("target")
-    placed = parted.withColumn("row", F.row_number().over(inside)).join(starts, ["source", "part"])
+    placed = parted.withColumn("row", F.row_number().over(inside))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     return placed.select("source", "target", (F.col("start") + F.col("row") - 1).alias("number"), "degree")
 
 

@@ -1,7 +1,9 @@
 """Small cases with literal rows."""
 
+import contextlib
 import csv
 import datetime as dt
+import io
 import json
 import random
 
@@ -15,6 +17,7 @@ from lattica.operators import (
     citations, fulltext, latest, ledger, market, navigate, oplog, perspectives, predict, registers, requests, running, stacks, state,
     swarm, walks,
 )
+from lattica.plans import model
 from lattica.sources import csv_import
 from lattica.streaming import oplog as stream
 from lattica.tables import written
@@ -573,3 +576,46 @@ def test_a_cascade_takes_all_below_the_deleted(spark, monkeypatch, few):
     gone = spark.createDataFrame([("b",), ("b",), (None,), ("x",)], "id string")
     assert sorted(r["id"] for r in oplog.cascade(nodes, gone).collect()) == ["a", "ab", "d", "e", "z"]
     assert oplog.cascade(nodes, gone.limit(0)).count() == 7
+
+
+def _exchanges(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue().count("Exchange hash")
+
+
+def test_neighbours_meet_once_to_be_numbered(spark, monkeypatch):
+    rows = [("hub", f"n{k % 400}") for k in range(700)] + [(f"s{k % 50}", f"t{k % 7}") for k in range(900)] + [("s1", None)]
+    pairs = spark.createDataFrame(rows, "source string, target string").repartition(3)
+    whole = walks.numbered_neighbours(pairs)
+    assert _exchanges(whole) == 1 and _exchanges(whole.groupBy("source").agg(F.count_distinct("number"), F.max("degree"))) == 1
+    found = sorted((r["source"], r["number"], r["target"], r["degree"]) for r in whole.collect())
+    assert {(s, t) for s, _, t, _ in found} == set(rows) and len(found) == len(set(rows))
+    for source in {s for s, _ in rows}:
+        own = [(n, d) for s, n, _, d in found if s == source]
+        assert own == [(k, len(own)) for k in range(len(own))]
+    monkeypatch.setattr(walks, "HUB_ROWS", 300)  # the hub in parts
+    assert sorted((r["source"], r["number"], r["target"], r["degree"]) for r in walks.numbered_neighbours(pairs).collect()) == found
+
+
+def test_weighted_neighbours_meet_once(spark, monkeypatch):
+    rows = [("hub", f"n{k % 400}", k % 9 / 4) for k in range(700)] + [(f"s{k % 50}", f"t{k % 7}", 1.0) for k in range(900)]
+    pairs = spark.createDataFrame(rows, "source string, target string, weight double").repartition(3)
+    laid = walks.weighted_neighbours(pairs)
+    assert _exchanges(laid) == 1
+    found = sorted(map(tuple, laid.collect()))
+    own = sorted({(r[2], r[3], r[4]) for r in found if r[0] == "hub"})
+    assert len(own) == 400 and own[0][0] == 0 and own[-1][1] == own[0][2] and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+    monkeypatch.setattr(walks, "HUB_ROWS", 300)  # the hub by running sums
+    assert sorted(map(tuple, walks.weighted_neighbours(pairs).collect())) == found
+
+
+def test_edges_are_told_apart_by_numbers(spark, sf_dir):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        model.edges(spark, sf_dir).explain()
+    assert "hashpartitioning(l_orderkey" in out.getvalue() and "hashpartitioning(source_id" not in out.getvalue()
+    line = model.table(spark, sf_dir, "lineitem")
+    want = line.select("l_orderkey", "l_partkey").distinct().count() + line.select("l_partkey", "l_suppkey").distinct().count()
+    assert model.edges(spark, sf_dir).distinct().count() == model.edges(spark, sf_dir).count() == want
