@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.navigate import clamped
-from lattica.tables import written
+from lattica.tables import tasks_for, written
 
 
 def transitions(walks: DataFrame) -> DataFrame:
@@ -62,11 +62,14 @@ def model_info(model: DataFrame) -> DataFrame:
 ORDER = 3
 
 
-def _contexts(walks: DataFrame, order: int) -> DataFrame:
-    """(agent, walk, step, target, before): every node of a walk with up to ``order`` nodes before it, the last one last."""
-    along = Window.partitionBy("agent", "walk").orderBy("step")
+def _contexts(walks: DataFrame, order: int, *also: str) -> DataFrame:
+    """(agent, walk, step, target, before): every node of a walk with up to ``order`` nodes before it, the last one last.
+
+    ``also`` are columns that have one value in a walk and are kept.
+    """
+    along = Window.partitionBy(*also, "agent", "walk").orderBy("step")
     before = F.array_compact(F.array(*[F.lag("node", k).over(along) for k in range(order, 0, -1)]))
-    return walks.filter("node IS NOT NULL").select("agent", "walk", "step", F.col("node").alias("target"), before.alias("before"))
+    return walks.filter("node IS NOT NULL").select(*also, "agent", "walk", "step", F.col("node").alias("target"), before.alias("before"))
 
 
 def _ending(context: Column, length: int) -> Column:
@@ -77,12 +80,17 @@ def _ending(context: Column, length: int) -> Column:
 def context_counts(walks: DataFrame, order: int = ORDER) -> DataFrame:
     """(agent, context, target, n): how often a node of a walk (agent, walk, step, node) came after up to ``order`` nodes.
 
-    Each node counts for the empty context and for every ending of what is before it.
+    Each node counts for the empty context and for every ending of what is before it. Walks are dealt into tasks of
+    about TASK_ROWS counts each, which are combined there, and then the counts are, so a task's memory doesn't grow.
     """
-    rows = _contexts(walks, order)
+    tasks = tasks_for(walks.sparkSession, walks.count() * (order + 1))
+    part = F.pmod(F.xxhash64("agent", "walk"), F.lit(8 * tasks))  # several a task, so that tasks are nearly equal
+    rows = _contexts(walks.withColumn("part", part).repartition(tasks, "part"), order, "part")
     endings = F.array_compact(F.array(*[_ending(F.col("before"), k) for k in range(order + 1)]))
-    rows = rows.select("agent", F.explode(endings).alias("context"), "target")
-    return rows.groupBy("agent", "context", "target").agg(F.count("*").alias("n"))
+    rows = rows.select("part", "agent", F.explode(endings).alias("context"), "target")
+    within = rows.groupBy("part", "agent", "context", "target").agg(F.count("*").alias("n"))
+    key = ["agent", "context", "target"]
+    return within.repartition(tasks, *key).groupBy(*key).agg(F.sum("n").alias("n"))
 
 
 def context_totals(counts: DataFrame) -> DataFrame:

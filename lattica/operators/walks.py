@@ -17,17 +17,21 @@ HUB_ROWS = 200_000
 def vocabulary(nodes: DataFrame) -> DataFrame:
     """(id, token): nodes numbered from 0 by path, position and id.
 
-    Numbered in two steps: the nodes are written in ranges of the order, then counted per range and numbered within
-    it, so no task sorts the whole table.
+    The nodes are written, then dealt into ranges of the order with about TASK_ROWS nodes each. A range is sorted and
+    its nodes are numbered in the same task, after the nodes of the ranges before it, so no task sorts the whole table.
     """
-    ranged = nodes.select("id", "path", "position").repartitionByRange("path", "position", "id")
-    ranged = written(ranged.withColumn("part", F.spark_partition_id()), "vocabulary")
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    named = written(nodes.select("id", "path", "position"), "vocabulary-nodes")
+    order = ["path", "position", "id"]
+    ranged = named.repartitionByRange(tasks_for(nodes.sparkSession, named.count()), *order).sortWithinPartitions(*order)
+    # Spark numbers a partition's rows one after the other in the lower 33 bits, above them is the partition
+    place = F.monotonically_increasing_id()
+    ranged = written(ranged.select("id", place.alias("place")), "vocabulary")
+    part, row = F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row")
+    counts = ranged.select(part).groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("part").orderBy("path", "position", "id")
-    placed = ranged.withColumn("row", F.row_number().over(inside)).join(F.broadcast(starts), "part")
-    return placed.select("id", (F.col("start") + F.col("row") - 1).cast("long").alias("token"))
+    placed = ranged.select("id", part, row).join(F.broadcast(starts), "part")
+    return placed.select("id", (F.col("start") + F.col("row")).cast("long").alias("token"))
 
 
 def to_tokens(walks: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -48,12 +52,18 @@ def in_order(ids: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, target): the tree and the edges in both directions, each once."""
+    """(source, target): the tree and the edges in both directions, each once.
+
+    Pairs of nodes are told apart whatever their direction, and then go both ways, so half of the rows are shuffled.
+    """
+    a, b = F.col("a"), F.col("b")
     tree = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("a"), F.col("id").alias("b"))
     all_edges = tree.unionByName(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
-    both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")),
-                             F.struct(F.col("b").alias("source"), F.col("a").alias("target"))))
-    return all_edges.select(both.alias("e")).select("e.*").distinct()
+    ordered = F.coalesce(a <= b, a.isNull())  # null is before all others
+    pairs = all_edges.select(F.when(ordered, a).otherwise(b).alias("a"), F.when(ordered, b).otherwise(a).alias("b")).distinct()
+    there, back = F.struct(a.alias("source"), b.alias("target")), F.struct(b.alias("source"), a.alias("target"))
+    ways = F.when(a.eqNullSafe(b), F.array(there)).otherwise(F.array(there, back))
+    return pairs.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def _digits(text: Column, n: int) -> Column:

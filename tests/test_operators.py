@@ -12,6 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lattica import tables
 from lattica.functions import arithmetic, paths
 from lattica.operators import (
     citations, fulltext, latest, ledger, market, navigate, oplog, perspectives, predict, registers, requests, running, stacks, state,
@@ -619,3 +620,40 @@ def test_edges_are_told_apart_by_numbers(spark, sf_dir):
     line = model.table(spark, sf_dir, "lineitem")
     want = line.select("l_orderkey", "l_partkey").distinct().count() + line.select("l_partkey", "l_suppkey").distinct().count()
     assert model.edges(spark, sf_dir).distinct().count() == model.edges(spark, sf_dir).count() == want
+
+
+def test_adjacency_shuffles_a_pair_once(spark):
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("b", "r")], "id string, parent_id string")
+    links = [("a", "r"), ("r", "a"), ("a", "a"), ("b", "a"), ("b", None), (None, "b"), (None, None), ("b", "a")]
+    both = walks.adjacency(nodes, spark.createDataFrame(links, "source_id string, target_id string"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        both.explain()
+    plan = out.getvalue()  # its last step first: pairs go both ways after the exchange
+    assert plan.index("Generate") < plan.index("Exchange") and plan.count("Generate") == 1
+    want = {(a, b) for a, b in links} | {(b, a) for a, b in links} | {("r", "a"), ("a", "r"), ("r", "b"), ("b", "r")}
+    found = [tuple(r) for r in both.collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_ranges_of_a_vocabulary_are_numbered_where_they_are_sorted(spark, monkeypatch):
+    rows = [(f"n{k}", f"p{k % 37}", k % 5 if k % 11 else None) for k in range(2000)]
+    nodes = spark.createDataFrame(rows, "id string, path string, position int").repartition(5)
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    numbered = walks.vocabulary(nodes)
+    assert _exchanges(numbered) <= 1  # the numbers of rows of the ranges
+    want = sorted(rows, key=lambda r: (r[1], -1 if r[2] is None else r[2], r[0]))
+    assert [r["id"] for r in numbered.orderBy("token").collect()] == [r[0] for r in want]
+    assert [r["token"] for r in numbered.orderBy("token").collect()] == list(range(2000))
+    assert walks.vocabulary(nodes.limit(0)).count() == 0
+
+
+def test_contexts_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    rows = [(f"a{k % 2}", k // 6, k, k % 7 if k % 10 else None) for k in range(600)]
+    steps = spark.createDataFrame(rows, "agent string, walk long, step int, node long").repartition(5)
+    want = {(r["agent"], tuple(r["context"]), r["target"]): r["n"] for r in predict.context_counts(steps, 2).collect()}
+    monkeypatch.setattr(tables, "TASK_ROWS", 60)
+    counts = predict.context_counts(steps, 2)
+    assert counts.rdd.getNumPartitions() == 30  # 600 steps with up to 3 contexts each
+    assert {(r["agent"], tuple(r["context"]), r["target"]): r["n"] for r in counts.collect()} == want
+    assert sum(n for (_, context, _), n in want.items() if not context) == 540
