@@ -612,7 +612,7 @@ def test_weighted_neighbours_meet_once(spark, monkeypatch):
     assert sorted(map(tuple, walks.weighted_neighbours(pairs).collect())) == found
 
 
-def test_edges_are_told_apart_by_numbers(spark, sf_dir):
+def test_edges_are_told_apart_by_numbers(spark, sf_dir, monkeypatch):
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         model.edges(spark, sf_dir).explain()
@@ -620,6 +620,9 @@ def test_edges_are_told_apart_by_numbers(spark, sf_dir):
     line = model.table(spark, sf_dir, "lineitem")
     want = line.select("l_orderkey", "l_partkey").distinct().count() + line.select("l_partkey", "l_suppkey").distinct().count()
     assert model.edges(spark, sf_dir).distinct().count() == model.edges(spark, sf_dir).count() == want
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    assert model.edges(spark, sf_dir).rdd.getNumPartitions() >= 2 * line.count() // 200
+    assert model.edges(spark, sf_dir).distinct().count() == want
 
 
 def test_adjacency_shuffles_a_pair_once(spark):
