@@ -660,3 +660,20 @@ def test_contexts_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     assert counts.rdd.getNumPartitions() == 30  # 600 steps with up to 3 contexts each
     assert {(r["agent"], tuple(r["context"]), r["target"]): r["n"] for r in counts.collect()} == want
     assert sum(n for (_, context, _), n in want.items() if not context) == 540
+
+
+def test_a_batch_of_transfers_reads_the_ledger_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(None, "a", 50, "mint", 3), ("a", "b", 20, "pay", 9), ("b", "b", 5, "pay", 4), (None, None, 1, "lost", 12)]
+    schema = "from_wallet string, to_wallet string, amount long, reason string, timestamp long"
+    book = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    asked = spark.createDataFrame([(1, "a", "b", 30), (2, "b", "a", 51), (3, "b", "a", 50)], "seq long, from_wallet string, to_wallet string, amount long")
+    out = requests.transfers(asked, spark.createDataFrame([("a",), ("b",)], "id string"), book).orderBy("seq").collect()
+    assert [(r["refused"], r["timestamp"]) for r in out] == [(None, 13), ("balance", None), (None, 14)]
+    assert read.value == len(rows)
