@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lattica.operators.latest import sync_counts
 from lattica.operators.navigate import _reached
 from lattica.operators.requests import refused
-from lattica.operators.running import running_maximum, running_sum
+from lattica.operators.running import ranked
 from lattica.tables import written
 
 # The sections of an initial document: category, heading, what stands between key and value.
@@ -183,66 +188,175 @@ def reachable_commits(commits: DataFrame, refs: DataFrame) -> DataFrame:
 RING = "commits are each other's parents"
 
 
-def commit_runs(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, run, place): commits in runs, in which each is the only child of its only parent; place 0 is the run's first.
+#: A block holds the commits whose numbers are alike but for their last 16 bits.
+BLOCK_BITS = 16
+#: The time of a commit without one: before all others.
+NEVER = -(1 << 62)
+
+
+def _numbered_commits(commits: DataFrame) -> DataFrame:
+    """(id, repo, sha, time, parents, at, number) of commits: numbers go by repository and time, so parents are often near.
+
+    ``at`` is the time as a number that is never null.
+    """
+    kind = "long" if isinstance(commits.schema["time"].dataType, IntegralType) else "double"
+    rows = commits.select(F.concat_ws("@", "repo", "sha").alias("id"), "repo", "sha", "time", "parents")
+    rows = rows.withColumn("at", F.coalesce(F.col("time").cast(kind), F.lit(NEVER).cast(kind)))
+    order = ("repo", "time", "sha")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("number", F.monotonically_increasing_id()), "commit-rows")
+
 
-    Every round doubles the steps towards the first, so a run of n commits takes the logarithm of n rounds. A commit
-    whose step ends at a first one is finished and isn't joined again.
+def _commit_pairs(rows: DataFrame) -> DataFrame:
+    """(role, number, at, alone, target, target_at, single) from one shuffle of commits and of the parents that they name.
+
+    Role edge: commit ``number`` has parent ``target``, which is all that it names (alone) and whose only child it is
+    (single). Role fork: a commit that may have a child which isn't the only one or has other parents. Role copy: a
+    commit that is there already.
     """
-    ids = commits.select(F.concat_ws("@", "repo", "sha").alias("id")).distinct()
-    only_parent = edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"), F.min("target_id").alias("up")).filter("n = 1")
-    only_child = edges.groupBy(F.col("target_id").alias("up")).agg(F.count("*").alias("n")).filter("n = 1").select("up")
-    inner = written(only_parent.join(only_child, "up", "left_semi").select("id", "up"), "commit-inner")
-    first = ids.join(inner, "id", "left_anti").select("id", F.col("id").alias("run"), F.lit(0).cast("long").alias("place"))
-    ended = inner.select(F.col("up").alias("at")).join(inner.select(F.col("id").alias("at")), "at", "left_anti").withColumn("ends", F.lit(True))
-    hops = inner.join(ended, F.col("up") == F.col("at"), "left")
-    hops = written(hops.select("id", "up", F.lit(1).cast("long").alias("steps"), F.coalesce("ends", F.lit(False)).alias("ends")), "commit-hops")
-    rounds = hops.count().bit_length() + 1
-    while hops.filter("NOT ends").limit(1).count():
+    named = F.array_distinct(F.transform(F.array_compact("parents"), lambda p: F.concat_ws("@", "repo", p)))
+    rows = rows.withColumn("named", F.array_remove(named, F.col("id")))
+    asked = rows.select(F.explode("named").alias("id"), "number", "at", (F.size("named") == 1).alias("alone"))
+    met = rows.select("id", "number", "at", F.lit(None).cast("boolean").alias("alone")).unionByName(asked)
+    own, one = F.col("alone").isNull(), Window.partitionBy("id")
+    met = met.withColumns({
+        "target": F.min(F.when(own, F.col("number"))).over(one), "target_at": F.max(F.when(own, F.col("at"))).over(one),
+        "children": F.count("alone").over(one), "sure": F.bool_or("alone").over(one),
+    })
+    fork = (F.col("children") > 1) | ((F.col("children") == 1) & ~F.col("sure"))
+    role = F.when(~own, "edge").when(F.col("number") != F.col("target"), "copy").when(fork, "fork")
+    met = met.filter(F.col("target").isNotNull()).withColumn("role", role).filter(F.col("role").isNotNull())
+    return written(met.select("role", "number", "at", "alone", "target", "target_at", (F.col("children") == 1).alias("single")), "commit-pairs")
+
+
+def _block(number: str) -> Column:
+    return F.shiftright(number, BLOCK_BITS)
+
+
+def _hopped(rows: pd.DataFrame) -> pd.DataFrame:
+    """Hops of a block's commits (number, least, target; target -1: a fork) as far down their runs as the block goes."""
+    inner = rows[rows["target"] >= 0].sort_values("number")
+    ids, up, least = inner["number"].to_numpy(), inner["target"].to_numpy().copy(), inner["least"].to_numpy().copy()
+    steps = np.ones(len(ids), dtype=np.int64)
+    via = np.searchsorted(ids, up)
+    via[via == len(ids)] = 0
+    via = np.where(ids[via] == up, via, -1) if len(ids) else via
+    for _ in range(len(ids).bit_length() + 1):
+        go = np.flatnonzero(via >= 0)
+        if not len(go):
+            break
+        to = via[go]
+        least[go], steps[go], up[go], via[go] = np.maximum(least[go], least[to] + steps[go]), steps[go] + steps[to], up[to], via[to]
+    forks = rows.loc[rows["target"] < 0, "number"]
+    return pd.DataFrame({"id": ids, "up": up, "steps": steps, "least": least, "ring": via >= 0, "fork": np.isin(ids, forks)})
+
+
+def _combined(hops: DataFrame, over: DataFrame, *more: Column) -> DataFrame:
+    """``hops`` that go on by the hops of ``over`` which begin where they end; without any they stay."""
+    over = over.select(F.col("id").alias("via"), F.col("up").alias("further"), *[F.col(c).alias(f"over_{c}") for c in over.columns[2:]])
+    steps = F.col("steps") + F.coalesce("over_steps", F.lit(0))
+    least = F.greatest("least", F.col("over_least") + F.col("steps"))
+    joined = hops.join(over, F.col("up") == F.col("via"), "left")
+    return joined.select("id", F.coalesce("further", "up").alias("up"), steps.alias("steps"), least.alias("least"), *more)
+
+
+def commit_hops(inner: DataFrame, forks: DataFrame) -> DataFrame:
+    """(id, up, steps, least, fork): each commit of ``inner`` (number, least, target) with the first commit of its run.
+
+    In a run each commit is the only child of its only parent. A commit's moment is ``least``, or ``steps`` more than that
+    of ``up`` if this is later; ``fork`` tells whether the commit is one of ``forks`` (number). Runs are followed within
+    blocks of numbers, a block in a task. What leaves a block goes on by bridges, the hops that start where another block's
+    end; in every round these double, so a run takes the logarithm of its blocks in rounds.
+    """
+    kind = inner.schema["least"].dataType.simpleString()
+    rows = inner.unionByName(forks.select("number", F.lit(0).cast(kind).alias("least"), F.lit(-1).cast("long").alias("target")))
+    schema = f"id long, up long, steps long, least {kind}, ring boolean, fork boolean"
+    hops = written(rows.groupBy(_block("number").alias("block")).applyInPandas(_hopped, schema), "commit-hops")
+    if hops.filter("ring").limit(1).count():
+        raise ValueError(RING)
+    met = written(hops.filter(_block("id") != _block("up")).select(F.col("up").alias("id")).distinct(), "commit-met")
+    bridges = written(hops.join(met, "id").select("id", "up", "steps", "least"), "commit-bridges")
+    there = bridges.select(F.col("id").alias("there"))
+    ends = F.col("there").isNull().alias("ends")
+    bridges = written(bridges.join(there, F.col("up") == F.col("there"), "left").select(*bridges.columns, ends), "commit-bridges")
+    rounds = bridges.count().bit_length() + 1
+    while bridges.filter("NOT ends").limit(1).count():
         if not rounds:
             raise ValueError(RING)
         rounds -= 1
-        over = hops.select(F.col("id").alias("via"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("ends").alias("then"))
-        joined = hops.filter("NOT ends").join(over, F.col("up") == F.col("via"))
-        moved = joined.select("id", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("ends"))
-        hops = written(hops.filter("ends").unionByName(moved), "commit-hops")
-    return written(first.unionByName(hops.select("id", F.col("up").alias("run"), F.col("steps").alias("place"))), "commit-runs")
+        moved = _combined(bridges.filter("NOT ends"), bridges, F.col("over_ends").alias("ends"))
+        bridges = written(bridges.filter("ends").unionByName(moved), "commit-bridges")
+    return _combined(hops, bridges.drop("ends"), F.col("fork"))
 
 
-def commit_order(commits: DataFrame) -> DataFrame:
-    """(repo, sha, moment, place): parents before children, else by time; ``place`` counts from 0 in the repository.
+def _pushed(links: DataFrame) -> DataFrame:
+    """(id, pushed) of the first commits of runs that their parents leave a later moment than their own time.
 
-    A commit's ``moment`` is its time, or one more than the latest moment of its parents if that is later. Along a run
-    of commits it is a running maximum, and between runs moments are passed on until none changes: as many rounds as
-    runs follow each other with times that lie behind, and one more. A commit that names itself as a parent doesn't
-    count as one; longer rings, which hashes can't form, are an error.
+    ``links`` (run, at, of, steps, least): a first commit comes after ``least`` and ``steps`` after the commit ``of``. A round
+    passes on what the last one changed.
     """
-    commits = written(commits.select("repo", "sha", "time", "parents", F.concat_ws("@", "repo", "sha").alias("id")), "commit-rows")
-    edges = written(commit_edges(commits).filter("source_id != target_id"), "commit-edges")
-    rows = commits.join(commit_runs(commits, edges), "id").withColumn("ahead", F.col("time") - F.col("place"))
-    # along a run the moment at a place is the place plus the largest time less its own place up to there
-    rows = written(running_maximum(rows, ["run"], "place", "ahead", "most"), "commit-moments")
-    starts = rows.filter("place = 0").select(F.col("id").alias("source_id"))
-    into = edges.join(starts, "source_id", "left_semi").select(F.col("source_id").alias("run"), F.col("target_id").alias("id"))
-    links = written(
-        into.join(rows.select("id", F.col("run").alias("of"), (F.col("place") + F.col("most") + 1).alias("least"), "place"), "id")
-        .groupBy("run", "of", "place").agg(F.max("least").alias("least")), "commit-links",
-    )
-    # pushed: the least moment that the parents leave the first commit of a run
-    pushed = written(links.groupBy("run").agg(F.max("least").alias("pushed")), "commit-pushed")
-    rounds = pushed.count() + 1
+    later = links.groupBy("run").agg(F.max("least").alias("pushed"), F.max("at").alias("at"))
+    changed = written(later.filter("pushed > at").select(F.col("run").alias("id"), "pushed"), "commit-pushed")
+    known, rounds = [changed], links.select("run").distinct().count() + 1
     while True:
+        after = F.col("steps") + F.col("pushed")
+        through = links.join(changed, F.col("of") == F.col("id")).filter(after > F.greatest("least", "at"))
+        further = through.groupBy("run").agg(F.max(after).alias("further"))
+        changed = further.join(_latest(known), F.col("run") == F.col("id"), "left").filter("pushed IS NULL OR further > pushed")
+        changed = written(changed.select(F.col("run").alias("id"), F.col("further").alias("pushed")), "commit-pushed")
+        if not changed.limit(1).count():
+            return _latest(known)
         if not rounds:
             raise ValueError(RING)
         rounds -= 1
-        through = links.join(pushed.select(F.col("run").alias("of"), "pushed"), "of", "left")
-        further = through.groupBy("run").agg(F.max(F.greatest("least", F.col("place") + F.col("pushed") + 1)).alias("further"))
-        joined = pushed.select("run", "pushed").join(further, "run")
-        pushed = written(joined.select("run", F.col("further").alias("pushed"), (F.col("further") > F.col("pushed")).alias("grew")), "commit-pushed")
-        if not pushed.filter("grew").limit(1).count():
-            break
-    pushed = pushed.drop("grew")
-    moment = F.col("place") + F.greatest("most", "pushed")
-    rows = rows.join(pushed, "run", "left").select("repo", "sha", moment.alias("moment"), "time", F.lit(1).cast("long").alias("one"))
-    placed = running_sum(rows, ["repo"], "moment", "one", "n", ties=("time", "sha"))
-    return placed.select("repo", "sha", "moment", (F.col("n") - 1).alias("place"))
+        known.append(changed)
+        if len(known) > 8:
+            known = [written(_latest(known), "commit-pushed")]
+
+
+def _latest(known: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, known).groupBy("id").agg(F.max("pushed").alias("pushed"))
+
+
+def commit_order(commits: DataFrame) -> DataFrame:
+    """(repo, sha, moment, place): parents before children, else by time; ``place`` counts from 0 in the repository.
+
+    A commit's ``moment`` is its time, or one more than the latest moment of its parents if that is later. Along a run
+    of commits it follows from the run's first commit, and between runs moments are passed on until none changes: as many
+    rounds as runs follow each other with times that lie behind, and one more. A commit that names itself as a parent doesn't
+    count as one; longer rings, which hashes can't form, are an error. Commits are told apart by numbers after one shuffle.
+    Rows of one commit have one moment, after the latest of their times and all their parents.
+    """
+    rows = _numbered_commits(commits)
+    pairs = _commit_pairs(rows)
+    if pairs.filter("role = 'copy'").limit(1).count():
+        once = rows.groupBy("id").agg(
+            F.min("repo").alias("repo"), F.min("sha").alias("sha"), F.max("time").alias("time"), F.flatten(F.collect_list("parents")).alias("parents")
+        )
+        once = _numbered_commits(once)
+        moments = once.select("id", "number").join(_moments(_commit_pairs(once)), "number").select("id", "later")
+        timed = rows.drop("at").join(once.select("id", "at").join(moments, "id", "left"), "id")
+    else:
+        timed = rows.join(_moments(pairs), "number", "left")
+    moment = F.coalesce("later", "at")
+    timed = timed.select("repo", "sha", F.when(moment > NEVER // 2, moment).alias("moment"), "time")
+    return ranked(timed, ["repo"], ["moment", "time", "sha"], "place").drop("time")
+
+
+def _moments(pairs: DataFrame) -> DataFrame:
+    """(number, later) of the commits of ``pairs`` that have parents: their moments, unless they are their own times."""
+    edges, single = pairs.filter("role = 'edge'"), F.col("single")
+    several = edges.filter("NOT alone").withColumn("alone", F.count("*").over(Window.partitionBy("number")) == 1)
+    edges = edges.filter("alone").unionByName(several)
+    inner, outer = edges.filter(F.col("alone") & single), edges.filter(~(F.col("alone") & single))
+    least = F.greatest("at", F.col("target_at") + 1)
+    hops = commit_hops(inner.select("number", least.alias("least"), "target"), pairs.filter("role = 'fork'"))
+    onto = hops.filter("fork").select(F.col("id").alias("target"), "up", "steps", F.col("least").alias("there"))
+    links = outer.join(onto, "target", "left").select(
+        F.col("number").alias("run"), "at", F.coalesce("up", "target").alias("of"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"),
+        (F.coalesce("there", "target_at") + 1).alias("least"),
+    )
+    pushed = _pushed(written(links, "commit-links"))
+    along = hops.join(pushed.withColumnRenamed("id", "first"), F.col("up") == F.col("first"), "left")
+    moved = along.select(F.col("id").alias("number"), F.greatest("least", F.col("pushed") + F.col("steps")).alias("later"))
+    return moved.unionByName(pushed.select(F.col("id").alias("number"), F.col("pushed").alias("later")))

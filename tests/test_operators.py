@@ -462,6 +462,42 @@ def test_commits_come_after_their_parents(spark):
     assert all(out[repo, p]["place"] < out[repo, sha]["place"] for repo, sha, _, parents in rows for p in parents if (repo, p) in out)
 
 
+def test_long_runs_of_commits_are_written_a_few_times(spark, monkeypatch):
+    rows, written = [], registers.written
+
+    def counted(df, label):
+        out = written(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(registers, "written", counted)
+    commits = spark.range(3000).selectExpr(
+        "'r' repo", "concat('c', id) sha", "id * 2 - id % 7 * 5 time", "if(id = 0, array(), array(concat('c', id - 1))) parents"
+    )
+    assert registers.commit_order(commits).filter("sha != concat('c', place)").count() == 0
+    assert sum(rows) < 5 * 3000
+
+
+def test_runs_of_commits_go_on_from_block_to_block(spark, monkeypatch):
+    monkeypatch.setattr(registers, "BLOCK_BITS", 2, raising=False)
+    draw, rows = random.Random(1), []
+    for k in range(150):
+        parents = [f"c{draw.randrange(max(0, k - draw.choice([1, 1, 1, 30])), k)}" for _ in range(draw.choice([1, 1, 1, 2]))] if k % 60 else []
+        rows.append(("r", f"c{k}", 2 * k - draw.randrange(9), parents))
+    rows += [rows[20], ("r", "c40", 300, ["c3"])]  # a copy, and one that is later and has another parent
+    times, named = {}, {}
+    for _, sha, time, parents in rows:
+        times[sha], named[sha] = max(time, times.get(sha, time)), named.get(sha, set()) | set(parents)
+    moments = {}
+    for k in range(150):  # parents have smaller numbers
+        moments[f"c{k}"] = max([times[f"c{k}"]] + [moments[p] + 1 for p in named[f"c{k}"]])
+    draw.shuffle(rows)
+    commits = spark.createDataFrame(rows, "repo string, sha string, time long, parents array<string>")
+    out = registers.commit_order(commits).collect()
+    assert len(out) == 152 and all(r["moment"] == moments[r["sha"]] for r in out)
+    assert [r["place"] for r in sorted(out, key=lambda r: (r["moment"], r["place"]))] == list(range(152))
+
+
 def test_rings_of_commits_are_an_error(spark):
     schema = "repo string, sha string, time long, parents array<string>"
     for rows in ([("r", "a", 1, ["b"]), ("r", "b", 2, ["a"])], [("r", "a", 1, ["b", "c"]), ("r", "b", 2, ["a"]), ("r", "c", 2, ["a"])]):
