@@ -59,7 +59,8 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     """A CSV file, or a folder of files of one header, as text columns with clean, unique names; empty values are null.
 
     Short rows are filled with nulls, what long ones have beyond the header is dropped. ``multi_line`` allows line ends
-    within quotes; files that Spark would cut into several parts are then read in parts, too (``read_parts``).
+    within quotes; files that Spark would cut into several parts are then read in parts, too: by Spark itself if they
+    hold no quote at all, so every line is a record, else by ``read_parts``.
     """
     header = spark.read.csv(path, header=False, multiLine=multi_line, **CSV_OPTIONS).first()
     if header is None:
@@ -69,11 +70,19 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         sizes = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("largest"))
         part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
         if sizes.first()["largest"] > part:
-            return read_parts(spark, path, names)
+            if not _lines_are_records(spark, path):
+                return read_parts(spark, path, names)
+            multi_line = False
     schema = ", ".join(f"`{name}` string" for name in names)
     return spark.read.schema(schema).csv(path, header=True, nullValue="", enforceSchema=True, multiLine=multi_line, **CSV_OPTIONS)
 
 
+def _lines_are_records(spark: SparkSession, path: str) -> bool:
+    """Whether every line that isn't empty is a record, in any reader: no quotes, no blank lines, \\r at most at the end."""
+    odd = F.col("value").contains('"') | F.col("value").rlike(r"\r(?!\z)") | F.col("value").rlike(r"\A(?!\r\z)[\x00-\x20]+\z")
+    return not spark.read.text(path, lineSep="\n").filter(odd).limit(1).count()
+
+
 LINES = "file string, part long, line long, text string, " + ", ".join(f"before{k} int, after{k} int, ended{k} long" for k in (0, 1))
 
 
@@ -257,8 +266,9 @@ def import_directory(spark: SparkSession, folder: str, project: str, multi_line:
     parent_id, position, path, metadata); ids are paths of project, table and column. The driver holds names alone.
     """
     tables, profiles, listed = {}, None, {}
-    names = unique_names([table_name(path) for path in csv_files(spark, folder)])
-    for place, (path, name) in enumerate(zip(csv_files(spark, folder), names, strict=True)):
+    paths = csv_files(spark, folder)
+    names = unique_names([table_name(path) for path in paths])
+    for place, (path, name) in enumerate(zip(paths, names, strict=True)):
         raw = read_csv(spark, path, multi_line)
         found = written(profile(raw), "csv-profile")
         kinds = {row["column"]: (row["column"], row["type"], row["partial"]) for row in found.select("column", "type", "partial").collect()}

@@ -280,6 +280,25 @@ def test_csv_in_parts_equals_one_reader(spark, tmp_path):
     assert csv_import.read_parts(spark, f"file://{folder}/g.txt", names).count() == 0
 
 
+def test_large_csv_files_without_quotes_are_read_by_lines(spark, tmp_path, monkeypatch):
+    in_parts, read_parts = [], csv_import.read_parts
+    monkeypatch.setattr(csv_import, "read_parts", lambda *args: in_parts.append(args[1]) or read_parts(*args))
+    body = "".join(f"{k},v{k % 7},\r\n" if k % 3 else f"{k}\n\n" for k in range(60)) + "60,x,y,z\n"
+    files = {"plain": body, "quoted": body + '1,"a\nb",c\n', "blank": body + " \n", "control": body + "\x01\n", "returns": body + "2,a\rb,c\n"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+        for name, text in files.items():
+            path = tmp_path / f"{name}.csv"
+            path.write_bytes(b"a,b,c\r\n" + text.encode())
+            rows = sorted(map(str, csv_import.read_csv(spark, f"file://{path}").collect()))
+            assert rows == sorted(map(str, read_parts(spark, f"file://{path}", ["a", "b", "c"]).collect())), name
+            assert len(rows) == 61 + (name != "plain"), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [p.rsplit("/", 1)[-1] for p in in_parts] == ["quoted.csv", "blank.csv", "control.csv", "returns.csv"]
+
+
 def test_known_names_in_one_pass_and_in_blocks(spark):
     rng = random.Random(8)
     word = lambda most: "".join(rng.choice("abé ") for _ in range(rng.randrange(most)))
